@@ -19,11 +19,13 @@ from lehrplan.sources.staging import stage
 
 
 def positions(df: DataFrame, order: Sequence[Column], keep: Sequence[str],
-              by: Sequence[str] = (), label: str = "positions") -> DataFrame:
+              by: Sequence[str] = (), label: str = "positions",
+              with_size: bool = False) -> DataFrame:
     """Add the 0-based ``position`` of each row in ``order`` (within ``by`` groups if given).
 
     ``order`` must end with columns that make it unique. Returns ``by`` + ``keep`` columns
-    and ``position``; a group may span any number of partitions.
+    and ``position``; a group may span any number of partitions. ``with_size`` also adds the
+    row count of the group as ``size``.
     """
     by = list(by)
     sort = [named(b).asc_nulls_first() for b in by] + list(order)
@@ -41,11 +43,15 @@ def positions(df: DataFrame, order: Sequence[Column], keep: Sequence[str],
     earlier = (Window.partitionBy(*[named(b) for b in by]).orderBy("_part")
                .rowsBetween(Window.unboundedPreceding, -1))
     marks = marks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if with_size:
+        group = Window.partitionBy(*[named(b) for b in by])
+        marks = marks.withColumn("size", F.sum("_n").over(group))
+    size = ["size"] if with_size else []
 
     if not by:
         placed = placed.join(F.broadcast(marks), "_part")  # one row per partition
     else:
-        marks = marks.select(F.col("_part").alias("_mpart"), "_first", "_before",
+        marks = marks.select(F.col("_part").alias("_mpart"), "_first", "_before", *size,
                              *[named(b).alias(f"_m_{b}") for b in by])
         match = F.col("_part") == F.col("_mpart")
         for b in by:
@@ -53,7 +59,8 @@ def positions(df: DataFrame, order: Sequence[Column], keep: Sequence[str],
         placed = placed.join(marks, match)
     return placed.select(
         *[named(c) for c in carried],
-        (F.col("_before") + F.col("_row") - F.col("_first")).alias("position"))
+        (F.col("_before") + F.col("_row") - F.col("_first")).alias("position"),
+        *size)
 
 
 def shuffled(df: DataFrame, seed: int = 1, index: str = "index",
