@@ -27,6 +27,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator / F.nullif(denominator, F.lit(0).cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Inside an array lambda an outer expression is evaluated again for every element; binding it
+    first keeps the whole expression linear in the array length.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_statistics(df: DataFrame, statistics: dict[str, Column],
                     partition_by: str | None = None) -> DataFrame:
     """Add aggregate columns of the whole table, or of each ``partition_by`` group.

@@ -4,32 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+from lehrplan.functions.columns import let
 
 
 def shifted(logits: Column) -> Column:
-    top = F.array_max(logits).cast("double")
-    return F.transform(logits, lambda x: x.cast("double") - top)
+    return let(F.array_max(logits).cast("double"), lambda top: F.transform(
+        logits, lambda x: x.cast("double") - top))
 
 
 def log_sum_exp(logits: Column) -> Column:
     """log(sum(exp)) of already shifted logits."""
-    return F.log(_sum(F.transform(logits, F.exp)))
+    return F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x)))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
-    z = shifted(logits)
-    return log_sum_exp(z) - F.get(z, target)
+    return let(shifted(logits), lambda z: log_sum_exp(z) - F.get(z, target))
 
 
 def softmax_entropy(logits: Column, floor: float = -1e9) -> Column:
     """-sum(p log p) with log p clamped from below."""
-    z = shifted(logits)
-    norm = log_sum_exp(z)
-    return -_sum(F.transform(
-        z, lambda x: F.exp(x - norm) * F.greatest(x - norm, F.lit(floor))))
+    return let(shifted(logits), lambda z: let(log_sum_exp(z), lambda norm: -F.aggregate(
+        z, F.lit(0.0),
+        lambda s, x: s + F.exp(x - norm) * F.greatest(x - norm, F.lit(floor)))))
 
 
 def predicted(logits: Column) -> Column:
