@@ -681,12 +681,12 @@ def run_settings(spark, d):
 
 @query
 def run_best_epoch(spark, d):
-    return rounded(RUN.best_epoch(T.epoch_signals(spark, d)))
+    return RUN.best_epoch(T.epoch_signals(spark, d))
 
 
 @query
 def run_final(spark, d):
-    return rounded(RUN.final_values(T.epoch_signals(spark, d)))
+    return RUN.final_values(T.epoch_signals(spark, d))
 
 
 @query
@@ -701,13 +701,13 @@ def run_series(spark, d):
               "validation_losses"]
     rows = rows.select("run", "total_batches_processed",
                        F.posexplode(F.arrays_zip(*fields)).alias("step", "e"))
-    return rounded(rows.select("run", "total_batches_processed", "step",
-                               *[F.col(f"e.{f}").alias(f) for f in fields]))
+    return rows.select("run", "total_batches_processed", "step",
+                       *[F.col(f"e.{f}").alias(f) for f in fields])
 
 
 @query
 def run_summary(spark, d):
-    return rounded(RUN.summary(T.epoch_signals(spark, d), run_settings(spark, d)))
+    return RUN.summary(T.epoch_signals(spark, d), run_settings(spark, d))
 
 
 def run_configs(spark, d):
@@ -731,7 +731,7 @@ def run_hash(spark, d):
 
 @query
 def run_row(spark, d):
-    return rounded(RUN.run_rows(T.epoch_signals(spark, d), run_configs(spark, d)))
+    return RUN.run_rows(T.epoch_signals(spark, d), run_configs(spark, d))
 
 
 @query
@@ -747,8 +747,7 @@ def run_append(spark, d):
     path = staging_path(spark, "runs")
     reports.append_runs(spark, rows.where("shuffled"), path)
     reports.append_runs(spark, rows, path)
-    return rounded(spark.read.parquet(path).select("hash", "network_id", "best_accuracy",
-                                                   "best_epoch"))
+    return spark.read.parquet(path).select("hash", "network_id", "best_accuracy", "best_epoch")
 
 
 @query
@@ -761,7 +760,7 @@ def run_documents(spark, d):
         "hash", field("$.config.network").alias("network"),
         field("$.results.best_epoch").cast("int").alias("best_epoch"),
         field("$.total_batches_processed").cast("long").alias("total_batches_processed"),
-        F.round(field("$.epochs.7.validation.accuracy").cast("double"), 6).alias("acc_7"))
+        field("$.epochs.7.validation.accuracy").cast("double").alias("acc_7"))
 
 
 @query
@@ -777,7 +776,7 @@ def epoch_upsert(spark, d):
 def runs_compare(spark, d):
     rows = RUN.run_rows(T.epoch_signals(spark, d), run_configs(spark, d))
     same = rows.withColumn("network_id", F.lit("net"))
-    return rounded(RUN.compare(same, RUN.variant_of()))
+    return RUN.compare(same, RUN.variant_of())
 
 
 @query

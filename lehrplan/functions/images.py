@@ -46,9 +46,10 @@ def normalized(data: Column, mean: Sequence[float], std: Sequence[float]) -> Col
 
 def gray_mean(data: Column) -> Column:
     """Mean over channels, as doubles."""
-    plane = lambda p: F.aggregate(span(F.col("c")), F.lit(0.0), lambda s, k:
-                                  s + F.get(data, k * area() + p).cast("double"))
-    several = F.transform(span(area()), lambda p: plane(p) / F.col("c").cast("double"))
+    plane = lambda d, p: F.aggregate(span(F.col("c")), F.lit(0.0), lambda s, k:
+                                     s + F.get(d, k * area() + p).cast("double"))
+    several = let(data, lambda d: F.transform(
+        span(area()), lambda p: plane(d, p) / F.col("c").cast("double")))
     return F.when(F.col("c") == 1, data.cast("array<double>")).otherwise(several)
 
 
@@ -59,9 +60,9 @@ LUMA = (0.299, 0.587, 0.114)
 def gray_luma(data: Column) -> Column:
     """Weighted sum of three channels; one channel is taken as it is."""
     r, g, b = LUMA
-    weighted = F.transform(span(area()), lambda p: (
-        F.get(data, p).cast("double") * r + F.get(data, area() + p).cast("double") * g
-        + F.get(data, area() * 2 + p).cast("double") * b).cast("float"))
+    weighted = let(data, lambda d: F.transform(span(area()), lambda p: (
+        F.get(d, p).cast("double") * r + F.get(d, area() + p).cast("double") * g
+        + F.get(d, area() * 2 + p).cast("double") * b).cast("float")))
     return F.when(F.col("c") == 1, data.cast("array<float>")).when(F.col("c") == 3, weighted)
 
 
@@ -137,19 +138,20 @@ def seeded_int(seed: int, kind: str, index: Column, bound: Column | int) -> Colu
 def flipped(data: Column, flip: Column) -> Column:
     """Mirror left-right where ``flip`` holds."""
     w = F.col("w")
-    mirrored = F.transform(data, lambda x, i: F.get(data, i - i % w + (w - 1 - i % w)))
-    return F.when(flip, mirrored).otherwise(data)
+    return let(data, lambda d: F.when(flip, F.transform(
+        d, lambda x, i: F.get(d, i - i % w + (w - 1 - i % w)))).otherwise(d))
 
 
 def padded_crop(data: Column, size: int, padding: int, dy: Column, dx: Column) -> Column:
     """Window of ``size`` x ``size`` at offset (dy, dx) of the zero-padded image."""
     window = size * size
 
-    def pixel(i: Column) -> Column:
-        y = F.floor((i % window) / size).cast("int") + dy - padding
-        x = i % size + dx - padding
+    def pixel(d: Column, oy: Column, ox: Column, i: Column) -> Column:
+        y = F.floor((i % window) / size).cast("int") + oy - padding
+        x = i % size + ox - padding
         inside = (y >= 0) & (y < F.col("h")) & (x >= 0) & (x < F.col("w"))
         place = F.floor(i / window).cast("int") * area() + y * F.col("w") + x
-        return F.when(inside, F.get(data, place)).otherwise(F.lit(0).cast("float"))
+        return F.when(inside, F.get(d, place)).otherwise(F.lit(0).cast("float"))
 
-    return F.transform(span(F.col("c") * window), pixel)
+    return let(data, lambda d: let(dy, lambda oy: let(dx, lambda ox: F.transform(
+        span(F.col("c") * window), lambda i: pixel(d, oy, ox, i)))))

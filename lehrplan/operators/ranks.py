@@ -222,24 +222,23 @@ def sequential_votes(x: np.ndarray) -> np.ndarray:
     A pair pushes both weights by the magnitude of its correlation; the direction for each
     depends on the weights' signs at that moment, hence the sequential loop over one batch.
     """
-    weights = np.zeros(len(x))
+    weights = [0.0] * len(x)
     for i in range(len(x) - 1):
-        similar = np.nan_to_num(x[i + 1:] @ x[i], nan=0.0)
-        later = weights[i + 1:]
         own = weights[i]
-        for j, p in enumerate(similar):
-            other = later[j]
+        similar = np.nan_to_num(x[i + 1:] @ x[i], nan=0.0).tolist()
+        for j, p in enumerate(similar, i + 1):
+            other = weights[j]
             if (own >= 0) != (other >= 0):
-                up = -1.0 if own >= 0 else 1.0     # opposite signs meet in the middle
-                own, later[j] = own + up * p, other - up * p
+                up = -p if own >= 0 else p     # opposite signs meet in the middle
+                own, weights[j] = own + up, other - up
             elif p >= 0:
-                up = 1.0 if own >= 0 else -1.0     # agreement strengthens the shared sign
-                own, later[j] = own + up * p, other + up * p
+                up = p if own >= 0 else -p     # agreement strengthens the shared sign
+                own, weights[j] = own + up, other + up
             else:
-                up = 1.0 if own < other else -1.0  # disagreement drives the pair apart
-                own, later[j] = own + up * p, other - up * p
+                up = p if own < other else -p  # disagreement drives the pair apart
+                own, weights[j] = own + up, other - up
         weights[i] = own
-    return weights
+    return np.array(weights)
 
 
 def unit_matrix(values: np.ndarray, inverted: Sequence[int]) -> np.ndarray:

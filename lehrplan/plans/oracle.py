@@ -585,29 +585,29 @@ ORACLE: dict[str, str] = {
                        "mean_grad_norm FROM per GROUP BY ALL",
     "batch_signals": f"WITH {LAYER_VALUES} SELECT run, epoch, batch_idx, round(avg(s), 6) AS "
                      "mean_std, round(avg(n), 6) AS mean_grad_norm FROM per GROUP BY ALL",
-    "run_best_epoch": f"WITH {EPO}, {BEST} SELECT run, best_epoch, round(best_accuracy, 6) AS "
-                      "best_accuracy, round(best_loss, 6) AS best_loss FROM best",
+    "run_best_epoch": f"WITH {EPO}, {BEST} SELECT run, best_epoch, best_accuracy AS "
+                      "best_accuracy, best_loss AS best_loss FROM best",
     "run_final": f"WITH {EPO}, {FINAL} SELECT run, " + ", ".join(
-        f"round({c}, 6) AS {c}" for c in ("final_train_accuracy", "final_train_loss",
+        f"{c}" for c in ("final_train_accuracy", "final_train_loss",
                                           "final_val_accuracy", "final_val_loss")) + " FROM fin",
     "run_dsi": f"WITH {EPO}, {USED} SELECT run, dsi FROM used",
     "run_series": f"""WITH {EPO} SELECT run, CAST(sum(batches) OVER (PARTITION BY run) AS BIGINT) AS
         total_batches_processed, CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS
-        INTEGER) AS step, batches AS batches_per_epoch, round(train_acc, 6) AS train_accuracies,
-        round(train_loss, 6) AS train_losses, round(val_acc, 6) AS validation_accuracies,
-        round(val_loss, 6) AS validation_losses FROM epo""",
+        INTEGER) AS step, batches AS batches_per_epoch, train_acc AS train_accuracies,
+        train_loss AS train_losses, val_acc AS validation_accuracies,
+        val_loss AS validation_losses FROM epo""",
     "run_summary": f"""WITH {EPO}, {BEST}, {FINAL}, {USED} SELECT run, best_epoch,
-        round(best_accuracy, 6) AS best_accuracy, round(best_loss, 6) AS best_loss,
-        round(final_train_accuracy, 6) AS final_train_accuracy,
-        round(final_train_loss, 6) AS final_train_loss,
-        round(final_val_accuracy, 6) AS final_val_accuracy,
-        round(final_val_loss, 6) AS final_val_loss, dsi, 10 AS max_batches_per_epoch,
+        best_accuracy AS best_accuracy, best_loss AS best_loss,
+        final_train_accuracy AS final_train_accuracy,
+        final_train_loss AS final_train_loss,
+        final_val_accuracy AS final_val_accuracy,
+        final_val_loss AS final_val_loss, dsi, 10 AS max_batches_per_epoch,
         total_batches_processed FROM best JOIN fin USING (run) JOIN used USING (run)""",
     "run_hash": f"WITH {CONFIG} SELECT run, hash FROM hsh",
     "run_row": f"""WITH {RECORDS} SELECT network AS network_id, 'events' AS dataset_id, 30 AS epochs,
-        1 AS seed, 'cpu' AS device, round(final_val_accuracy, 6) AS final_accuracy,
-        round(final_val_loss, 6) AS final_loss, round(best_accuracy, 6) AS best_accuracy,
-        round(best_loss, 6) AS best_loss, best_epoch, shuffled, false AS normalize_classes,
+        1 AS seed, 'cpu' AS device, final_val_accuracy AS final_accuracy,
+        final_val_loss AS final_loss, best_accuracy AS best_accuracy,
+        best_loss AS best_loss, best_epoch, shuffled, false AS normalize_classes,
         CASE WHEN paced THEN 'ascending' END AS rank, CASE WHEN paced THEN 'edge-density' END AS
         metric, CASE WHEN paced THEN 'holistic' END AS scope, CASE WHEN paced THEN 'linear' END AS
         schedule, 0.3::DOUBLE AS start_fraction, dsi, 10 AS max_batches_per_epoch,
@@ -615,10 +615,10 @@ ORACLE: dict[str, str] = {
         record_file, hash
       FROM best JOIN fin USING (run) JOIN used USING (run) JOIN hsh USING (run)""",
     "run_exists": f"WITH {CONFIG} SELECT run FROM hsh WHERE NOT paced",
-    "run_append": f"WITH {RECORDS} SELECT hash, network AS network_id, round(best_accuracy, 6) AS "
+    "run_append": f"WITH {RECORDS} SELECT hash, network AS network_id, best_accuracy AS "
                   "best_accuracy, best_epoch FROM best JOIN hsh USING (run)",
     "run_documents": f"""WITH {RECORDS} SELECT hash, network, best_epoch, total_batches_processed,
-        round(val_acc, 6) AS acc_7 FROM best JOIN used USING (run) JOIN hsh USING (run)
+        val_acc AS acc_7 FROM best JOIN used USING (run) JOIN hsh USING (run)
         JOIN epo ON epo.run = hsh.run AND epo.epoch = 7""",
     "epoch_upsert": """SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, value, user_id
       FROM events QUALIFY row_number() OVER (PARTITION BY event_type, day(ts) ORDER BY event_id DESC)
@@ -627,9 +627,9 @@ ORACLE: dict[str, str] = {
         THEN 'shuffled' ELSE 'baseline' END AS kind, best_accuracy AS v FROM best JOIN hsh
         USING (run)), w AS (SELECT max(v) FILTER (kind = 'baseline') AS b,
         max(v) FILTER (kind = 'shuffled') AS s, max(v) FILTER (kind = 'curriculum') AS c FROM a)
-      SELECT 'net' AS network_id, 'events' AS dataset_id, round(b, 6) AS baseline,
-        round(s, 6) AS shuffled, round(c, 6) AS curriculum, round(s - b, 6) AS shuffled_gain,
-        round(c - b, 6) AS curriculum_gain FROM w""",
+      SELECT 'net' AS network_id, 'events' AS dataset_id, b AS baseline,
+        s AS shuffled, c AS curriculum, s - b AS shuffled_gain,
+        c - b AS curriculum_gain FROM w""",
     "experiment_grid": """SELECT dataset, model, rank FROM (SELECT DISTINCT event_type AS dataset FROM
         events), (VALUES ('resnet-18'), ('resnet-34'), ('resnet-50'), ('resnet-101')) m(model),
         (VALUES ('ascending'), ('descending')) r(rank)

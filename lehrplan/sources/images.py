@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lehrplan.functions.columns import let
 from lehrplan.functions.images import span
 from lehrplan.operators.ordering import positions
 from lehrplan.registry import DATASETS
@@ -111,17 +112,17 @@ def sample_specs(spark: SparkSession, size: int = 64) -> DataFrame:
 
 def checker_plane(size: Column, tiles: Column, first: Column, second: Column) -> Column:
     """Flat (3, size, size) board: odd tiles take the first colour."""
-    tile = F.floor(size / tiles).cast("int")
     area = size * size
 
-    def value(i: Column) -> Column:
+    def value(tile: Column, a: Column, b: Column, i: Column) -> Column:
         row, column = F.floor((i % area) / size), i % size
         odd = (F.floor(row / tile) + F.floor(column / tile)) % 2 == 1
         channel = F.floor(i / area).cast("int")
-        return (F.when(odd, F.get(first, channel)).otherwise(F.get(second, channel))
+        return (F.when(odd, F.get(a, channel)).otherwise(F.get(b, channel))
                 / F.lit(255.0)).cast("float")
 
-    return F.transform(span(area * 3), value)
+    return let(F.floor(size / tiles).cast("int"), lambda tile: let(first, lambda a: let(
+        second, lambda b: F.transform(span(area * 3), lambda i: value(tile, a, b, i)))))
 
 
 def synthesize(specs: DataFrame) -> DataFrame:
