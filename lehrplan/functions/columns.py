@@ -27,6 +27,20 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator / F.nullif(denominator, F.lit(0).cast("double"))
 
 
+def correlation_parts(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """Aggregates of the rows where both are present: covariance and the two deviations.
+
+    `corr` itself raises on constant columns in ANSI mode; see `correlation`.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    return (F.covar_samp(x, y), F.stddev_samp(F.when(both, x)), F.stddev_samp(F.when(both, y)))
+
+
+def correlation(cov: Column, sx: Column, sy: Column) -> Column:
+    """Pearson's r from `correlation_parts`; NULL if a column is constant."""
+    return ratio(cov, sx * sy)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once.
 

@@ -69,12 +69,11 @@ def class_balanced(ranked: DataFrame, batch_size: int, index: str = "index",
     Sample r of a class with n samples is placed at fraction (r+1)/n of the whole order.
     """
     inside = positions(ranked, [F.col("position").asc(), named(index).asc()],
-                       keep=[index], by=[label], label="class-order")
-    sizes = ranked.groupBy(named(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    spread = (inside.join(sizes, named(label).eqNullSafe(F.col("_label")))
-              .withColumn("_share", (F.col("position") + 1) / F.col("_n").cast("double")))
+                       keep=[index], by=[label], label="class-order", with_size=True)
+    spread = inside.withColumn(
+        "_share", (F.col("position") + 1) / F.col("size").cast("double"))
     order = [F.col("_share").asc(), named(label).asc_nulls_first(), named(index).asc()]
-    return cut(positions(spread.drop("position"), order, keep=[index], label="class-balanced"),
+    return cut(positions(spread.drop("position", "size"), order, keep=[index], label="class-balanced"),
                batch_size, index)
 
 

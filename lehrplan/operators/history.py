@@ -81,14 +81,15 @@ def saturation_time(layer_history: DataFrame, threshold: float = 1e-3, window: i
                         .otherwise(F.col("_last")).cast("double").alias("value"), "saturated")
 
 
-def weight_deltas(snapshots: DataFrame) -> DataFrame:
+def weight_deltas(snapshots: DataFrame, max_iterations: int = 1000) -> DataFrame:
     """Frobenius norm of the change between successive weight snapshots of a layer.
 
     ``snapshots(index, layer, iteration, weights array)`` from iteration 0 on; the result starts
     at the second snapshot.
     """
     order = Window.partitionBy("index", "layer").orderBy("iteration")
-    pairs = snapshots.withColumn("_before", F.lag("weights").over(order))
+    cut = snapshots.where(F.col("iteration") <= max_iterations)
+    pairs = cut.withColumn("_before", F.lag("weights").over(order))
     squares = F.aggregate(
         F.zip_with("weights", "_before",
                    lambda a, b: (a.cast("double") - b.cast("double"))

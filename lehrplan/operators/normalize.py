@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from lehrplan.functions.columns import named, present, ratio, with_statistics
+from lehrplan.functions.columns import (correlation, correlation_parts, named, present,
+                                        ratio, with_statistics)
 from lehrplan.operators.ranks import FLAT, extremes, zscore_statistics
 
 
@@ -25,9 +26,7 @@ def rescale(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def standardize(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """z-scores with the N-1 deviation; a constant column becomes missing."""
-    stats = {k: v for k, v in zscore_statistics(metrics, metrics[0]).items()
-             if not k.startswith("_r")}
-    table = with_statistics(_scores(scores, metrics), stats)
+    table = with_statistics(_scores(scores, metrics), zscore_statistics(metrics))
     return table.select("index", *[
         ratio(named(m) - F.col(f"_avg{i}"), F.col(f"_std{i}")).alias(m)
         for i, m in enumerate(metrics)])
@@ -37,7 +36,7 @@ def anchor_correlations(scores: DataFrame, anchor: str, metrics: Sequence[str])
     """``metric, correlation`` with the anchor; missing for constant columns."""
     others = [m for m in metrics if m != anchor]
     row = _scores(scores, [anchor, *others]).agg(
-        *[present(F.corr(named(m), named(anchor))).alias(m) for m in others])
+        *[correlation(*correlation_parts(named(m), named(anchor))).alias(m) for m in others])
     return row.unpivot([], [named(m) for m in others], "metric", "correlation")
 
 

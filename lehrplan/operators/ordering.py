@@ -51,8 +51,9 @@ def positions(df: DataFrame, order: Sequence[Column], keep: Sequence[str],
     if not by:
         placed = placed.join(F.broadcast(marks), "_part")  # one row per partition
     else:
-        marks = marks.select(F.col("_part").alias("_mpart"), "_first", "_before", *size,
-                             *[named(b).alias(f"_m_{b}") for b in by])
+        # staged so that the planner knows its size: broadcast while small, shuffled beyond
+        marks = stage(marks.select(F.col("_part").alias("_mpart"), "_first", "_before", *size,
+                                   *[named(b).alias(f"_m_{b}") for b in by]), f"{label}-marks")
         match = F.col("_part") == F.col("_mpart")
         for b in by:
             match = match & named(b).eqNullSafe(named(f"_m_{b}"))

@@ -14,8 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lehrplan.functions.columns import (named, numeric_columns, present, ratio,
-                                        with_statistics)
+from lehrplan.functions.columns import (correlation, correlation_parts, named,
+                                        numeric_columns, present, ratio, with_statistics)
 from lehrplan.operators.ordering import positions
 from lehrplan.registry import METRICS, RANKS
 
@@ -135,33 +135,26 @@ def normalized_mean(scores, metrics, partition_by, inverted):
             [F.col("_key").asc_nulls_last()])
 
 
-def zscore_statistics(columns: Sequence[str], anchor: str) -> dict[str, Column]:
+def zscore_statistics(columns: Sequence[str]) -> dict[str, Column]:
     stats = {}
     for i, c in enumerate(columns):
         stats[f"_avg{i}"] = F.avg(named(c))
         stats[f"_std{i}"] = F.stddev_samp(named(c))
-        if c != anchor:
-            stats[f"_r{i}"] = present(F.corr(named(c), named(anchor)))
     return stats
 
 
 @RANKS.register("weighted", tags=["composite", "composite-key", "single", "all-columns"])
 def weighted(scores, columns, partition_by, inverted):
     """Anchor z-score plus the other z-scores weighted by |correlation with the anchor|."""
-    anchor = columns[0]
-    if partition_by is None:
-        keyed = with_statistics(scores, zscore_statistics(columns, anchor))
-    else:  # corr over a window needs its NULL handling outside the aggregate
-        stats = {k: v for k, v in zscore_statistics(columns, anchor).items()
-                 if not k.startswith("_r")}
-        keyed = with_statistics(scores, stats, partition_by)
-        keyed = with_statistics(keyed, {f"_r{i}": F.corr(named(c), named(anchor))
-                                        for i, c in enumerate(columns) if c != anchor},
-                                partition_by)
-        keyed = keyed.withColumns({f"_r{i}": present(F.col(f"_r{i}"))
-                                   for i, c in enumerate(columns) if c != anchor})
+    anchor, others = columns[0], range(1, len(columns))
+    stats = zscore_statistics(columns)
+    for i in others:
+        parts = correlation_parts(named(columns[i]), named(anchor))
+        stats |= {f"_{p}{i}": a for p, a in zip(("cov", "sx", "sy"), parts)}
+    keyed = with_statistics(scores, stats, partition_by)
+    keyed = keyed.withColumns({f"_r{i}": correlation(*[F.col(f"_{p}{i}") for p in
+                                                       ("cov", "sx", "sy")]) for i in others})
     z = [ratio(named(c) - F.col(f"_avg{i}"), F.col(f"_std{i}")) for i, c in enumerate(columns)]
-    others = [i for i, c in enumerate(columns) if c != anchor]
     key = z[0]
     if others:
         strength = reduce(lambda a, b: a + b,

@@ -525,7 +525,7 @@ ORACLE: dict[str, str] = {
       SELECT CAST(label AS BIGINT) AS index, layer, iteration,
         round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) AS delta
       FROM s JOIN e a ON a.vec_id = s.vec_id JOIN e b ON b.vec_id = s.before AND b.k = a.k
-      GROUP BY label, layer, iteration""",
+      WHERE iteration <= 1000 GROUP BY label, layer, iteration""",
     "h_histories": f"""WITH {HIST}, {islands('index', 40)}, z AS (SELECT index, loss, iteration,
         min(iteration) FILTER (stable_run >= 5) OVER (PARTITION BY index) AS stop FROM st)
       SELECT index, iteration - 1 AS step, round(loss, 6) AS loss FROM z
