@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lehrplan.functions.columns import metric_columns, named, present
 from lehrplan.operators.ordering import positions
+from lehrplan.sources.staging import stage
 
 QUANTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 GLOBAL = "global"
@@ -29,15 +30,129 @@ def moments() -> list[Column]:
 
 
 def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, float],
-                    tie: str = "index") -> DataFrame:
+                    total: int | None = None, tie: str = "index",
+                    sample_rows: int = 2_000_000, spread: float = 4.0) -> DataFrame:
     """Linearly interpolated quantiles per group, without collecting a group anywhere.
 
-    Rows get their place in the sorted group (range-partitioned, ties split); only the two
-    rows around each quantile survive the filter and reach the aggregate.
+    Tables up to ``sample_rows`` values are sorted whole (`sorted_quantiles`). Beyond that a
+    sample brackets each quantile to ``spread`` standard errors, one pass counts exactly what
+    lies below, at and between the ends, and only the values strictly between are sorted. A
+    bracket the counts prove wrong is widened to the whole group, so the result is always exact.
     """
     by = list(by)
-    placed = positions(values.where("value is not null"),
-                       [F.col("value").asc(), named(tie).asc()], keep=["value"], by=by,
+    values = values.where("value is not null")
+    total = values.count() if total is None else total
+    if total <= sample_rows:
+        return sorted_quantiles(values, by, quantiles, tie)
+    brackets = stage(sample_brackets(values, by, quantiles, sample_rows / total, spread),
+                     "brackets")
+    cuts = stage(bracket_counts(values, brackets, by, quantiles), "cuts")
+    between = values.join(*small(cuts, by)).select(
+        *[named(b) for b in by], named(tie), "value", F.explode(F.filter("_cuts", lambda c: (
+            c["sorts"] & (F.col("value") > c["low"]) & (F.col("value") < c["high"]))))
+        .alias("_cut")).withColumn("_q", F.col("_cut.name"))
+    placed = positions(between, [F.col("value").asc(), named(tie).asc()],
+                       keep=["value", "_cut"], by=[*by, "_q"], label="near-quantiles")
+    hit = lambda end: F.max(F.when(F.col("position") == F.col(f"_cut.{end}")
+                                   - F.col("_cut.before"), F.col("value")))
+    inside = placed.groupBy(*[named(b) for b in by], "_q").agg(
+        hit("floor").alias("_floor"), hit("ceil").alias("_ceil"))
+
+    flat = cuts.select(*[named(b) for b in by], F.inline("_cuts"))
+    inside = inside.select(*[named(b).alias(f"_i_{b}") for b in by], F.col("_q").alias("_iq"),
+                           "_floor", "_ceil")
+    match = F.col("name") == F.col("_iq")
+    for b in by:
+        match = match & named(b).eqNullSafe(named(f"_i_{b}"))
+    end = lambda place, found: (F.when(F.col(place) < F.col("before"), F.col("low"))
+                                .when(F.col(place) < F.col("before") + F.col("between"),
+                                      F.col(found)).otherwise(F.col("high")))
+    solved = flat.join(inside, match, "left").withColumns(
+        {"_lo": end("floor", "_floor"), "_hi": end("ceil", "_ceil")})
+    value = interpolated(F.col("_lo"), F.col("_hi"), F.col("share"))
+    return solved.groupBy(*[named(b) for b in by]).agg(*[
+        F.max(F.when(F.col("name") == n, value)).alias(n) for n in quantiles])
+
+
+def sample_brackets(values: DataFrame, by: list[str], quantiles: dict[str, float],
+                    fraction: float, spread: float) -> DataFrame:
+    """Per group an interval for each quantile, from a sample of bounded size; open-ended where
+    the sample has too few values."""
+    drawn = (values.sample(fraction, seed=1).groupBy(*[named(b) for b in by])
+             .agg(F.sort_array(F.collect_list("value")).alias("_v")))
+    size = F.size("_v")
+    ends = []
+    for name, q in quantiles.items():
+        reach = F.sqrt(size * (q * (1 - q))) * spread + 1
+        low, high = F.floor(size * q - reach), F.ceil(size * q + reach)
+        ends.append(F.struct(
+            F.lit(name).alias("name"),
+            F.when(low >= 0, F.get("_v", low.cast("int"))).otherwise(F.lit(float("-inf")))
+            .alias("low"),
+            F.when(high < size, F.get("_v", high.cast("int"))).otherwise(F.lit(float("inf")))
+            .alias("high")))
+    return drawn.select(*[named(b) for b in by], F.array(*ends).alias("_brackets"))
+
+
+def small(table: DataFrame, by: list[str]) -> tuple[DataFrame, Column, str]:
+    """Join arguments for a staged per-group table (broadcast by the planner while small)."""
+    other = table.select(*[named(b).alias(f"_s_{b}") for b in by],
+                         *[c for c in table.columns if c not in by])
+    match = F.lit(True)
+    for b in by:
+        match = match & named(b).eqNullSafe(named(f"_s_{b}"))
+    return other, match, "left"
+
+
+def bracket_counts(values: DataFrame, brackets: DataFrame, by: list[str],
+                   quantiles: dict[str, float]) -> DataFrame:
+    """Per group and quantile: ends, rows before the open interval, rows in it, and the two
+    positions wanted. Brackets that miss their positions become the whole line."""
+    rows = values.join(*small(brackets, by))
+    below_all = F.count(F.when(F.col("value") == float("-inf"), 1))
+    above_all = F.count(F.when(F.col("value") == float("inf"), 1))
+    stats = [F.count(F.lit(1)).alias("_n"), below_all.alias("_neg"), above_all.alias("_pos")]
+    for i, name in enumerate(quantiles):
+        low = F.coalesce(F.get("_brackets", F.lit(i))["low"], F.lit(float("-inf")))
+        high = F.coalesce(F.get("_brackets", F.lit(i))["high"], F.lit(float("inf")))
+        v = F.col("value")
+        stats += [F.max(low).alias(f"_low{i}"), F.max(high).alias(f"_high{i}"),
+                  F.count(F.when(v < low, 1)).alias(f"_below{i}"),
+                  F.count(F.when(v == low, 1)).alias(f"_at_low{i}"),
+                  F.count(F.when((v > low) & (v < high), 1)).alias(f"_between{i}"),
+                  F.count(F.when(v == high, 1)).alias(f"_at_high{i}")]
+    counted = rows.groupBy(*[named(b) for b in by]).agg(*stats)
+    cuts = []
+    for i, (name, q) in enumerate(quantiles.items()):
+        place = (F.col("_n") - 1) * q
+        floor, ceil = F.floor(place), F.ceil(place)
+        below, same = F.col(f"_below{i}"), F.col(f"_low{i}") == F.col(f"_high{i}")
+        last = below + F.col(f"_at_low{i}") + F.col(f"_between{i}") + F.when(
+            same, F.lit(0)).otherwise(F.col(f"_at_high{i}"))
+        good = (below <= floor) & (ceil < last)
+        choose = lambda yes, no: F.when(good, yes).otherwise(no)
+        before = choose(below + F.col(f"_at_low{i}"), F.col("_neg"))
+        between = choose(F.col(f"_between{i}"), F.col("_n") - F.col("_neg") - F.col("_pos"))
+        inside = lambda p: (p >= before) & (p < before + between)
+        cuts.append(F.struct(
+            F.lit(name).alias("name"),
+            choose(F.col(f"_low{i}"), F.lit(float("-inf"))).alias("low"),
+            choose(F.col(f"_high{i}"), F.lit(float("inf"))).alias("high"),
+            before.alias("before"), between.alias("between"), floor.alias("floor"),
+            ceil.alias("ceil"), (place - floor).alias("share"),
+            (inside(floor) | inside(ceil)).alias("sorts")))
+    return counted.select(*[named(b) for b in by], F.array(*cuts).alias("_cuts"))
+
+
+def interpolated(low: Column, high: Column, share: Column) -> Column:
+    return F.when(low == high, low).otherwise(low + (high - low) * share)
+
+
+def sorted_quantiles(values: DataFrame, by: list[str], quantiles: dict[str, float],
+                     tie: str = "index") -> DataFrame:
+    """Quantiles from the place of every value in its sorted group (range-partitioned, ties
+    split); only the two rows around each quantile reach the aggregate."""
+    placed = positions(values, [F.col("value").asc(), named(tie).asc()], keep=["value"], by=by,
                        label="quantiles", with_size=True)
     at = {n: (F.col("size") - 1) * q for n, q in quantiles.items()}
     wanted = F.lit(False)
@@ -53,12 +168,12 @@ def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, f
                  F.max(place - F.floor(place)).alias(f"_t_{name}")]
     edges = placed.where(wanted).groupBy(*[named(b) for b in by]).agg(*ends)
     return edges.select(*[named(b) for b in by], *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_t_{n}")).alias(n)
+        interpolated(F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_t_{n}")).alias(n)
         for n in quantiles])
 
 
 def distributions(scores: DataFrame, metrics: Sequence[str] | None = None,
-                  index: str = "index", label: str = "class") -> DataFrame:
+                  index: str = "index", label: str = "class", **quantile_options) -> DataFrame:
     """One row per metric and scope (``global`` or a class): count, mean, maximum, median,
     minimum, std (N-1), p25, p50, p75. Missing scores are skipped."""
     values = melt(scores, metrics, index, label)
@@ -68,8 +183,9 @@ def distributions(scores: DataFrame, metrics: Sequence[str] | None = None,
     scoped = (values.withColumn("level", F.explode(levels))
               .withColumn("class", F.when(F.col("level") == 1, F.col("class"))))
     by = ["metric", "level", "class"]
-    basic = scoped.groupBy(*[named(b) for b in by]).agg(*moments())
-    tails = exact_quantiles(scoped, by, QUANTILES)
+    basic = stage(scoped.groupBy(*[named(b) for b in by]).agg(*moments()), "moments")
+    total = basic.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    tails = exact_quantiles(scoped, by, QUANTILES, total, **quantile_options)
     tails = tails.select(F.col("metric").alias("_m"), F.col("level").alias("_l"),
                          F.col("class").alias("_c"), *QUANTILES)
     joined = basic.join(tails, (F.col("metric") == F.col("_m")) & (F.col("level") == F.col("_l"))

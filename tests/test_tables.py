@@ -134,6 +134,41 @@ def test_distributions_with_ties_and_gaps(spark, rows):
     assert_distributions(frame, D.distributions(df).toPandas())
 
 
+@pytest.mark.parametrize("spread", [4.0, 0.05])
+@pytest.mark.parametrize("seed", [0, 1])
+def test_bracketed_quantiles(spark, spread, seed):
+    """Sampling path: heavy ties, tiny classes, infinities, and brackets too narrow to hold."""
+    rng = np.random.default_rng(seed)
+    n = 3000
+    frame = pd.DataFrame({
+        "class": np.where(np.arange(n) < 4, "rare", rng.choice(list("ab"), n)),
+        "smooth": rng.normal(0, 1, n), "few": rng.integers(0, 5, n).astype(float),
+        "hot": np.where(rng.random(n) < 0.4, 7.0, rng.random(n) * 14),
+        "wide": np.where(rng.random(n) < 0.3, -np.inf, rng.random(n))})
+    frame.loc[rng.random(n) < 0.1, "smooth"] = np.nan
+    rows = [(i, r[0], *[None if np.isnan(v) else float(v) for v in r[1:]])
+            for i, r in enumerate(frame.itertuples(index=False))]
+    df = table(spark, rows, ["index", "class", "smooth", "few", "hot", "wide"])
+    values = D.melt(df)
+    by, at = ["metric", "class"], {"p01": .01, "p25": .25, "p50": .5, "p75": .75, "p100": 1.0}
+    got = D.exact_quantiles(values, by, at, sample_rows=600, spread=spread).toPandas()
+    want = D.sorted_quantiles(values.where("value is not null"), by, at).toPandas()
+    assert len(got) == 4 * 3
+    merged = got.merge(want, on=by, suffixes=("", "_w"))
+    for name, q in at.items():
+        np.testing.assert_array_equal(merged[name], merged[f"{name}_w"])
+        for r in merged[merged.metric == "smooth"].itertuples():
+            s = frame.loc[frame["class"] == getattr(r, "_2", r[2]), "smooth"]
+            assert getattr(r, name) == pytest.approx(s.quantile(q))
+
+
+def test_distributions_by_sampling(spark, scores):
+    whole = D.distributions(scores).toPandas().sort_values(["metric", "scope"])
+    sampled = D.distributions(scores, sample_rows=40).toPandas().sort_values(["metric", "scope"])
+    for c in ("count", "mean", "std", "p25", "p50", "p75", "median"):
+        np.testing.assert_allclose(whole[c], sampled[c])
+
+
 def test_distribution_files(spark, scores):
     path = staging_path(spark, "distributions")
     analyze_scores(scores, path, ["edge-density"])
