@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,117 +32,127 @@ def moments() -> list[Column]:
 
 def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, float],
                     total: int | None = None, tie: str = "index",
-                    sample_rows: int = 2_000_000, spread: float = 4.0) -> DataFrame:
+                    extra: Sequence[Column] = (), sample_rows: int = 2_000_000,
+                    spread: float = 4.0) -> DataFrame:
     """Linearly interpolated quantiles per group, without collecting a group anywhere.
 
     Tables up to ``sample_rows`` values are sorted whole (`sorted_quantiles`). Beyond that a
     sample brackets each quantile to ``spread`` standard errors, one pass counts exactly what
     lies below, at and between the ends, and only the values strictly between are sorted. A
     bracket the counts prove wrong is widened to the whole group, so the result is always exact.
+
+    ``total`` only chooses the way and the sampling rate. ``extra`` aggregates of the group ride
+    on the counting pass. Missing values are ignored; a group without any has NULL quantiles.
     """
     by = list(by)
-    values = values.where("value is not null")
+    keys = [named(b) for b in by]
     total = values.count() if total is None else total
     if total <= sample_rows:
-        return sorted_quantiles(values, by, quantiles, tie)
+        edges = sorted_quantiles(values.where("value is not null"), by, quantiles, tie)
+        whole = values.groupBy(*keys).agg(F.count("value").alias("_n"), *extra)
+        return whole.join(*per_group(edges, by)).drop("_n", *[f"_s_{b}" for b in by])
     brackets = stage(sample_brackets(values, by, quantiles, sample_rows / total, spread),
                      "brackets")
-    cuts = stage(bracket_counts(values, brackets, by, quantiles), "cuts")
-    between = values.join(*small(cuts, by)).select(
-        *[named(b) for b in by], named(tie), "value", F.explode(F.filter("_cuts", lambda c: (
-            c["sorts"] & (F.col("value") > c["low"]) & (F.col("value") < c["high"]))))
-        .alias("_cut")).withColumn("_q", F.col("_cut.name"))
-    placed = positions(between, [F.col("value").asc(), named(tie).asc()],
-                       keep=["value", "_cut"], by=[*by, "_q"], label="near-quantiles")
-    hit = lambda end: F.max(F.when(F.col("position") == F.col(f"_cut.{end}")
-                                   - F.col("_cut.before"), F.col("value")))
-    inside = placed.groupBy(*[named(b) for b in by], "_q").agg(
-        hit("floor").alias("_floor"), hit("ceil").alias("_ceil"))
-
-    flat = cuts.select(*[named(b) for b in by], F.inline("_cuts"))
-    inside = inside.select(*[named(b).alias(f"_i_{b}") for b in by], F.col("_q").alias("_iq"),
-                           "_floor", "_ceil")
-    match = F.col("name") == F.col("_iq")
-    for b in by:
-        match = match & named(b).eqNullSafe(named(f"_i_{b}"))
-    end = lambda place, found: (F.when(F.col(place) < F.col("before"), F.col("low"))
-                                .when(F.col(place) < F.col("before") + F.col("between"),
-                                      F.col(found)).otherwise(F.col("high")))
-    solved = flat.join(inside, match, "left").withColumns(
-        {"_lo": end("floor", "_floor"), "_hi": end("ceil", "_ceil")})
-    value = interpolated(F.col("_lo"), F.col("_hi"), F.col("share"))
-    return solved.groupBy(*[named(b) for b in by]).agg(*[
-        F.max(F.when(F.col("name") == n, value)).alias(n) for n in quantiles])
+    cuts = stage(bracket_counts(values, brackets, by, quantiles, extra), "cuts")
+
+    near = [F.col(f"_sorts{i}") & (F.col("value") > F.col(f"_low{i}"))
+            & (F.col("value") < F.col(f"_high{i}")) for i in range(len(quantiles))]
+    rows = values.join(*per_group(cuts.select(*keys, *[
+        f"_{c}{i}" for c in ("sorts", "low", "high", "before", "floor", "ceil")
+        for i in range(len(quantiles))]), by)).where(reduce(lambda p, q: p | q, near))
+    pick = lambda c: F.coalesce(*[F.when(F.col("_q") == i, F.col(f"_{c}{i}"))
+                                  for i in range(len(quantiles))])
+    rows = rows.withColumn("_q", F.explode(F.array_compact(F.array(*[
+        F.when(hit, F.lit(i)) for i, hit in enumerate(near)]))))
+    rows = rows.select(*keys, named(tie), "value", "_q",
+                       (pick("floor") - pick("before")).alias("_floor"),
+                       (pick("ceil") - pick("before")).alias("_ceil"))
+    placed = positions(rows, [F.col("value").asc(), named(tie).asc()],
+                       keep=["value", "_floor", "_ceil"], by=[*by, "_q"], label="near-quantiles")
+    found = placed.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("_q") == i) & (F.col("position") == F.col(f"_{end}")),
+                     F.col("value"))).alias(f"_at_{end}{i}")
+        for i in range(len(quantiles)) for end in ("floor", "ceil")])
+
+    solved = cuts.join(*per_group(found, by))
+
+    def edge(end: str, i: int) -> Column:
+        place, before = F.col(f"_{end}{i}"), F.col(f"_before{i}")
+        return (F.when(place < before, F.col(f"_low{i}"))
+                .when(place < before + F.col(f"_between{i}"), F.col(f"_at_{end}{i}"))
+                .otherwise(F.col(f"_high{i}")))
+
+    extras = [c for c in cuts.columns if c not in by and not c.startswith("_")]
+    return solved.select(*keys, *extras, *[F.when(F.col("_n") > 0, interpolated(
+        edge("floor", i), edge("ceil", i), F.col(f"_share{i}"))).alias(n)
+        for i, n in enumerate(quantiles)])
+
+
+def per_group(table: DataFrame, by: list[str]) -> tuple[DataFrame, Column, str]:
+    """Left-join arguments for a table with one row per group. A staged one has a known size, so
+    the planner broadcasts it while it is small."""
+    other = table.select(*[named(b).alias(f"_s_{b}") for b in by],
+                         *[c for c in table.columns if c not in by])
+    match = reduce(lambda p, q: p & q, [named(b).eqNullSafe(named(f"_s_{b}")) for b in by])
+    return other, match, "left"
 
 
 def sample_brackets(values: DataFrame, by: list[str], quantiles: dict[str, float],
                     fraction: float, spread: float) -> DataFrame:
     """Per group an interval for each quantile, from a sample of bounded size; open-ended where
     the sample has too few values."""
-    drawn = (values.sample(fraction, seed=1).groupBy(*[named(b) for b in by])
+    drawn = (values.where("value is not null").sample(fraction, seed=1)
+             .groupBy(*[named(b) for b in by])
              .agg(F.sort_array(F.collect_list("value")).alias("_v")))
     size = F.size("_v")
     ends = []
-    for name, q in quantiles.items():
+    for i, q in enumerate(quantiles.values()):
         reach = F.sqrt(size * (q * (1 - q))) * spread + 1
         low, high = F.floor(size * q - reach), F.ceil(size * q + reach)
-        ends.append(F.struct(
-            F.lit(name).alias("name"),
-            F.when(low >= 0, F.get("_v", low.cast("int"))).otherwise(F.lit(float("-inf")))
-            .alias("low"),
-            F.when(high < size, F.get("_v", high.cast("int"))).otherwise(F.lit(float("inf")))
-            .alias("high")))
-    return drawn.select(*[named(b) for b in by], F.array(*ends).alias("_brackets"))
-
-
-def small(table: DataFrame, by: list[str]) -> tuple[DataFrame, Column, str]:
-    """Join arguments for a staged per-group table (broadcast by the planner while small)."""
-    other = table.select(*[named(b).alias(f"_s_{b}") for b in by],
-                         *[c for c in table.columns if c not in by])
-    match = F.lit(True)
-    for b in by:
-        match = match & named(b).eqNullSafe(named(f"_s_{b}"))
-    return other, match, "left"
+        ends += [F.when(low >= 0, F.get("_v", low.cast("int"))).otherwise(
+                     F.lit(float("-inf"))).alias(f"_low{i}"),
+                 F.when(high < size, F.get("_v", high.cast("int"))).otherwise(
+                     F.lit(float("inf"))).alias(f"_high{i}")]
+    return drawn.select(*[named(b) for b in by], *ends)
 
 
 def bracket_counts(values: DataFrame, brackets: DataFrame, by: list[str],
-                   quantiles: dict[str, float]) -> DataFrame:
+                   quantiles: dict[str, float], extra: Sequence[Column] = ()) -> DataFrame:
     """Per group and quantile: ends, rows before the open interval, rows in it, and the two
     positions wanted. Brackets that miss their positions become the whole line."""
-    rows = values.join(*small(brackets, by))
-    below_all = F.count(F.when(F.col("value") == float("-inf"), 1))
-    above_all = F.count(F.when(F.col("value") == float("inf"), 1))
-    stats = [F.count(F.lit(1)).alias("_n"), below_all.alias("_neg"), above_all.alias("_pos")]
-    for i, name in enumerate(quantiles):
-        low = F.coalesce(F.get("_brackets", F.lit(i))["low"], F.lit(float("-inf")))
-        high = F.coalesce(F.get("_brackets", F.lit(i))["high"], F.lit(float("inf")))
-        v = F.col("value")
-        stats += [F.max(low).alias(f"_low{i}"), F.max(high).alias(f"_high{i}"),
+    rows = values.join(*per_group(brackets, by))
+    v, ends = F.col("value"), {"_neg": float("-inf"), "_pos": float("inf")}
+    stats = [F.count("value").alias("_n"),
+             *[F.count(F.when(v == e, 1)).alias(n) for n, e in ends.items()], *extra]
+    for i in range(len(quantiles)):
+        low = F.coalesce(F.col(f"_low{i}"), F.lit(float("-inf")))
+        high = F.coalesce(F.col(f"_high{i}"), F.lit(float("inf")))
+        stats += [F.max(low).alias(f"_l{i}"), F.max(high).alias(f"_h{i}"),
                   F.count(F.when(v < low, 1)).alias(f"_below{i}"),
                   F.count(F.when(v == low, 1)).alias(f"_at_low{i}"),
-                  F.count(F.when((v > low) & (v < high), 1)).alias(f"_between{i}"),
+                  F.count(F.when((v > low) & (v < high), 1)).alias(f"_inside{i}"),
                   F.count(F.when(v == high, 1)).alias(f"_at_high{i}")]
     counted = rows.groupBy(*[named(b) for b in by]).agg(*stats)
-    cuts = []
-    for i, (name, q) in enumerate(quantiles.items()):
-        place = (F.col("_n") - 1) * q
+    cuts = [*[named(b) for b in by], "_n",
+            *[c for c in counted.columns if c not in by and not c.startswith("_")]]
+    for i, q in enumerate(quantiles.values()):
+        place = (F.greatest(F.col("_n"), F.lit(1)) - 1) * q
         floor, ceil = F.floor(place), F.ceil(place)
-        below, same = F.col(f"_below{i}"), F.col(f"_low{i}") == F.col(f"_high{i}")
-        last = below + F.col(f"_at_low{i}") + F.col(f"_between{i}") + F.when(
-            same, F.lit(0)).otherwise(F.col(f"_at_high{i}"))
+        below = F.col(f"_below{i}")
+        last = below + F.col(f"_at_low{i}") + F.col(f"_inside{i}") + F.when(
+            F.col(f"_l{i}") == F.col(f"_h{i}"), F.lit(0)).otherwise(F.col(f"_at_high{i}"))
         good = (below <= floor) & (ceil < last)
         choose = lambda yes, no: F.when(good, yes).otherwise(no)
         before = choose(below + F.col(f"_at_low{i}"), F.col("_neg"))
-        between = choose(F.col(f"_between{i}"), F.col("_n") - F.col("_neg") - F.col("_pos"))
+        between = choose(F.col(f"_inside{i}"), F.col("_n") - F.col("_neg") - F.col("_pos"))
         inside = lambda p: (p >= before) & (p < before + between)
-        cuts.append(F.struct(
-            F.lit(name).alias("name"),
-            choose(F.col(f"_low{i}"), F.lit(float("-inf"))).alias("low"),
-            choose(F.col(f"_high{i}"), F.lit(float("inf"))).alias("high"),
-            before.alias("before"), between.alias("between"), floor.alias("floor"),
-            ceil.alias("ceil"), (place - floor).alias("share"),
-            (inside(floor) | inside(ceil)).alias("sorts")))
-    return counted.select(*[named(b) for b in by], F.array(*cuts).alias("_cuts"))
+        cuts += [choose(F.col(f"_l{i}"), F.lit(float("-inf"))).alias(f"_low{i}"),
+                 choose(F.col(f"_h{i}"), F.lit(float("inf"))).alias(f"_high{i}"),
+                 before.alias(f"_before{i}"), between.alias(f"_between{i}"),
+                 floor.alias(f"_floor{i}"), ceil.alias(f"_ceil{i}"),
+                 (place - floor).alias(f"_share{i}"),
+                 (inside(floor) | inside(ceil)).alias(f"_sorts{i}")]
+    return counted.select(*cuts)
 
 
 def interpolated(low: Column, high: Column, share: Column) -> Column:
@@ -183,15 +194,10 @@ def distributions(scores: DataFrame, metrics: Sequence[str] | None = None,
     scoped = (values.withColumn("level", F.explode(levels))
               .withColumn("class", F.when(F.col("level") == 1, F.col("class"))))
     by = ["metric", "level", "class"]
-    basic = stage(scoped.groupBy(*[named(b) for b in by]).agg(*moments()), "moments")
-    total = basic.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    tails = exact_quantiles(scoped, by, QUANTILES, total, **quantile_options)
-    tails = tails.select(F.col("metric").alias("_m"), F.col("level").alias("_l"),
-                         F.col("class").alias("_c"), *QUANTILES)
-    joined = basic.join(tails, (F.col("metric") == F.col("_m")) & (F.col("level") == F.col("_l"))
-                        & F.col("class").eqNullSafe(F.col("_c")), "left")
+    rows = scores.count() * 2 * len(metrics or metric_columns(scores, (index, label)))
+    table = exact_quantiles(scoped, by, QUANTILES, rows, extra=moments(), **quantile_options)
     scope = F.when(F.col("level") == 0, F.lit(GLOBAL)).otherwise(F.col("class"))
-    return joined.select("metric", scope.alias("scope"), "count", "mean", "maximum",
+    return table.select("metric", scope.alias("scope"), "count", "mean", "maximum",
                          F.col("p50").alias("median"), "minimum", "std", "p25", "p50", "p75")
 
 
