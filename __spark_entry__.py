@@ -137,7 +137,8 @@ def rank_cached(spark, d):
 
 @query
 def metric_distributions(spark, d):
-    return rounded(D.distributions(T.scores_orders(spark, d), METRICS), 5)
+    stored = stage(T.scores_orders(spark, d), "scores")  # read several times
+    return rounded(D.distributions(stored, METRICS), 5)
 
 
 @query

@@ -36,10 +36,11 @@ def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, f
                     spread: float = 4.0) -> DataFrame:
     """Linearly interpolated quantiles per group, without collecting a group anywhere.
 
-    Tables up to ``sample_rows`` values are sorted whole (`sorted_quantiles`). Beyond that a
-    sample brackets each quantile to ``spread`` standard errors, one pass counts exactly what
-    lies below, at and between the ends, and only the values strictly between are sorted. A
-    bracket the counts prove wrong is widened to the whole group, so the result is always exact.
+    Up to ``sample_rows`` values in all, the built-in aggregate holds a group in one task. Beyond
+    that a sample brackets each quantile to ``spread`` standard errors, one pass counts exactly
+    what lies below, at and between the ends, and only the values strictly between are sorted,
+    range-partitioned with ties split. A bracket the counts prove wrong is widened to the whole
+    group, so the result is always exact.
 
     ``total`` only chooses the way and the sampling rate. ``extra`` aggregates of the group ride
     on the counting pass. Missing values are ignored; a group without any has NULL quantiles.
@@ -48,9 +49,11 @@ def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, f
     keys = [named(b) for b in by]
     total = values.count() if total is None else total
     if total <= sample_rows:
-        edges = sorted_quantiles(values.where("value is not null"), by, quantiles, tie)
-        whole = values.groupBy(*keys).agg(F.count("value").alias("_n"), *extra)
-        return whole.join(*per_group(edges, by)).drop("_n", *[f"_s_{b}" for b in by])
+        found = values.groupBy(*keys).agg(
+            F.percentile("value", F.array(*[F.lit(q) for q in quantiles.values()])).alias("_q"),
+            *extra)
+        return found.select("*", *[F.get("_q", F.lit(i)).alias(n)
+                                   for i, n in enumerate(quantiles)]).drop("_q")
     brackets = stage(sample_brackets(values, by, quantiles, sample_rows / total, spread),
                      "brackets")
     cuts = stage(bracket_counts(values, brackets, by, quantiles, extra), "cuts")
@@ -84,7 +87,7 @@ def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, f
 
     extras = [c for c in cuts.columns if c not in by and not c.startswith("_")]
     return solved.select(*keys, *extras, *[F.when(F.col("_n") > 0, interpolated(
-        edge("floor", i), edge("ceil", i), F.col(f"_share{i}"))).alias(n)
+        edge("floor", i), edge("ceil", i), F.col(f"_share{i}"), F.col(f"_rest{i}"))).alias(n)
         for i, n in enumerate(quantiles)])
 
 
@@ -150,37 +153,14 @@ def bracket_counts(values: DataFrame, brackets: DataFrame, by: list[str],
                  choose(F.col(f"_h{i}"), F.lit(float("inf"))).alias(f"_high{i}"),
                  before.alias(f"_before{i}"), between.alias(f"_between{i}"),
                  floor.alias(f"_floor{i}"), ceil.alias(f"_ceil{i}"),
-                 (place - floor).alias(f"_share{i}"),
+                 (place - floor).alias(f"_share{i}"), (ceil - place).alias(f"_rest{i}"),
                  (inside(floor) | inside(ceil)).alias(f"_sorts{i}")]
     return counted.select(*cuts)
 
 
-def interpolated(low: Column, high: Column, share: Column) -> Column:
-    return F.when(low == high, low).otherwise(low + (high - low) * share)
-
-
-def sorted_quantiles(values: DataFrame, by: list[str], quantiles: dict[str, float],
-                     tie: str = "index") -> DataFrame:
-    """Quantiles from the place of every value in its sorted group (range-partitioned, ties
-    split); only the two rows around each quantile reach the aggregate."""
-    placed = positions(values, [F.col("value").asc(), named(tie).asc()], keep=["value"], by=by,
-                       label="quantiles", with_size=True)
-    at = {n: (F.col("size") - 1) * q for n, q in quantiles.items()}
-    wanted = F.lit(False)
-    for place in at.values():
-        wanted = (wanted | (F.col("position") == F.floor(place))
-                  | (F.col("position") == F.ceil(place)))
-    ends = []
-    for name, place in at.items():
-        ends += [F.max(F.when(F.col("position") == F.floor(place), F.col("value")))
-                 .alias(f"_lo_{name}"),
-                 F.max(F.when(F.col("position") == F.ceil(place), F.col("value")))
-                 .alias(f"_hi_{name}"),
-                 F.max(place - F.floor(place)).alias(f"_t_{name}")]
-    edges = placed.where(wanted).groupBy(*[named(b) for b in by]).agg(*ends)
-    return edges.select(*[named(b) for b in by], *[
-        interpolated(F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_t_{n}")).alias(n)
-        for n in quantiles])
+def interpolated(low: Column, high: Column, share: Column, rest: Column) -> Column:
+    """Point between two neighbours, with the arithmetic of the built-in aggregate."""
+    return F.when(low == high, low).otherwise(low * rest + high * share)
 
 
 def distributions(scores: DataFrame, metrics: Sequence[str] | None = None,

@@ -7,7 +7,7 @@ positions) is shared by `rank`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -209,43 +209,61 @@ def correlation_sum(scores, metrics, partition_by, inverted):
             [F.col("_key").asc_nulls_last()])
 
 
+def unit_rows_of(values: np.ndarray, inverted: Sequence[int]) -> np.ndarray:
+    """Numpy form of `unit_rows` for stacked batches (batch, row, metric); NaN rows stay NaN."""
+    have = ~np.isnan(values)
+    some = have.any(axis=1, keepdims=True)
+    low = np.where(some, np.where(have, values, np.inf).min(axis=1, keepdims=True), 0.0)
+    high = np.where(some, np.where(have, values, -np.inf).max(axis=1, keepdims=True), 0.0)
+    scaled = (values - low) / np.where(high - low < FLAT, 1.0, high - low)
+    for k in inverted:
+        scaled[..., k] = 1.0 - scaled[..., k]
+    centred = scaled - scaled.mean(axis=-1, keepdims=True)
+    norm = np.sqrt((centred ** 2).sum(axis=-1, keepdims=True))
+    return centred / np.where(norm < FLAT, 1.0, norm)
+
+
 def sequential_votes(x: np.ndarray) -> np.ndarray:
-    """Weights after every pair i<j has voted, in row order.
+    """Weights of every row after all pairs i<j of its batch have voted, in row order.
 
-    A pair pushes both weights by the magnitude of its correlation; the direction for each
-    depends on the weights' signs at that moment, hence the sequential loop over one batch.
+    A pair pushes both weights by its correlation; the directions depend on the weights at that
+    moment, so pairs go one after the other, but all stacked batches take each step together.
+    Opposite signs meet in the middle, agreement strengthens the shared sign, disagreement drives
+    the pair apart. Missing and padding rows correlate with nothing (0 changes no weight).
     """
-    weights = [0.0] * len(x)
-    for i in range(len(x) - 1):
+    batches, size, _ = x.shape
+    weights = np.zeros((size, batches))
+    for i in range(size - 1):
+        similar = np.nan_to_num(np.einsum("bk,bjk->jb", x[:, i], x), nan=0.0)
         own = weights[i]
-        similar = np.nan_to_num(x[i + 1:] @ x[i], nan=0.0).tolist()
-        for j, p in enumerate(similar, i + 1):
-            other = weights[j]
-            if (own >= 0) != (other >= 0):
-                up = -p if own >= 0 else p     # opposite signs meet in the middle
-                own, weights[j] = own + up, other - up
-            elif p >= 0:
-                up = p if own >= 0 else -p     # agreement strengthens the shared sign
-                own, weights[j] = own + up, other + up
-            else:
-                up = p if own < other else -p  # disagreement drives the pair apart
-                own, weights[j] = own + up, other - up
+        for j in range(i + 1, size):
+            p, other = similar[j], weights[j]
+            up, low = own >= 0, p < 0
+            opposite = up != (other >= 0)
+            reverse = np.where(opposite, up, np.where(low, own >= other, ~up))
+            step = np.where(reverse, -p, p)
+            weights[j] = other + np.where(opposite | low, -step, step)
+            own = own + step
         weights[i] = own
-    return np.array(weights)
+    return weights.T
 
 
-def unit_matrix(values: np.ndarray, inverted: Sequence[int]) -> np.ndarray:
-    """Numpy form of `unit_rows` for one batch."""
-    have = ~np.isnan(values)
-    low = np.where(have.any(0), np.where(have, values, np.inf).min(0), 0.0)
-    high = np.where(have.any(0), np.where(have, values, -np.inf).max(0), 0.0)
-    span = high - low
-    scaled = (values - low) / np.where(span < FLAT, 1.0, span)
-    for k in inverted:
-        scaled[:, k] = 1.0 - scaled[:, k]
-    centred = scaled - scaled.mean(axis=1, keepdims=True)
-    norm = np.sqrt((centred ** 2).sum(axis=1, keepdims=True))
-    return centred / np.where(norm < FLAT, 1.0, norm)
+VOTE_ROWS = 1 << 16  # rows voting together; bounds the memory of a stack
+
+
+def vote_frame(rows: pd.DataFrame, batch: str, index: str, metrics: Sequence[str],
+               flips: Sequence[int]) -> pd.DataFrame:
+    """Positions inside each batch of ``rows`` (complete batches, in row order)."""
+    number = (rows[batch] != rows[batch].shift()).cumsum().to_numpy() - 1
+    size = np.bincount(number)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    stack = np.full((len(size), size.max(), len(metrics)), np.nan)
+    stack[number, place] = rows[metrics].to_numpy(dtype=float)
+    weights = sequential_votes(unit_rows_of(stack, flips))
+    out = pd.DataFrame({batch: rows[batch].to_numpy(), index: rows[index].to_numpy(),
+                        "_b": number, "_w": weights[number, place]})
+    out = out.sort_values(["_b", "_w", index], kind="stable")
+    return out[[batch, index]].assign(position=place)
 
 
 @RANKS.register("pairwise-correlation", tags=["composite", "per-batch"])
@@ -253,16 +271,21 @@ def pairwise_correlation(scores, metrics, partition_by, index, row_order, invert
     """Sequential vote inside each batch; batches run in parallel and are bounded in size."""
     if len(metrics) < 2:
         raise ValueError("pairwise-correlation needs at least two metrics")
-    flips = [metrics.index(m) for m in inverted]
+    flips, stack_rows = [metrics.index(m) for m in inverted], VOTE_ROWS
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
 
-    def vote(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values([row_order, index], kind="stable")
-        x = unit_matrix(batch[metrics].to_numpy(dtype=float), flips)
-        batch = batch.assign(_weight=sequential_votes(x))
-        batch = batch.sort_values(["_weight", index], kind="stable")
-        return pd.DataFrame({partition_by: batch[partition_by], index: batch[index],
-                             "position": np.arange(len(batch), dtype="int64")})
-
-    return scores.groupBy(named(partition_by)).applyInPandas(
+    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            done = (held[partition_by] != held[partition_by].iloc[-1]).to_numpy()
+            if done.sum() >= stack_rows:  # the last batch may go on in the next frame
+                yield vote_frame(held[done], partition_by, index, metrics, flips)
+                held = held[~done]
+        if held is not None and len(held):
+            yield vote_frame(held, partition_by, index, metrics, flips)
+
+    placed = scores.repartition(named(partition_by)).sortWithinPartitions(
+        named(partition_by), named(row_order), named(index))
+    return placed.mapInPandas(
         vote, f"`{partition_by}` {kinds[partition_by]}, `{index}` {kinds[index]}, position long")

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from lehrplan.operators import curriculum as C
 from lehrplan.operators.normalize import standardize
-from lehrplan.operators.ranks import rank, rank_key, sequential_votes, unit_matrix
+from lehrplan.operators.ranks import rank, rank_key, sequential_votes, unit_rows_of
 from lehrplan.registry import METRICS, RANKS
 import lehrplan.operators.image_kernels  # noqa: F401  registers the image metrics
 from tests.conftest import ranking, table
@@ -140,8 +140,12 @@ def votes_by_rule(x):
 @given(st.lists(st.lists(st.one_of(st.floats(-5, 5), st.just(float("nan"))), min_size=3,
                          max_size=3), min_size=1, max_size=20))
 def test_votes(rows):
-    x = unit_matrix(np.array(rows, dtype=float), [1])
-    np.testing.assert_allclose(sequential_votes(x), votes_by_rule(x), atol=1e-9)
+    stack = np.full((2, len(rows) + 2, 3), np.nan)  # padded, next to another batch
+    stack[0, :len(rows)], stack[1] = rows, np.arange(3 * (len(rows) + 2)).reshape(-1, 3)
+    x = unit_rows_of(stack, [1])
+    got = sequential_votes(x)
+    np.testing.assert_allclose(got[0, :len(rows)], votes_by_rule(x[0, :len(rows)]), atol=1e-9)
+    np.testing.assert_allclose(got[1], votes_by_rule(x[1]), atol=1e-9)
 
 
 def test_pairwise_batches(spark, scores):
@@ -154,14 +158,27 @@ def test_pairwise_batches(spark, scores):
     frame = scores.toPandas().set_index("index")
     for b, g in cut.toPandas().groupby("batch_idx"):
         ids = drawn[b * 8:(b + 1) * 8]
-        w = votes_by_rule(unit_matrix(frame.loc[ids, FOUR].to_numpy(), []))
+        w = votes_by_rule(unit_rows_of(frame.loc[ids, FOUR].to_numpy()[None], [])[0])
         want = [i for _, i in sorted(zip(np.round(w, 9), ids))]
         assert g.sort_values("pos_in_batch")["index"].tolist() == want
 
 
+def test_votes_across_frames(spark, scores, monkeypatch):
+    """Small stacks and small Arrow frames give the same batches."""
+    from lehrplan.operators import ranks as R
+    whole = C.batch_wise(scores, "pairwise-correlation", FOUR, 7).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    monkeypatch.setattr(R, "VOTE_ROWS", 5)
+    try:
+        parts = C.batch_wise(scores, "pairwise-correlation", FOUR, 7).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    assert sorted(whole) == sorted(parts)
+
+
 def test_correlation_sum_equals_all_pairs(scores):
     frame = scores.toPandas().sort_values("index")
-    x = unit_matrix(frame[FOUR].to_numpy(), [])
+    x = unit_rows_of(frame[FOUR].to_numpy()[None], [])[0]
     pairs = x @ x.T
     want = pairs.sum(axis=1) - np.diag(pairs)
     got = rank_key(scores, "correlation-sum", FOUR).toPandas().sort_values("index")["key"]
