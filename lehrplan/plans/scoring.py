@@ -5,13 +5,15 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lehrplan.functions.columns import named
 from lehrplan.operators.image_kernels import image_metric_ids, score_images
 from lehrplan.registry import METRICS
 from lehrplan.sources.reports import sample_report
-from lehrplan.sources.scores import (init_scores, load_scores, pending, save_scores, upsert)
+from lehrplan.sources.scores import load_scores, pending, save_scores, upsert, with_metrics
+from lehrplan.sources.staging import stage
 
 log = logging.getLogger("lehrplan")
 
@@ -31,8 +33,10 @@ def score_missing(images: DataFrame, scores: DataFrame, metrics: Sequence[str] =
                   options: dict | None = None) -> DataFrame:
     """Updated score table: samples lacking a requested metric are scored and merged in."""
     metrics = requested_metrics(metrics)
-    fresh = score_images(pending(images, scores, metrics), metrics, options).drop("errors")
-    return upsert(scores, fresh)
+    # ids first: while few samples are left, the images are filtered without being moved
+    ids = stage(pending(images.select("index"), scores, metrics), "pending")
+    todo = images.join(ids, "index", "left_semi")
+    return upsert(scores, score_images(todo, metrics, options).drop("errors"))
 
 
 def score_dataset(spark: SparkSession, images: DataFrame, path: str, dataset: str,
@@ -41,11 +45,14 @@ def score_dataset(spark: SparkSession, images: DataFrame, path: str, dataset: st
     """Resume or start the stored score table of a corpus and return it."""
     try:
         scores = load_scores(spark, path, dataset, seed)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+        table = score_missing(images, scores, metrics, options)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        scores = init_scores(images, requested_metrics(metrics))
-    save_scores(score_missing(images, scores, metrics, options), path, dataset, seed)
+        # nothing scored yet: one map over the images
+        table = with_metrics(score_images(images, requested_metrics(metrics), options)
+                             .drop("errors"), requested_metrics(metrics))
+    save_scores(table, path, dataset, seed)
     return load_scores(spark, path, dataset, seed)
 
 

@@ -10,6 +10,7 @@ from lehrplan.functions.columns import let
 from lehrplan.functions.images import span
 from lehrplan.operators.ordering import positions
 from lehrplan.registry import DATASETS
+from lehrplan.sources.staging import stage
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -24,24 +25,43 @@ def planes(data: pd.Series, c: pd.Series, h: pd.Series, w: pd.Series) -> pd.Seri
     return pd.Series(out)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decode image files (PNG, JPEG, ...) with Spark's own reader: ``origin, c, h, w, data``."""
-    rows = spark.read.format("image").option("dropInvalid", "true").load(path)
+def plain_path(path: Column) -> Column:
+    """Readers spell the scheme of a path with one slash or three."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """Image files (PNG, JPEG, ...) decoded by Spark's own reader: ``origin, c, h, w, bytes``."""
     i = F.col("image")
-    return rows.select(i["origin"].alias("origin"), i["nChannels"].alias("c"),
-                       i["height"].alias("h"), i["width"].alias("w"),
-                       planes(i["data"], i["nChannels"], i["height"], i["width"]).alias("data"))
+    return spark.read.format("image").option("dropInvalid", "true").load(path).select(
+        plain_path(i["origin"]).alias("origin"), i["nChannels"].alias("c"),
+        i["height"].alias("h"), i["width"].alias("w"), i["data"].alias("bytes"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """``origin, c, h, w, data`` of image files."""
+    return decoded(spark, path).select(
+        "origin", "c", "h", "w", planes("bytes", "c", "h", "w").alias("data"))
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Folder tree ``root/<split>/<class>/<file>``; indices follow path order within a split."""
-    rows = read_images(spark, f"{root}/*/*/*")
-    part = lambda back: F.element_at(F.split("origin", "/"), -back)
-    rows = rows.withColumns({"split": part(3), "class": part(2)})
-    names = rows.select("origin", "split", "class", "c", "h", "w", "data")
-    return positions(names, [F.col("origin").asc()], by=["split"],
-                     keep=["class", "c", "h", "w", "data"], label="corpus").select(
-        F.col("position").alias("index"), "class", "split", "c", "h", "w", "data")
+    """Folder tree ``root/<split>/<class>/<file>``; indices follow path order within a split.
+
+    Only the paths are sorted. The pixels meet their index in one join, as bytes: without moving
+    while the list of paths is small, hashed by path beyond.
+    """
+    tree = f"{root}/*/*/*"
+    paths = spark.read.format("binaryFile").load(tree).select(
+        plain_path(F.col("path")).alias("path"))  # contents are not read
+    part = lambda back: F.element_at(F.split("path", "/"), -back)
+    places = positions(paths.withColumns({"split": part(3), "class": part(2)}),
+                       [F.col("path").asc()], by=["split"], keep=["path", "class"],
+                       label="corpus")
+    ids = stage(places, "corpus-index")
+    images = decoded(spark, tree)
+    return images.join(ids, images["origin"] == ids["path"]).select(
+        F.col("position").alias("index"), "class", "split", "c", "h", "w",
+        planes("bytes", "c", "h", "w").alias("data"))
 
 
 # Published per-channel means and deviations, input sizes and class counts of the corpora.
@@ -79,13 +99,11 @@ def corpus_facts(images: DataFrame) -> DataFrame:
 
 def stored_compression(spark: SparkSession, path: str) -> DataFrame:
     """Raw size over file size for images already stored compressed; no codec involved."""
-    shapes = spark.read.format("image").load(path).select(
-        F.col("image.origin").alias("origin"),
-        (F.col("image.height") * F.col("image.width") * F.col("image.nChannels"))
-        .cast("double").alias("_raw"))
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return shapes.join(files, plain(F.col("origin")) == plain(F.col("path"))).select(
+    shapes = decoded(spark, path).select(
+        "origin", (F.col("h") * F.col("w") * F.col("c")).cast("double").alias("_raw"))
+    files = spark.read.format("binaryFile").load(path).select(
+        plain_path(F.col("path")).alias("origin"), "length")
+    return shapes.join(files, "origin").select(
         "origin", (F.col("_raw") / F.col("length")).alias("compression-ratio"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lehrplan.functions.columns import named, present
@@ -41,8 +42,8 @@ def cached_rank(spark: SparkSession, path: str, scores: DataFrame, scheme: str,
     target = f"{path}/rank_key={key}"
     try:
         return spark.read.parquet(target)
-    except Exception as missing:  # Spark's AnalysisException: the folder does not exist
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
     rank(scores, scheme, metrics, **options).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lehrplan.functions.columns import named
@@ -20,8 +21,8 @@ def append_runs(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Append run records that are not in the table yet (the first call creates it)."""
     try:
         known = spark.read.parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         known = rows.limit(0)
     append_rows(rows, known).write.mode("append").parquet(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,8 +23,8 @@ def read_log(spark: SparkSession, path: str, metrics: Sequence[str],
     fields = schema(metrics).add("part", "long")
     try:
         log = spark.read.schema(fields).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         log = spark.createDataFrame([], fields)
     return (log if before is None else log.where(F.col("part") < before)).drop("part")
@@ -37,8 +38,9 @@ def score_stream(images: DataFrame, path: str, checkpoint: str,
 
     def step(batch: DataFrame, batch_id: int) -> None:
         earlier = read_log(batch.sparkSession, path, metrics, before=batch_id)
-        new = pending(batch.dropDuplicates(["index"]), earlier, metrics)
-        (score_images(new, metrics, options).drop("errors")
+        # the join and the deduplication move scores, not pixels
+        scored = score_images(batch, metrics, options).drop("errors")
+        (pending(scored.dropDuplicates(["index"]), earlier, metrics)
          .write.mode("overwrite").parquet(f"{path}/part={batch_id}"))
 
     return (images.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
