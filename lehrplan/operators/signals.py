@@ -7,12 +7,14 @@ Series are bounded by the number of epochs of a run, so windows per run or per
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lehrplan.functions.columns import named, ratio
 
 TINY = 1e-8
+BATCH_SIGNALS = ("mean_std", "mean_grad_norm")
 
 
 def logistic(x: Column) -> Column:
@@ -80,49 +82,67 @@ def plateaus(series: DataFrame, value: str, window: int = 5,
         .otherwise(F.greatest(F.lit(0.0), 1.0 - share)).alias("stability"))
 
 
-def stability_steps(series: DataFrame, value: str, window: int = 5) -> DataFrame:
-    """Per (run, epoch): change of the summed stability and number of batches first seen.
+def stability_steps(series: DataFrame, values: Sequence[str] = BATCH_SIGNALS,
+                    window: int = 5) -> DataFrame:
+    """Per (run, epoch) and signal: ``<signal>_step``, the change of the summed stability, and
+    ``<signal>_joined``, the number of batches first seen.
 
     A batch keeps its last score while it is silent, so the sum over all batches only moves by
     the score changes of the batches that reported; nothing has to be carried forward row by
-    row, and the shuffle holds one partially aggregated row per (run, epoch).
+    row. All signals go through one scan and one shuffle by (run, batch, signal).
     """
-    order = Window.partitionBy("run", "batch_idx").orderBy("epoch")
-    scored = plateaus(series, value, window)
-    steps = scored.select("run", "epoch", (F.col("seen") == 1).cast("long").alias("_new"),
-                          (F.col("stability")
-                           - F.coalesce(F.lag("stability").over(order), F.lit(0.0)))
-                          .alias("_step"))
-    return steps.groupBy("run", "epoch").agg(F.sum("_step").alias("step"),
-                                             F.sum("_new").alias("joined"))
+    keys = ["run", "batch_idx", "signal"]
+    pairs = F.array(*[F.struct(F.lit(v).alias("signal"), named(v).cast("double").alias("value"))
+                      for v in values])
+    long = series.select("run", "epoch", "batch_idx", F.inline(pairs))
+    order = Window.partitionBy(*keys).orderBy("epoch")
+    before = F.coalesce(F.lag("stability").over(order), F.lit(0.0))
+    steps = plateaus(long, "value", window, keys).select(
+        "run", "epoch", "signal", (F.col("stability") - before).alias("_step"),
+        (F.col("seen") == 1).cast("long").alias("_new"))
+    return steps.groupBy("run", "epoch").agg(*[
+        F.sum(F.when(F.col("signal") == v, F.col(c))).alias(f"{v}_{n}")
+        for v in values for c, n in (("_step", "step"), ("_new", "joined"))])
 
 
-def batch_stability(series: DataFrame, value: str, window: int = 5) -> DataFrame:
-    """Mean stability over every batch with history, after each epoch with signals."""
+def mean_stability(value: str) -> Column:
+    """Mean over the batches with history, from the steps so far."""
     so_far = (Window.partitionBy("run").orderBy("epoch")
               .rowsBetween(Window.unboundedPreceding, 0))
-    return stability_steps(series, value, window).select(
-        "run", "epoch", ratio(F.sum("step").over(so_far),
-                              F.sum("joined").over(so_far).cast("double")).alias("signal"))
+    return ratio(F.sum(f"{value}_step").over(so_far),
+                 F.sum(f"{value}_joined").over(so_far).cast("double"))
+
+
+def batch_stability(series: DataFrame, value: str, window: int = 5) -> DataFrame:
+    """Mean stability over every batch with history, after each epoch with signals."""
+    return stability_steps(series, [value], window).select(
+        "run", "epoch", mean_stability(value).alias("signal"))
 
 
 def readiness(epochs: DataFrame, signals: DataFrame, window: int = 5) -> DataFrame:
-    """Mean of the four signals after each epoch; a signal keeps its last value while nothing
-    new arrives and counts 0.0 before it exists."""
-    parts = {"r_loss": loss_plateau(epochs, window),
-             "r_val": validation_trend(epochs, window),
-             "r_act": batch_stability(signals, "mean_std", window),
-             "r_grad": batch_stability(signals, "mean_grad_norm", window)}
-    table = epochs.select("run", "epoch", F.lit(True).alias("_stepped"))
-    for name, part in parts.items():
-        table = table.join(part.withColumnRenamed("signal", name), ["run", "epoch"],
-                           "full_outer")
+    """Mean of the four signals after each epoch of ``epochs(run, epoch, loss, val_acc)``."""
+    return readiness_of(epochs, stability_steps(signals, window=window), window)
+
+
+def readiness_of(epochs: DataFrame, steps: DataFrame, window: int = 5) -> DataFrame:
+    """Readiness from summed stability steps. A signal keeps its last value while nothing new
+    arrives and counts 0.0 before it exists."""
+    parts = [epochs.select("run", "epoch", F.lit(True).alias("stepped")),
+             loss_plateau(epochs, window).withColumnRenamed("signal", "r_loss"),
+             validation_trend(epochs, window).withColumnRenamed("signal", "r_val"),
+             steps.select("run", "epoch", *[f"{v}_{n}" for v in BATCH_SIGNALS
+                                            for n in ("step", "joined")])]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    table = rows.groupBy("run", "epoch").agg(*[
+        F.max(c).alias(c) for c in rows.columns if c not in ("run", "epoch")])
     so_far = (Window.partitionBy("run").orderBy("epoch")
               .rowsBetween(Window.unboundedPreceding, 0))
-    table = table.withColumns({
-        n: F.coalesce(F.last(n, ignorenulls=True).over(so_far), F.lit(0.0)) for n in parts})
-    return table.where("_stepped").select(
-        "run", "epoch", *parts,
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    act, grad = (mean_stability(v) for v in BATCH_SIGNALS)
+    found = {"r_loss": last("r_loss"), "r_val": last("r_val"), "r_act": act, "r_grad": grad}
+    table = table.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in found.items()})
+    return table.where("stepped").select(
+        "run", "epoch", *found,
         ((F.col("r_loss") + F.col("r_val") + F.col("r_act") + F.col("r_grad")) / 4.0)
         .alias("readiness"))
 

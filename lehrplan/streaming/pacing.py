@@ -15,14 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from lehrplan.functions.columns import ratio
 from lehrplan.operators.schedules import pace
-from lehrplan.operators.signals import TINY, loss_plateau, validation_trend
+from lehrplan.operators.signals import BATCH_SIGNALS as SIGNALS, TINY, readiness_of
 
-SIGNALS = ("mean_std", "mean_grad_norm")
 TELEMETRY = ("run string, epoch int, batch_idx int, mean_std double, mean_grad_norm double, "
              "loss double, val_acc double")
 STEPS = T.StructType([
@@ -113,26 +111,13 @@ def read_parts(spark, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def readiness_of(steps: DataFrame, window: int) -> DataFrame:
-    """``run, epoch, readiness`` of closed epochs from summed steps."""
+def stream_readiness(steps: DataFrame, window: int) -> DataFrame:
+    """Readiness of the closed epochs from all parts of the steps table."""
     totals = steps.groupBy("run", "epoch").agg(
         *[F.sum(f"{s}_{k}").alias(f"{s}_{k}") for s in SIGNALS for k in ("step", "joined")],
         F.max("loss").alias("loss"), F.max("val_acc").alias("val_acc"),
         F.max("closes").alias("closes"))
-    so_far = (Window.partitionBy("run").orderBy("epoch")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    table = totals.withColumns({f"r_{s}": F.coalesce(ratio(
-        F.sum(f"{s}_step").over(so_far), F.sum(f"{s}_joined").over(so_far)), F.lit(0.0))
-        for s in SIGNALS})
-    closed = totals.where("closes")
-    for name, part in (("r_loss", loss_plateau(closed, window)),
-                       ("r_val", validation_trend(closed, window))):
-        table = table.join(part.withColumnRenamed("signal", name), ["run", "epoch"], "left")
-        table = table.withColumn(name, F.coalesce(
-            F.last(name, ignorenulls=True).over(so_far), F.lit(0.0)))
-    return table.where("closes").select(
-        "run", "epoch", ((F.col("r_loss") + F.col("r_val") + F.col("r_mean_std")
-                          + F.col("r_mean_grad_norm")) / 4.0).alias("readiness"))
+    return readiness_of(totals.where("closes"), totals, window)
 
 
 def pacing_stream(telemetry: DataFrame, runs: DataFrame, total_epochs: int, path: str,
@@ -163,7 +148,7 @@ def pacing_stream(telemetry: DataFrame, runs: DataFrame, total_epochs: int, path
             "epoch", F.greatest("epoch", F.coalesce(F.col("_closed") + 1, F.col("epoch"))))
         placed.drop("_closed").write.mode("overwrite").parquet(f"{path}/steps/part={batch_id}")
         part = spark.read.schema(STEPS).parquet(f"{path}/steps/part={batch_id}")
-        ready = readiness_of(known.unionByName(part), window)
+        ready = stream_readiness(known.unionByName(part), window)
         counts = pace(runs, ready, total_epochs, start_fraction)
         (counts.join(part.where("closes").select("run", "epoch"), ["run", "epoch"], "left_semi")
          .write.mode("overwrite").parquet(f"{path}/orders/part={batch_id}"))
