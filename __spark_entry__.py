@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lehrplan.functions import images as IX                                    # noqa: E402
-from lehrplan.functions.columns import named                                   # noqa: E402
+from lehrplan.functions.columns import Groups, named                           # noqa: E402
 from lehrplan.operators import (curriculum as C, distributions as D, history as H,  # noqa: E402
                                 image_kernels as K, image_metrics as M, normalize as N,
                                 ranks as R, runs as RUN, schedules as S, signals as G,
@@ -23,7 +23,7 @@ from lehrplan.operators import (curriculum as C, distributions as D, history as
 from lehrplan.operators.ordering import positions, shuffled                    # noqa: E402
 from lehrplan.plans import scoring, tables as T, training                      # noqa: E402
 from lehrplan.plans.oracle import ORACLE                                       # noqa: E402
-from lehrplan.registry import tagged                                           # noqa: E402
+from lehrplan.registry import tagged, unknown                                  # noqa: E402
 from lehrplan.sources import images as SI, ranks as SR, reports, scores as SC  # noqa: E402
 from lehrplan.sources.staging import stage, staging_path                       # noqa: E402
 from lehrplan.streaming import distributions as SD, pacing as SP, scoring as SS  # noqa: E402
@@ -82,6 +82,13 @@ def rank_distance_from_mean(spark, d):
     return R.rank(T.scores_orders(spark, d), "distance-from-mean", "total_price")
 
 
+@query
+def rank_by_class(spark, d):
+    """Distance from the mean of the sample's class, ranked inside the class."""
+    return R.rank(T.scores_orders(spark, d), "distance-from-mean", "total_price",
+                  partition_by="class")
+
+
 @query
 def rank_lexicographic(spark, d):
     return R.rank(T.scores_orders(spark, d), "lexicographic",
@@ -325,6 +332,29 @@ def registry_filter(spark, d):
     return tagged(parts, ["ring", "ECONOMY"]).select("id")
 
 
+@query
+def metrics_unknown(spark, d):
+    """Words of part names asked for as ids; the part types and brands are what is registered."""
+    parts = T.load(spark, d, "part")
+    asked = parts.select(F.explode(F.concat(F.split("p_name", " "), F.array("p_brand")))
+                         .alias("id"))
+    return unknown(asked, parts.select(F.col("p_brand").alias("id")).distinct())
+
+
+@query
+def curriculum_described(spark, d):
+    cut = C.curriculum(T.scores_part(spark, d), "descending", "p_size", 64)
+    return C.describe(cut, "descending", "p_size", "holistic")
+
+
+@query
+def img_prepare(spark, d):
+    """Crop, mirror and normalise 3x4x4 images the way CIFAR-10 training images are."""
+    ready = M.pixels(SI.prepare(T.rgb_images(spark, d), "cifar-10", seed=9))
+    return rounded(ready.groupBy("index", "ch", "y").agg(
+        F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("weighted")))
+
+
 @query
 def score_report(spark, d):
     """JSON of each sample's metrics."""
@@ -797,7 +827,7 @@ def pair_correlation_sums(spark, d):
     scores = T.scores_orders(spark, d).select("index", "class", *METRICS)
     chunks = shuffled(scores, seed=1, keep=METRICS).withColumn(
         "batch_idx", F.expr("cast(position div 128 as int)"))
-    keyed, _ = R.correlation_sum(chunks, METRICS, "batch_idx", [])
+    keyed, _ = R.correlation_sum(chunks, METRICS, Groups("batch_idx", bounded=True), [])
     return rounded(keyed.select("batch_idx", "index", F.col("_key").alias("vote")), 5)
 
 

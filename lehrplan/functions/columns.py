@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lehrplan.sources.staging import stage
+
 
 def named(name: str) -> Column:
     """Column by exact name (metric ids contain hyphens)."""
@@ -50,21 +53,33 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@dataclass(frozen=True)
+class Groups:
+    """Grouping column of a per-group operation. ``bounded`` groups (batches) fit in a task."""
+    column: str
+    bounded: bool = False
+
+
 def with_statistics(df: DataFrame, statistics: dict[str, Column],
-                    partition_by: str | None = None) -> DataFrame:
-    """Add aggregate columns of the whole table, or of each ``partition_by`` group.
+                    groups: Groups | None = None) -> DataFrame:
+    """Add aggregate columns of the whole table, or of each group.
 
     The whole-table form is one scalar subquery returning a single struct, so it costs one
-    aggregation pass and moves one row; the grouped form is a window over the group, meant
-    for groups of bounded size (a batch).
+    aggregation pass and moves one row. Bounded groups use a window. Groups of any size are
+    aggregated, staged (so the planner knows the size) and joined back.
     """
-    if partition_by is not None:
-        group = Window.partitionBy(named(partition_by))
-        return df.withColumns({k: a.over(group) for k, a in statistics.items()})
-    row = df.agg(F.struct(*[a.alias(k) for k, a in statistics.items()]).alias("s")).scalar()
-    return (df.withColumn("_statistics", row)
-              .withColumns({k: F.col("_statistics").getField(k) for k in statistics})
-              .drop("_statistics"))
+    if groups is None:
+        row = df.agg(F.struct(*[a.alias(k) for k, a in statistics.items()]).alias("s")).scalar()
+        return (df.withColumn("_statistics", row)
+                  .withColumns({k: F.col("_statistics").getField(k) for k in statistics})
+                  .drop("_statistics"))
+    key = named(groups.column)
+    if groups.bounded:
+        window = Window.partitionBy(key)
+        return df.withColumns({k: a.over(window) for k, a in statistics.items()})
+    table = stage(df.groupBy(key.alias("_group")).agg(
+        *[a.alias(k) for k, a in statistics.items()]), "group-statistics")
+    return df.join(table, key.eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def metric_columns(df: DataFrame, meta: Iterable[str] = ("index", "class")) -> list[str]:

@@ -35,7 +35,7 @@ def batch_wise(scores: DataFrame, scheme: str, metrics, batch_size: int, seed: i
                        keep=[index, *carried], label="chunks")
     chunks = chunks.withColumn("batch_idx", F.expr(f"cast(position div {batch_size} as int)"))
     chunks = chunks.withColumnRenamed("position", "_drawn")
-    ranked = rank(chunks, scheme, metrics, partition_by="batch_idx", index=index,
+    ranked = rank(chunks, scheme, metrics, partition_by="batch_idx", bounded=True, index=index,
                   row_order="_drawn", **options)
     return ranked.select("batch_idx", F.col("position").cast("int").alias("pos_in_batch"),
                          named(index))

@@ -1,6 +1,6 @@
 """Ranks: from a score table to ``(index, position)``.
 
-A scheme is a function ``(scores, metrics, partition_by) -> (scores with key columns, sort
+A scheme is a function ``(scores, metrics, groups, inverted) -> (scores with key columns, sort
 columns)``. Everything else (missing values last, ties by index, global or per-batch
 positions) is shared by `rank`.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lehrplan.functions.columns import (correlation, correlation_parts, named,
+from lehrplan.functions.columns import (Groups, correlation, correlation_parts, named,
                                         numeric_columns, present, ratio, with_statistics)
 from lehrplan.operators.ordering import positions
 from lehrplan.registry import METRICS, RANKS
@@ -23,13 +23,14 @@ FLAT = 1e-10  # a column whose range is below this counts as constant
 
 
 def rank(scores: DataFrame, scheme: str, metrics: str | Sequence[str], *,
-         partition_by: str | None = None, index: str = "index",
+         partition_by: str | None = None, bounded: bool = False, index: str = "index",
          inverted: Sequence[str] | None = None, digits: int | None = None,
          row_order: str | None = None) -> DataFrame:
     """Order samples by a registered scheme.
 
     Returns ``[partition_by,] index, position``. With ``partition_by`` every group is ranked
-    on its own statistics; groups must be bounded (a batch). ``inverted`` names metrics where
+    on its own statistics; say ``bounded`` if each group fits in a task (a batch), which saves
+    the sort of the whole table. ``inverted`` names metrics where
     high means easy and defaults to the registry's tag. ``digits`` rounds composite keys, for
     comparisons between engines that add floats in different orders.
     """
@@ -53,19 +54,20 @@ def rank(scores: DataFrame, scheme: str, metrics: str | Sequence[str], *,
     base = scores.select(*[named(g) for g in group], named(index), *[named(e) for e in extra],
                          *[present(named(c)).alias(c) for c in columns])
     if "per-batch" in entry.tags:
-        if partition_by is None:
-            raise ValueError(f"{scheme} votes row by row and is defined per batch: "
-                             "give partition_by, or use 'correlation-sum'")
+        if not (partition_by and bounded):
+            raise ValueError(f"{scheme} votes row by row and is defined per batch: give "
+                             "bounded groups, or use 'correlation-sum'")
         return entry.build(base, metrics, partition_by, index, row_order or index,
                            [m for m in metrics if m in inverted])
 
     keyed, order = entry.build(base, columns if "all-columns" in entry.tags else metrics,
-                               partition_by, [m for m in metrics if m in inverted])
+                               Groups(partition_by, bounded) if partition_by else None,
+                               [m for m in metrics if m in inverted])
     if digits is not None and "composite-key" in entry.tags:
         keyed = keyed.withColumn("_key", F.round("_key", digits))
     order = [*order, named(index).asc()]
-    if partition_by is None:
-        return positions(keyed, order, keep=[index], label=f"rank-{scheme}")
+    if not (partition_by and bounded):
+        return positions(keyed, order, keep=[index], by=group, label=f"rank-{scheme}")
     window = Window.partitionBy(named(partition_by)).orderBy(*order)
     return keyed.select(named(partition_by), named(index),
                         (F.row_number().over(window) - 1).cast("long").alias("position"))
@@ -85,20 +87,20 @@ def rank_key(scores: DataFrame, scheme: str, metrics: Sequence[str], *,
 # Monotonic and deviation schemes ----------------------------------------------------------
 
 @RANKS.register("ascending", tags=["monotonic", "single"])
-def ascending(scores, metrics, partition_by, inverted):
+def ascending(scores, metrics, groups, inverted):
     return scores, [named(metrics[0]).asc_nulls_last()]
 
 
 @RANKS.register("descending", tags=["monotonic", "single"])
-def descending(scores, metrics, partition_by, inverted):
+def descending(scores, metrics, groups, inverted):
     return scores, [named(metrics[0]).desc_nulls_last()]
 
 
 @RANKS.register("distance-from-mean",
                 tags=["deviation", "distance-based", "single", "composite-key"])
-def distance_from_mean(scores, metrics, partition_by, inverted):
+def distance_from_mean(scores, metrics, groups, inverted):
     x = named(metrics[0])
-    keyed = with_statistics(scores, {"_mean": F.avg(x)}, partition_by)
+    keyed = with_statistics(scores, {"_mean": F.avg(x)}, groups)
     return (keyed.withColumn("_key", F.abs(x - F.col("_mean"))),
             [F.col("_key").asc_nulls_last()])
 
@@ -106,7 +108,7 @@ def distance_from_mean(scores, metrics, partition_by, inverted):
 # Composite schemes ------------------------------------------------------------------------
 
 @RANKS.register("lexicographic", tags=["composite"])
-def lexicographic(scores, metrics, partition_by, inverted):
+def lexicographic(scores, metrics, groups, inverted):
     return scores, [named(m).asc_nulls_last() for m in metrics]
 
 
@@ -123,8 +125,8 @@ def extremes(metrics: Sequence[str]) -> dict[str, Column]:
 
 
 @RANKS.register("normalized-mean", tags=["composite", "composite-key"])
-def normalized_mean(scores, metrics, partition_by, inverted):
-    keyed = with_statistics(scores, extremes(metrics), partition_by)
+def normalized_mean(scores, metrics, groups, inverted):
+    keyed = with_statistics(scores, extremes(metrics), groups)
     scaled = []
     for i, m in enumerate(metrics):
         span = F.col(f"_hi{i}") - F.col(f"_lo{i}")
@@ -144,14 +146,14 @@ def zscore_statistics(columns: Sequence[str]) -> dict[str, Column]:
 
 
 @RANKS.register("weighted", tags=["composite", "composite-key", "single", "all-columns"])
-def weighted(scores, columns, partition_by, inverted):
+def weighted(scores, columns, groups, inverted):
     """Anchor z-score plus the other z-scores weighted by |correlation with the anchor|."""
     anchor, others = columns[0], range(1, len(columns))
     stats = zscore_statistics(columns)
     for i in others:
         parts = correlation_parts(named(columns[i]), named(anchor))
         stats |= {f"_{p}{i}": a for p, a in zip(("cov", "sx", "sy"), parts)}
-    keyed = with_statistics(scores, stats, partition_by)
+    keyed = with_statistics(scores, stats, groups)
     keyed = keyed.withColumns({f"_r{i}": correlation(*[F.col(f"_{p}{i}") for p in
                                                        ("cov", "sx", "sy")]) for i in others})
     z = [ratio(named(c) - F.col(f"_avg{i}"), F.col(f"_std{i}")) for i, c in enumerate(columns)]
@@ -167,7 +169,7 @@ def weighted(scores, columns, partition_by, inverted):
 
 # Correlation votes ------------------------------------------------------------------------
 
-def unit_rows(scores: DataFrame, metrics: Sequence[str], partition_by: str | None,
+def unit_rows(scores: DataFrame, metrics: Sequence[str], groups: Groups | None,
               inverted: Sequence[str]) -> DataFrame:
     """Add ``_x`` = the min-max scaled metric vector of a row, centred and L2-normalised.
 
@@ -175,7 +177,7 @@ def unit_rows(scores: DataFrame, metrics: Sequence[str], partition_by: str | Non
     """
     if len(metrics) < 2:
         raise ValueError("correlating rows needs at least two metrics")
-    keyed = with_statistics(scores, extremes(metrics), partition_by)
+    keyed = with_statistics(scores, extremes(metrics), groups)
     scaled = []
     for i, m in enumerate(metrics):
         span = F.col(f"_hi{i}") - F.col(f"_lo{i}")
@@ -194,15 +196,15 @@ def unit_rows(scores: DataFrame, metrics: Sequence[str], partition_by: str | Non
 
 
 @RANKS.register("correlation-sum", tags=["composite", "composite-key"])
-def correlation_sum(scores, metrics, partition_by, inverted):
+def correlation_sum(scores, metrics, groups, inverted):
     """Order-free vote: the sum of a row's correlations with every other row.
 
     ``sum_j x_i.x_j = x_i.(sum_j x_j) - x_i.x_i``, so one aggregate of K numbers replaces all
     pairs. Equals the sequential vote while weights and correlations stay non-negative.
     """
-    keyed = unit_rows(scores, metrics, partition_by, inverted)
+    keyed = unit_rows(scores, metrics, groups, inverted)
     xs = [F.col(f"_x{i}") for i in range(len(metrics))]
-    keyed = with_statistics(keyed, {f"_t{i}": F.sum(x) for i, x in enumerate(xs)}, partition_by)
+    keyed = with_statistics(keyed, {f"_t{i}": F.sum(x) for i, x in enumerate(xs)}, groups)
     add = lambda parts: reduce(lambda a, b: a + b, parts)
     vote = add([x * F.col(f"_t{i}") for i, x in enumerate(xs)]) - add([x * x for x in xs])
     return (keyed.withColumn("_key", F.coalesce(vote, F.lit(0.0))),

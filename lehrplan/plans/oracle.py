@@ -347,6 +347,10 @@ ORACLE: dict[str, str] = {
     "rank_ascending_ties": "SELECT p_partkey AS index, row_number() OVER (ORDER BY p_size, "
                            "p_partkey) - 1 AS position FROM part",
     "rank_distance_from_mean": rank("abs(total_price - (SELECT avg(total_price) FROM so))"),
+    "rank_by_class": f"""WITH {SO}, k AS (SELECT index, class, abs(total_price - avg(total_price)
+        OVER (PARTITION BY class)) AS k FROM so)
+      SELECT class, index, row_number() OVER (PARTITION BY class ORDER BY k, index) - 1 AS position
+      FROM k""",
     "rank_lexicographic": rank("line_count NULLS LAST, avg_discount NULLS LAST, total_price"),
     "rank_normalized_mean": rank(
         f"{row_mean(METRICS)} NULLS LAST", "mm",
@@ -448,6 +452,24 @@ ORACLE: dict[str, str] = {
                   "n_nationkey = label",
     "registry_filter": "SELECT p_partkey AS id FROM part WHERE list_contains(string_split(p_name, "
                        "' '), 'ring') AND p_type = 'ECONOMY'",
+    "metrics_unknown": """SELECT DISTINCT w AS id FROM (SELECT unnest(string_split(p_name, ' ')) AS w
+      FROM part UNION ALL SELECT p_brand FROM part) WHERE w NOT IN (SELECT p_brand FROM part)""",
+    "curriculum_described": f"WITH {PART64.format(key='p_size DESC')} SELECT {BATCH.format(n=64)}, "
+                            "index, 'descending' AS rank, 'p_size' AS metric, 'holistic' AS scope "
+                            "FROM pb",
+    # a 4x4 image padded by 4 is smaller than the 32x32 window, so every offset is 0
+    "img_prepare": f"""WITH {RGB}, d AS (SELECT vec_id AS index,
+        CAST(('0x' || substr(md5('9:flip:' || vec_id), 1, 8)) AS BIGINT) % 2 AS flip
+        FROM embeddings),
+      o AS (SELECT index, CAST(c AS INTEGER) AS ch, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x,
+        y - 4 AS sy, CASE WHEN flip = 1 THEN 31 - x ELSE x END - 4 AS sx
+        FROM d, range(3) r(c), range(32) s(y), range(32) t(x))
+      SELECT o.index, o.ch, o.y, round(sum(z), 6) + 0.0::DOUBLE AS total,
+        round(sum(z * o.x), 6) + 0.0::DOUBLE AS weighted FROM (SELECT o.*, (coalesce(CAST(i.v AS
+        DOUBLE), 0) - [0.4914, 0.4822, 0.4465][o.ch + 1]::DOUBLE)
+        / [0.2023, 0.1994, 0.2010][o.ch + 1]::DOUBLE AS z
+      FROM o LEFT JOIN rgb i ON i.index = o.index AND i.ch = o.ch AND i.y = sy AND i.x = sx) o
+      GROUP BY o.index, o.ch, o.y""",
     "score_report": """SELECT p_partkey AS index, '{"p_size":"' || p_size || '"}' AS report
       FROM part""",
     # images

@@ -82,6 +82,12 @@ def tagged(entries: DataFrame, tags: Iterable[str], column: str = "tags") -> Dat
     return entries.where(F.forall(wanted, lambda t: F.array_contains(F.col(column), t)))
 
 
+def unknown(requested: DataFrame, registered: DataFrame, column: str = "id") -> DataFrame:
+    """Requested ids without an entry, once each."""
+    return requested.select(column).distinct().join(
+        registered.select(column), column, "left_anti")
+
+
 METRICS = Registry("metrics")
 RANKS = Registry("ranks")
 SCHEDULES = Registry("schedules")

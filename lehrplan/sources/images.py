@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lehrplan.functions.columns import let
 from lehrplan.functions.images import span
+from lehrplan.operators.image_metrics import augment, normalize
 from lehrplan.operators.ordering import positions
 from lehrplan.registry import DATASETS
 from lehrplan.sources.staging import stage
@@ -64,26 +65,35 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
         planes("bytes", "c", "h", "w").alias("data"))
 
 
-# Published per-channel means and deviations, input sizes and class counts of the corpora.
-# Fixed values.
+# Image size and classes of the corpora; crop, padding, mirroring and channel statistics that
+# training images get. Fixed values.
 CORPORA = {
-    "mnist": {"tags": ["grayscale"], "channels": 1, "size": 28, "classes": 10,
-              "mean": (0.1307,), "std": (0.3081,), "padding": 4, "flip": False},
-    "cifar-10": {"tags": ["rgb"], "channels": 3, "size": 32, "classes": 10,
-                 "mean": (0.4914, 0.4822, 0.4465), "std": (0.2023, 0.1994, 0.2010),
-                 "padding": 4, "flip": True},
-    "cifar-100": {"tags": ["rgb"], "channels": 3, "size": 32, "classes": 100,
-                  "mean": (0.5071, 0.4865, 0.4409), "std": (0.2673, 0.2564, 0.2761),
-                  "padding": 4, "flip": True},
-    "imagenet": {"tags": ["rgb"], "channels": 3, "size": 224, "classes": 1000,
-                 "mean": (0.485, 0.456, 0.406), "std": (0.229, 0.224, 0.225),
-                 "padding": 4, "flip": True},
+    "mnist": {"tags": ["grayscale"], "channels": 1, "size": 28, "classes": 10, "crop": 32,
+              "padding": 4, "flip": False, "mean": (0.5,), "std": (0.5,)},
+    "cifar-10": {"tags": ["rgb"], "channels": 3, "size": 32, "classes": 10, "crop": 32,
+                 "padding": 4, "flip": True, "mean": (0.4914, 0.4822, 0.4465),
+                 "std": (0.2023, 0.1994, 0.2010)},
+    "cifar-100": {"tags": ["rgb"], "channels": 3, "size": 32, "classes": 100, "crop": 32,
+                  "padding": 4, "flip": True, "mean": (0.5071, 0.4865, 0.4409),
+                  "std": (0.2673, 0.2564, 0.2761)},
+    "imagenet": {"tags": ["rgb", "large-scale"], "channels": 3, "size": 256, "classes": 1000,
+                 "crop": 224, "padding": 4, "flip": True, "mean": (0.485, 0.456, 0.406),
+                 "std": (0.229, 0.224, 0.225)},
 }
 for _id, _facts in CORPORA.items():
     DATASETS.register(_id, tags=_facts["tags"],
                       **{k: v for k, v in _facts.items() if k != "tags"})(read_corpus)
 
 
+def prepare(images: DataFrame, corpus: str, train: bool = True, seed: int = 1) -> DataFrame:
+    """Images as a network is fed them: training images cropped and mirrored at random, then all
+    normalised per channel. Metrics read the images before this step."""
+    facts = DATASETS.get(corpus).config
+    if train:
+        images = augment(images, facts["crop"], facts["padding"], facts["flip"], seed)
+    return normalize(images, facts["mean"], facts["std"])
+
+
 def load_corpus(spark: SparkSession, id: str, root: str) -> DataFrame:
     return DATASETS.get(id).build(spark, root)
 

@@ -241,6 +241,20 @@ def test_sobel_relation_equals_kernel(spark):
         assert (r["gx"], r["gy"]) == (gx[0, r["y"], r["x"]], gy[0, r["y"], r["x"]])
 
 
+def test_prepare(spark):
+    data = np.random.default_rng(1).random((1, 28, 28))
+    row = SI.prepare(frame(spark, [data]), "mnist", seed=3).first()
+    assert (row["h"], row["w"], len(row["data"])) == (32, 32, 1024)
+    padded = np.full((36, 36), -1.0)
+    padded[4:32, 4:32] = (data[0].astype(np.float32) - 0.5) / 0.5
+    got = np.array(row["data"]).reshape(32, 32)
+    assert any(np.allclose(got, padded[y:y + 32, x:x + 32], atol=1e-6)
+               for y in range(5) for x in range(5))
+    plain = SI.prepare(frame(spark, [data]), "mnist", train=False).first()
+    np.testing.assert_allclose(plain["data"], ((data.astype(np.float32) - .5) / .5).ravel(),
+                               atol=1e-6)
+
+
 def test_augment_is_reproducible(spark):
     images = frame(spark, [np.random.default_rng(i).random((1, 6, 6)) for i in range(8)])
     first = {r["index"]: r["data"] for r in M.augment(images, 6, 2, seed=1).collect()}
@@ -287,6 +301,7 @@ def test_image_folders(spark, tmp_path):
 def test_registered_entries():
     assert DATASETS.ids() == ["mnist", "cifar-10", "cifar-100", "imagenet"]
     assert DATASETS.ids(["rgb"]) == ["cifar-10", "cifar-100", "imagenet"]
+    assert DATASETS.ids(["large-scale"]) == ["imagenet"]
     assert METRICS.ids(["wavelet-decomposition"]) == ["wavelet-energy", "wavelet-entropy"]
     import lehrplan.operators.history  # noqa: F401
     assert set(METRICS.ids(["model-informed"])) == {"convergence-time", "saturation-time"}

@@ -217,6 +217,14 @@ def test_batch_wise_weighted_uses_chunk_statistics(scores):
         assert g.sort_values("pos_in_batch")["index"].tolist() == list(want)
 
 
+@pytest.mark.parametrize("scheme", ["distance-from-mean", "weighted", "descending"])
+def test_groups_of_any_size(scores, scheme):
+    """The way for unbounded groups gives the same as the one for batches."""
+    ways = [sorted(rank(scores, scheme, "edge-density", partition_by="class", bounded=b)
+                   .select("class", "index", "position").collect()) for b in (True, False)]
+    assert ways[0] == ways[1]
+
+
 def test_class_balanced_keeps_shares(spark):
     rows = [(i, "big" if i % 4 else "small", i * 10) for i in range(40)]
     ranked = spark.createDataFrame(rows, "index long, class string, position long")
