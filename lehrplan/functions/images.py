@@ -6,8 +6,6 @@ goes through the Arrow pass in ``operators.image_kernels``, which shares work be
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, functions as F
 
 from lehrplan.functions.columns import let
@@ -36,14 +34,6 @@ def scaled(data: Column) -> Column:
     return F.transform(data, lambda x: (x.cast("float") / F.lit(255.0)).cast("float"))
 
 
-def normalized(data: Column, mean: Sequence[float], std: Sequence[float]) -> Column:
-    """Subtract a mean and divide by a deviation per channel."""
-    means, stds = (F.array(*[F.lit(float(v)) for v in vs]) for vs in (mean, std))
-    channel = lambda i: F.floor(i / area()).cast("int")
-    return F.transform(data, lambda x, i: (x.cast("double") - F.get(means, channel(i)))
-                       / F.get(stds, channel(i)))  # literals: nothing to bind
-
-
 def gray_mean(data: Column) -> Column:
     """Mean over channels, as doubles."""
     plane = lambda d, p: F.aggregate(span(F.col("c")), F.lit(0.0), lambda s, k:
@@ -133,25 +123,3 @@ def seeded_int(seed: int, kind: str, index: Column, bound: Column | int) -> Colu
     """Reproducible integer in [0, bound) per row."""
     digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{kind}"), index.cast("string")))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % bound).cast("int")
-
-
-def flipped(data: Column, flip: Column) -> Column:
-    """Mirror left-right where ``flip`` holds."""
-    w = F.col("w")
-    return let(data, lambda d: F.when(flip, F.transform(
-        d, lambda x, i: F.get(d, i - i % w + (w - 1 - i % w)))).otherwise(d))
-
-
-def padded_crop(data: Column, size: int, padding: int, dy: Column, dx: Column) -> Column:
-    """Window of ``size`` x ``size`` at offset (dy, dx) of the zero-padded image."""
-    window = size * size
-
-    def pixel(d: Column, oy: Column, ox: Column, i: Column) -> Column:
-        y = F.floor((i % window) / size).cast("int") + oy - padding
-        x = i % size + ox - padding
-        inside = (y >= 0) & (y < F.col("h")) & (x >= 0) & (x < F.col("w"))
-        place = F.floor(i / window).cast("int") * area() + y * F.col("w") + x
-        return F.when(inside, F.get(d, place)).otherwise(F.lit(0).cast("float"))
-
-    return let(data, lambda d: let(dy, lambda oy: let(dx, lambda ox: F.transform(
-        span(F.col("c") * window), lambda i: pixel(d, oy, ox, i)))))

@@ -1,4 +1,4 @@
-"""Image metrics as one vectorised pass over Arrow batches.
+"""Image metrics and image preparation as vectorised passes over Arrow batches.
 
 Images of equal shape are stacked and processed together; edges, gray planes and wavelet levels
 are computed once per stack and shared by the metrics that use them. A failing image yields
@@ -14,9 +14,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from lehrplan.functions.images import LUMA, level_energy, level_entropy
+from lehrplan.functions.images import LUMA, level_energy, level_entropy, seeded_int
 from lehrplan.registry import METRICS
 
 STACK_VALUES = 1 << 22  # values processed together, so temporaries stay small
@@ -285,6 +285,76 @@ def run_kernels(data: np.ndarray, kernels: dict[str, Callable], options: dict
     return scores, errors
 
 
+def write_stacks(rows: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Arrow lists (NULL where no stack covers a row) from (row numbers, stacked data)."""
+    flat: list = [None] * rows
+    for members, data in parts:
+        for i, image in zip(members, data.reshape(len(members), -1)):
+            flat[i] = image
+    sizes = np.array([0 if v is None else len(v) for v in flat])
+    values = [v for v in flat if v is not None]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32(),
+                       mask=np.array([*[v is None for v in flat], False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(
+        np.concatenate(values) if values else [], type=pa.float32()))
+
+
+def crop_and_mirror(data: np.ndarray, size: int, padding: int, dy: np.ndarray, dx: np.ndarray,
+                    mirror: np.ndarray) -> np.ndarray:
+    """``size`` x ``size`` windows at (dy, dx) of the zero-padded images, some mirrored."""
+    count, channels, height, width = data.shape
+    room = [max(side + 2 * padding, size) for side in (height, width)]
+    wide = np.zeros((count, channels, *room), dtype=data.dtype)
+    wide[:, :, padding:padding + height, padding:padding + width] = data
+    y, x = dy[:, None] + np.arange(size), dx[:, None] + np.arange(size)
+    x[mirror] = x[mirror, ::-1]
+    return wide[np.arange(count)[:, None, None, None], np.arange(channels)[:, None, None],
+                y[:, None, :, None], x[:, None, None, :]]
+
+
+def feed(images: DataFrame, size: int | None = None, padding: int = 0, flip: bool = False,
+         seed: int = 1, mean: Sequence[float] | None = None,
+         std: Sequence[float] | None = None) -> DataFrame:
+    """Crop (with ``size``), mirror and normalise images in one Arrow pass.
+
+    Offsets and coins are drawn per sample from (seed, index), so a retry or another
+    partitioning draws the same.
+    """
+    draw = lambda kind, bound: seeded_int(seed, kind, F.col("index"), bound)
+    room = lambda side: F.greatest(F.lit(1), F.col(side) + 2 * padding - (size or 0) + 1)
+    drawn = {"_dy": draw("dy", room("h")) if size else F.lit(0),
+             "_dx": draw("dx", room("w")) if size else F.lit(0),
+             "_mirror": (draw("flip", 2) if flip else F.lit(0)) == 1}
+    images = images.withColumns({n: F.col(n).cast("int") for n in "chw"}).withColumn(
+        "data", F.col("data").cast("array<float>"))
+    kept, names = [c for c in images.columns if c != "data"], list(drawn)
+
+    def change(data: np.ndarray, members: np.ndarray, draws: dict) -> np.ndarray:
+        if size:
+            data = crop_and_mirror(data, size, padding, *[draws[n][members] for n in names])
+        if mean is not None:
+            shape = (1, -1, 1, 1)
+            data = (data.astype(float) - np.reshape(mean, shape)) / np.reshape(std, shape)
+        return data.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes, rows = image_arrays(batch)
+            draws = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+            data = write_stacks(len(rows), ((m, change(d, m, draws))
+                                            for m, d in stacks(shapes, rows)))
+            columns = {n: batch.column(n) for n in kept}
+            if size:
+                side = pa.array(np.full(len(rows), size, dtype=np.int32))
+                columns |= {"h": side, "w": side}
+            yield pa.RecordBatch.from_arrays([*columns.values(), data], names=[*kept, "data"])
+
+    schema = T.StructType([*[images.schema[n] for n in kept],
+                           T.StructField("data", T.ArrayType(T.FloatType()))])
+    return images.select(*kept, "data", *[c.alias(n) for n, c in drawn.items()]).mapInArrow(
+        run, schema)
+
+
 def image_metric_ids() -> list[str]:
     return [m for m in METRICS.ids() if METRICS.get(m).config.get("input") == "images"]
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lehrplan.functions import images as I
+from lehrplan.operators.image_kernels import feed
 
 
 def scale(images: DataFrame) -> DataFrame:
@@ -14,22 +15,15 @@ def scale(images: DataFrame) -> DataFrame:
 
 
 def normalize(images: DataFrame, mean: Sequence[float], std: Sequence[float]) -> DataFrame:
-    return images.withColumn("data", I.normalized(F.col("data"), mean, std))
+    """Subtract a mean and divide by a deviation per channel."""
+    return feed(images, mean=mean, std=std)
 
 
 def augment(images: DataFrame, size: int, padding: int = 4, flip: bool = True,
             seed: int = 1) -> DataFrame:
-    """Random pad-and-crop to ``size`` x ``size`` and a fair-coin mirror, drawn per sample from
-    (seed, index) so that a retry or another partitioning draws the same."""
-    room = lambda side: F.greatest(F.lit(1), side + 2 * padding - size + 1)
-    cropped = images.withColumn("data", I.padded_crop(
-        F.col("data"), size, padding, I.seeded_int(seed, "dy", F.col("index"), room(F.col("h"))),
-        I.seeded_int(seed, "dx", F.col("index"), room(F.col("w")))))
-    cropped = cropped.withColumns({"h": F.lit(size), "w": F.lit(size)})
-    if not flip:
-        return cropped
-    coin = I.seeded_int(seed, "flip", F.col("index"), 2) == 1
-    return cropped.withColumn("data", I.flipped(F.col("data"), coin))
+    """Random pad-and-crop to ``size`` x ``size`` and a fair-coin mirror, reproducible per
+    sample."""
+    return feed(images, size, padding, flip, seed)
 
 
 def pixels(images: DataFrame) -> DataFrame:

@@ -465,9 +465,9 @@ ORACLE: dict[str, str] = {
         y - 4 AS sy, CASE WHEN flip = 1 THEN 31 - x ELSE x END - 4 AS sx
         FROM d, range(3) r(c), range(32) s(y), range(32) t(x))
       SELECT o.index, o.ch, o.y, round(sum(z), 6) + 0.0::DOUBLE AS total,
-        round(sum(z * o.x), 6) + 0.0::DOUBLE AS weighted FROM (SELECT o.*, (coalesce(CAST(i.v AS
-        DOUBLE), 0) - [0.4914, 0.4822, 0.4465][o.ch + 1]::DOUBLE)
-        / [0.2023, 0.1994, 0.2010][o.ch + 1]::DOUBLE AS z
+        round(sum(z * o.x), 6) + 0.0::DOUBLE AS weighted FROM (SELECT o.*, CAST(CAST((coalesce(
+        CAST(i.v AS DOUBLE), 0) - [0.4914, 0.4822, 0.4465][o.ch + 1]::DOUBLE)
+        / [0.2023, 0.1994, 0.2010][o.ch + 1]::DOUBLE AS FLOAT) AS DOUBLE) AS z
       FROM o LEFT JOIN rgb i ON i.index = o.index AND i.ch = o.ch AND i.y = sy AND i.x = sx) o
       GROUP BY o.index, o.ch, o.y""",
     "score_report": """SELECT p_partkey AS index, '{"p_size":"' || p_size || '"}' AS report
@@ -480,9 +480,9 @@ ORACLE: dict[str, str] = {
     "gen_solid": "WITH " + BOARD.format(other="a"),
     "img_scale": f"WITH {RGB_U8} SELECT index, ch, y, x, round(CAST(CAST(v AS FLOAT) / 255.0::FLOAT "
                  "AS DOUBLE), 6) AS v FROM u8",
-    "img_normalize": f"""WITH {RGB} SELECT index, ch, y, x, round((CAST(v AS DOUBLE)
-        - [0.4914, 0.4822, 0.4465][ch + 1]::DOUBLE) / [0.2023, 0.1994, 0.2010][ch + 1]::DOUBLE, 6)
-        + 0.0::DOUBLE AS v FROM rgb""",
+    "img_normalize": f"""WITH {RGB} SELECT index, ch, y, x, round(CAST(CAST((CAST(v AS DOUBLE)
+        - [0.4914, 0.4822, 0.4465][ch + 1]::DOUBLE) / [0.2023, 0.1994, 0.2010][ch + 1]::DOUBLE
+        AS FLOAT) AS DOUBLE), 6) + 0.0::DOUBLE AS v FROM rgb""",
     "img_gray_mean": f"WITH {RGB}, {RGB_GRAY} SELECT index, y, x, round(v, 6) AS v FROM gray",
     "img_gray_luma": f"""WITH {RGB} SELECT index, y, x, round(CAST(CAST(sum(CAST(v AS DOUBLE)
         * [0.299, 0.587, 0.114][ch + 1]::DOUBLE) AS FLOAT) AS DOUBLE), 5) AS v FROM rgb

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lehrplan.functions.columns import let
-from lehrplan.functions.images import span
-from lehrplan.operators.image_metrics import augment, normalize
+from lehrplan.operators.image_kernels import feed, write_stacks
 from lehrplan.operators.ordering import positions
 from lehrplan.registry import DATASETS
 from lehrplan.sources.staging import stage
@@ -89,9 +90,8 @@ def prepare(images: DataFrame, corpus: str, train: bool = True, seed: int = 1) -
     """Images as a network is fed them: training images cropped and mirrored at random, then all
     normalised per channel. Metrics read the images before this step."""
     facts = DATASETS.get(corpus).config
-    if train:
-        images = augment(images, facts["crop"], facts["padding"], facts["flip"], seed)
-    return normalize(images, facts["mean"], facts["std"])
+    crop = (facts["crop"], facts["padding"], facts["flip"]) if train else ()
+    return feed(images, *crop, seed=seed, mean=facts["mean"], std=facts["std"])
 
 
 def load_corpus(spark: SparkSession, id: str, root: str) -> DataFrame:
@@ -138,25 +138,35 @@ def sample_specs(spark: SparkSession, size: int = 64) -> DataFrame:
         "index long, name string, size int, tiles int, color_a array<int>, color_b array<int>")
 
 
-def checker_plane(size: Column, tiles: Column, first: Column, second: Column) -> Column:
-    """Flat (3, size, size) board: odd tiles take the first colour."""
-    area = size * size
-
-    def value(tile: Column, a: Column, b: Column, i: Column) -> Column:
-        row, column = F.floor((i % area) / size), i % size
-        odd = (F.floor(row / tile) + F.floor(column / tile)) % 2 == 1
-        channel = F.floor(i / area).cast("int")
-        return (F.when(odd, F.get(a, channel)).otherwise(F.get(b, channel))
-                / F.lit(255.0)).cast("float")
-
-    return let(F.floor(size / tiles).cast("int"), lambda tile: let(first, lambda a: let(
-        second, lambda b: F.transform(span(area * 3), lambda i: value(tile, a, b, i)))))
+def boards(size: int, tiles: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Boards (n, 3, size, size) in [0, 1] for n colour pairs: odd tiles take the first colour."""
+    line = np.arange(size) // (size // tiles)
+    odd = (line[:, None] + line) % 2 == 1
+    pick = lambda colours: colours[:, :, None, None].astype(float) / 255
+    return np.where(odd, pick(first), pick(second)).astype(np.float32)
 
 
 def synthesize(specs: DataFrame) -> DataFrame:
-    """Images of a spec table, one row each, built inside the executors."""
-    size = F.col("size")
-    return specs.select(
+    """Images of a spec table, one row each, drawn inside the executors."""
+    size = F.col("size").cast("int")
+    rows = specs.select(
         "index", F.col("name").alias("class"), F.lit("train").alias("split"),
-        F.lit(3).alias("c"), size.alias("h"), size.alias("w"),
-        checker_plane(size, F.col("tiles"), F.col("color_a"), F.col("color_b")).alias("data"))
+        F.lit(3).alias("c"), size.alias("h"), size.alias("w"), "tiles", "color_a", "color_b")
+    kept = rows.columns[:6]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = np.stack([batch.column(n).to_numpy(zero_copy_only=False)
+                              for n in ("h", "tiles")], axis=1)
+            colours = [np.array(batch.column(n).to_pylist()).reshape(-1, 3)
+                       for n in ("color_a", "color_b")]
+            parts = ((np.flatnonzero((kinds == k).all(axis=1)), k)
+                     for k in np.unique(kinds, axis=0))
+            data = write_stacks(len(kinds), ((m, boards(*k.tolist(), *[c[m] for c in colours]))
+                                             for m, k in parts))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], data],
+                                             names=[*kept, "data"])
+
+    schema = T.StructType([*[rows.schema[n] for n in kept],
+                           T.StructField("data", T.ArrayType(T.FloatType()))])
+    return rows.mapInArrow(draw, schema)
