@@ -849,7 +849,7 @@ def stream_pacing(spark, d):
     for low, high in ((1, 10), (11, 20), (21, EPOCHS)):
         telemetry.where(F.col("epoch").between(low, high)).write.mode("append").parquet(land)
         SP.pacing_stream(spark.readStream.schema(SP.TELEMETRY).parquet(land), runs, EPOCHS,
-                         out, mark).awaitTermination()
+                         out, mark, partitions=8).awaitTermination()
     return spark.read.parquet(f"{out}/orders").select("run", "epoch", "n_active")
 
 

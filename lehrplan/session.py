@@ -16,8 +16,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # image rows are wide: bound an Arrow batch by rows as well as by Spark's byte limit
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

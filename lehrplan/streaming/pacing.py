@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from lehrplan.operators.schedules import pace
 from lehrplan.operators.signals import BATCH_SIGNALS as SIGNALS, TINY, readiness_of
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TELEMETRY = ("run string, epoch int, batch_idx int, mean_std double, mean_grad_norm double, "
              "loss double, val_acc double")
 STEPS = T.StructType([
@@ -121,13 +122,14 @@ def stream_readiness(steps: DataFrame, window: int) -> DataFrame:
 
 
 def pacing_stream(telemetry: DataFrame, runs: DataFrame, total_epochs: int, path: str,
-                  checkpoint: str, start_fraction: float = 0.3, window: int = 5
-                  ) -> StreamingQuery:
+                  checkpoint: str, start_fraction: float = 0.3, window: int = 5,
+                  partitions: int | None = None) -> StreamingQuery:
     """Emit ``run, epoch, n_active`` to ``{path}/orders`` as epochs close.
 
     ``telemetry`` has the `TELEMETRY` columns: batch reports, and one summary per epoch with
     ``batch_idx`` missing, which closes the epoch. ``{path}/steps`` holds the summed steps and
-    the count of late reports.
+    the count of late reports. ``partitions`` sets the number of state partitions, which stays
+    for the life of the checkpoint.
     """
     keyed = telemetry.withColumn("batch_idx", F.coalesce("batch_idx", F.lit(-1)))
     steps = keyed.groupBy("run", "batch_idx").transformWithStateInPandas(
@@ -153,5 +155,17 @@ def pacing_stream(telemetry: DataFrame, runs: DataFrame, total_epochs: int, path
         (counts.join(part.where("closes").select("run", "epoch"), ["run", "epoch"], "left_semi")
          .write.mode("overwrite").parquet(f"{path}/orders/part={batch_id}"))
 
-    return (steps.writeStream.outputMode("append").foreachBatch(close_epochs)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    # a query keeps the settings it was started with; this kind of state needs RocksDB
+    conf = telemetry.sparkSession.conf
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            conf.set(key, value)
+        return (steps.writeStream.outputMode("append").foreachBatch(close_epochs)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
