@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -44,19 +45,25 @@ def select_metrics(scores: DataFrame, requested: Sequence[str]) -> DataFrame:
     return scores.select(*[named(c) for c in [*META, *known]])
 
 
+def partition(path: str, dataset: str, seed: int) -> str:
+    """Folder of one (dataset, seed) partition."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", dataset):
+        raise ValueError(f"dataset id '{dataset}' would be escaped in a path")
+    return f"{path}/dataset={dataset}/seed={seed}"
+
+
 def save_scores(scores: DataFrame, path: str, dataset: str, seed: int) -> str:
     """Replace one (dataset, seed) partition; other partitions are untouched."""
+    target = partition(path, dataset, seed)
     (scores.withColumns({"dataset": F.lit(dataset), "seed": F.lit(seed)})
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("dataset", "seed").parquet(path))
-    return f"{path}/dataset={dataset}/seed={seed}"
+    return target
 
 
 def load_scores(spark: SparkSession, path: str, dataset: str, seed: int) -> DataFrame:
-    """One partition of the table; the filter prunes directories, not rows."""
-    rows = spark.read.option("mergeSchema", "true").parquet(path).where(
-        (F.col("dataset") == dataset) & (F.col("seed") == seed))
-    return rows.drop("dataset", "seed")
+    """One partition of the table, with its own metric columns; no other folder is listed."""
+    return spark.read.parquet(partition(path, dataset, seed))
 
 
 def read_scores_csv(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataFrame:

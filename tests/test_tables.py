@@ -39,9 +39,11 @@ def test_save_and_load_one_partition(spark, scores):
                    path, "b", 1)
     assert SC.load_scores(spark, path, "a", 1).count() == 20
     assert SC.load_scores(spark, path, "a", 2).count() == 5
-    plan = SC.load_scores(spark, path, "a", 2)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dataset" in plan
+    assert all("dataset=a/seed=2" in f for f in SC.load_scores(spark, path, "a", 2).inputFiles())
     assert "extra" in metric_columns(SC.load_scores(spark, path, "b", 1))
+    assert SC.load_scores(spark, path, "a", 1).columns == scores.columns
+    with pytest.raises(ValueError):
+        SC.save_scores(scores, path, "a/b", 1)
 
 
 def test_csv_round_trip(spark, scores):
