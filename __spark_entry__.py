@@ -358,8 +358,8 @@ def img_prepare(spark, d):
 @query
 def score_report(spark, d):
     """JSON of each sample's metrics."""
-    return reports.sample_report(T.scores_part(spark, d).select(
-        "index", F.col("p_size").cast("int").cast("string").alias("p_size")), ["p_size"])
+    whole = T.scores_part(spark, d).withColumn("p_size", F.col("p_size").cast("int"))
+    return reports.sample_report(whole, ["p_size"])
 
 
 # Images -----------------------------------------------------------------------------------
@@ -559,6 +559,13 @@ def h_histories(spark, d):
     return rounded(rows.select("index", F.posexplode("loss_history").alias("step", "loss")))
 
 
+@query
+def h_layer_histories(spark, d):
+    rows = H.layer_histories(T.layer_history(spark, d), threshold=60.0, window=3)
+    return rows.select("index", "layer",
+                       F.posexplode("weight_delta_history").alias("step", "delta"))
+
+
 @query
 def loss_deltas(spark, d):
     return rounded(H.loss_deltas(T.history(spark, d)))

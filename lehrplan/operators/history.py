@@ -113,3 +113,17 @@ def histories(history: DataFrame, threshold: float = 1e-3, window: int = 5,
         "index", F.transform("_s", lambda s: s["loss"]).alias("loss_history"),
         F.transform(F.filter("_s", lambda s: s["delta"].isNotNull()), lambda s: s["delta"])
         .alias("loss_delta_history"))
+
+
+def layer_histories(layer_history: DataFrame, threshold: float = 1e-3, window: int = 5,
+                    max_iterations: int = 1000) -> DataFrame:
+    """Weight-change series per sample and layer, up to the iteration where the layer settled."""
+    cut = layer_history.where(F.col("iteration") <= max_iterations)
+    rows = stable_runs(cut, "delta", ["index", "layer"], threshold)
+    earlier = (Window.partitionBy("index", "layer").orderBy("iteration")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    settled = F.coalesce(F.max(F.col("stable_run") >= window).over(earlier), F.lit(False))
+    kept = rows.withColumn("_settled", settled).where("not _settled")
+    return kept.groupBy("index", "layer").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("iteration", "delta"))), lambda s: s["delta"])
+        .alias("weight_delta_history"))

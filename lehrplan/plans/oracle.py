@@ -470,7 +470,7 @@ ORACLE: dict[str, str] = {
         / [0.2023, 0.1994, 0.2010][o.ch + 1]::DOUBLE AS FLOAT) AS DOUBLE) AS z
       FROM o LEFT JOIN rgb i ON i.index = o.index AND i.ch = o.ch AND i.y = sy AND i.x = sx) o
       GROUP BY o.index, o.ch, o.y""",
-    "score_report": """SELECT p_partkey AS index, '{"p_size":"' || p_size || '"}' AS report
+    "score_report": """SELECT p_partkey AS index, '{"p_size":' || p_size || '}' AS report
       FROM part""",
     # images
     "corpus_facts": """SELECT CASE WHEN label % 5 = 0 THEN 'test' ELSE 'train' END AS split,
@@ -552,6 +552,9 @@ ORACLE: dict[str, str] = {
         min(iteration) FILTER (stable_run >= 5) OVER (PARTITION BY index) AS stop FROM st)
       SELECT index, iteration - 1 AS step, round(loss, 6) AS loss FROM z
       WHERE iteration <= coalesce(stop, 1000)""",
+    "h_layer_histories": f"""WITH {LAYER_SAT} SELECT st.index, st.layer, iteration - 1 AS step, delta
+      FROM st JOIN sat ON sat.index = st.index AND sat.layer = st.layer
+      WHERE iteration <= coalesce(completed, last)""",
     "loss_deltas": f"WITH {HIST} SELECT index, iteration, round(loss, 6) AS loss, round(delta, 6) "
                    "AS delta FROM cut",
     "stable_runs": f"""WITH {HIST}, rd AS (SELECT * REPLACE (round(delta, 6) AS delta) FROM cut),

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lehrplan.functions.columns import named
 from lehrplan.operators.image_kernels import image_metric_ids, score_images
 from lehrplan.registry import METRICS
 from lehrplan.sources.reports import sample_report
@@ -61,7 +60,4 @@ def score_sample(images: DataFrame, index: int, metrics: Sequence[str] = ("all",
     """``index, report``: JSON of one sample's metrics; a failed metric holds its error text."""
     metrics = requested_metrics(metrics)
     scored = score_images(images.where(F.col("index") == index), metrics, options)
-    shown = scored.select("index", *[
-        F.coalesce(named(m).cast("string"), F.try_element_at("errors", F.lit(m))).alias(m)
-        for m in metrics])
-    return sample_report(shown, metrics)
+    return sample_report(scored, metrics, errors="errors")

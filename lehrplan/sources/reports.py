@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lehrplan.functions.columns import named
 from lehrplan.operators.runs import append_rows
@@ -32,8 +32,17 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
 
 
-def sample_report(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """``index, report``: JSON map of metric to value."""
-    pairs = [x for m in metrics for x in (F.lit(m), named(m))]
-    return scores.select("index", F.to_json(
-        F.create_map(*pairs), {"ignoreNullFields": "false"}).alias("report"))
+def sample_report(scores: DataFrame, metrics: Sequence[str], errors: str | None = None
+                  ) -> DataFrame:
+    """``index, report``: JSON map of metric to number; with the name of an ``errors`` map
+    column, a failed metric holds its error text."""
+    def entry(metric: str) -> Column:
+        values = [named(metric).cast("string")]
+        if errors:
+            text = F.to_json(F.array(F.try_element_at(errors, F.lit(metric))))  # ["..."]
+            values.append(F.when(F.try_element_at(errors, F.lit(metric)).isNotNull(),
+                                 F.substring(text, F.lit(2), F.length(text) - 2)))
+        return F.concat(F.lit(f'"{metric}":'), F.coalesce(*values, F.lit("null")))
+
+    return scores.select("index", F.concat(
+        F.lit("{"), F.concat_ws(",", *[entry(m) for m in metrics]), F.lit("}")).alias("report"))

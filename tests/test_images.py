@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 from collections import deque
@@ -323,5 +324,8 @@ def test_score_dataset_resumes(spark):
 
 def test_score_sample(spark):
     images = frame(spark, [np.ones((3, 8, 8)), np.ones((2, 8, 8))])
-    report = scoring.score_sample(images, 1, ["color-variance", "edge-density"]).first()["report"]
-    assert '"color-variance":"0.0"' in report and "luma needs" in report
+    text = scoring.score_sample(images, 1, ["color-variance", "edge-density"]).first()["report"]
+    report = json.loads(text)
+    assert report["color-variance"] == 0.0 and "luma needs" in report["edge-density"]
+    text = scoring.score_sample(images, 0, ["color-variance", "edge-density"]).first()["report"]
+    assert json.loads(text) == {"color-variance": 0.0, "edge-density": 0.0}

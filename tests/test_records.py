@@ -57,6 +57,9 @@ def test_saturation(spark):
     assert layers == {(0, "a"): 2, (0, "b"): 4, (1, "a"): 2, (1, "b"): -1}
     got = {r["index"]: (r["value"], r["saturated"]) for r in H.saturation_time(df, 1, 3).collect()}
     assert got == {0: (6.0, True), 1: (6.0, False)}
+    series = {(r["index"], r["layer"]): r["weight_delta_history"]
+              for r in H.layer_histories(df, 1, 3).collect()}
+    assert series[0, "a"] == quick[:4] and series[0, "b"] == slow and series[1, "b"] == never
 
 
 def test_weight_deltas(spark):
