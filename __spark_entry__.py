@@ -259,6 +259,23 @@ def curriculum_active(spark, d):
     return C.set_order(event_order(spark, d), C.baseline(T.scores_part(spark, d), 64))
 
 
+@query
+def curriculum_sequence_logged(spark, d):
+    """Sample order for a logged order with repeated and missing batches."""
+    batches = C.baseline(T.scores_part(spark, d), 8)
+    return C.sequence(C.set_order(event_order(spark, d), batches), batches)
+
+
+@query
+def curriculum_sequence_signals(spark, d):
+    """Sample order when batches are reordered by gradient norm; the last batch is short."""
+    events = T.batch_signals(spark, d).where("run = 'click'").withColumn("run", F.lit("run"))
+    settings = training.Settings("part", epochs=5, batch_size=192, metric="p_retailprice",
+                                 schedule="gradient")
+    return training.paced_samples(T.scores_part(spark, d), settings,
+                                  signals=events.where("epoch <= 5"))
+
+
 @query
 def curriculum_sequence(spark, d):
     scores = T.scores_part(spark, d)

@@ -99,7 +99,8 @@ def set_order(order: DataFrame, batches: DataFrame,
 
 def sequence(active: DataFrame, batches: DataFrame, keys: Sequence[str] = ("epoch",),
              index: str = "index") -> DataFrame:
-    """Flattened sample order of each epoch: ``keys, position, index``."""
+    """Flattened sample order of each epoch: ``keys, position, index``. For any order, with
+    repeated or missing batches; see the two forms below for those of schedules."""
     keys = list(keys)
     rows = active.join(batches, "batch_idx")
     return positions(rows, [F.col("slot").asc(), F.col("pos_in_batch").asc()],
@@ -107,6 +108,42 @@ def sequence(active: DataFrame, batches: DataFrame, keys: Sequence[str] = ("epoc
                          *keys, "position", named(index))
 
 
+def prefix_sequence(counts: DataFrame, batches: DataFrame, batch_size: int,
+                    index: str = "index") -> DataFrame:
+    """`sequence` for ``counts(epoch, n_active)``: batches 0..n_active-1 in order.
+
+    All batches before the last are full, so positions are arithmetic. Each sample is repeated for
+    the epochs that reach its batch; the epochs travel as one small array and nothing is shuffled.
+    """
+    reach = counts.agg(F.collect_list(F.struct("epoch", "n_active")).alias("e")).scalar()
+    rows = batches.withColumn("_epochs", reach).withColumn("_e", F.explode(F.filter(
+        "_epochs", lambda e: e["n_active"] > F.col("batch_idx"))))
+    return rows.select(
+        F.col("_e.epoch").alias("epoch"),
+        (F.col("batch_idx").cast("long") * batch_size + F.col("pos_in_batch")).alias("position"),
+        named(index))
+
+
+def permuted_sequence(order: DataFrame, batches: DataFrame, batch_size: int,
+                      index: str = "index") -> DataFrame:
+    """`sequence` for orders ``(epoch, slot, batch_idx)`` that hold every batch once per epoch.
+
+    Only batches after the short last one are shifted. The join moves the orders and the batches,
+    not their product, and no sort follows.
+    """
+    last = batches.agg(F.max(F.struct("batch_idx", "pos_in_batch")).alias("l")).scalar()
+    marked = order.withColumn("_last", last)
+    slots = marked.where(F.col("batch_idx") == F.col("_last.batch_idx")).agg(
+        F.map_from_entries(F.collect_list(F.struct("epoch", "slot"))).alias("s")).scalar()
+    missing = batch_size - 1 - F.col("_last.pos_in_batch")
+    placed = marked.withColumn("_slots", slots).select(
+        "epoch", "batch_idx", (F.col("slot").cast("long") * batch_size - F.when(
+            F.col("slot") > F.element_at("_slots", F.col("epoch")), missing).otherwise(0))
+        .alias("_start"))
+    return placed.join(batches, "batch_idx").select(
+        "epoch", (F.col("_start") + F.col("pos_in_batch")).alias("position"), named(index))
+
+
 def batch_samples(batches: DataFrame, samples: DataFrame, index: str = "index") -> DataFrame:
     """Samples with their batch coordinates."""
     return batches.join(samples, index)

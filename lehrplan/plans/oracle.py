@@ -434,6 +434,27 @@ ORACLE: dict[str, str] = {
         FROM n, range(1, 7) r(e))
       SELECT CAST(e AS INTEGER) AS epoch, pos AS position, index FROM act JOIN pb
       ON pos // 64 < active""",
+    "curriculum_sequence_logged": """WITH o AS (SELECT CAST(day(ts) AS INTEGER) AS epoch, event_id AS
+        slot, CASE WHEN day(ts) % 7 = 0 THEN -1 ELSE user_id - 20 END AS b FROM events),
+      pb AS (SELECT p_partkey AS index, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part),
+      ok AS (SELECT * FROM o WHERE b >= 0 AND b <= (SELECT max(pos // 8) FROM pb)),
+      act AS (SELECT * FROM ok UNION ALL SELECT DISTINCT epoch, 0, 0 FROM o
+        WHERE epoch NOT IN (SELECT epoch FROM ok))
+      SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY slot, pos) - 1 AS position, index
+      FROM act JOIN pb ON pos // 8 = b""",
+    "curriculum_sequence_signals": f"""WITH {SIG}, {PART64.format(key='p_retailprice')},
+      grid AS (SELECT CAST(e AS INTEGER) AS epoch, b AS batch_idx FROM range(1, 6) r(e),
+        (SELECT DISTINCT pos // 192 AS b FROM pb)),
+      means AS (SELECT g.epoch, g.batch_idx, coalesce(avg(mean_grad_norm) OVER (PARTITION BY
+        g.batch_idx ORDER BY g.epoch), 0) AS mean FROM grid g LEFT JOIN sig ON run = 'click' AND
+        sig.epoch = g.epoch AND sig.batch_idx = g.batch_idx),
+      sm AS (SELECT *, avg(mean) OVER (PARTITION BY epoch ORDER BY batch_idx ROWS BETWEEN 2 PRECEDING
+        AND 2 FOLLOWING) AS smooth FROM means),
+      ord AS (SELECT epoch + 1 AS epoch, batch_idx, row_number() OVER (PARTITION BY epoch ORDER BY
+        CASE WHEN epoch <= 1 THEN 0 ELSE smooth END DESC, batch_idx) AS slot FROM sm
+        UNION ALL SELECT 1, batch_idx, batch_idx FROM grid WHERE epoch = 1)
+      SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY slot, pos) - 1 AS position, index
+      FROM ord JOIN pb ON pos // 192 = batch_idx WHERE epoch <= 5""",
     # score tables
     "scores_init": "SELECT o_orderkey AS index, NULL::VARCHAR AS class, NULL::DOUBLE AS "
                    "edge_density, NULL::DOUBLE AS color_variance FROM orders",

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lehrplan.operators import curriculum as C, runs as R, schedules as S
+from lehrplan.registry import SCHEDULES
 from lehrplan.sources.reports import append_runs
 from lehrplan.sources.staging import stage
 
@@ -51,20 +52,26 @@ def batches(scores: DataFrame, settings: Settings) -> DataFrame:
 
 def paced_samples(scores: DataFrame, settings: Settings, epochs: DataFrame | None = None,
                   signals: DataFrame | None = None) -> DataFrame:
-    """``epoch, position, index``: the samples of every epoch in the order to train on them."""
+    """``epoch, position, index``: the samples of every epoch in the order to train on them.
+
+    ``epochs`` and ``signals`` are the telemetry of the one run ``run``; adaptive schedules need
+    it.
+    """
     cut = stage(batches(scores, settings), "batches")
     runs = cut.agg((F.max("batch_idx") + 1).alias("total_batches")).select(
         F.lit("run").alias("run"), "total_batches")
     if settings.metric is None or settings.schedule is None:
-        every = F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))).alias("epoch")
-        order = S.prefix_order(runs.select("run", every, F.col("total_batches")
-                                           .alias("n_active")))
-    else:
-        order = S.exposure(S.schedule(
-            settings.schedule, runs, settings.epochs, epochs=epochs, signals=signals,
-            start_fraction=settings.start_fraction), runs, settings.epochs)
-    active = C.set_order(order.drop("run"), cut)
-    return C.sequence(active, cut)
+        counts = runs.select(F.explode(F.sequence(F.lit(1), F.lit(settings.epochs)))
+                             .alias("epoch"), F.col("total_batches").alias("n_active"))
+        return C.prefix_sequence(counts, cut, settings.batch_size)
+    entry = SCHEDULES.get(settings.schedule)
+    order = entry.build(runs, settings.epochs, epochs=epochs, signals=signals,
+                        start_fraction=settings.start_fraction)
+    if "prefix" in entry.tags:
+        counts = S.exposure_counts(order, runs, settings.epochs)
+        return C.prefix_sequence(counts, cut, settings.batch_size)
+    shown = S.exposure(order, runs, settings.epochs).drop("run")
+    return C.permuted_sequence(shown, cut, settings.batch_size)
 
 
 def record_runs(spark: SparkSession, epochs: DataFrame, configs: DataFrame, path: str

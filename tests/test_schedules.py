@@ -171,6 +171,19 @@ def test_registered():
     assert SCHEDULES.ids(["adaptive"]) == ["adaptive", "gradient", "uncertainty"]
 
 
+def test_sequences_agree(spark, scores, telemetry):
+    """The shuffle-free forms against the sort of every sample of every epoch."""
+    from lehrplan.operators import curriculum as C
+    cut = C.holistic(scores, "ascending", "edge-density", 3)  # 7 batches, the last of 2
+    runs = spark.createDataFrame([("a", 7)], "run string, total_batches int")
+    same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+    counts = S.linear(runs, 6)
+    assert same(C.prefix_sequence(counts, cut, 3),
+                C.sequence(S.prefix_order(counts).drop("run"), cut))
+    order = S.schedule("gradient", runs, 6, signals=telemetry[1].where("run = 'a'")).drop("run")
+    assert same(C.permuted_sequence(order, cut, 3), C.sequence(order, cut))
+
+
 def test_paced_samples(scores, spark):
     plan = training.Settings("d", epochs=5, batch_size=6, metric="edge-density",
                              schedule="linear")
