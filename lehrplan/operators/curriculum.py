@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lehrplan.functions.columns import hash_order, named
 from lehrplan.operators.ordering import positions
 from lehrplan.operators.ranks import rank
+from lehrplan.registry import RANKS
 
 SCOPES = ("holistic", "batch-wise")
 
@@ -29,7 +30,9 @@ def holistic(scores: DataFrame, scheme: str, metrics, batch_size: int,
 def batch_wise(scores: DataFrame, scheme: str, metrics, batch_size: int, seed: int = 1,
                index: str = "index", **options) -> DataFrame:
     """Shuffle all samples, cut into chunks, rank each chunk on its own."""
-    carried = [c for c in scores.columns if c != index]
+    carried = [metrics] if isinstance(metrics, str) else list(metrics)
+    if "all-columns" in RANKS.get(scheme).tags:
+        carried = [c for c in scores.columns if c != index]
     keyed = scores.withColumn("_shuffle", hash_order(seed, named(index)))
     chunks = positions(keyed, [F.col("_shuffle").asc(), named(index).asc()],
                        keep=[index, *carried], label="chunks")
