@@ -51,12 +51,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return batches_holistic(spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators; none where they are not installed."""
+    try:
+        import corpus_pipeline
+        from lehrplan.llm import oracle as llm_oracle, queries as llm_queries
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "lehrplan.llm"):
+            raise
+        return {}, {}
+    sql = dict(llm_oracle.ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in ORACLE.items() if name in QUERIES}
+    return {**{name: sql for name, sql in ORACLE.items() if name in QUERIES},
+            **_training_data()[1]}
 
 
 # Ranks ------------------------------------------------------------------------------------

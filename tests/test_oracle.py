@@ -12,7 +12,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query(spark, con, name):
     assert check(spark, con, SMALL, name, entry.queries(), entry.oracle_sql()) is None
 
