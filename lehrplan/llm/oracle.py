@@ -92,8 +92,8 @@ found AS (
   SELECT DISTINCT doc_id, s, p.n, item_id FROM places p JOIN item_windows x
   ON p.n = x.n AND p.words = x.words),
 hits AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (
-    SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS at FROM found) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (
+    SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS spot FROM found) GROUP BY doc_id),
 owners AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
