@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
@@ -24,7 +25,8 @@ from lehrplan.sources.staging import stage
 
 CAPACITY = 1024
 SEPARATOR = 2
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 500_000
+SHORT = 7
 _ENCODERS: dict = {}
 
 
@@ -32,8 +34,8 @@ class _Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never joins what stands before a single space with what follows it, so a text
-    is encoded chunk by chunk and the ids of known chunks are kept; a text with two spaces in a
-    row is encoded whole.
+    is encoded chunk by chunk and the ids of known chunks are kept: short chunks, which come
+    back, for longer than others. A text with two spaces in a row is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -41,29 +43,28 @@ class _Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": self._encode([" "])[0]}  # chunks behind a space
+        self.rare: list[str] = []
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
+        return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str]] = []
-        for text in texts:
-            if "  " in text:
-                chunks.append([text])
-            else:
-                head, *rest = text.split(" ")
-                chunks.append([head, *[" " + r for r in rest]])
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
+        split = [t.split(" ") if "  " not in t else [t] for t in texts]
+        heads = self._encode([s[0] for s in split])
+        rest = [s[1:] for s in split]
         known = self.known
-        new = list({c for one in chunks for c in one if c not in known})
-        known.update(zip(new, self._encode(new)))
-        out = [b"".join([known[c] for c in one]) for one in chunks]
-        for c in new:
-            if len(c) > 64:  # whole texts and the like do not come back
+        new = list(set().union(*rest).difference(known))
+        known.update(zip(new, self._encode([" " + c for c in new])))
+        out = [head + b"".join(map(known.__getitem__, r)) for head, r in zip(heads, rest)]
+        self.rare += [c for c in new if len(c) > SHORT]
+        if len(self.rare) > CACHED_CHUNKS:
+            for c in self.rare:
                 del known[c]
+            self.rare = []
+        if len(known) > 2 * CACHED_CHUNKS:
+            self.known, self.rare = {"": known[""]}, []
         return out
 
 
