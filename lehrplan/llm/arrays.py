@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 
+pa.set_memory_pool(pa.system_memory_pool())  # idle workers give freed batches back
+
 # words of decontamination and near-duplicates: 0-9, a-z (after lower-casing A-Z), all above ASCII
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -81,25 +83,30 @@ class Block:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column and the bounds of its rows."""
+    """Bytes of a string column and the bounds of its rows, without a copy if none is null."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, bounds, data = column.buffers()
-    offsets = np.frombuffer(bounds, np.int64)[column.offset:column.offset + len(column) + 1] \
-        if len(column) else np.zeros(1, np.int64)
+    offsets = np.frombuffer(bounds, kind)[column.offset:column.offset + len(column) + 1]
+    offsets = offsets.astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else \
         np.zeros(0, np.uint8)
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a string column into blocks of at most ``limit`` bytes, or of one row."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most: int = 4096) -> Iterator[Block]:
+    """Cut a string column into blocks of at most ``limit`` bytes, or of one row, and at most
+    ``most`` rows."""
     data, offsets = utf8(column)
     rows, first = len(offsets) - 1, 0
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), rows, first + 4096)
+        last = min(max(last, first + 1), rows, first + most)
         yield Block(first, data[offsets[first]:offsets[last]],
                     offsets[first:last + 1] - offsets[first])
         first = last

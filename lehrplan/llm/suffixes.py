@@ -31,7 +31,7 @@ from lehrplan.sources.staging import stage, staging_path
 
 WIDTH = 100
 GRAM = 32
-CHUNK = 1 << 20          # anchors that a task orders at a time
+CHUNK = 1 << 18          # anchors that a task orders at a time
 FEW = 64                 # stretches of a gram in a chunk beyond which strings are compared at once
 GATHERED = 4096          # stretches of a gram beyond which its strings are dealt one by one
 BATCHES = 4
@@ -54,6 +54,12 @@ def _pack(rows: dict[str, np.ndarray], fields) -> bytes:
     return b"".join(parts)
 
 
+def _cut(rows: dict, fields, size: int = 1 << 14) -> Iterator[bytes]:
+    """Packed rows in parts of bounded size."""
+    for i in range(0, len(rows["doc"]), size):
+        yield _pack(_take(rows, slice(i, i + size)), fields)
+
+
 def _unpack(blobs: list[bytes], fields) -> dict[str, np.ndarray]:
     out: dict[str, list] = {name: [] for name, _ in fields}
     for blob in blobs:
@@ -103,7 +109,8 @@ def anchors(block: A.Block, width: int = WIDTH, gram: int = GRAM) -> dict[str, n
     place = at[first]
     shape = ((last - first) * 256 + (place - first)).astype(np.uint64)
     stretch = A.mix((sums[last + width] - sums[first]) * power[first] ^ A.mix(shape))
-    return {"gram": grams[place], "stretch": stretch & low, "doc": row[first],
+    # anchors are least fingerprints; mixed again, they spread evenly over the buckets
+    return {"gram": A.mix(grams[place] ^ A.BASE), "stretch": stretch & low, "doc": row[first],
             "at": place - block.offsets[row[first]], "back": place - first,
             "n": last - first + 1, "open": np.zeros(len(first), np.uint8)}
 
@@ -149,9 +156,9 @@ def _chunk(rows: dict, buckets: int, width: int) -> Iterator[tuple[int, int, byt
         if cuts[b] < cuts[b + 1]:
             yield b, ARRAY, _pack(_take(lone, slice(cuts[b], cuts[b + 1])), FIELDS)
     for kind, part, fields in ((OPEN, sure, FIELDS), (REPEAT, spans, SPAN)):
-        for i in range(0, len(part["doc"]), 1 << 16):
+        for blob in _cut(part, fields):
             spread = (spread + 1) % buckets
-            yield spread, kind, _pack(_take(part, slice(i, i + (1 << 16))), fields)
+            yield spread, kind, blob
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -171,7 +178,7 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int, width: int) -> Itera
 
     for batch in batches:
         ids = A.column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        for block in A.blocks(A.column(batch, "text")):
+        for block in A.blocks(A.column(batch, "text"), A.BLOCK_BYTES // 4):
             rows = anchors(block, width)
             rows["doc"] = ids[block.first + rows["doc"]]
             held.append({name: rows[name].astype(kind) for name, kind in FIELDS})
@@ -218,9 +225,9 @@ def _scan(new: pa.Table, level: pa.Table | None, width: int) -> pa.Table:
     mixed = np.bincount(group, weights=lone["mine"])[group] > 0
     emit = is_open & np.where(lone["mine"], True, mixed & (theirs == 1) & (known == 0))
     lone["open"] = np.where(is_open, 1, lone["open"]).astype(np.uint8)
-    found = [(bucket, kind, _pack(part, fields)) for kind, part, fields in
+    found = [(bucket, kind, blob) for kind, part, fields in
              ((OPEN, _take(lone, emit), FIELDS), (REPEAT, again, SPAN),
-              (ARRAY, _take(lone, lone["mine"]), FIELDS)) if len(part["doc"])]
+              (ARRAY, _take(lone, lone["mine"]), FIELDS)) for blob in _cut(part, fields)]
     return pa.Table.from_batches([_batch(passed + found)])
 
 
@@ -230,7 +237,8 @@ def _merge(left: pa.Table, right: pa.Table) -> pa.Table:
     rows = _unpack([r for t in tables for r in t["rows"].to_pylist()], FIELDS)
     rows, _, stretch = _ordered(rows)
     bucket = tables[0]["bucket"][0].as_py()
-    return pa.Table.from_batches([_batch([(bucket, ARRAY, _pack(_take(rows, stretch), FIELDS))])])
+    return pa.Table.from_batches([_batch([(bucket, ARRAY, blob) for blob in
+                                          _cut(_take(rows, stretch), FIELDS)])])
 
 
 class SuffixLevels:
@@ -289,7 +297,7 @@ def _strings(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     Rows: key, document, place of the first string, bytes; without bytes a repeat found here.
     """
     codec = pa.Codec("zstd")
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         keys, docs, places, texts = [], [], [], []
         loose: dict[bytes, tuple[int, int]] = {}
         again: list[tuple[int, int]] = []
@@ -396,7 +404,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd")
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         out: list[tuple] = []
         for doc, packed, size, spans in zip(*(A.column(batch, c).to_pylist() for c in
                                               ("doc", "packed", "size", "spans"))):
