@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lehrplan.llm import contamination, language, near, packing, pii
-from lehrplan.llm.queries import TOKENIZER, held_out, table
+from lehrplan.llm.queries import TOKENIZER, held_out, small_batches, table
 from lehrplan.sources.staging import stage
 
 ORACLE_SQL = None  # learned models and hashing families; tests compare with brute force
@@ -13,6 +13,7 @@ ORACLE_SQL = None  # learned models and hashing families; tests compare with bru
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, no letter) go; others get a missing lang."""
+    small_batches(spark)
     model = language.train(docs.where(~held_out()))
     found = language.identify(docs, model, keep=docs.columns, names=("_language", "_score"))
     if model.families:
@@ -25,6 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each class stays, once; rows without id stay."""
+    small_batches(spark)
     classes = near.duplicate_classes(docs)
     gone = stage(classes.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
     again = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
@@ -37,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
     rows = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
     gone = stage(rows.where(F.size("hits") > 0).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -44,12 +47,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows the text."""
+    small_batches(spark)
     clean = pii.redact(docs, pii.train(docs))
     return clean.select(*[F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c)
                           if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(packing.pieces(docs, TOKENIZER))
 
 

@@ -22,7 +22,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from lehrplan.llm import arrays as A
 
 COLUMNS = 1 << 12
-SAMPLE = 800
+SAMPLE = 600
+ROWS = 256  # rows of a block: a row of features is dense
 UNKNOWN = "und"
 
 # families of ISO 639-1 codes (fixed values); other codes are families of their own
@@ -80,7 +81,7 @@ def lettered(block: A.Block) -> np.ndarray:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 80) -> np.ndarray:
     """Linear support vector machine with squared hinge; the last weight is the bias.
 
     Both classes weigh the same. Accelerated gradient steps of fixed number and size: the
@@ -143,7 +144,7 @@ def _sigmoid(margin: np.ndarray) -> np.ndarray:
 
 def _examples(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in A.blocks(A.column(batch, "text")):
+        for block in A.blocks(A.column(batch, "text"), most=ROWS):
             x, there = features(block, columns), lettered(block)
             at, values = [], []
             for i in range(block.rows):
@@ -184,9 +185,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, columns: int = COLUMNS) ->
     model = Model(families=sorted(set(home.values())), columns=columns)
     model.members = {f: [c for c in known if home[c] == f] for f in model.families}
     family = np.array([home[c] for c in lang])
+    rest = model.families[1:] if len(model.families) == 2 else model.families
     if len(model.families) > 1:
-        model.family = np.stack([_machine(x, np.where(family == f, 1, -1).astype(np.float32))
-                                 for f in model.families])
+        found = [_machine(x, np.where(family == f, 1, -1).astype(np.float32)) for f in rest]
+        model.family = np.stack([-found[0], *found] if len(rest) == 1 else found)
     for langs in model.members.values():
         for a, b in combinations(langs, 2):
             two = (lang == a) | (lang == b)
@@ -199,7 +201,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, keep: int) -> Iter
         names = np.full(batch.num_rows, UNKNOWN, object)
         scores = np.zeros(batch.num_rows)
         if model.families:
-            for block in A.blocks(A.column(batch, "text")):
+            for block in A.blocks(A.column(batch, "text"), most=ROWS):
                 there = lettered(block)
                 name, score = model.predict(features(block, model.columns))
                 rows = slice(block.first, block.first + block.rows)

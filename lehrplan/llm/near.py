@@ -89,7 +89,7 @@ def _sign(batches: Iterator[pa.RecordBatch], registers: int, bands: int,
     factor = np.array([pow(int(A.BASE), j + 1, 1 << 64) for j in range(per)], np.uint64)
     for batch in batches:
         ids, names = A.column(batch, "doc_id"), A.column(batch, "_key")
-        for block in A.blocks(A.column(batch, "text"), 4 * A.BLOCK_BYTES):
+        for block in A.blocks(A.column(batch, "text"), 2 * A.BLOCK_BYTES):
             keys, counts = shingles(block)
             full = signatures(keys, 1 + np.log(counts), block.rows, registers)
             there = np.bincount((keys >> _ROW).astype(np.int64), minlength=block.rows) > 0

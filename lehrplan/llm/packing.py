@@ -25,7 +25,7 @@ from lehrplan.sources.staging import stage
 
 CAPACITY = 1024
 SEPARATOR = 2
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 250_000
 SHORT = 7
 _ENCODERS: dict = {}
 
