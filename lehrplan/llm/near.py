@@ -72,7 +72,7 @@ def signatures(keys: np.ndarray, weights: np.ndarray, rows: int,
     step = 0
     while len(row):
         step += 1
-        draw = A.mix(element + np.uint64(step) * A.BASE)
+        draw = A.mix(element + np.uint64(step * int(A.BASE) % (1 << 64)))
         time = time - np.log1p((draw >> np.uint64(11)).astype(float) * -2.0 ** -53) / rate
         at = row * registers + (A.mix(draw) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(times, at, time)
