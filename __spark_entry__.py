@@ -10,7 +10,7 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -156,6 +156,25 @@ def rank_cached(spark, d):
     return SR.cached_rank(spark, path, scores, "ascending", "sum_qty", "orders")  # hit
 
 
+@query
+def rank_cached_weighted(spark, d):
+    """Another column than the ranked one changes: the weights change, and so must the entry."""
+    scores = T.scores_orders(spark, d)
+    path = staging_path(spark, "rank-cache")
+    SR.cached_rank(spark, path, scores.withColumn("avg_tax", F.col("sum_qty") * 2), "weighted",
+                   "total_price", "orders", digits=9)
+    return SR.cached_rank(spark, path, scores, "weighted", "total_price", "orders", digits=9)
+
+
+@query
+def rank_cached_inverted(spark, d):
+    scores = T.scores_orders(spark, d)
+    path = staging_path(spark, "rank-cache")
+    SR.cached_rank(spark, path, scores, "normalized-mean", METRICS, "orders")
+    return SR.cached_rank(spark, path, scores, "normalized-mean", METRICS, "orders",
+                          inverted=["avg_tax"])
+
+
 # Statistics -------------------------------------------------------------------------------
 
 @query
@@ -284,12 +303,15 @@ def curriculum_sequence_logged(spark, d):
 
 @query
 def curriculum_sequence_signals(spark, d):
-    """Sample order when batches are reordered by gradient norm; the last batch is short."""
-    events = T.batch_signals(spark, d).where("run = 'click'").withColumn("run", F.lit("run"))
-    settings = training.Settings("part", epochs=5, batch_size=192, metric="p_retailprice",
+    """Sample order when batches are reordered by the largest gradient norm of all runs; the last
+    batch is short."""
+    events = T.batch_signals(spark, d).groupBy("epoch", "batch_idx").agg(
+        *[F.max(s).alias(s) for s in ("mean_std", "mean_grad_norm", "mean_entropy")]).withColumn(
+        "run", F.lit("run"))
+    settings = training.Settings("part", epochs=EPOCHS, batch_size=192, metric="p_retailprice",
                                  schedule="gradient")
     return training.paced_samples(T.scores_part(spark, d), settings,
-                                  signals=events.where("epoch <= 5"))
+                                  signals=events)
 
 
 @query
@@ -382,7 +404,7 @@ def curriculum_described(spark, d):
 
 @query
 def img_prepare(spark, d):
-    """Crop, mirror and normalise 3x4x4 images the way CIFAR-10 training images are."""
+    """Crop, mirror and normalise 3x8x8 images the way CIFAR-10 training images are."""
     ready = M.pixels(SI.prepare(T.rgb_images(spark, d), "cifar-10", seed=9))
     return rounded(ready.groupBy("index", "ch", "y").agg(
         F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("weighted")))
@@ -782,15 +804,16 @@ def run_summary(spark, d):
 
 
 def run_configs(spark, d):
-    """One configuration per event type; click is the baseline, view the shuffled one."""
+    """One configuration per event type, alike but for shuffling and the curriculum; click is the
+    baseline, view the shuffled one."""
     baseline = F.col("run").isin("click", "view")
-    only = lambda v: F.when(~baseline, F.lit(v))
+    only = lambda v: F.when(~baseline, v if isinstance(v, Column) else F.lit(v))
     return T.event_runs(spark, d).select(
-        "run", F.concat(F.lit("net-"), F.substring("run", 1, 1)).alias("network"),
+        "run", F.lit("net").alias("network"),
         F.lit("events").alias("dataset"), F.lit("cpu").alias("device"),
         F.lit(EPOCHS).alias("epochs"), F.lit(1).alias("seed"),
         (F.col("run") == "view").alias("shuffled"), F.lit(False).alias("normalize_classes"),
-        only("ascending").alias("rank"), only("edge-density").alias("metric"),
+        only("ascending").alias("rank"), only(F.concat(F.lit("metric-"), "run")).alias("metric"),
         only("holistic").alias("scope"), only("linear").alias("schedule"),
         F.lit(0.3).alias("start_fraction"), F.lit(T.EVENT_BATCHES).alias("max_batches"))
 

@@ -1,8 +1,8 @@
 """Model-informed difficulty from logged training histories.
 
 Inputs are long tables: ``history(index, iteration, loss)`` and
-``layer_history(index, layer, iteration, delta)``. Histories are cut at ``max_iterations``, so
-a window over one sample never exceeds that many rows.
+``layer_history(index, layer, iteration, delta)``. The two metrics look at ``max_iterations``
+iterations, their parameter; deltas and histories are whole unless a cut is asked for.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ def stable_runs(series: DataFrame, delta: str, keys: list[str], threshold: float
         "stable_run", (F.col("_n") - F.coalesce(last_break, F.lit(0))).cast("int")).drop("_n")
 
 
-def loss_deltas(history: DataFrame, max_iterations: int = 1000) -> DataFrame:
+def up_to(rows: DataFrame, max_iterations: int | None) -> DataFrame:
+    return rows if max_iterations is None else rows.where(F.col("iteration") <= max_iterations)
+
+
+def loss_deltas(history: DataFrame, max_iterations: int | None = None) -> DataFrame:
     """Add ``delta = |loss - previous loss|``, missing for the first iteration."""
     order = Window.partitionBy("index").orderBy("iteration")
-    return history.where(F.col("iteration") <= max_iterations).withColumn(
+    return up_to(history, max_iterations).withColumn(
         "delta", F.abs(F.col("loss") - F.lag("loss").over(order)))
 
 
@@ -81,14 +85,14 @@ def saturation_time(layer_history: DataFrame, threshold: float = 1e-3, window: i
                         .otherwise(F.col("_last")).cast("double").alias("value"), "saturated")
 
 
-def weight_deltas(snapshots: DataFrame, max_iterations: int = 1000) -> DataFrame:
+def weight_deltas(snapshots: DataFrame, max_iterations: int | None = None) -> DataFrame:
     """Frobenius norm of the change between successive weight snapshots of a layer.
 
     ``snapshots(index, layer, iteration, weights array)`` from iteration 0 on; the result starts
     at the second snapshot.
     """
     order = Window.partitionBy("index", "layer").orderBy("iteration")
-    cut = snapshots.where(F.col("iteration") <= max_iterations)
+    cut = up_to(snapshots, max_iterations)
     pairs = cut.withColumn("_before", F.lag("weights").over(order))
     squares = F.aggregate(
         F.zip_with("weights", "_before",
@@ -100,7 +104,7 @@ def weight_deltas(snapshots: DataFrame, max_iterations: int = 1000) -> DataFrame
 
 
 def histories(history: DataFrame, threshold: float = 1e-3, window: int = 5,
-              max_iterations: int = 1000) -> DataFrame:
+              max_iterations: int | None = None) -> DataFrame:
     """Loss and loss-change series per sample, up to the iteration where fitting would stop."""
     rows = stable_runs(loss_deltas(history, max_iterations), "delta", ["index"], threshold)
     order = Window.partitionBy("index").orderBy("iteration")
@@ -116,9 +120,9 @@ def histories(history: DataFrame, threshold: float = 1e-3, window: int = 5,
 
 
 def layer_histories(layer_history: DataFrame, threshold: float = 1e-3, window: int = 5,
-                    max_iterations: int = 1000) -> DataFrame:
+                    max_iterations: int | None = None) -> DataFrame:
     """Weight-change series per sample and layer, up to the iteration where the layer settled."""
-    cut = layer_history.where(F.col("iteration") <= max_iterations)
+    cut = up_to(layer_history, max_iterations)
     rows = stable_runs(cut, "delta", ["index", "layer"], threshold)
     earlier = (Window.partitionBy("index", "layer").orderBy("iteration")
                .rowsBetween(Window.unboundedPreceding, -1))

@@ -104,14 +104,18 @@ def summary(epochs: DataFrame, settings: DataFrame) -> DataFrame:
         F.col("_used").cast("long").alias("total_batches_processed"))
 
 
-def run_hash(config: Sequence[str] = ("dataset", "device", "epochs", "network", "seed")
-             ) -> Column:
-    """md5 of the configuration as JSON with sorted keys."""
-    return F.md5(F.to_json(F.struct(*[F.col(c) for c in sorted(config)])))
+# All settings that make two runs different. Fixed field names.
+RUN_SETTINGS = ("dataset", "device", "epochs", "metric", "network", "normalize_classes", "rank",
+                "schedule", "scope", "seed", "shuffled", "start_fraction")
 
 
-def with_hash(configs: DataFrame, config: Sequence[str] = ("dataset", "device", "epochs",
-                                                           "network", "seed")) -> DataFrame:
+def run_hash(config: Sequence[str] = RUN_SETTINGS) -> Column:
+    """md5 of the whole configuration as JSON with sorted keys; unset fields stay as null."""
+    return F.md5(F.to_json(F.struct(*[F.col(c) for c in sorted(config)]),
+                           {"ignoreNullFields": "false"}))
+
+
+def with_hash(configs: DataFrame, config: Sequence[str] = RUN_SETTINGS) -> DataFrame:
     return configs.withColumn("hash", run_hash(config))
 
 
@@ -148,8 +152,11 @@ def append_rows(new: DataFrame, runs: DataFrame) -> DataFrame:
 def documents(epochs: DataFrame, rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """One JSON document per run: config, results, counts and every epoch.
 
-    ``hashes(run, hash)`` links the epoch table to the flat records.
+    ``hashes(run, hash)`` links the epoch table to the flat records; runs of equal settings are
+    one record, told by the first of them.
     """
+    hashes = hashes.groupBy("hash").agg(F.min("run").alias("run"))
+    rows = rows.dropDuplicates(["hash"])
     nested = nest_epochs(epochs).groupBy("run").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(
             F.col("epoch").cast("string"), F.struct("train", "validation", "batches")))))

@@ -74,10 +74,10 @@ PX = """px AS (SELECT vec_id AS index, label, unnest(embedding) AS v,
   generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)"""
 IMG = PX + """, img AS (SELECT index, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x,
   CAST(v AS DOUBLE) AS v FROM px)"""
-RGB = PX + """, rgb AS (SELECT index, CAST(p // 16 AS INTEGER) AS ch,
-  CAST(p % 16 // 4 AS INTEGER) AS y, CAST(p % 4 AS INTEGER) AS x,
+RGB = PX + """, rgb AS (SELECT index, ch, CAST(q // 8 AS INTEGER) AS y, CAST(q % 8 AS INTEGER) AS x,
   CAST(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(v AS DOUBLE) + 0.5::DOUBLE)) AS FLOAT) AS v
-  FROM px WHERE p < 48)"""
+  FROM (SELECT index, v, 0 AS ch, p AS q FROM px UNION ALL SELECT index, v, 1, 63 - p FROM px
+        UNION ALL SELECT index, v, 2, (p + 43) % 64 FROM px))"""
 RGB_U8 = RGB + """, u8 AS (SELECT index, ch, y, x, CAST(trunc(greatest(0.0::FLOAT,
   least(255.0::FLOAT, v * 255.0::FLOAT))) AS INTEGER) AS v FROM rgb)"""
 RGB_VAR = """vars AS (SELECT index, ch, var_samp(CAST(v AS DOUBLE)) AS value FROM rgb
@@ -331,10 +331,14 @@ FINAL = """fin AS (SELECT run, train_acc AS final_train_accuracy, train_loss AS
     QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1)"""
 USED = """used AS (SELECT run, CAST(sum(batches) AS BIGINT) AS total_batches_processed,
     round(1 - sum(batches) / (10.0::DOUBLE * 30), 4) AS dsi FROM epo GROUP BY run)"""
-CONFIG = """cfg AS (SELECT DISTINCT event_type AS run, 'net-' || substr(event_type, 1, 1) AS network,
+CONFIG = """cfg AS (SELECT DISTINCT event_type AS run, 'net' AS network,
     event_type = 'view' AS shuffled, event_type NOT IN ('click', 'view') AS paced FROM events),
-  hsh AS (SELECT *, md5('{"dataset":"events","device":"cpu","epochs":30,"network":"' || network
-    || '","seed":1}') AS hash FROM cfg)"""
+  hsh AS (SELECT *, md5('{"dataset":"events","device":"cpu","epochs":30,"metric":'
+    || CASE WHEN paced THEN '"metric-' || run || '"' ELSE 'null' END || ',"network":"net",'
+    || '"normalize_classes":false,"rank":' || CASE WHEN paced THEN '"ascending"' ELSE 'null' END
+    || ',"schedule":' || CASE WHEN paced THEN '"linear"' ELSE 'null' END || ',"scope":'
+    || CASE WHEN paced THEN '"holistic"' ELSE 'null' END || ',"seed":1,"shuffled":'
+    || CAST(shuffled AS VARCHAR) || ',"start_fraction":0.3}') AS hash FROM cfg)"""
 RECORDS = f"{EPO}, {BEST}, {FINAL}, {USED}, {CONFIG}"
 
 PART64 = """pb AS (SELECT p_partkey AS index, row_number() OVER (ORDER BY {key}, p_partkey) - 1 AS pos
@@ -443,18 +447,19 @@ ORACLE: dict[str, str] = {
       SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY slot, pos) - 1 AS position, index
       FROM act JOIN pb ON pos // 8 = b""",
     "curriculum_sequence_signals": f"""WITH {SIG}, {PART64.format(key='p_retailprice')},
-      grid AS (SELECT CAST(e AS INTEGER) AS epoch, b AS batch_idx FROM range(1, 6) r(e),
+      grid AS (SELECT CAST(e AS INTEGER) AS epoch, b AS batch_idx FROM range(1, 31) r(e),
         (SELECT DISTINCT pos // 192 AS b FROM pb)),
+      top AS (SELECT epoch, batch_idx, max(mean_grad_norm) AS mean_grad_norm FROM sig GROUP BY ALL),
       means AS (SELECT g.epoch, g.batch_idx, coalesce(avg(mean_grad_norm) OVER (PARTITION BY
-        g.batch_idx ORDER BY g.epoch), 0) AS mean FROM grid g LEFT JOIN sig ON run = 'click' AND
-        sig.epoch = g.epoch AND sig.batch_idx = g.batch_idx),
+        g.batch_idx ORDER BY g.epoch), 0) AS mean FROM grid g LEFT JOIN top ON
+        top.epoch = g.epoch AND top.batch_idx = g.batch_idx),
       sm AS (SELECT *, avg(mean) OVER (PARTITION BY epoch ORDER BY batch_idx ROWS BETWEEN 2 PRECEDING
         AND 2 FOLLOWING) AS smooth FROM means),
       ord AS (SELECT epoch + 1 AS epoch, batch_idx, row_number() OVER (PARTITION BY epoch ORDER BY
         CASE WHEN epoch <= 1 THEN 0 ELSE smooth END DESC, batch_idx) AS slot FROM sm
         UNION ALL SELECT 1, batch_idx, batch_idx FROM grid WHERE epoch = 1)
       SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY slot, pos) - 1 AS position, index
-      FROM ord JOIN pb ON pos // 192 = batch_idx WHERE epoch <= 5""",
+      FROM ord JOIN pb ON pos // 192 = batch_idx WHERE epoch <= 30""",
     # score tables
     "scores_init": "SELECT o_orderkey AS index, NULL::VARCHAR AS class, NULL::DOUBLE AS "
                    "edge_density, NULL::DOUBLE AS color_variance FROM orders",
@@ -478,7 +483,7 @@ ORACLE: dict[str, str] = {
     "curriculum_described": f"WITH {PART64.format(key='p_size DESC')} SELECT {BATCH.format(n=64)}, "
                             "index, 'descending' AS rank, 'p_size' AS metric, 'holistic' AS scope "
                             "FROM pb",
-    # a 4x4 image padded by 4 is smaller than the 32x32 window, so every offset is 0
+    # an 8x8 image padded by 4 is smaller than the 32x32 window, so every offset is 0
     "img_prepare": f"""WITH {RGB}, d AS (SELECT vec_id AS index,
         CAST(('0x' || substr(md5('9:flip:' || vec_id), 1, 8)) AS BIGINT) % 2 AS flip
         FROM embeddings),
@@ -654,7 +659,7 @@ ORACLE: dict[str, str] = {
         1 AS seed, 'cpu' AS device, final_val_accuracy AS final_accuracy,
         final_val_loss AS final_loss, best_accuracy AS best_accuracy,
         best_loss AS best_loss, best_epoch, shuffled, false AS normalize_classes,
-        CASE WHEN paced THEN 'ascending' END AS rank, CASE WHEN paced THEN 'edge-density' END AS
+        CASE WHEN paced THEN 'ascending' END AS rank, CASE WHEN paced THEN 'metric-' || run END AS
         metric, CASE WHEN paced THEN 'holistic' END AS scope, CASE WHEN paced THEN 'linear' END AS
         schedule, 0.3::DOUBLE AS start_fraction, dsi, 10 AS max_batches_per_epoch,
         total_batches_processed, 'records/' || network || '_events/' || hash || '.json' AS
@@ -703,3 +708,6 @@ _BOTH = f"""WITH {RGB}, {RGB_VAR}, {RGB_GRAY}, {frequency('gray')},
   FROM cv JOIN freq USING (index) JOIN (SELECT vec_id AS index, label FROM embeddings)
   USING (index)"""
 ORACLE["score_all_native"] = ORACLE["score_all_kernels"] = ORACLE["stream_scoring"] = _BOTH
+
+ORACLE["rank_cached_weighted"] = ORACLE["rank_weighted"]
+ORACLE["rank_cached_inverted"] = ORACLE["rank_normalized_mean"]

@@ -56,11 +56,12 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rgb_images(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 48 numbers of an embedding as a 3x4x4 image shifted into [0, 1]."""
+    """An embedding, its reverse and its rotation by 21 as the planes of a 3x8x8 image in [0, 1]."""
+    planes = F.concat("data", F.reverse("data"), F.slice("data", 22, 43), F.slice("data", 1, 21))
     return images(spark, folder).select(
-        "index", "class", "split", F.lit(3).alias("c"), F.lit(4).alias("h"),
-        F.lit(4).alias("w"),
-        F.transform(F.slice("data", 1, 48),
+        "index", "class", "split", F.lit(3).alias("c"), F.lit(8).alias("h"),
+        F.lit(8).alias("w"),
+        F.transform(planes,
                     lambda v: F.greatest(F.lit(0.0), F.least(
                         F.lit(1.0), v.cast("double") + 0.5)).cast("float")).alias("data"))
 

@@ -6,6 +6,7 @@ so a changed table or another scope never meets a stale entry.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,32 +14,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lehrplan.functions.columns import named, present
 from lehrplan.operators.ranks import rank
+from lehrplan.registry import METRICS
 
 
 def fingerprint(scores: DataFrame, metrics: Sequence[str], index: str = "index") -> Column:
     """Order-free digest of the ranked columns, as a scalar subquery."""
-    row = F.xxhash64(named(index), *[present(named(m)) for m in metrics])
+    numbers = {f.name for f in scores.schema.fields
+               if f.dataType.typeName() in ("double", "float")}
+    row = F.xxhash64(named(index), *[present(named(m)) if m in numbers else named(m)
+                                     for m in metrics])
     digest = scores.agg(F.format_string(
         "%d-%s", F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")).cast("string")).alias("f"))
     return digest.scalar()
 
 
 def cache_key(scheme: str, dataset: str, metrics: Sequence[str], seed: int, scope: str,
-              batch_size: int, version: Column) -> Column:
+              batch_size: int, version: Column, options: dict | None = None) -> Column:
     return F.md5(F.to_json(F.struct(
         F.lit(batch_size).alias("batch_size"), F.lit(dataset).alias("dataset"),
         F.array(*[F.lit(m) for m in metrics]).alias("metric"), F.lit(scheme).alias("rank"),
+        F.lit(json.dumps(options or {}, sort_keys=True, default=str)).alias("options"),
         F.lit(scope).alias("scope"), F.lit(seed).alias("seed"), version.alias("version"))))
 
 
 def cached_rank(spark: SparkSession, path: str, scores: DataFrame, scheme: str,
                 metrics: str | Sequence[str], dataset: str, seed: int = 1,
                 scope: str = "holistic", batch_size: int = 128, **options) -> DataFrame:
-    """Ranking from the cache, computed and stored on a miss."""
+    """Ranking from the cache, computed and stored on a miss.
+
+    The fingerprint covers every column: schemes read others than the ranked ones (weights, the
+    class, the row order). All options are part of the key, left out or given by name.
+    """
     metrics = [metrics] if isinstance(metrics, str) else list(metrics)
+    if options.get("inverted") is None:
+        options = {**options, "inverted": sorted(METRICS.ids(["inverted"]))}
     key = spark.range(1).select(cache_key(
         scheme, dataset, metrics, seed, scope, batch_size,
-        fingerprint(scores, metrics)).alias("k")).first()["k"]
+        fingerprint(scores, sorted(scores.columns)), options).alias("k")).first()["k"]
     target = f"{path}/rank_key={key}"
     try:
         return spark.read.parquet(target)

@@ -17,13 +17,14 @@ def spark():
 
 @pytest.fixture(scope="session")
 def scores(spark):
-    """20 samples in 4 classes, no missing values."""
-    rng = np.random.default_rng(1)
-    columns = {"saturation-time": rng.uniform(1, 100, 20), "color-variance": rng.uniform(0, 1, 20),
-               "edge-density": rng.uniform(0, 0.5, 20),
-               "spatial-frequency": rng.uniform(0, 0.3, 20)}
-    rows = [(i, str(i % 4), *[float(columns[c][i]) for c in columns]) for i in range(20)]
-    return table(spark, rows, ["index", "class", *columns])
+    """Four classes of six samples with measures of different scale, spread and sign."""
+    draw = np.random.default_rng(271828)
+    n = 24
+    measures = {"edge-density": draw.beta(2, 5, n), "color-variance": draw.gamma(3, 40, n),
+                "object-count": draw.exponential(12, n), "wavelet-energy": draw.normal(-4, 9, n)}
+    frame = np.column_stack(list(measures.values()))
+    rows = [(i, "wxyz"[i // 6], *map(float, frame[i])) for i in range(n)]
+    return table(spark, rows, ["index", "class", *measures])
 
 
 def table(spark, rows, names):

@@ -10,22 +10,22 @@ from lehrplan.registry import METRICS, RANKS
 import lehrplan.operators.image_kernels  # noqa: F401  registers the image metrics
 from tests.conftest import ranking, table
 
-FOUR = ["saturation-time", "color-variance", "edge-density", "spatial-frequency"]
+FOUR = ["edge-density", "color-variance", "object-count", "wavelet-energy"]
 
 
 @pytest.mark.parametrize("scheme", ["ascending", "descending", "distance-from-mean",
                                     "lexicographic", "normalized-mean", "weighted",
                                     "correlation-sum"])
 def test_permutation(scores, scheme):
-    metrics = FOUR if scheme == "correlation-sum" else "saturation-time"
-    assert sorted(ranking(rank(scores, scheme, metrics))) == list(range(20))
+    metrics = FOUR if scheme == "correlation-sum" else "object-count"
+    assert sorted(ranking(rank(scores, scheme, metrics))) == list(range(24))
 
 
 def test_monotonic(scores):
-    value = {r["index"]: r["saturation-time"] for r in scores.collect()}
-    up = ranking(rank(scores, "ascending", "saturation-time"))
+    value = {r["index"]: r["object-count"] for r in scores.collect()}
+    up = ranking(rank(scores, "ascending", "object-count"))
     assert [value[i] for i in up] == sorted(value.values())
-    assert ranking(rank(scores, "descending", "saturation-time")) == up[::-1]
+    assert ranking(rank(scores, "descending", "object-count")) == up[::-1]
 
 
 def test_missing_values_come_last_both_ways(spark):
@@ -37,31 +37,34 @@ def test_missing_values_come_last_both_ways(spark):
 
 
 def test_distance_from_mean(spark):
-    df = table(spark, [(i, "a", float(v)) for i, v in enumerate([1, 0, 2, -1, 3])],
-               ["index", "class", "m"])
-    assert ranking(rank(df, "distance-from-mean", "m")) == [0, 1, 2, 3, 4]
+    values = np.array([40.0, 7.5, 12.0, 90.0, 33.0, 28.5, 11.0])
+    df = table(spark, [(i, "a", float(v)) for i, v in enumerate(values)], ["index", "class", "m"])
+    away = np.abs(values - values.mean())
+    assert ranking(rank(df, "distance-from-mean", "m")) == np.argsort(away, kind="stable").tolist()
 
 
 def test_lexicographic(spark):
-    df = table(spark, [(i, "a", a, b) for i, (a, b) in enumerate(
-        [(1., .9), (1., .1), (2., .8), (2., .2), (3., .7), (3., .3)])],
-        ["index", "class", "x", "y"])
-    assert ranking(rank(df, "lexicographic", ["x", "y"])) == [1, 0, 3, 2, 5, 4]
-    assert ranking(rank(df, "lexicographic", ["y", "x"])) == [1, 3, 5, 4, 2, 0]
+    draw = np.random.default_rng(8)
+    pairs = np.column_stack([draw.integers(0, 4, 15), draw.integers(-3, 3, 15)]).astype(float)
+    df = table(spark, [(i, "a", *map(float, p)) for i, p in enumerate(pairs)],
+               ["index", "class", "x", "y"])
+    assert ranking(rank(df, "lexicographic", ["x", "y"])) == np.lexsort(pairs.T[::-1]).tolist()
+    assert ranking(rank(df, "lexicographic", ["y", "x"])) == np.lexsort(pairs.T).tolist()
     assert ranking(rank(df, "lexicographic", "x")) == ranking(rank(df, "ascending", "x"))
 
 
 def test_normalized_mean(spark, scores):
-    n = 10
-    rows = [(i, "a", float(i), 1000.0 * i, 5.0, float(n - 1 - i)) for i in range(n)]
-    df = table(spark, rows, ["index", "class", "x", "big", "flat", "mirror"])
-    plain = list(range(n))
-    assert ranking(rank(df, "normalized-mean", ["x", "big"])) == plain
-    assert ranking(rank(df, "normalized-mean", ["x", "flat"])) == plain
-    assert ranking(rank(df, "normalized-mean", ["x", "mirror"], inverted=["mirror"])) == plain
-    keys = {r["index"]: r["key"] for r in rank_key(df, "normalized-mean", ["x", "flat"],
-                                                    inverted=["flat"]).collect()}
-    assert keys[0] == 0.5 and keys[n - 1] == 1.0  # a constant inverted column counts as 1
+    draw = np.random.default_rng(77)
+    frame = np.column_stack([draw.normal(3, 2, 17), draw.uniform(-500, 900, 17), np.full(17, -2.5)])
+    df = table(spark, [(i, "a", *map(float, r)) for i, r in enumerate(frame)],
+               ["index", "class", "p", "q", "still"])
+    width = np.ptp(frame, axis=0)
+    unit = (frame - frame.min(axis=0)) / np.where(width > 0, width, 1.0)
+    for turned in ([], ["q"], ["p", "still"]):
+        sides = np.where([c in turned for c in ("p", "q", "still")], 1 - unit, unit)
+        keys = rank_key(df, "normalized-mean", ["p", "q", "still"], inverted=turned)
+        got = [r["key"] for r in sorted(keys.collect(), key=lambda r: r["index"])]
+        np.testing.assert_allclose(got, sides.mean(axis=1), atol=1e-12)
     one = ranking(rank(scores, "normalized-mean", ["color-variance"]))
     assert one == ranking(rank(scores, "ascending", "color-variance"))
 
@@ -73,17 +76,26 @@ def test_compression_ratio_is_inverted_by_tag(spark):
     assert ranking(rank(df, "normalized-mean", ["compression-ratio"])) == [4, 3, 2, 1, 0]
 
 
-def pandas_weighted(frame, anchor):
-    z = frame.apply(lambda c: (c - c.mean()) / c.std())
-    r = z.corrwith(z[anchor]).drop(anchor).abs()
-    w = r / r.sum()
-    return z[anchor] + z[w.index].mul(w).sum(axis=1)
+def numpy_weighted(frame, anchor):
+    """The anchor's standard scores plus those of the others, by share of absolute correlation."""
+    data = np.ma.masked_invalid(frame.to_numpy(dtype=float))
+    spread = np.ma.std(data, axis=0, ddof=1)
+    scores = (data - data.mean(axis=0)) / np.ma.masked_equal(spread, 0)
+    k = list(frame.columns).index(anchor)
+    share = np.zeros(data.shape[1])
+    for j in set(range(data.shape[1])) - {k}:
+        both = ~(np.ma.getmaskarray(data)[:, j] | np.ma.getmaskarray(data)[:, k])
+        if spread[j] and both.sum() > 1:
+            share[j] = abs(np.corrcoef(np.asarray(data[both][:, [k, j]]).T)[0, 1])
+    share /= share.sum()
+    return pd.Series(np.ma.filled(scores[:, k], np.nan) + np.ma.filled(scores, 0.0) @ share,
+                     index=frame.index)
 
 
 @pytest.mark.parametrize("anchor", FOUR)
-def test_weighted_against_pandas(scores, anchor):
+def test_weighted_against_numpy(scores, anchor):
     frame = scores.toPandas().set_index("index")[FOUR].sort_index()
-    want = list(pandas_weighted(frame, anchor).sort_values(kind="stable").index)
+    want = list(numpy_weighted(frame, anchor).sort_values(kind="stable").index)
     assert ranking(rank(scores, "weighted", anchor)) == want
 
 
@@ -93,7 +105,7 @@ def test_weighted_with_constant_and_missing(spark):
     rows = [(i, "x", *[None if np.isnan(v) else float(v) for v in r])
             for i, r in enumerate(frame.to_numpy())]
     df = table(spark, rows, ["index", "class", "a", "b", "c"])
-    order = pandas_weighted(frame, "a").sort_values(kind="stable", na_position="last")
+    order = numpy_weighted(frame, "a").sort_values(kind="stable", na_position="last")
     assert ranking(rank(df, "weighted", "a")) == list(order.index)
     assert all(r["b"] is None for r in standardize(df, ["a", "b"]).collect())
 
@@ -193,7 +205,7 @@ def test_holistic_batches(scores, size):
     cut = C.holistic(scores, "ascending", "edge-density", size).toPandas()
     cut = cut.sort_values(["batch_idx", "pos_in_batch"])
     assert cut["index"].tolist() == order
-    assert cut["batch_idx"].nunique() == -(-20 // size)
+    assert cut["batch_idx"].nunique() == -(-24 // size)
     assert C.coverage(C.holistic(scores, "ascending", "edge-density", size), scores).count() == 0
 
 
@@ -213,7 +225,7 @@ def test_batch_wise_weighted_uses_chunk_statistics(scores):
     frame = scores.toPandas().set_index("index")[FOUR]
     for _, g in cut.groupby("batch_idx"):
         ids = sorted(g["index"])
-        want = pandas_weighted(frame.loc[ids], "edge-density").sort_values(kind="stable").index
+        want = numpy_weighted(frame.loc[ids], "edge-density").sort_values(kind="stable").index
         assert g.sort_values("pos_in_batch")["index"].tolist() == list(want)
 
 
@@ -235,7 +247,7 @@ def test_class_balanced_keeps_shares(spark):
 
 
 def test_coverage_reports_each_problem(spark, scores):
-    batches = spark.createDataFrame([(0, 0, i) for i in [*range(1, 20), 5, 99]],
+    batches = spark.createDataFrame([(0, 0, i) for i in [*range(1, 24), 5, 99]],
                                     "batch_idx int, pos_in_batch int, index long")
     found = {r["index"]: r["problem"] for r in C.coverage(batches, scores).collect()}
     assert found == {0: "missing", 5: "repeated", 99: "unknown"}

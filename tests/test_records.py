@@ -149,8 +149,12 @@ def test_append_is_idempotent(spark, epochs, configs):
 def test_hash_depends_on_configuration_only(configs):
     hashes = {r["run"]: r["hash"] for r in R.with_hash(configs).collect()}
     assert len(set(hashes.values())) == 3
-    moved = R.with_hash(configs.withColumn("rank", F.lit("weighted")).repartition(3)).collect()
+    moved = R.with_hash(configs.repartition(3)).collect()
     assert {r["run"]: r["hash"] for r in moved} == hashes
+    for field, value in (("rank", "weighted"), ("metric", "other"), ("scope", "batch-wise"),
+                         ("schedule", "gradient"), ("start_fraction", 0.77)):
+        other = R.with_hash(configs.withColumn(field, F.lit(value))).collect()
+        assert not {r["hash"] for r in other} & set(hashes.values()), field
 
 
 def test_documents(spark, epochs, configs):

@@ -1,6 +1,8 @@
 import math
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,46 +37,55 @@ def runs(spark):
     return spark.createDataFrame([("a", 40), ("b", 11)], "run string, total_batches int")
 
 
-# One run at a time, step by step ------------------------------------------------------------
-
-def plateau_score(values, w):
-    if len(values) < w + 2:
-        return 0.0
-    cv = lambda v: np.std(v) / (abs(np.mean(v)) + 1e-8)
-    if cv(values) < 1e-8:
-        return 1.0
-    return max(0.0, 1.0 - cv(values[-w:]) / cv(values))
-
-
-def adaptive_steps(total, epochs, signals, w, f0):
-    active = max(1, int(total * f0))
-    losses, accs, hist, out = [], [], {"mean_std": {}, "mean_grad_norm": {}}, []
-    for e in range(1, EPOCHS + 1):
-        loss, acc = epochs[e]
-        losses += [] if loss is None else [loss]
-        accs += [acc]
-        for b, row in signals.get(e, {}).items():
-            for k in hist:
-                hist[k].setdefault(b, []).append(row[k])
-        r = [0.0] * 4
-        if len(losses) >= 2 * w:
-            prior, recent = np.mean(losses[-2 * w:-w]), np.mean(losses[-w:])
-            r[0] = 1 / (1 + math.exp(-10 * (recent - prior) / prior))
-        if len(accs) >= w:
-            last = accs[-w:]
-            slope, std = np.polyfit(np.arange(w), last, 1)[0], np.std(last)
-            r[1] = 1.0 if std < 1e-8 else 1 / (1 + math.exp(5 * slope / std))
-        for i, k in enumerate(hist):
-            if hist[k]:
-                r[2 + i] = np.mean([plateau_score(v, w) for v in hist[k].values()])
-        ready = sum(r) / 4
-        if active < total:
-            left, epochs_left = total - active, EPOCHS - e
-            low = max(1, math.ceil(left / epochs_left)) if epochs_left > 0 else left
-            add = int(low + ready * (min(left, 3 * low) - low))
-            active += max(1, min(add, left))
-        out.append((e, active, r, ready))
-    return out
+# One run at a time, over whole series -------------------------------------------------------
+
+def logistic(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def flatness(values, w):
+    """Plateau score of a batch after each of its reports."""
+    own = pd.Series(values, dtype=float)
+    spread = lambda windows: windows.std(ddof=0) / (windows.mean().abs() + 1e-8)
+    whole, recent = spread(own.expanding()), spread(own.rolling(w))
+    score = (1 - recent / whole.where(whole >= 1e-8)).clip(lower=0).where(whole >= 1e-8, 1.0)
+    return score.where(own.expanding().count() >= w + 2, 0.0)
+
+
+def adaptive_series(total, epochs, signals, w, f0):
+    """(epoch, active, scores, readiness) of a run, from rolling series."""
+    days = range(1, EPOCHS + 1)
+    loss = pd.Series({e: epochs[e][0] for e in days}, dtype=float).dropna()
+    smooth = loss.rolling(w).mean()
+    fall = logistic(10 * (smooth / smooth.shift(w) - 1)).reindex(days).ffill().fillna(0.0)
+    acc = pd.Series({e: epochs[e][1] for e in days}, dtype=float)
+    centred = np.arange(w) - (w - 1) / 2
+    slope = acc.rolling(w).apply(lambda v: centred @ v / (centred @ centred), raw=True)
+    noise = acc.rolling(w).std(ddof=0)
+    trend = logistic(-5 * slope / noise).where(noise >= 1e-8, 1.0).where(slope.notna(), 0.0)
+    parts = [fall, trend]
+    for name in ("mean_std", "mean_grad_norm"):
+        seen = {}
+        for e, batches in signals.items():
+            for b, row in batches.items():
+                seen.setdefault(b, {})[e] = row[name]
+        columns = {}
+        for b, values in seen.items():
+            order = sorted(values)
+            columns[b] = pd.Series(flatness([values[e] for e in order], w).to_numpy(), index=order)
+        parts.append(pd.DataFrame(columns).reindex(days).ffill().mean(axis=1).fillna(0.0))
+    table = pd.concat(parts, axis=1).to_numpy()
+    ready = table.mean(axis=1)
+
+    def grow(active, e):
+        left = total - active
+        if not left:
+            return active
+        least = max(1, math.ceil(left / (EPOCHS - e))) if e < EPOCHS else left
+        return active + max(1, min(left, int(least + ready[e - 1] * (min(left, 3 * least) - least))))
+
+    active = list(accumulate(days, grow, initial=max(1, int(total * f0))))[1:]
+    return list(zip(days, active, table.tolist(), ready))
 
 
 def by_run(telemetry, run):
@@ -94,7 +105,7 @@ def test_adaptive(telemetry, runs, window, f0):
     ready = {(r["run"], r["epoch"]): r for r in
              G.readiness(telemetry[0], telemetry[1], window).collect()}
     for run, total in (("a", 40), ("b", 11)):
-        for e, active, parts, want in adaptive_steps(total, *by_run(telemetry, run), window, f0):
+        for e, active, parts, want in adaptive_series(total, *by_run(telemetry, run), window, f0):
             row = ready[run, e]
             np.testing.assert_allclose(
                 [row["r_loss"], row["r_val"], row["r_act"], row["r_grad"]], parts, atol=1e-9)
@@ -189,7 +200,7 @@ def test_paced_samples(scores, spark):
                              schedule="linear")
     rows = training.paced_samples(scores, plan).toPandas()
     sizes = rows.groupby("epoch").size().tolist()
-    assert sizes[0] == 20 and sizes[-1] == 20 and min(sizes) >= 6
+    assert sizes[0] == 24 and sizes[-1] == 24 and min(sizes) >= 6
     value = {r["index"]: r["edge-density"] for r in scores.collect()}
     for _, g in rows.groupby("epoch"):
         g = g.sort_values("position")

@@ -37,7 +37,7 @@ def test_save_and_load_one_partition(spark, scores):
     SC.save_scores(scores.limit(5), path, "a", 2)   # replaces only (a, 2)
     SC.save_scores(SC.load_scores(spark, path, "a", 1).withColumn("extra", F.lit(1.0)),
                    path, "b", 1)
-    assert SC.load_scores(spark, path, "a", 1).count() == 20
+    assert SC.load_scores(spark, path, "a", 1).count() == 24
     assert SC.load_scores(spark, path, "a", 2).count() == 5
     assert all("dataset=a/seed=2" in f for f in SC.load_scores(spark, path, "a", 2).inputFiles())
     assert "extra" in metric_columns(SC.load_scores(spark, path, "b", 1))
@@ -50,7 +50,7 @@ def test_csv_round_trip(spark, scores):
     path = staging_path(spark, "csv")
     scores.write.option("header", "true").csv(path)
     back = SC.read_scores_csv(spark, path, metric_columns(scores))
-    assert back.count() == 20 and back.schema["edge-density"].dataType.typeName() == "double"
+    assert back.count() == 24 and back.schema["edge-density"].dataType.typeName() == "double"
 
 
 def test_point_lookup(scores):
