@@ -207,7 +207,7 @@ def test_paced_samples(scores, spark):
         assert g["position"].tolist() == list(range(len(g)))
         assert g["index"].map(value).is_monotonic_increasing
     base = training.paced_samples(scores, training.Settings("d", epochs=2, batch_size=6))
-    assert base.toPandas().sort_values(["epoch", "position"])["index"].tolist() == [*range(20)] * 2
+    assert base.toPandas().sort_values(["epoch", "position"])["index"].tolist() == [*range(24)] * 2
     even = training.batches(scores, training.Settings(
         "d", epochs=1, batch_size=4, metric="edge-density", normalize_classes=True))
     classes = even.join(scores, "index").groupBy("batch_idx").agg(F.count_distinct("class")
