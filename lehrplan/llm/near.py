@@ -10,7 +10,9 @@ needs an exact Jaccard similarity of the distinct shingles of at least the thres
 Equal texts are one class before anything else and only their first document goes on. Inside a
 band every text is compared with the band's first; only where that leaves members of a band in
 different components are those compared across components, so a group of copies never makes
-all its pairs and no link between components is missed.
+all its pairs and no link between components is missed. Texts that cannot link across are left
+out by an exact bound: two texts share at most the shingles of either that another of the
+compared texts has too, so a text whose own edits weigh too much needs no partner at all.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 REGISTERS = 64
 BANDS = 16  # of four registers: a pair at 0.8 shares no band once in 4,600
+PRUNINGS = 2  # rounds of the exact bound; each sees only what the one before has left
 LEAST_ESTIMATE = 0.5  # six standard errors of the estimate below the threshold
 
 _ROW = np.uint64(52)  # a shingle key: row of the block above, 52 bits of the hash below
@@ -92,7 +95,8 @@ def _sign(batches: Iterator[pa.RecordBatch], registers: int, bands: int,
         for block in A.blocks(A.column(batch, "text"), 2 * A.BLOCK_BYTES):
             keys, counts = shingles(block)
             full = signatures(keys, 1 + np.log(counts), block.rows, registers)
-            there = np.bincount((keys >> _ROW).astype(np.int64), minlength=block.rows) > 0
+            n = np.bincount((keys >> _ROW).astype(np.int64), minlength=block.rows)
+            there = n > 0
             grouped = (full.reshape(block.rows, bands, per) * factor).sum(axis=2, dtype=np.uint64)
             band = A.signed(A.mix(grouped + np.arange(bands, dtype=np.uint64) * A.BASE))
             lists = pa.ListArray.from_arrays(
@@ -101,17 +105,18 @@ def _sign(batches: Iterator[pa.RecordBatch], registers: int, bands: int,
             small = full.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(block.first, block.rows), names.slice(block.first, block.rows),
-                 pa.array([s.tobytes() for s in small], pa.binary()), lists],
-                ["doc_id", "_key", "signature", "bands"])
+                 pa.array([s.tobytes() for s in small], pa.binary()), lists, pa.array(n, pa.int64())],
+                ["doc_id", "_key", "signature", "bands", "n"])
 
 
 def sign(docs: DataFrame, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
-    """``doc_id``, key of the whole text, signature and band keys of all texts but null ones."""
+    """``doc_id``, key of the whole text, signature, band keys and number of distinct shingles of
+    all texts but null ones."""
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.unhex(F.md5(F.col("text").cast("binary"))).alias("_key"))
     return texts.mapInArrow(partial(_sign, registers=registers, bands=bands),
-                            "doc_id long, _key binary, signature binary, bands array<long>")
+                            "doc_id long, _key binary, signature binary, bands array<long>, n long")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +155,45 @@ def _estimate(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield batch.select(["a", "b"]).filter(near)
 
 
+def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = A.column(batch, "doc_id")
+        for block in A.blocks(A.column(batch, "text"), 2 * A.BLOCK_BYTES):
+            keys, _ = shingles(block)
+            n = np.bincount((keys >> _ROW).astype(np.int64), minlength=block.rows)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()),
+                pa.array((keys & np.uint64((1 << 52) - 1)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.slice(block.first, block.rows), lists],
+                                             ["doc_id", "shingles"])
+
+
+def reach(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``doc_id, n, top``: distinct shingles, and the most a partner of the threshold may have.
+
+    Only shingles that another of ``texts`` has too can be shared: with r of them, the overlap
+    needed, threshold / (1 + threshold) of both sizes, is out of reach for a partner of more than
+    r (1 + threshold) / threshold - n shingles. Ids with several texts have no bound.
+    """
+    each = texts.mapInArrow(_list_shingles, "doc_id long, shingles array<long>").select(
+        "doc_id", F.explode("shingles").alias("shingle"))
+    own = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("doc_id"))
+           .where("texts = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own")))
+    sizes = signed.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").groupBy(
+        "doc_id").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    return sizes.join(own, "doc_id", "left").select("doc_id", "n", F.when(
+        F.col("texts") > 1, F.lit(float("inf"))).otherwise(
+        shared * (1 + threshold) / threshold - F.col("n") + 1e-6).alias("top"))
+
+
+def _mixed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of bands that hold several components."""
+    bands = stage(rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+                  .where("c0 < c1").select("band"), name)
+    return rows.join(bands, "band")
+
+
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, registers: int = REGISTERS,
                       bands: int = BANDS) -> DataFrame:
     """``doc_id, class_id`` for every row of ``docs`` (doc_id, text; others are ignored).
@@ -183,14 +227,27 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, registers:
     placed = stage(shared.join(part, F.col("doc_id") == F.col("node"), "left")
                    .select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("c")),
                    "placed")
-    mixed = stage(placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-                  .where("c0 < c1").select("band"), "mixed")
-    rest = stage(placed.join(mixed, "band"), "rest")
     # a pair with the hub has been compared already
-    left = rest.select("band", F.col("doc_id").alias("a"), F.col("c").alias("ca"), "hub")
-    right = rest.select("band", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    across = stage(left.join(right, "band").where("a < b and ca <> cb and a <> hub")
-                   .select("a", "b").distinct(), "across")
+    rest = stage(_mixed(placed.where("doc_id <> hub"), "mixed"), "rest")
+    for _ in range(PRUNINGS):
+        ids = stage(rest.select("doc_id").distinct(), "rest-ids")
+        bound = stage(reach(signed, texts.join(ids, "doc_id", "left_semi"), threshold), "reach")
+        sized = stage(rest.select("band", "doc_id", "c").join(
+            bound.where(F.col("top") >= F.col("n") * threshold), "doc_id"), "sized")
+        least = stage(sized.groupBy("band").agg(F.min("n").alias("least")), "least")
+        able = stage(sized.join(least, "band").where("top >= least").drop("least"), "able")
+        rest = stage(_mixed(able, "mixed"), "rest")
+    # a pair meets in the least of its bands only
+    lists = rest.groupBy("doc_id", "c", "n", "top").agg(F.sort_array(F.collect_set("band")).alias("all"))
+    spread = stage(lists.select("*", F.posexplode("all").alias("at", "band")).select(
+        "band", "doc_id", "c", "n", "top", F.slice("all", F.lit(1), F.col("at")).alias("before")),
+        "spread")
+    left, right = (spread.select("band", *[F.col(x).alias(f"{x}_{s}") for x in
+                                           ("doc_id", "c", "n", "top", "before")]) for s in "ab")
+    across = stage(left.join(right, "band").where(
+        "doc_id_a < doc_id_b and c_a <> c_b and n_a <= top_b and n_b <= top_a "
+        "and not arrays_overlap(before_a, before_b)").select(
+        F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), "across")
     marks = signed.select("doc_id", "signature")
     close = (across.join(marks.select(F.col("doc_id").alias("a"),
                                       F.col("signature").alias("a_signature")), "a")
