@@ -168,18 +168,18 @@ def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                              ["doc_id", "shingles"])
 
 
-def reach(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def reach(signed: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
     """``doc_id, n, top``: distinct shingles, and the most a partner of the threshold may have.
 
-    Only shingles that another of ``texts`` has too can be shared: with r of them, the overlap
+    Only shingles that another text of ``ids`` (repeats allowed) has too can be shared: with r of them, the overlap
     needed, threshold / (1 + threshold) of both sizes, is out of reach for a partner of more than
     r (1 + threshold) / threshold - n shingles. Ids with several texts have no bound.
     """
-    each = texts.mapInArrow(_list_shingles, "doc_id long, shingles array<long>").select(
+    each = texts.join(ids, "doc_id", "left_semi").mapInArrow(_list_shingles, "doc_id long, shingles array<long>").select(
         "doc_id", F.explode("shingles").alias("shingle"))
     own = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("doc_id"))
            .where("texts = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own")))
-    sizes = signed.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").groupBy(
+    sizes = signed.join(ids, "doc_id", "left_semi").groupBy(
         "doc_id").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     shared = F.col("n") - F.coalesce("own", F.lit(0))
     return sizes.join(own, "doc_id", "left").select("doc_id", "n", F.when(
@@ -230,8 +230,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, registers:
     # a pair with the hub has been compared already
     rest = stage(_mixed(placed.where("doc_id <> hub"), "mixed"), "rest")
     for _ in range(PRUNINGS):
-        ids = stage(rest.select("doc_id").distinct(), "rest-ids")
-        bound = stage(reach(signed, texts.join(ids, "doc_id", "left_semi"), threshold), "reach")
+        bound = stage(reach(signed, texts, rest.select("doc_id"), threshold), "reach")
         sized = stage(rest.select("band", "doc_id", "c").join(
             bound.where(F.col("top") >= F.col("n") * threshold), "doc_id"), "sized")
         least = stage(sized.groupBy("band").agg(F.min("n").alias("least")), "least")
@@ -255,7 +254,9 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, registers:
                                 F.col("signature").alias("b_signature")), "b")
              .mapInArrow(partial(_estimate, least=LEAST_ESTIMATE), "a long, b long").distinct())
     more = stage(verify(stage(close, "close"), texts, threshold), "more")
-    linked = links.select("a", "b").unionByName(more.select("a", "b"))
+    # the components found before are stars already
+    linked = part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(
+        more.select("a", "b"))
     # a document with several texts joins their classes
     same = member.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     several = member.groupBy("doc_id").agg(F.min("first").alias("f0"), F.max("first").alias("f1"))
