@@ -1,7 +1,9 @@
 """Incremental scoring: new images are scored as they arrive.
 
 Each micro-batch appends one part to the score log. The part is named after the micro-batch, so
-a replayed micro-batch replaces its own part instead of adding rows twice.
+a replayed micro-batch replaces its own part instead of adding rows twice. A sample whose metrics
+fail is logged with its errors and not tried again; a log holds one row per index and one set of
+metrics.
 """
 
 from __future__ import annotations
@@ -9,18 +11,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lehrplan.operators.image_kernels import score_images
 from lehrplan.plans.scoring import requested_metrics
-from lehrplan.sources.scores import pending, schema
+from lehrplan.sources.scores import schema
+from lehrplan.sources.staging import stage
 
 
 def read_log(spark: SparkSession, path: str, metrics: Sequence[str],
-             before: int | None = None) -> DataFrame:
-    """Scores logged so far (empty before the first part), or before a given part."""
-    fields = schema(metrics).add("part", "long")
+             before: int | None = None, errors: bool = False) -> DataFrame:
+    """Scores logged so far (empty before the first part), or before a given part; ``errors``
+    adds the map from failed metrics to their error texts."""
+    fields = schema(metrics)
+    if errors:
+        fields = fields.add("errors", T.MapType(T.StringType(), T.StringType()))
+    fields = fields.add("part", "long")
     try:
         log = spark.read.schema(fields).parquet(path)
     except AnalysisException as missing:
@@ -33,14 +40,33 @@ def read_log(spark: SparkSession, path: str, metrics: Sequence[str],
 def score_stream(images: DataFrame, path: str, checkpoint: str,
                  metrics: Sequence[str] = ("all",), options: dict | None = None
                  ) -> StreamingQuery:
-    """Score every sample of the stream once; samples already in the log are skipped."""
+    """Score every sample of the stream once; samples already in the log are skipped.
+
+    Raises if the log lacks a requested metric: score another set into a log of its own. Of
+    several images of one index in a micro-batch, the one with most scores counts, ties to the
+    least class and scores.
+    """
     metrics = requested_metrics(metrics)
+    spark = images.sparkSession
+    try:
+        logged = spark.read.parquet(path).columns
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        logged = metrics
+    if lacking := [m for m in metrics if m not in logged]:
+        raise ValueError(f"the log lacks {', '.join(lacking)}")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_log(batch.sparkSession, path, metrics, before=batch_id)
-        # the join and the deduplication move scores, not pixels
-        scored = score_images(batch, metrics, options).drop("errors")
-        (pending(scored.dropDuplicates(["index"]), earlier, metrics)
+        earlier = read_log(batch.sparkSession, path, metrics, before=batch_id).select("index")
+        # ids first: known images are neither scored nor moved while the list of new ids is small
+        ids = stage(batch.select("index").distinct().join(earlier, "index", "left_anti"), "new-ids")
+        scored = score_images(batch.join(ids, "index", "left_semi"), metrics, options)
+        missing = sum((F.col(f"`{m}`").isNull().cast("int") for m in metrics), F.lit(0))
+        rest = ["class", *metrics]
+        order = F.struct(missing, *[F.col(f"`{c}`") for c in rest])
+        row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in (*rest, "errors")]), order)
+        (scored.groupBy("index").agg(row.alias("row")).select("index", "row.*")
          .write.mode("overwrite").parquet(f"{path}/part={batch_id}"))
 
     return (images.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -76,6 +76,23 @@ def test_scoring_each_sample_once(spark):
     assert got.count() == 7 and got.exceptAll(want).count() == 0
 
 
+def test_failed_samples_are_logged_once(spark):
+    images = frame(spark, [np.random.default_rng(i).random((1, 6, 6)) for i in range(3)])
+    broken = images.withColumn("data", F.when(F.col("index") == 1, F.slice("data", 1, 5))
+                               .otherwise(F.col("data")))
+    land, out, mark = (staging_path(spark, n) for n in ("land", "out", "marks"))
+    for _ in range(2):  # the second wave repeats all samples
+        broken.write.mode("append").parquet(land)
+        SS.score_stream(spark.readStream.schema(IMAGE).parquet(land), out, mark,
+                        ["color-variance"]).awaitTermination()
+    got = {r["index"]: r for r in SS.read_log(spark, out, ["color-variance"], errors=True).collect()}
+    assert SS.read_log(spark, out, ["color-variance"]).count() == len(got) == 3
+    assert got[1]["color-variance"] is None and "color-variance" in got[1]["errors"]
+    assert got[0]["color-variance"] is not None and not got[0]["errors"]
+    with pytest.raises(ValueError, match="edge-density"):
+        SS.score_stream(spark.readStream.schema(IMAGE).parquet(land), out, mark, ["edge-density"])
+
+
 def test_running_distributions(spark, scores):
     land, out, mark = (staging_path(spark, n) for n in ("land", "out", "marks"))
     for part in ("index < 9", "index >= 9"):
