@@ -25,7 +25,10 @@ def requested_metrics(requested: Sequence[str]) -> list[str]:
     known, unknown = METRICS.split(requested)
     if unknown:
         log.warning("unknown metrics ignored: %s", ", ".join(unknown))
-    return [m for m in known if m in image_metric_ids()]
+    images = image_metric_ids()
+    if others := [m for m in known if m not in images]:
+        log.warning("metrics that images alone do not give ignored: %s", ", ".join(others))
+    return [m for m in known if m in images]
 
 
 def score_missing(images: DataFrame, scores: DataFrame, metrics: Sequence[str] = ("all",),

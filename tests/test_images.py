@@ -329,3 +329,8 @@ def test_score_sample(spark):
     assert report["color-variance"] == 0.0 and "luma needs" in report["edge-density"]
     text = scoring.score_sample(images, 0, ["color-variance", "edge-density"]).first()["report"]
     assert json.loads(text) == {"color-variance": 0.0, "edge-density": 0.0}
+
+
+def test_metrics_of_other_kinds_are_reported(caplog):
+    assert scoring.requested_metrics(["convergence-time", "edge-density"]) == ["edge-density"]
+    assert "convergence-time" in caplog.text
