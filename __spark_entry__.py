@@ -183,6 +183,23 @@ def metric_distributions(spark, d):
     return rounded(D.distributions(stored, METRICS), 5)
 
 
+@query
+def metric_distributions_brackets(spark, d):
+    """A sample smaller than the table: quantiles from the values between sampled brackets."""
+    stored = stage(T.scores_orders(spark, d), "scores")
+    return rounded(D.distributions(stored, METRICS, sample_rows=1000), 5)
+
+
+@query
+def distributions_csv(spark, d):
+    """Statistics written as CSV, a folder per metric, and read back."""
+    path = staging_path(spark, "distributions")
+    table = metric_distributions(spark, d)
+    reports.write_distributions(table, path)
+    fields = ", ".join(f"{n} {kind}" for n, kind in table.dtypes)
+    return reports.read_distributions(spark, path, fields)
+
+
 @query
 def metric_distributions_part(spark, d):
     return rounded(D.distributions(T.scores_part(spark, d)), 5)
@@ -340,6 +357,14 @@ def scores_load(spark, d):
     return SC.load_scores(spark, path, "orders", 2)
 
 
+@query
+def scores_csv(spark, d):
+    path = staging_path(spark, "scores-csv")
+    T.scores_orders(spark, d).select("index", "class", *METRICS).write.option(
+        "header", "true").csv(path)
+    return SC.read_scores_csv(spark, path, METRICS)
+
+
 @query
 def score_select(spark, d):
     return SC.select_metrics(T.scores_orders(spark, d), ["total_price", "no_such", "avg_tax"])
@@ -586,6 +611,22 @@ def score_dataset(spark, d):
                                             "object-count")), 8)
 
 
+@query
+def score_histories(spark, d):
+    """Scores from training histories join those from images; an image without a history of its
+    own keeps a gap."""
+    path = staging_path(spark, "history-scores")
+    corpus = T.images(spark, d)
+    metrics = ["color-variance", "convergence-time", "saturation-time"]
+    scoring.score_dataset(spark, corpus, path, "embeddings", metrics=metrics[:1])
+    table = scoring.score_dataset(
+        spark, corpus, path, "embeddings", metrics=metrics, history=T.history(spark, d),
+        layer_history=T.layer_history(spark, d),
+        options={"convergence-time": {"threshold": 40.0, "window": 5},
+                 "saturation-time": {"threshold": 60.0, "window": 3}})
+    return rounded(underscored(table.select("index", "class", *metrics)), 8)
+
+
 # Histories --------------------------------------------------------------------------------
 
 @query
@@ -935,4 +976,4 @@ def stream_distributions(spark, d):
     scores.write.parquet(land)
     stream = spark.readStream.schema(scores.schema).parquet(land)
     SD.distribution_stream(stream, METRICS, out, mark).awaitTermination()
-    return rounded(spark.read.parquet(out), 5)
+    return rounded(SD.latest_distributions(spark, out), 5)

@@ -360,17 +360,20 @@ def image_metric_ids() -> list[str]:
 
 
 def score_images(images: DataFrame, metrics: Sequence[str] | None = None,
-                 options: dict[str, dict] | None = None) -> DataFrame:
+                 options: dict[str, dict] | None = None, wanted: str | None = None) -> DataFrame:
     """``index, class, <metric> double..., errors map``: all metrics in one pass, no shuffle.
 
-    ``options`` overrides metric parameters: ``{"edge-density": {"low": 50}}``.
+    ``options`` overrides metric parameters: ``{"edge-density": {"low": 50}}``. ``wanted`` names
+    an array column with the metrics to compute for a row; the others stay missing.
     """
     metrics = list(metrics or image_metric_ids())
     kernels = {m: METRICS.get(m).build for m in metrics}
     options = options or {}
     kept = images.select("index", F.col("class").cast("string").alias("class"),
                          *[F.col(n).cast("int").alias(n) for n in "chw"],
-                         F.col("data").cast("array<float>").alias("data"))
+                         F.col("data").cast("array<float>").alias("data"),
+                         (F.col(wanted) if wanted else F.lit(None)).cast("array<string>")
+                         .alias("wanted"))
     text = pa.map_(pa.string(), pa.string())
     schema = pa.schema([("index", pa.int64()), ("class", pa.string()),
                         *[(m, pa.float64()) for m in metrics], ("errors", text)])
@@ -379,14 +382,19 @@ def score_images(images: DataFrame, metrics: Sequence[str] | None = None,
         for batch in batches:
             shapes, rows = image_arrays(batch)
             scores = {m: np.full(len(rows), np.nan) for m in metrics}
-            errors = [dict.fromkeys(metrics, "unusable image") if s[0] < 0 else {}
-                      for s in shapes]
+            asked = [tuple(metrics if names is None else [m for m in metrics if m in names])
+                     for names in batch.column("wanted").to_pylist()]
+            errors = [dict.fromkeys(names, "unusable image") if s[0] < 0 else {}
+                      for s, names in zip(shapes, asked)]
             for members, data in stacks(shapes, rows):
-                found, failed = run_kernels(data, kernels, options)
-                for m in metrics:
-                    scores[m][members] = found[m].astype(float)
-                for i, e in zip(members, failed):
-                    errors[i].update(e)
+                for names in dict.fromkeys(asked[i] for i in members):
+                    part = np.array([asked[i] == names for i in members])
+                    found, failed = run_kernels(data if part.all() else data[part],
+                                                {m: kernels[m] for m in names}, options)
+                    for m in names:
+                        scores[m][members[part]] = found[m].astype(float)
+                    for i, e in zip(members[part], failed):
+                        errors[i].update(e)
             columns = [batch.column("index").cast(pa.int64()), batch.column("class")]
             columns += [pa.array(np.where(np.isfinite(scores[m]), scores[m], np.nan),
                                  from_pandas=True) for m in metrics]

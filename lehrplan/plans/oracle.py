@@ -711,3 +711,13 @@ ORACLE["score_all_native"] = ORACLE["score_all_kernels"] = ORACLE["stream_scorin
 
 ORACLE["rank_cached_weighted"] = ORACLE["rank_weighted"]
 ORACLE["rank_cached_inverted"] = ORACLE["rank_normalized_mean"]
+ORACLE["metric_distributions_brackets"] = ORACLE["metric_distributions"]
+ORACLE["distributions_csv"] = ORACLE["metric_distributions"]
+ORACLE["scores_csv"] = f"WITH {SO} SELECT index, class, " + ", ".join(
+    f"CAST({m} AS DOUBLE) AS {m}" for m in METRICS) + " FROM so"
+ORACLE["score_histories"] = f"""WITH {PX}, vr AS (SELECT index, any_value(label) AS label,
+    var_samp(CAST(v AS DOUBLE)) AS cv FROM px GROUP BY index)
+  SELECT index, CAST(label AS VARCHAR) AS class, round(cv, 8) AS color_variance,
+    c.value AS convergence_time, s.value AS saturation_time FROM vr
+  LEFT JOIN ({ORACLE["h_convergence_time"]}) c USING (index)
+  LEFT JOIN ({ORACLE["h_saturation_time"]}) s USING (index)"""

@@ -1,4 +1,4 @@
-"""Score a corpus: images -> score table, only where scores are missing."""
+"""Score a corpus: images and training histories -> score table, only where scores are missing."""
 
 from __future__ import annotations
 
@@ -8,53 +8,105 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import lehrplan.operators.history  # noqa: F401  (registers its metrics)
+from lehrplan.functions.columns import named
 from lehrplan.operators.image_kernels import image_metric_ids, score_images
 from lehrplan.registry import METRICS
 from lehrplan.sources.reports import sample_report
-from lehrplan.sources.scores import load_scores, pending, save_scores, upsert, with_metrics
+from lehrplan.sources.scores import (load_errors, load_scores, save_errors, save_scores, upsert,
+                                     with_metrics)
 from lehrplan.sources.staging import stage
 
 log = logging.getLogger("lehrplan")
 
 
-def requested_metrics(requested: Sequence[str]) -> list[str]:
-    """Known image metrics among the requested ids (``all`` = every one); others are reported
-    and dropped."""
+def requested_metrics(requested: Sequence[str], inputs: Sequence[str] = ("images",)) -> list[str]:
+    """Known metrics among the requested ids (``all`` = every one) that the given kinds of input
+    allow; others are reported and dropped."""
+    allowed = [m for m in METRICS.ids() if METRICS.get(m).config.get("input") in inputs]
     if list(requested) == ["all"]:
-        return image_metric_ids()
+        return allowed
     known, unknown = METRICS.split(requested)
     if unknown:
         log.warning("unknown metrics ignored: %s", ", ".join(unknown))
-    images = image_metric_ids()
-    if others := [m for m in known if m not in images]:
-        log.warning("metrics that images alone do not give ignored: %s", ", ".join(others))
-    return [m for m in known if m in images]
+    if others := [m for m in known if m not in allowed]:
+        log.warning("metrics that %s alone do not give ignored: %s", " and ".join(inputs),
+                    ", ".join(others))
+    return [m for m in known if m in allowed]
 
 
-def score_missing(images: DataFrame, scores: DataFrame, metrics: Sequence[str] = ("all",),
-                  options: dict | None = None) -> DataFrame:
-    """Updated score table: samples lacking a requested metric are scored and merged in."""
-    metrics = requested_metrics(metrics)
-    # ids first: while few samples are left, the images are filtered without being moved
-    ids = stage(pending(images.select("index"), scores, metrics), "pending")
-    todo = images.join(ids, "index", "left_semi")
-    return upsert(scores, score_images(todo, metrics, options).drop("errors"))
+def missing_metrics(images: DataFrame, scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """``index, wanted``: samples that lack some of the metrics, or are not in the table."""
+    lacking = F.array_compact(F.array(*[F.when(named(m).isNull(), F.lit(m)) for m in metrics]))
+    known = with_metrics(scores, metrics).select(
+        "index", lacking.cast("array<string>").alias("wanted"))
+    everything = F.array(*[F.lit(m) for m in metrics]).cast("array<string>")
+    new = F.col("wanted").isNull()
+    return (images.select("index").distinct().join(known, "index", "left")
+            .where(new | (F.size("wanted") > 0))
+            .select("index", F.coalesce("wanted", everything).alias("wanted")))
+
+
+def score_wanted(images: DataFrame, metrics: Sequence[str], options: dict | None = None,
+                 histories: dict[str, DataFrame] | None = None, ids: DataFrame | None = None
+                 ) -> DataFrame:
+    """``index, class, <metric> double..., errors map`` of all samples, or of ``ids(index,
+    wanted)`` with the wanted metrics only. ``histories`` holds the tables ``history`` and
+    ``layer_history`` for the metrics that read them."""
+    rows = images if ids is None else images.select(
+        "index", "class", "c", "h", "w", "data").join(ids, "index")
+    pictures = [m for m in metrics if m in image_metric_ids()]
+    scored = score_images(rows, pictures, options, None if ids is None else "wanted") \
+        if pictures else rows.select("index", F.col("class").cast("string").alias("class"),
+                                     F.create_map().cast("map<string,string>").alias("errors"))
+    for m in metrics:
+        if m not in pictures:
+            series = histories[METRICS.get(m).config["input"]]
+            if ids is not None:
+                series = series.join(ids.where(F.array_contains("wanted", m)), "index",
+                                     "left_semi")
+            found = METRICS.get(m).build(series, **(options or {}).get(m, {}))
+            scored = scored.join(found.select("index", F.col("value").alias(m)), "index", "left")
+    return scored.select("index", "class", *[named(m) for m in metrics], "errors")
 
 
 def score_dataset(spark: SparkSession, images: DataFrame, path: str, dataset: str,
                   seed: int = 1, metrics: Sequence[str] = ("all",),
-                  options: dict | None = None) -> DataFrame:
-    """Resume or start the stored score table of a corpus and return it."""
+                  options: dict | None = None, history: DataFrame | None = None,
+                  layer_history: DataFrame | None = None) -> DataFrame:
+    """Resume or start the stored score table of a corpus and return it.
+
+    A sample's stored scores are not computed again; nothing is written when none is missing.
+    What failed is stored with its error text (`load_errors`), its score stays missing and is
+    tried again by the next call.
+    """
+    histories = {name: table for name, table in (("history", history),
+                                                 ("layer_history", layer_history))
+                 if table is not None}
+    metrics = requested_metrics(metrics, ["images", *histories])
     try:
         scores = load_scores(spark, path, dataset, seed)
-        table = score_missing(images, scores, metrics, options)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         # nothing scored yet: one map over the images
-        table = with_metrics(score_images(images, requested_metrics(metrics), options)
-                             .drop("errors"), requested_metrics(metrics))
+        found = stage(score_wanted(images, metrics, options, histories), "scored")
+        table, tried = with_metrics(found.drop("errors"), metrics), None
+    else:
+        # ids first: while few samples are left, the images are filtered without being moved
+        ids = stage(missing_metrics(images, scores, metrics), "pending")
+        if ids.isEmpty():
+            return with_metrics(scores, metrics)
+        found = stage(score_wanted(images, metrics, options, histories, ids), "scored")
+        table = upsert(scores, found.drop("errors"))
+        tried = ids.select("index", F.explode("wanted").alias("metric"))
     save_scores(table, path, dataset, seed)
+    errors = found.select("index", F.explode("errors").alias("metric", "error"))
+    if tried is not None:
+        earlier = load_errors(spark, path, dataset, seed).join(tried, ["index", "metric"],
+                                                               "left_anti")
+        errors = earlier.unionByName(errors)
+    save_errors(errors, path, dataset, seed)
     return load_scores(spark, path, dataset, seed)
 
 

@@ -17,9 +17,12 @@ from lehrplan.sources.staging import stage
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def planes(data: pd.Series, c: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """Interleaved BGR(A) bytes to RGB planes in [0, 1]."""
+    """Interleaved BGR(A) bytes to RGB planes in [0, 1]; NULL for a file that is no image."""
     out = []
     for raw, channels, height, width in zip(data, c, h, w):
+        if raw is None or channels <= 0:
+            out.append(None)
+            continue
         pixels = np.frombuffer(raw, dtype=np.uint8).reshape(height, width, channels)
         if channels >= 3:
             pixels = pixels[:, :, [2, 1, 0, *range(3, channels)]]
@@ -33,9 +36,11 @@ def plain_path(path: Column) -> Column:
 
 
 def decoded(spark: SparkSession, path: str) -> DataFrame:
-    """Image files (PNG, JPEG, ...) decoded by Spark's own reader: ``origin, c, h, w, bytes``."""
+    """Image files (PNG, JPEG, ...) decoded by Spark's own reader: ``origin, c, h, w, bytes``.
+
+    A file that is no image keeps its row, with sizes of -1; scoring it gives errors."""
     i = F.col("image")
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select(
+    return spark.read.format("image").load(path).select(
         plain_path(i["origin"]).alias("origin"), i["nChannels"].alias("c"),
         i["height"].alias("h"), i["width"].alias("w"), i["data"].alias("bytes"))
 
@@ -103,14 +108,15 @@ def corpus_facts(images: DataFrame) -> DataFrame:
     return images.groupBy("split").agg(
         F.count(F.lit(1)).alias("size"), F.count_distinct("class").cast("int")
         .alias("num_classes"),
-        *[F.min(n).alias(name) for n, name in
+        *[F.min(F.when(F.col(n) > 0, F.col(n))).alias(name) for n, name in
           (("c", "channels"), ("h", "height"), ("w", "width"))])
 
 
 def stored_compression(spark: SparkSession, path: str) -> DataFrame:
     """Raw size over file size for images already stored compressed; no codec involved."""
     shapes = decoded(spark, path).select(
-        "origin", (F.col("h") * F.col("w") * F.col("c")).cast("double").alias("_raw"))
+        "origin", F.when(F.col("c") > 0, F.col("h") * F.col("w") * F.col("c")).cast("double")
+        .alias("_raw"))
     files = spark.read.format("binaryFile").load(path).select(
         plain_path(F.col("path")).alias("origin"), "length")
     return shapes.join(files, "origin").select(

@@ -17,6 +17,11 @@ def write_distributions(table: DataFrame, path: str) -> None:
      .option("header", "true").csv(path))
 
 
+def read_distributions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Statistics written by `write_distributions`; the metric comes from the folder."""
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+
+
 def append_runs(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Append run records that are not in the table yet (the first call creates it)."""
     try:

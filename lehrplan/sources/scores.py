@@ -52,18 +52,46 @@ def partition(path: str, dataset: str, seed: int) -> str:
     return f"{path}/dataset={dataset}/seed={seed}"
 
 
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The last version below a folder that was written to its end; 0 if there is none."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=0)
+
+
+def save_version(table: DataFrame, folder: str) -> None:
+    """Write the next version; ``table`` may read the last one, which stays until it is expired."""
+    number = last_version(table.sparkSession, folder) + 1
+    table.write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+
 def save_scores(scores: DataFrame, path: str, dataset: str, seed: int) -> str:
     """Replace one (dataset, seed) partition; other partitions are untouched."""
     target = partition(path, dataset, seed)
-    (scores.withColumns({"dataset": F.lit(dataset), "seed": F.lit(seed)})
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset", "seed").parquet(path))
+    save_version(scores, target)
     return target
 
 
 def load_scores(spark: SparkSession, path: str, dataset: str, seed: int) -> DataFrame:
     """One partition of the table, with its own metric columns; no other folder is listed."""
-    return spark.read.parquet(partition(path, dataset, seed))
+    target = partition(path, dataset, seed)
+    return spark.read.parquet(f"{target}/version={last_version(spark, target)}")
+
+
+ERRORS = "index long, metric string, error string"
+
+
+def save_errors(errors: DataFrame, path: str, dataset: str, seed: int) -> None:
+    """Store ``index, metric, error`` of what failed, beside the scores."""
+    save_version(errors, partition(f"{path.rstrip('/')}-errors", dataset, seed))
+
+
+def load_errors(spark: SparkSession, path: str, dataset: str, seed: int) -> DataFrame:
+    """``index, metric, error`` of what failed so far (empty before the first run)."""
+    target = partition(f"{path.rstrip('/')}-errors", dataset, seed)
+    number = last_version(spark, target)
+    return spark.read.schema(ERRORS).parquet(f"{target}/version={number}") if number \
+        else spark.createDataFrame([], ERRORS)
 
 
 def read_scores_csv(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataFrame:

@@ -123,13 +123,14 @@ def stream_readiness(steps: DataFrame, window: int) -> DataFrame:
 
 def pacing_stream(telemetry: DataFrame, runs: DataFrame, total_epochs: int, path: str,
                   checkpoint: str, start_fraction: float = 0.3, window: int = 5,
-                  partitions: int | None = None) -> StreamingQuery:
+                  partitions: int | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Emit ``run, epoch, n_active`` to ``{path}/orders`` as epochs close.
 
     ``telemetry`` has the `TELEMETRY` columns: batch reports, and one summary per epoch with
     ``batch_idx`` missing, which closes the epoch. ``{path}/steps`` holds the summed steps and
     the count of late reports. ``partitions`` sets the number of state partitions, which stays
-    for the life of the checkpoint.
+    for the life of the checkpoint. ``trigger`` holds the arguments of
+    ``DataStreamWriter.trigger``; by default the stream ends when all that is there has been read.
     """
     keyed = telemetry.withColumn("batch_idx", F.coalesce("batch_idx", F.lit(-1)))
     steps = keyed.groupBy("run", "batch_idx").transformWithStateInPandas(
@@ -165,7 +166,8 @@ def pacing_stream(telemetry: DataFrame, runs: DataFrame, total_epochs: int, path
         for key, value in settings.items():
             conf.set(key, value)
         return (steps.writeStream.outputMode("append").foreachBatch(close_epochs)
-                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+                .option("checkpointLocation", checkpoint)
+                .trigger(**trigger or {"availableNow": True}).start())
     finally:
         for key, value in before.items():
             conf.set(key, value)

@@ -38,10 +38,13 @@ def read_log(spark: SparkSession, path: str, metrics: Sequence[str],
 
 
 def score_stream(images: DataFrame, path: str, checkpoint: str,
-                 metrics: Sequence[str] = ("all",), options: dict | None = None
-                 ) -> StreamingQuery:
+                 metrics: Sequence[str] = ("all",), options: dict | None = None,
+                 trigger: dict | None = None) -> StreamingQuery:
     """Score every sample of the stream once; samples already in the log are skipped.
 
+    ``trigger`` holds the arguments of ``DataStreamWriter.trigger``; by default the stream ends
+    when all that is there has been read.
+
     Raises if the log lacks a requested metric: score another set into a log of its own. Of
     several images of one index in a micro-batch, the one with most scores counts, ties to the
     least class and scores.
@@ -70,4 +73,4 @@ def score_stream(images: DataFrame, path: str, checkpoint: str,
          .write.mode("overwrite").parquet(f"{path}/part={batch_id}"))
 
     return (images.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**trigger or {"availableNow": True}).start())

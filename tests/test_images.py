@@ -322,6 +322,54 @@ def test_score_dataset_resumes(spark):
     assert left.count() == 0
 
 
+def test_stored_scores_and_errors(spark):
+    """A stored score is not computed again; a failure is stored and tried again."""
+    path = staging_path(spark, "errors")
+    images = frame(spark, [np.random.default_rng(i).random((1, 6, 6)) for i in range(3)])
+    broken = images.withColumn("data", F.when(F.col("index") != 1, F.col("data")))
+    names = ["color-variance", "spatial-frequency"]
+    first = scoring.score_dataset(spark, broken, path, "d", metrics=names[:1])
+    SC.save_scores(first.withColumn(names[0], F.when(F.col("index") != 1, 123.0)), path, "d", 1)
+    rows = {r["index"]: r for r in scoring.score_dataset(spark, broken, path, "d",
+                                                         metrics=names).collect()}
+    assert [rows[i][names[0]] for i in range(3)] == [123.0, None, 123.0]
+    assert rows[0][names[1]] is not None and rows[1][names[1]] is None
+    failed = SC.load_errors(spark, path, "d", 1)
+    assert {(r["index"], r["metric"]) for r in failed.collect()} == {(1, n) for n in names}
+    scoring.score_dataset(spark, images, path, "d", metrics=names)
+    assert SC.load_errors(spark, path, "d", 1).count() == 0
+    folder = SC.partition(path, "d", 1)
+    done = SC.last_version(spark, folder)
+    table = scoring.score_dataset(spark, images, path, "d", metrics=names)
+    assert table.count() == 3 and SC.last_version(spark, folder) == done  # nothing was missing
+
+
+def test_all_metrics_with_histories(spark):
+    path = staging_path(spark, "nine")
+    images = frame(spark, [np.random.default_rng(i).random((1, 8, 8)) for i in range(2)])
+    history = spark.createDataFrame([(0, i, 1.0 / i) for i in range(1, 9)],
+                                    "index long, iteration int, loss double")
+    layers = spark.createDataFrame([(0, "a", i, 0.5 ** i) for i in range(1, 9)],
+                                   "index long, layer string, iteration int, delta double")
+    table = scoring.score_dataset(spark, images, path, "d", history=history, layer_history=layers)
+    rows = {r["index"]: r for r in table.collect()}
+    assert set(table.columns[2:]) == set(METRICS.ids()) and len(rows) == 2
+    assert rows[0]["convergence-time"] == 8.0 and rows[1]["convergence-time"] is None
+    again = scoring.score_dataset(spark, images, path, "d", metrics=["all"], history=history)
+    assert again.exceptAll(table).count() == 0
+
+
+def test_files_that_are_no_images(spark, tmp_path):
+    write_png(tmp_path / "train" / "cat" / "a.png", np.full((4, 5, 3), 9, dtype=np.uint8))
+    (tmp_path / "train" / "cat" / "b.png").write_bytes(b"no image")
+    corpus = SI.load_corpus(spark, "cifar-10", str(tmp_path))
+    rows = {r["index"]: r for r in K.score_images(corpus, ["color-variance"]).collect()}
+    assert rows[0]["color-variance"] == 0.0 and not rows[0]["errors"]
+    assert rows[1]["color-variance"] is None and rows[1]["errors"]
+    facts = SI.corpus_facts(corpus).first()
+    assert (facts["size"], facts["channels"], facts["height"], facts["width"]) == (2, 3, 4, 5)
+
+
 def test_score_sample(spark):
     images = frame(spark, [np.ones((3, 8, 8)), np.ones((2, 8, 8))])
     text = scoring.score_sample(images, 1, ["color-variance", "edge-density"]).first()["report"]

@@ -99,7 +99,7 @@ def test_running_distributions(spark, scores):
         scores.where(part).write.mode("append").parquet(land)
         SD.distribution_stream(spark.readStream.schema(scores.schema).parquet(land),
                                ["edge-density"], out, mark).awaitTermination()
-    got = spark.read.parquet(out).toPandas().sort_values("scope").reset_index(drop=True)
+    got = SD.latest_distributions(spark, out).toPandas().sort_values("scope").reset_index(drop=True)
     want = D.distributions(scores, ["edge-density"]).toPandas().sort_values("scope")
     for c in ("count", "mean", "maximum", "minimum", "std"):
         np.testing.assert_allclose(got[c], want[c])
