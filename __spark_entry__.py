@@ -578,7 +578,7 @@ def m_wavelet_db2(spark, d):
 
 @query
 def m_sobel_magnitude(spark, d):
-    return M.sobel(shifted_images(spark, d))
+    return K.sobel_table(shifted_images(spark, d))
 
 
 @query

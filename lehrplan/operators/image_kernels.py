@@ -406,6 +406,34 @@ def score_images(images: DataFrame, metrics: Sequence[str] | None = None,
     return kept.mapInArrow(score, fields)
 
 
+def sobel_table(images: DataFrame) -> DataFrame:
+    """``index, y, x, gx, gy, magnitude`` of the byte image's luma, without a shuffle; unusable
+    images have no pixels."""
+    kept = images.select("index", *[F.col(n).cast("int").alias(n) for n in "chw"],
+                         F.col("data").cast("array<float>").alias("data"))
+    planes = pa.list_(pa.int32())
+    schema = pa.schema([("index", pa.int64()), ("w", pa.int32()), ("gx", planes), ("gy", planes)])
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes, rows = image_arrays(batch)
+            found: list = [[None] * len(rows), [None] * len(rows)]
+            for members, data in stacks(shapes, rows):
+                for out, slope in zip(found, sobel_stack(Stack(data, {}).byte_gray)):
+                    flat = slope.reshape(len(members), -1).astype(np.int32)
+                    for i, values in zip(members, flat):
+                        out[i] = values
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("index").cast(pa.int64()), batch.column("w"),
+                 *[pa.array(out, type=planes) for out in found]], schema=schema)
+
+    table = kept.mapInArrow(slopes, "index long, w int, gx array<int>, gy array<int>")
+    pixel = table.select("index", "w", F.posexplode(F.arrays_zip("gx", "gy")).alias("p", "e"))
+    return pixel.select("index", F.expr("cast(p div w as int)").alias("y"),
+                        F.expr("cast(p % w as int)").alias("x"), "e.gx", "e.gy",
+                        (F.abs("e.gx") + F.abs("e.gy")).alias("magnitude"))
+
+
 def wavelet_table(images: DataFrame, wavelet: str = "db2", level: int | None = None
                   ) -> DataFrame:
     """``index, levels array<double>, energy, entropy``: one transform for both metrics, which

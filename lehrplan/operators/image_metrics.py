@@ -36,11 +36,6 @@ def pixels(images: DataFrame) -> DataFrame:
                        F.col("v").cast("double").alias("v"))
 
 
-def gray_pixels(images: DataFrame) -> DataFrame:
-    """``index, y, x, v`` with the channel mean."""
-    return pixels(images).groupBy("index", "y", "x").agg(F.avg("v").alias("v"))
-
-
 def sobel(images: DataFrame) -> DataFrame:
     """``index, y, x, gx, gy, magnitude`` of the byte image's luma: 3x3 Sobel with replicated
     borders and L1 magnitude, as windows over the pixel relation."""
