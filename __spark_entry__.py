@@ -187,7 +187,7 @@ def metric_distributions(spark, d):
 def metric_distributions_brackets(spark, d):
     """A sample smaller than the table: quantiles from the values between sampled brackets."""
     stored = stage(T.scores_orders(spark, d), "scores")
-    return rounded(D.distributions(stored, METRICS, sample_rows=1000), 5)
+    return rounded(D.distributions(stored, METRICS, sample_rows=10_000), 5)
 
 
 @query
