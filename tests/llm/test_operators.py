@@ -169,6 +169,19 @@ def test_near_duplicates_across_components(spark):
     assert got == B.near_duplicates(list(enumerate(texts)))
 
 
+def test_near_duplicates_with_repeated_extras(spark):
+    """The extra shingles repeat inside the longer text; distinct ones still reach the threshold."""
+    docs = []
+    for group in range(20):
+        shared = [f"g{group}w{i}" for i in range(404)]
+        docs.append((2 * group, " ".join(shared)))
+        docs.append((2 * group + 1, " ".join(shared + [f"g{group}x{i}" for i in range(96)] * 50)))
+    got = {r["doc_id"]: r["class_id"] for r in near.duplicate_classes(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = B.near_duplicates(docs)
+    assert set(want.values()) == set(range(0, 40, 2)) and got == want
+
+
 def test_signature_estimates_probability_jaccard():
     draw = np.random.default_rng(5)
     keys = np.sort(draw.choice(1 << 50, 400, replace=False).astype(np.uint64))
