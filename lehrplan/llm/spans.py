@@ -4,7 +4,11 @@ From every sentence the shortest run of at least two sentences and 25 words, for
 backwards, is hashed; runs that start at every sentence slide over the whole text, and a
 repeated passage is covered by runs that lie inside it. Hashes are grouped over the corpus with
 their first place, the repeated ones are joined back, and every sentence inside a run that is
-not the first of its kind is removed. A sentence of more than 25 words counts as several.
+not the first of its kind is removed. A sentence of more than 25 words counts as several: it is
+cut before the word that makes the least hash with the word before it, in every window of eight
+words. So the words themselves choose the cuts, equal passages get equal ones but near their
+ends, and a passage of 55 words is found wherever it stands in its sentence. (Where a window
+holds its least hash twice, as in loops of few words, the first found is kept while it can be.)
 """
 
 from __future__ import annotations
@@ -22,10 +26,32 @@ from lehrplan.sources.staging import stage
 
 SENTENCES = 2
 WORDS = 25
+WINDOW = 8
 _END = re.compile(r"[.!?。！？]+[\"')\]”»]*\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+def _cuts(words: list[str], window: int = WINDOW) -> list[int]:
+    """Words of a long sentence that begin a part: no part has more than ``window`` words."""
+    values = [0, *(xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:]))]
+
+    def least(first: int, stop: int) -> int:
+        part = values[first:stop]
+        return stop - 1 - part[::-1].index(min(part))
+
+    at = least(1, 1 + window)
+    out = [at]
+    for k in range(1 + window, len(words)):
+        if values[k] < values[at]:
+            at = k
+        elif k - at >= window:
+            at = least(k - window + 1, k + 1)
+        else:
+            continue
+        out.append(at)
+    return out
+
+
 def sentences(text: str, longest: int = WORDS) -> list[tuple[int, int, list[str]]]:
     """Start, end (code points, with the space behind) and words of all sentences of a text."""
     out = []
@@ -41,8 +67,8 @@ def sentences(text: str, longest: int = WORDS) -> list[tuple[int, int, list[str]
             out.append((at, stop, words))
         else:
             ends = [m.end() for m in _WORD.finditer(text, at, stop)]
-            for first in range(0, len(words), longest):
-                last = min(first + longest, len(words))
+            cuts = [0, *_cuts(words, min(longest, WINDOW)), len(words)]
+            for first, last in zip(cuts, cuts[1:]):
                 end = stop if last == len(words) else ends[last - 1]
                 out.append((at, end, words[first:last]))
                 at = end

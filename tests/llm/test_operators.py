@@ -219,6 +219,31 @@ def test_sentences_cover_the_text():
             assert set().union(*(range(i, j) for i, j in found)) == set(range(len(counts)))
 
 
+def test_long_sentences_are_cut_by_their_words(spark):
+    passage = " ".join(f"t{i}" for i in range(60))
+    docs = [(6, "lead in words " + passage), (7, "x. " + passage),
+            (8, " ".join(f"a{i}" for i in range(37)) + f" {passage} " + " ".join(f"b{i}" for i in range(41)))]
+    got = {r["doc_id"]: r for r in spans.remove_repeated(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = {i: r["kept"].split() for i, r in got.items()}
+    assert got[6]["kept"] == docs[0][1]
+    assert left[7][0] == "x." and 25 <= 61 - len(left[7]) <= 60
+    own = [w for w in docs[2][1].split() if w[0] != "t"]
+    assert [w for w in left[8] if w[0] != "t"] == own and len(left[8]) <= 138 - 25
+
+
+def test_every_shared_passage_of_55_words_is_found():
+    draw = np.random.default_rng(8)
+    for trial in range(200):
+        passage = [f"p{trial}w{i}" for i in range(55)]
+        names = []
+        for side in "ab":
+            before, behind = ([f"{side}{x}{i}" for i in range(draw.integers(0, 60))] for x in "uv")
+            parts = [w for _, _, w in spans.sentences(" ".join(before + passage + behind))]
+            names.append({tuple(sum(parts[i:j], [])) for i, j in spans.runs([len(w) for w in parts])})
+        assert names[0] & names[1], trial
+
+
 def test_language(odd, rows, empty, spark):
     model = language.train(odd.where(~queries.held_out()))
     got = language.identify(odd.withColumn("held", queries.held_out()), model,
