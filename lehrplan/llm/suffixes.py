@@ -218,11 +218,13 @@ def _scan(new: pa.Table, level: pa.Table | None, width: int) -> pa.Table:
     lone = _take(rows, stretch)
     group = np.cumsum(gram[stretch]) - 1
     several = np.bincount(group)[group] > 1
-    flagged = np.bincount(group, weights=lone["open"])[group] > 0
+    # marks may stand in rows that equal an older one, which heads their stretch
+    every = np.cumsum(gram) - 1
+    flagged = np.bincount(every, weights=rows["open"])[group] > 0
     is_open = several | flagged
     theirs = np.bincount(group, weights=~lone["mine"])[group]
     known = np.bincount(group, weights=lone["open"] * ~lone["mine"])[group]
-    mixed = np.bincount(group, weights=lone["mine"])[group] > 0
+    mixed = np.bincount(every, weights=rows["mine"])[group] > 0
     emit = is_open & np.where(lone["mine"], True, mixed & (theirs == 1) & (known == 0))
     lone["open"] = np.where(is_open, 1, lone["open"]).astype(np.uint8)
     found = [(bucket, kind, blob) for kind, part, fields in

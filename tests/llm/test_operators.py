@@ -360,6 +360,28 @@ def test_repeated_bytes_in_open_grams(spark, monkeypatch):
             for r in got} == want
 
 
+def test_repeated_bytes_of_a_chunk_with_many_stretches(spark):
+    """An earlier level holds the one stretch that a chunk keeps of a gram with over FEW."""
+    draw = np.random.default_rng(25)
+    word = lambda n: bytes(draw.integers(97, 123, n, dtype=np.uint8)).decode()
+    common = word(110)
+    texts = [word(100) + common + word(100) for _ in range(100)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = suffixes.anchors(suffixes.A.Block(0, data, np.arange(101) * 310))
+    grams = defaultdict(dict)
+    for gram, stretch, doc in zip(found["gram"], found["stretch"], found["doc"]):
+        grams[gram][stretch] = doc
+    many = [g for g in grams.values() if len(g) > suffixes.FEW]
+    assert len(many) == 1
+    kept = texts[many[0][min(many[0])]]
+    docs = [(i, kept if i == 10 else word(150)) for i in range(100)]
+    docs += [(1000 + i, t) for i, t in enumerate(texts)]
+    got = suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1),
+                                  batches=2).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), B.digest(bytes(r["kept"])))
+            for r in got} == B.repeated_bytes(docs)
+
+
 def test_contamination(spark, odd, rows, empty):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text")
     more = [(900, "Word"), (901, None), (902, "--"), (None, "alpha beta"), (903, "IOTA, kappa lambda"),
