@@ -13,7 +13,7 @@ import os
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -30,12 +30,32 @@ SHORT = 7
 _ENCODERS: dict = {}
 
 
+def _joins(vocabulary: Iterable[str]) -> list[str]:
+    """Shortest strings that a text must hold for a token to reach across one of its spaces.
+
+    Byte-level vocabularies write a byte as a character of its own: printable ones as themselves,
+    the others from U+0100 on in rising order.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    found = {"  "}
+    for token in vocabulary:
+        if chr(288) in token[1:]:
+            raw = bytes(byte[c] for c in token)
+            # bytes of a cut first character go: the rest stands in every text that held it
+            found |= {raw[:i + 1].decode(errors="ignore") for i in range(1, len(raw)) if raw[i] == 32}
+    return sorted(f for f in found if not any(o != f and o in f for o in found))
+
+
 class _Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE never joins what stands before a single space with what follows it, so a text
-    is encoded chunk by chunk and the ids of known chunks are kept: short chunks, which come
-    back, for longer than others. A text with two spaces in a row is encoded whole.
+    A text is encoded chunk by chunk, each with the space before it, and the ids of known chunks
+    are kept: short chunks, which come back, for longer than others. Byte-level BPE joins what
+    stands before a space with the space only in a token that holds both, so a text is encoded
+    whole if it holds the beginning, up to such a space, of any token of the vocabulary, or two
+    spaces in a row.
     """
 
     def __init__(self, path: str):
@@ -43,6 +63,7 @@ class _Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.joins = _joins(self.tokenizer.get_vocab(with_added_tokens=False))
         self.known: dict[str, bytes] = {"": self._encode([" "])[0]}  # chunks behind a space
         self.rare: list[str] = []
 
@@ -51,7 +72,7 @@ class _Encoder:
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if "  " not in t else [t] for t in texts]
+        split = [[t] if any(j in t for j in self.joins) else t.split(" ") for t in texts]
         heads = self._encode([s[0] for s in split])
         rest = [s[1:] for s in split]
         known = self.known

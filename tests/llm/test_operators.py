@@ -290,6 +290,17 @@ def test_packing(odd, rows, empty):
     assert packing.pack(packing.pieces(empty, queries.TOKENIZER)).count() == 0
 
 
+def test_encoder_joins_across_spaces(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(queries.TOKENIZER)
+    texts = ["a \u00a0 \u00a0 b", "end. \u00a0 \u00a0 \u00a0 \u00a0 Next one", "\u00a0 \u00a0 x y",
+             "a\u00a0 b \u00a0c", "\u00e0 la \u00e0 \u00e0", "x \n \t \u3000 y", "a  b", " ", ""]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                         queries.TOKENIZER, keep_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {
+        i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_plan_places_every_length():
     draw = np.random.default_rng(9)
     histogram = {int(n): int(c) for n, c in zip(draw.choice(1024, 200, replace=False) + 1,
