@@ -118,3 +118,73 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def words64(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as little-endian numbers; zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return view64(padded)
+
+
+def view64(padded: np.ndarray) -> np.ndarray:
+    """The same of bytes that end with eight spare ones, without a copy."""
+    return np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+
+
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
+
+
+def same_bytes(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray,
+               lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` in ``one`` and from ``b`` in ``two`` (both as ``words64``
+    gives them) are equal over ``lengths``."""
+    same = (one[a] ^ two[b]) & MASKS[np.minimum(lengths, 8)] == 0
+    left, done = np.flatnonzero(same & (lengths > 8)), 8
+    while len(left):
+        if done >= 256:  # few and long: compare each at once
+            for i in left:
+                x, y, n = int(a[i]), int(b[i]), int(lengths[i])
+                same[i] = np.array_equal(one[x:x + n - 7:8], two[y:y + n - 7:8]) and \
+                    one[x + n - 8] == two[y + n - 8]
+            break
+        size = np.minimum(lengths[left] - done, 8)
+        differ = (one[a[left] + done] ^ two[b[left] + done]) & MASKS[size] != 0
+        same[left[differ]] = False
+        left = left[~differ & (lengths[left] > done + 8)]
+        done += 8
+    return same
+
+
+def first_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray,
+                keys: np.ndarray | None = None) -> np.ndarray:
+    """For every span the index of one span with the same bytes (and key), the same for all.
+
+    An open hash table holds one span a slot. All spans probe in step: those that meet an empty
+    slot write to it, those that meet a span equal in length, key and bytes are done, the others
+    go on to the next slot. Hashes place spans and never decide; bytes do.
+    """
+    count = len(starts)
+    owner = np.full(count, -1, np.int64)
+    if not count:
+        return owner
+    size = 1 << max(4, (2 * count - 1).bit_length())
+    table = np.full(size, -1, np.int64)
+    slot = (hashes & np.uint64(size - 1)).astype(np.int64)
+    lengths, eight = ends - starts, words64(data)
+    left = np.arange(count)
+    while len(left):
+        at = slot[left]
+        free = table[at] < 0
+        table[at[free]] = left[free]
+        met = table[at]
+        same = (lengths[met] == lengths[left]) & (hashes[met] == hashes[left])
+        if keys is not None:
+            same &= keys[met] == keys[left]
+        sure = np.flatnonzero(same)
+        same[sure] = same_bytes(eight, starts[met[sure]], eight, starts[left[sure]],
+                                lengths[left[sure]])
+        owner[left[same]] = met[same]
+        left = left[~same]
+        slot[left] = (slot[left] + 1) & (size - 1)
+    return owner

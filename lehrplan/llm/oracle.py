@@ -25,7 +25,94 @@ def _key(url: str) -> str:
     return f"lower({head}) || substr({whole}, length({head}) + 1)"
 
 
+def _clusters(rounds: int = 10) -> str:
+    """Rounds of assignment and exact floor means, each a table of components in long form."""
+    def nearest(r: int) -> str:
+        return f"""near{r} AS MATERIALIZED (
+  SELECT vec, arg_min(c, d * 8 + c) AS c, min(d) AS d FROM (
+    SELECT v.vec, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d
+    FROM parts v JOIN means{r} m USING (i) GROUP BY v.vec, m.c) GROUP BY vec)"""
+
+    def means(r: int) -> str:
+        return f"""means{r + 1} AS MATERIALIZED (
+  SELECT m.c, m.i, coalesce(s.x, m.x) AS x FROM means{r} m LEFT JOIN (
+    SELECT n.c, v.i, ((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM parts v JOIN near{r} n USING (vec) GROUP BY n.c, v.i) s USING (c, i))"""
+
+    steps = ",\n".join(f"{nearest(r)},\n{means(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS vec, vec_id,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+parts AS MATERIALIZED (
+  SELECT vec, unnest(range(64)) AS i, unnest(v) AS x FROM kept),
+means0 AS MATERIALIZED (
+  SELECT c, i, x FROM parts JOIN (
+    SELECT vec, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c
+    FROM kept QUALIFY c < 8) USING (vec)),
+{steps},
+{nearest(rounds)},
+named AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256
+  FROM means{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance,
+       sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM near{rounds} JOIN kept USING (vec) JOIN named USING (c)
+"""
+
+
 ORACLE = {
+    "op12_integer_centroids": _clusters(),
+
+    "op13_byte_transducer": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY t) AS first_id FROM docs),
+judged AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                regexp_matches(t, '[#$%&*|]'),
+                first_id IS NOT NULL AND (doc_id IS NULL OR first_id < doc_id)] AS fails,
+         coalesce(quality, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM words LEFT JOIN (
+    SELECT doc_id, max((quality = 1)::INT) AS quality, max((toxic = 1)::INT) AS toxic
+    FROM labels GROUP BY doc_id) USING (doc_id)),
+patterns AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM judged GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order,
+         unnest([1, 2, 3, 4, 5]) AS step, o FROM orders),
+counted AS (
+  SELECT part, filter_order, step, o[step] AS own,
+    sum(n) FILTER (NOT list_bool_or(list_transform(o[1:step], lambda x: fails[x]))) AS kept,
+    sum(n) FILTER (fails[o[step]] AND NOT coalesce(list_bool_or(
+      list_transform(o[1:step - 1], lambda x: fails[x])), false)) AS removed,
+    sum(n) FILTER (fails[o[step]] AND coalesce(list_bool_or(
+      list_transform(o[1:step - 1], lambda x: fails[x])), false)) AS redundant,
+    sum(n) FILTER (fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+    sum(good) FILTER (fails[o[step]] AND NOT coalesce(list_bool_or(
+      list_transform(o[1:step - 1], lambda x: fails[x])), false)) AS good_lost,
+    sum(toxic) FILTER (fails[o[step]] AND NOT coalesce(list_bool_or(
+      list_transform(o[1:step - 1], lambda x: fails[x])), false)) AS toxic_lost
+  FROM patterns, steps GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept,
+       coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM counted
+""",
+
     "op3_redirect_equivalence": rf"""
 WITH RECURSIVE rules(verdict, rhost, rpath) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),

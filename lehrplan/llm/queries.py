@@ -8,10 +8,11 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lehrplan.llm import (ann, contamination, language, near, packing, pii, sharding, spans,
-                          suffixes, urls)
+from lehrplan.llm import (ann, bpe, centroids, contamination, filters, language, near, packing, pii,
+                          sharding, spans, suffixes, urls)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -100,8 +101,29 @@ def op10_positional_index(spark, d):
                        (F.size("hits") > 0).alias("contaminated"))
 
 
+def op11_transition_scan(spark, d):
+    """The scan is for the pattern that all files of public_tokenizers share."""
+    rows = bpe.decode(bpe.encode(table(spark, d, "documents"), RANKS), RANKS)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_integer_centroids(spark, d):
+    rows = centroids.cluster(table(spark, d, "embeddings"))
+    components = F.concat_ws(",", F.col("centroid").cast("array<string>"))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                       F.sha2(components.cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op13_byte_transducer(spark, d):
+    return filters.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_balanced_labels, op2_adaptive_scan, op3_redirect_equivalence, op4_probminhash,
         op5_sentence_spans, op6_language_hierarchy, op7_length_histogram, op8_semi_markov,
-        op9_suffix_levels, op10_positional_index)}
+        op9_suffix_levels, op10_positional_index, op11_transition_scan, op12_integer_centroids,
+        op13_byte_transducer)}
