@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from lehrplan.llm import pretokens
 from lehrplan.llm.arrays import blocks, column, first_equal, mix, same_bytes, view64, words64
 
-CACHED = 500_000  # pre-tokens kept; beyond that the cache starts anew
+CACHED = 300_000  # pre-tokens kept; beyond that the cache starts anew
 LONG = 64  # bytes from which pairs wait in a heap
 DECODED = 1 << 18  # tokens decoded at once
 NONE = np.iinfo(np.int64).max
@@ -66,21 +66,32 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Vocabulary:
-    """The ranks of a file, the bytes of every id, and a hash table of the pairs that join."""
+class Tokens:
+    """The bytes of every id of a ranks file."""
 
-    def __init__(self, path: str):
-        self.ranks = ranks = read_ranks(path)
+    def __init__(self, ranks: dict[bytes, int]):
         known = sorted((i, t) for t, i in ranks.items())
         self.sizes = np.zeros(known[-1][0] + 1, np.int64)
         self.sizes[[i for i, _ in known]] = [len(t) for _, t in known]
         self.places = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(t for _, t in known), np.uint8)
+
+
+class Vocabulary(Tokens):
+    """The same with the ranks and a hash table of the pairs that join."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], n) for n, t in known for i in range(1, len(t))
-                 if t[:i] in ranks and t[i:] in ranks]
-        keys, joined = np.array(pairs or [(-2, 0)], np.int64).T
-        self.mask = (1 << (4 * len(keys)).bit_length()) - 1
+        pairs, rank = array("q"), array("q")
+        for token, n in ranks.items():
+            for i in range(1, len(token)):
+                if token[:i] in ranks and token[i:] in ranks:
+                    pairs.append(ranks[token[:i]] << 32 | ranks[token[i:]])
+                    rank.append(n)
+        keys, joined = np.array(pairs, np.int64), np.array(rank, np.int64)
+        self.mask = (1 << (2 * len(keys) + 1).bit_length()) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.joined = np.full(self.mask + 1, NONE, np.int64)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -241,15 +252,21 @@ class Pieces:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+    if ("encode", path) not in _LOADED:
+        _LOADED["encode", path] = Vocabulary(read_ranks(path))
+    return _LOADED["encode", path]
+
+
+def tokens_of(path: str) -> Tokens:
+    if ("decode", path) not in _LOADED:
+        _LOADED["decode", path] = Tokens(read_ranks(path))
+    return _LOADED["decode", path]
 
 
 def encoded_blocks(texts: pa.Array, table: np.ndarray, pieces: Pieces,
                    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, ids of all rows, and the bounds of rows among them, for each block of texts."""
-    for block in blocks(texts):
+    for block in blocks(texts, pretokens.WINDOW):
         ids, done, tokens = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         at = total = 0
         for data, starts, ends in pretokens.tokens(block, table):
@@ -296,7 +313,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    known = vocabulary(path)
+    known = tokens_of(path)
     for batch in batches:
         ids, offsets = column(batch, "ids"), column(batch, "offsets")
         bounds = np.asarray(ids.offsets).astype(np.int64)

@@ -19,7 +19,7 @@ import numpy as np
 from lehrplan.llm.arrays import BASE, VALUES, Block, mix, powers
 
 OTHER, LETTER, NUMBER, BLANK, SPACE = range(5)  # classes; BLANK: white space but U+0020
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 AHEAD = 4  # code points before a window's end whose tokens may still change
 
 # symbols: the class, APOSTROPHE + letters of the contraction to come, or white space that is the
