@@ -9,111 +9,109 @@ pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from lehrplan.llm.bpe import Pieces, encoded_blocks
+from lehrplan.llm.pretokens import class_table, classes
 from lehrplan.operators.ordering import positions
 from lehrplan.sources.staging import stage
 
 CAPACITY = 1024
 SEPARATOR = 2
-CACHED_CHUNKS = 500_000
-SHORT = 7
 _ENCODERS: dict = {}
 
 
-def _joins(vocabulary: Iterable[str]) -> list[str]:
-    """Shortest strings that a text must hold for a token to reach across one of its spaces.
+def _letters() -> str:
+    """Byte-level vocabularies write a byte as a character of its own: printable ones as
+    themselves, the others from U+0100 on in rising order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(other)) for b in range(256))
 
-    Byte-level vocabularies write a byte as a character of its own: printable ones as themselves,
-    the others from U+0100 on in rising order.
-    """
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-    found = {"  "}
-    for token in vocabulary:
-        if chr(288) in token[1:]:
-            raw = bytes(byte[c] for c in token)
-            # bytes of a cut first character go: the rest stands in every text that held it
-            found |= {raw[:i + 1].decode(errors="ignore") for i in range(1, len(raw)) if raw[i] == 32}
-    return sorted(f for f in found if not any(o != f and o in f for o in found))
+
+LETTERS = _letters()
 
 
 class _Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts as the ``tokenizers`` library gives them.
 
-    A text is encoded chunk by chunk, each with the space before it, and the ids of known chunks
-    are kept: short chunks, which come back, for longer than others. Byte-level BPE joins what
-    stands before a space with the space only in a token that holds both, so a text is encoded
-    whole if it holds the beginning, up to such a space, of any token of the vocabulary, or two
-    spaces in a row.
+    Byte-level BPE encodes each pre-token by itself: they are found over whole arrays, and the
+    library's model gets those never seen before. Texts that hold an added token of the vocabulary, which
+    the library looks for first, go to it whole, as all texts do where it cuts them otherwise.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each Spark task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.joins = _joins(self.tokenizer.get_vocab(with_added_tokens=False))
-        self.known: dict[str, bytes] = {"": self._encode([" "])[0]}  # chunks behind a space
-        self.rare: list[str] = []
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if any(j in t for j in self.joins) else t.split(" ") for t in texts]
-        heads = self._encode([s[0] for s in split])
-        rest = [s[1:] for s in split]
-        known = self.known
-        new = list(set().union(*rest).difference(known))
-        known.update(zip(new, self._encode([" " + c for c in new])))
-        out = [head + b"".join(map(known.__getitem__, r)) for head, r in zip(heads, rest)]
-        self.rare += [c for c in new if len(c) > SHORT]
-        if len(self.rare) > CACHED_CHUNKS:
-            for c in self.rare:
-                del known[c]
-            self.rare = []
-        if len(known) > 2 * CACHED_CHUNKS:
-            self.known, self.rare = {"": known[""]}, []
-        return out
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, keep_ids: bool,
-            ) -> Iterator[pa.RecordBatch]:
+        told = json.loads(self.tokenizer.to_str())
+        cut = told["pre_tokenizer"] or {}
+        self.by_pieces = (cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+                          and not cut["add_prefix_space"] and not told["normalizer"])
+        self.added = [t["content"] for t in told["added_tokens"]]
+        self.pieces = Pieces(self._new)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32)
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pre-tokens go to the library's model, in its letters for bytes."""
+        ids, count, tokenize = array("i"), array("q"), self.tokenizer.model.tokenize
+        letters, at = b"".join(pieces).decode("latin-1").translate(LETTERS), 0
+        for piece in pieces:
+            found = tokenize(letters[at:at + len(piece)])
+            ids.extend([t.id for t in found])
+            count.append(len(found))
+            at += len(piece)
+        return np.frombuffer(ids, np.int32), np.frombuffer(count, np.int64)
+
+    def __call__(self, texts: pa.Array, table: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """First row and the ids of every row, block by block."""
+        texts = pc.fill_null(texts, "")
+        apart = pc.invert(pc.equal(texts, texts)) if self.by_pieces else pc.equal(texts, texts)
+        for content in self.added:
+            apart = pc.or_(apart, pc.match_substring(texts, content))
+        for first, ids, bounds in encoded_blocks(pc.if_else(apart, "", texts), table, self.pieces):
+            rows = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            for i in np.flatnonzero(apart.slice(first, len(rows)).to_numpy(zero_copy_only=False)):
+                rows[i] = self.whole([texts[first + int(i)].as_py()])[0]
+            yield first, rows
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, compressed: bytes, capacity: int,
+            keep_ids: bool) -> Iterator[pa.RecordBatch]:
     if tokenizer not in _ENCODERS:
         _ENCODERS[tokenizer] = _Encoder(tokenizer)
-    encode = _ENCODERS[tokenizer]
-    end = np.array([SEPARATOR], "<u4").tobytes()
+    encode, table = _ENCODERS[tokenizer], classes(compressed)
     for batch in batches:
-        ids, column = batch.column(0), batch.column(1)
-        for first in range(0, batch.num_rows, 256):
-            texts = [t or "" for t in column.slice(first, 256).to_pylist()]
+        ids = batch.column(0)
+        for first, texts in encode(batch.column(1), table):
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, tokens in enumerate(encode(texts)):
-                tokens += end
-                total = len(tokens) // 4
-                begin, number = 0, 0
+            for i, tokens in enumerate(texts):
+                tokens = np.append(tokens, np.int32(SEPARATOR)).astype("<i4")
+                total, begin, number = len(tokens), 0, 0
                 while begin < total:
                     stop = begin + ((total - begin - 1) % capacity) + 1
-                    own = tokens[4 * begin:4 * stop]
+                    own = tokens[begin:stop]
                     rows.append(first + i)
                     piece.append(number)
                     start.append(begin)
                     length.append(stop - begin)
                     crc.append(zlib.crc32(own))
                     if keep_ids:
-                        kept.append(np.frombuffer(own, "<u4").astype(np.int32))
+                        kept.append(own)
                     begin, number = stop, number + 1
             out = [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
                    pa.array(start, pa.int64()), pa.array(length, pa.int64()),
@@ -134,7 +132,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        partial(_pieces, tokenizer=tokenizer, capacity=capacity, keep_ids=keep_ids),
+        partial(_pieces, tokenizer=tokenizer, compressed=class_table(), capacity=capacity,
+                keep_ids=keep_ids),
         schema + (", ids array<int>" if keep_ids else ""))
 
 
