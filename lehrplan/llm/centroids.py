@@ -23,7 +23,7 @@ BOUND = 1 << 27  # of a component: squared distances of 64 of them stay below 2*
 
 
 def integers(rows: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCALE) -> DataFrame:
-    """``vec_id, vector``: floor(scale * x) of every component of the rows of ``rows`` (vec_id,
+    """``vec_id, vector, square``: floor(scale * x) of every component of the rows of ``rows`` (vec_id,
     embedding) that have exactly ``dimensions`` of them, none null, NaN or infinite; other rows
     and columns go.
 
@@ -38,7 +38,8 @@ def integers(rows: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCALE)
 
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding")).where(
         (F.size("embedding") == dimensions) & whole).select(
-        "vec_id", F.transform("embedding", scaled).alias("vector"))
+        "vec_id", F.transform("embedding", scaled).alias("vector")).withColumn(
+        "square", F.expr("aggregate(vector, 0L, (total, x) -> total + x * x)"))
 
 
 def starting(vectors: DataFrame, clusters: int = CLUSTERS, seed: int = SEED) -> list[list[int]]:
@@ -55,12 +56,17 @@ def _literal(centroid: Sequence[int]) -> str:
 
 
 def assign(vectors: DataFrame, centroids: Sequence[Sequence[int]]) -> DataFrame:
-    """Add ``cluster`` and ``distance``: the nearest centroid, ties to the smaller number."""
-    distances = [f"struct(aggregate(zip_with(vector, {_literal(c)}, (a, b) -> (a - b) * (a - b)), "
-                 f"0L, (total, x) -> total + x) AS distance, {i} AS cluster)"
-                 for i, c in enumerate(centroids)]
-    near = vectors.withColumn("_nearest", F.expr(f"array_min(array({', '.join(distances)}))"))
-    return near.select(*vectors.columns, "_nearest.cluster", "_nearest.distance")
+    """Add ``cluster`` and ``distance``: the nearest centroid, ties to the smaller number.
+
+    A squared distance is the vector's square (``square``) plus the centroid's less twice their
+    product; all three are exact integers.
+    """
+    nearness = [f"struct({sum(x * x for x in c)}L - 2L * aggregate(zip_with(vector, {_literal(c)}, "
+                f"(a, b) -> a * b), 0L, (total, x) -> total + x) AS distance, {i} AS cluster)"
+                for i, c in enumerate(centroids)]
+    near = vectors.withColumn("_nearest", F.expr(f"array_min(array({', '.join(nearness)}))"))
+    return near.select(*vectors.columns, "_nearest.cluster",
+                       (F.col("square") + F.col("_nearest.distance")).alias("distance"))
 
 
 def _moved(vectors: DataFrame, centroids: Sequence[Sequence[int]], sums: Sequence[Column],

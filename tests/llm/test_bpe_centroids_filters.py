@@ -175,7 +175,7 @@ def test_centroids(spark):
 
 
 def test_centroid_query_uses_no_python(spark):
-    plan = centroids.assign(spark.createDataFrame([(1, [1, 2])], "vec_id long, vector array<long>"),
+    plan = centroids.assign(spark.createDataFrame([(1, [1, 2], 5)], "vec_id long, vector array<long>, square long"),
                             [[0, 0], [3, 3]])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
