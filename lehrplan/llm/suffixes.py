@@ -12,7 +12,9 @@ A suffix whose stretch equals an earlier one is a repeat as a whole. Where a gra
 stretches, the strings themselves are compared: the stretches of a gram meet in one task, unless
 a gram has very many, whose strings are dealt by their own fingerprints. Repeats are collapsed
 before every shuffle, so a passage that a third of all documents hold costs one row per task.
-Strings are equal if fingerprints of 64 bits and more are.
+Whole stretches are equal if the 64 bits of their gram and 64 bits of all their bytes, their
+length and the anchor's place in them are (two unequal ones of one gram in 10**19 pairs pass for
+equal); strings that are compared one by one are equal if their bytes are.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ BATCHES = 4
 ARRAY, OPEN, REPEAT = 0, 1, 2
 
 # an anchor: gram, stretch, document, place, strings before the anchor, strings, known as open
-FIELDS = [("gram", "<u8"), ("stretch", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("back", "u1"),
+FIELDS = [("gram", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("back", "u1"),
           ("n", "u1"), ("open", "u1")]
 SPAN = [("doc", "<i8"), ("start", "<i4"), ("end", "<i4")]
 PACKED = "bucket int, kind int, rows binary"
@@ -110,7 +112,7 @@ def anchors(block: A.Block, width: int = WIDTH, gram: int = GRAM) -> dict[str, n
     shape = ((last - first) * 256 + (place - first)).astype(np.uint64)
     stretch = A.mix((sums[last + width] - sums[first]) * power[first] ^ A.mix(shape))
     # anchors are least fingerprints; mixed again, they spread evenly over the buckets
-    return {"gram": A.mix(grams[place] ^ A.BASE), "stretch": stretch & low, "doc": row[first],
+    return {"gram": A.mix(grams[place] ^ A.BASE), "stretch": stretch, "doc": row[first],
             "at": place - block.offsets[row[first]], "back": place - first,
             "n": last - first + 1, "open": np.zeros(len(first), np.uint8)}
 
@@ -250,13 +252,21 @@ class SuffixLevels:
         self.spark, self.width = spark, width
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, DataFrame]] = []  # (batches merged, array rows), oldest first
+        self.names: list[str] = []
 
     def _store(self, rows: DataFrame) -> DataFrame:
         name = f"suffix_level_{uuid.uuid4().hex}"
         (rows.write.bucketBy(self.buckets, "bucket")
          .option("path", staging_path(self.spark, "suffix-level")).saveAsTable(name))
+        self.names.append(name)
         return self.spark.table(name)
 
+    def forget(self) -> None:
+        """Take the tables out of the catalog; their files go with the staging folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names, self.levels = [], []
+
     def append(self, docs: DataFrame) -> DataFrame:
         """Add documents that follow all earlier ones by doc_id; what they repeat, packed."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -350,7 +360,8 @@ def _compare(docs: np.ndarray, starts: np.ndarray, texts: list[bytes], width: in
     at = np.arange(len(row))
     inside = at + width <= offsets[row + 1]
     at, row = at[inside], row[inside]
-    name = (sums[at + width] - sums[at]) * A.powers(A.BASE, len(block.data) + 1)[at]
+    name = A.mix((sums[at + width] - sums[at]) * A.powers(A.BASE, len(block.data) + 1)[at])
+    name = A.first_equal(block.data, at, at + width, name)  # equal bytes, not only equal hashes
     doc, place = docs[row], starts[row] + (at - offsets[row])
     order = np.lexsort((place, doc, name))
     name, doc, place = name[order], doc[order], place[order]
@@ -435,6 +446,8 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     """Documents cut by doc_id into parts of about equal numbers."""
+    if batches < 2:
+        return [docs]
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
     edges = [None, *cuts, None]
     parts = []
@@ -477,7 +490,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     single = (pieces.repartition(parts, "key").sortWithinPartitions("key")
               .mapInArrow(partial(_resolve, width=width), "doc long, start int, end int"))
-    return stage(whole.unionByName(single), "spans")
+    spans = stage(whole.unionByName(single), "spans")
+    index.forget()
+    return spans
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
