@@ -4,9 +4,14 @@ Patterns find the base spans. The model reads the neighbourhood of digits and at
 of atoms (words, numbers, marks, spaces). A segment is a run of at most `LONGEST` atoms; features
 of the whole span (digits, groups, check sums, marks, cue words before it) score it as one kind
 of personal data or, atom by atom, as nothing, and dynamic programming over segment ends picks
-boundaries and kinds together. Weights are learned by maximum likelihood from zones of a bounded
-sample of documents, with the base spans as labels. A span that the model adds must be part of
-the best segmentation, have a marginal probability of at least `SURE` and touch no base span.
+boundaries and kinds together.
+
+Weights are learned by maximum likelihood from zones of a bounded sample of documents. The base
+spans there are labels, and so that the model learns more than the patterns, each also stands in
+copies of its zone in other ways to write it: a phone number without its plus, a card with dots,
+an address with ``[at]``. Segments of the corpus that may be written so are no evidence against a
+kind: they are left out of the likelihood's slope. A span that the model adds must be part of the
+best segmentation, have a marginal probability of at least `SURE` and touch no base span.
 """
 
 from __future__ import annotations
@@ -22,21 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lehrplan.llm import arrays as A
+from lehrplan.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24          # atoms of a segment
 ZONE_ATOMS = 96       # a longer zone is cut where it reaches this many atoms
-ZONES = 600           # zones the model learns from
-SURE = 0.95
+OVERLAP = 72          # characters that the zones of a long run share
+ZONES = 600           # zones with base spans that the model learns from, and as many without
+SURE = 0.9
 
 Span = tuple[str, int, int]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_HOST = re.compile(r"\s?" + _DOMAIN.pattern)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _DIAL = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]+|[\[(]\s?at\s?[\])]")
+_AT = re.compile(r"\s?(?:@|[\[(]\s?at\s?[\])])\s?")
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|[^\S\n]+|[\s\S]")
 _CUE = {"email": "email mail mailto contact write", "phone": "phone tel telephone call fax mobile",
         "card": "card visa mastercard credit amex", "ip": "ip host server address"}
@@ -104,6 +113,7 @@ class Zone:
         self.left = text[max(0, start - 24):start]
         self.right = text[end:end + 1]
         self.segments: dict[int, list[tuple[int, str, list[str]]]] = defaultdict(list)
+        self.unknown: set[tuple[int, int, str]] = set()  # segments that may be personal data
         digits = [0]
         for a, b in zip(cuts, cuts[1:]):
             digits.append(digits[-1] + (b - a if "0" <= self.text[a] <= "9" else 0))
@@ -138,20 +148,21 @@ class Zone:
         letters = sum(c.isalpha() for c in span)
         spaces = sum(c.isspace() for c in span)
         if sign:
-            host = span.split("@")[-1] if "@" in span else ""
-            out += [f"sign={'@' in span}", f"dots={min(host.count('.'), 2)}",
-                    f"whole={bool(_DOMAIN.fullmatch(host))}", f"space={spaces > 0}",
+            name, host = (_AT.split(span) + [""])[:2]
+            out += [f"name={bool(name) and set(name) <= _LOCAL}", f"dots={min(host.count('.'), 2)}",
+                    f"whole={bool(_DOMAIN.fullmatch(host))}",
                     f"tail={span.rsplit('.', 1)[-1].isalpha()}"]
             return out
-        parts = span.split(".")
-        quad = len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
         groups = re.findall(r"[0-9]+", span)
+        quad = len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)
+        marks = set(re.sub(r"[0-9]", "", span))
+        shape = ",".join(str(len(g)) for g in groups) if len(groups) <= 6 else "many"
         out += [f"quad={quad}", f"letters={letters > 0}", f"plus={span[0] == '+'}",
-                f"round={'(' in span and ')' in span}", f"groups={min(len(groups), 6)}",
-                f"digits={many}", f"spaces={min(spaces, 4)}",
-                f"other={any(not (c.isalnum() or c in ' +().-') for c in span)}"]
+                f"round={'(' in span and ')' in span}", f"shape={shape}", f"digits={many}",
+                f"spaces={min(spaces, 4)}", f"joined={len(marks)}|{len(groups) > 1}",
+                f"other={any(not (c.isalnum() or c in ' +().-[]/') for c in span)}"]
         if many >= 13 and not letters:
-            out.append(f"sum={luhn(''.join(groups))}")
+            out.append(f"sum={luhn(''.join(groups))}|{_fours(span, groups)}")
         return out
 
     def labels(self, spans: list[Span]) -> dict[tuple[int, int], str] | None:
@@ -174,26 +185,69 @@ def _class(c: str) -> str:
 
 
 def zones(text: str) -> list[Zone]:
-    """Zones around marks: marks with at most three atoms between them share one."""
+    """Zones around marks: marks with at most three atoms between them share one. The zones of a
+    run that is too long for one overlap, so that no span is cut by all of them."""
     out: list[tuple[int, int]] = []
     for m in _MARK.finditer(text):
         low = max(0, m.start() - 20)
         while low < m.start() and low > 0 and not text[low - 1].isspace():
             low += 1
         high = min(len(text), m.end() + 2)
-        tail = _DOMAIN.match(text, m.end())
+        tail = _HOST.match(text, m.end())
         if tail:
             high = min(tail.end(), m.end() + 80)
         if out and low <= out[-1][1] + 2:
             if high - out[-1][0] <= 4 * ZONE_ATOMS:
                 out[-1] = (out[-1][0], max(high, out[-1][1]))
                 continue
-            low = max(out[-1][1], low)
+            low = max(out[-1][1] - OVERLAP, out[-1][0] + 1, 0)
+            while low < m.start() and not text[low - 1].isspace():
+                low += 1
         if low < high:
             out.append((low, high))
     return [Zone(text, a, b) for a, b in out]
 
 
+def variants(kind: str, span: str) -> list[str]:
+    """Other ways to write a base span, none of which the patterns take for it."""
+    digits = "".join(_DIGIT.findall(span))
+    if kind == "email":
+        name, host = span.split("@")
+        return [f"{name} [at] {host}", f"{name}(at){host}", f"{name} @ {host}", f"{name}[at]{host}"]
+    if kind == "ip":
+        parts = span.split(".")
+        return ["[.]".join(parts), " . ".join(parts), "-".join(parts)]
+    if kind == "card":
+        fours = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+        return [".".join(fours), "/".join(fours), " - ".join(fours), "  ".join(fours)]
+    area, middle, last = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [f"({area}) {middle}-{last}", f"{area}-{middle}-{last}", f"{area}.{middle}.{last}",
+            f"00{digits[:-10] or 1} {area} {middle} {last}", f"+{digits[:-10] or 1}/{area}/{middle}/{last}"]
+
+
+def _fours(span: str, groups: list[str]) -> bool:
+    """Whether digits stand in one group, or in groups of four with the same between them."""
+    alike = len(set(re.findall(r"(?<=[0-9])[^0-9]+(?=[0-9])", span))) < 2
+    return len(groups) == 1 or alike and all(len(g) == 4 for g in groups[:-1]) and len(groups[-1]) <= 4
+
+
+def possible(kind: str, span: str) -> bool:
+    """Whether a segment may be personal data of a kind, written in some usual way."""
+    groups = re.findall(r"[0-9]+", span)
+    many = sum(map(len, groups))
+    if kind == "email":
+        name, host = (_AT.split(span) + [""])[:2]
+        return bool(name) and bool(_DOMAIN.fullmatch(host))
+    if any(c.isalpha() for c in span):
+        return False
+    if kind == "ip":
+        alike = len(set(re.findall(r"(?<=[0-9])[^0-9]+(?=[0-9])", span))) < 2
+        return alike and len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    if kind == "card":
+        return _fours(span, groups) and 14 <= many <= 19 and luhn("".join(groups))
+    return 10 <= many <= 15 and len(groups) > 2 and [len(g) for g in groups[-2:]] == [3, 4]
+
+
 Weights = dict[str, float]
 
 
@@ -238,6 +292,8 @@ def learn(samples: list[tuple[Zone, dict]], rounds: int = 8, rate: float = 0.4,
             slope: dict[str, float] = defaultdict(float)
             for j, ends in arcs.items():
                 for i, kind, s, shared in ends:
+                    if (i, j, kind) in zone.unknown:
+                        continue
                     gain = (gold.get((i, j)) == kind) - math.exp(
                         min(0.0, ahead[i] + s + back[j] - ahead[-1]))
                     if abs(gain) > 1e-4:
@@ -276,42 +332,73 @@ def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base and what the model adds beside it."""
     base = base_spans(text)
     extra = [s for zone in zones(text) for s in model_spans(zone, weights)] if weights else []
-    free = [s for s in extra if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    free: list[Span] = []
+    for s in sorted(set(extra), key=lambda s: (s[1], -s[2])):  # zones that overlap may both find one
+        if not any(s[1] < b[2] and b[1] < s[2] for b in (*base, *free[-1:])):
+            free.append(s)
     return base, ordered(base + free)
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, texts = [], []
+        keys, texts, marked = [], [], []
         for text in A.column(batch, "text").to_pylist():
             if not text or not _MARK.search(text):
                 continue
+            base = base_spans(text)
             for zone in zones(text):
                 if zone.segments:
-                    piece = text[max(0, zone.start - 24):zone.start + len(zone.text) + 8]
+                    low, high = max(0, zone.start - 24), zone.start + len(zone.text)
+                    piece = text[low:high + 8]
                     texts.append(piece)
+                    marked.append(any(low <= b[1] and b[2] <= high for b in base))
                     keys.append(int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "replace"),
                                                                digest_size=8).digest(), "big") >> 1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())],
-                                         ["key", "piece"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()),
+                                          pa.array(marked, pa.bool_())], ["key", "piece", "marked"])
+
+
+def _samples(piece: str) -> Iterator[tuple[Zone, dict]]:
+    """The zones of a piece with their labels, and of its copies with one span written otherwise."""
+    base = base_spans(piece)
+
+    def labelled(text: str, spans: list[Span]) -> Iterator[tuple[Zone, dict]]:
+        for zone in zones(text):
+            end = zone.start + len(zone.text)
+            inside = [s for s in spans if s[1] >= zone.start and s[2] <= end]
+            gold = zone.labels(inside)
+            if gold is None or any(s[1] < end and s[2] > zone.start and s not in inside for s in spans):
+                continue
+            taken = [(i, j) for i, j in gold]
+            zone.unknown = {(i, j, kind) for j, ends in zone.segments.items() for i, span, _ in ends
+                            for kind in KINDS if possible(kind, span)
+                            and not any(i < b and a < j for a, b in taken)}
+            yield zone, gold
+
+    yield from labelled(piece, base)
+    for kind, start, end in base:
+        for other in variants(kind, piece[start:end]):
+            shift = len(other) - (end - start)
+            moved = [(k, a, b) if b <= start else (k, a + shift, b + shift)
+                     for k, a, b in base if b <= start or a >= end]
+            yield from labelled(piece[:start] + other + piece[end:],
+                                ordered([*moved, (kind, start, start + len(other))]))
 
 
 def train(docs: DataFrame, limit: int = ZONES) -> Weights:
-    """Learn from at most ``limit`` distinct zones of all texts, the first by a hash of them.
+    """Learn from at most ``limit`` distinct zones of all texts that hold base spans and as many that
+    hold none, the first of each by a hash of them.
 
-    Without zones there are no weights, and only the base spans are found.
+    Without a base span in the corpus there are no weights, and nothing is added.
     """
-    pieces = (docs.select("text").mapInArrow(_sample, "key long, piece string")
-              .groupBy("key", "piece").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy("key", "piece").limit(limit).toArrow().to_pylist())
+    pieces = stage(docs.select("text").mapInArrow(_sample, "key long, piece string, marked boolean")
+                   .distinct(), "zones")
     samples = []
-    for row in sorted(pieces, key=lambda r: (r["key"], r["piece"])):
-        base = base_spans(row["piece"])
-        for zone in zones(row["piece"]):
-            end = zone.start + len(zone.text)
-            gold = zone.labels([s for s in base if s[1] >= zone.start and s[2] <= end])
-            if gold is not None:
-                samples.append((zone, gold))
+    for marked in ("marked", "not marked"):
+        for row in pieces.where(marked).orderBy("key", "piece").limit(limit).collect():
+            samples += _samples(row["piece"])
+    # kinds and ways to write them in turn, not zone after zone
+    samples.sort(key=lambda s: hashlib.blake2b(s[0].text.encode("utf-8", "replace")).digest())
     return learn(samples) if any(gold for _, gold in samples) else {}
 
 

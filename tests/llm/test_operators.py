@@ -264,7 +264,6 @@ def test_language(odd, rows, empty, spark):
 def test_packing(odd, rows, empty):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     cut = packing.pieces(odd, queries.TOKENIZER, keep_ids=True)
     packed = packing.pack(cut).collect()
     ids = {t: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -294,7 +293,7 @@ def test_encoder_joins_across_spaces(spark):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
     texts = ["a \u00a0 \u00a0 b", "end. \u00a0 \u00a0 \u00a0 \u00a0 Next one", "\u00a0 \u00a0 x y",
-             "a\u00a0 b \u00a0c", "\u00e0 la \u00e0 \u00e0", "x \n \t \u3000 y", "a  b", " ", ""]
+             "a\u00a0 b \u00a0c", "hello <|endoftext|> world", "\u00e0 la \u00e0 \u00e0", "x \n \t \u3000 y", "a  b", " ", ""]
     got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
                          queries.TOKENIZER, keep_ids=True).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == {
@@ -328,7 +327,9 @@ def test_personal_data(odd, rows, empty):
         base = B.personal(text[r["doc_id"]])
         assert [tuple(s) for s in r["base"]] == base
         assert set(base) <= {tuple(s) for s in r["spans"]}
-    assert sum(len(r["spans"]) - len(r["base"]) for r in got) <= 3  # clean texts stay clean
+    added = [text[r["doc_id"]][s["start"]:s["end"]] for r in got if r["doc_id"] is not None
+             for s in r["spans"] if s not in r["base"]]
+    assert all(sum(c.isdigit() for c in s) >= 10 or "@" in s for s in added)
     assert pii.personal_data(empty, pii.train(empty)).count() == 0
 
 
@@ -442,3 +443,32 @@ def test_pipeline(spark):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert 0 < out.select("doc_id").distinct().count() <= spark.read.parquet(
         f"{SMALL}/documents.parquet").count()
+
+
+def test_suffixes_tell_short_fingerprints_apart(spark):
+    """Strings that share 32 bytes, and 32 bits of their fingerprint, but not 100 bytes stay."""
+    draw = np.random.default_rng(17)
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    tries = letters[draw.integers(0, 16, 300_000)]
+    sums = suffixes.A.Block(0, tries, np.array([0, len(tries)])).prefix(suffixes.A.VALUES[tries])
+    grams = suffixes.A.mix((sums[32:] - sums[:-32]) * suffixes.A.powers(suffixes.A.BASE, len(tries) + 1)[:-32])
+    least = int(np.argmin(grams))
+    found = {}
+    for _ in range(6):
+        data = letters[draw.integers(0, 16, (40_000, 100))]
+        data[:, 34:66] = tries[least:least + 32]
+        rows = suffixes.anchors(suffixes.A.Block(0, data.ravel(), np.arange(40_001) * 100))
+        common = rows["at"] == 34
+        for doc, name in zip(rows["doc"][common], rows["stretch"][common]):
+            found.setdefault(int(name) & 0xFFFFFFFF, {})[int(name)] = data[doc].tobytes().decode()
+    pairs = [list(v.values()) for v in found.values() if len(v) > 1]
+    assert pairs  # 240,000 strings: several collisions of 32 bits
+    docs = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    got = suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs) and all(r["n_removed"] == 0 for r in got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_level")]
+    twice = docs + [(1000 + i, "x" * 20 + t) for i, t in docs]
+    for batches in (1, 4):
+        got = suffixes.remove_repeats(spark.createDataFrame(twice, "doc_id long, text string"),
+                                      batches=batches).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 100 * (i >= 1000) for i, _ in twice}
