@@ -20,13 +20,15 @@ from lehrplan.operators import (curriculum as C, distributions as D, history as
                                 image_kernels as K, image_metrics as M, normalize as N,
                                 ranks as R, runs as RUN, schedules as S, signals as G,
                                 telemetry as TM)
+from lehrplan.operators.asof import asof_join                                  # noqa: E402
 from lehrplan.operators.ordering import positions, shuffled                    # noqa: E402
 from lehrplan.plans import scoring, tables as T, training                      # noqa: E402
 from lehrplan.plans.oracle import ORACLE                                       # noqa: E402
 from lehrplan.registry import tagged, unknown                                  # noqa: E402
-from lehrplan.sources import images as SI, ranks as SR, reports, scores as SC  # noqa: E402
+from lehrplan.sources import commits, images as SI, ranks as SR, reports, scores as SC  # noqa: E402
 from lehrplan.sources.staging import stage, staging_path                       # noqa: E402
-from lehrplan.streaming import distributions as SD, pacing as SP, scoring as SS  # noqa: E402
+from lehrplan.streaming import (distributions as SD, orders as SO, pacing as SP,  # noqa: E402
+                                quantiles as SQ, scoring as SS)
 
 METRICS = ["total_price", "line_count", "sum_qty", "avg_discount", "avg_tax"]
 EPOCHS = T.EVENT_EPOCHS
@@ -131,6 +133,18 @@ def rank_pairwise_chunked(spark, d):
     return C.batch_wise(T.scores_orders(spark, d), "pairwise-correlation", METRICS, 128)
 
 
+@query
+def rank_pairwise_small(spark, d):
+    """The sequential vote in chunks of twelve rows."""
+    return C.batch_wise(T.scores_orders(spark, d), "pairwise-correlation", METRICS, 12)
+
+
+@query
+def rank_pairwise_suppliers(spark, d):
+    """The sequential vote over a whole table, in blocks that vote in parallel."""
+    return R.sequential_vote(T.scores_supplier(spark, d), METRICS, digits=9, block=64)
+
+
 @query
 def rank_topk(spark, d):
     return C.top_samples(T.scores_orders(spark, d), "total_price", 128)
@@ -175,6 +189,19 @@ def rank_cached_inverted(spark, d):
                           inverted=["avg_tax"])
 
 
+@query
+def rank_cached_after_crash(spark, d):
+    """Stored scores; a ranking that broke off while it was written; then the cached one."""
+    path, cache = staging_path(spark, "scores"), staging_path(spark, "rank-cache")
+    SC.save_scores(T.scores_orders(spark, d), path, "orders", 1)
+    scores = SC.load_scores(spark, path, "orders", 1)
+    commits.write_new(R.rank(scores, "ascending", "sum_qty").where("position < 10"), cache, "ranking")
+    version = SC.scores_version(spark, path, "orders", 1)
+    for _ in range(2):  # a miss, then a hit that reads no scores
+        ranking = SR.cached_rank(spark, cache, scores, "ascending", "sum_qty", "orders", version=version)
+    return ranking
+
+
 # Statistics -------------------------------------------------------------------------------
 
 @query
@@ -185,9 +212,9 @@ def metric_distributions(spark, d):
 
 @query
 def metric_distributions_brackets(spark, d):
-    """A sample smaller than the table: quantiles from the values between sampled brackets."""
+    """Narrow brackets: quantiles by eight bits of the values at a time, in eight passes."""
     stored = stage(T.scores_orders(spark, d), "scores")
-    return rounded(D.distributions(stored, METRICS, sample_rows=10_000), 5)
+    return rounded(D.distributions(stored, METRICS, bits=8), 5)
 
 
 @query
@@ -331,6 +358,15 @@ def curriculum_sequence_signals(spark, d):
                                   signals=events)
 
 
+@query
+def curriculum_sequence_adaptive(spark, d):
+    """Telemetry of several runs: the settings name the one whose readiness paces."""
+    settings = training.Settings("part", epochs=EPOCHS, batch_size=64, metric="p_retailprice",
+                                 schedule="adaptive", run="click")
+    return training.paced_samples(T.scores_part(spark, d), settings, losses(spark, d),
+                                  T.batch_signals(spark, d))
+
+
 @query
 def curriculum_sequence(spark, d):
     scores = T.scores_part(spark, d)
@@ -357,6 +393,20 @@ def scores_load(spark, d):
     return SC.load_scores(spark, path, "orders", 2)
 
 
+@query
+def score_resume_after_crash(spark, d):
+    """A whole table, changes to every third order, and two writes that broke off before their
+    record."""
+    path = staging_path(spark, "scores")
+    scores = stage(T.scores_orders(spark, d).select("index", "class", "total_price", "line_count"), "scores")
+    third = scores.where("index % 3 = 0").withColumn("total_price", F.col("total_price") * 2).drop("line_count")
+    target = SC.save_scores(scores, path, "orders", 1)
+    commits.write_new(third.withColumn("total_price", F.lit(0.0)), target, "changes")
+    SC.save_changes(third, path, "orders", 1)
+    commits.write_new(scores.where("index < 100"), target, "scores")
+    return SC.load_scores(spark, path, "orders", 1)
+
+
 @query
 def scores_csv(spark, d):
     path = staging_path(spark, "scores-csv")
@@ -587,6 +637,21 @@ def m_edge_density(spark, d):
                                .select("index", "edge-density")), 8)
 
 
+@query
+def m_edge_density_thresholds(spark, d):
+    """Thresholds given by the caller."""
+    scored = K.score_images(shifted_images(spark, d), ["edge-density", "object-count"], {
+        "edge-density": {"low": 40, "high": 90}, "object-count": {"low": 150, "high": 300}})
+    return rounded(underscored(scored.select("index", "edge-density", "object-count")), 8)
+
+
+@query
+def m_wavelet_levels_given(spark, d):
+    """Two Haar levels, where three would fit."""
+    table = K.wavelet_table(T.images(spark, d), "haar", level=2)
+    return rounded(table.select("index", F.posexplode("levels").alias("level", "energy")), 8)
+
+
 @query
 def m_object_count(spark, d):
     return underscored(K.score_images(shifted_images(spark, d), ["object-count"])
@@ -662,6 +727,28 @@ def h_layer_histories(spark, d):
                        F.posexplode("weight_delta_history").alias("step", "delta"))
 
 
+def one_series(spark, d):
+    """All events, in time order, as the loss history of one sample."""
+    events = T.load(spark, d, "events").select("ts", "event_id", F.col("value").alias("loss"))
+    return positions(events, [F.col("ts").asc(), F.col("event_id").asc()], keep=["loss"],
+                     label="one-series").select(F.lit(0).cast("long").alias("index"),
+                                                F.col("position").alias("iteration"), "loss")
+
+
+@query
+def h_long_series(spark, d):
+    """Runs of one series that reach over many pieces of it."""
+    deltas = H.loss_deltas(one_series(spark, d), piece=16).withColumn("delta", F.round("delta", 6))
+    return H.stable_runs(deltas, "delta", ["index"], 98.0, piece=16).select("iteration", "stable_run")
+
+
+@query
+def h_history_chunks(spark, d):
+    rows = H.history_chunks(one_series(spark, d), threshold=98.0, window=50, piece=16)
+    return rounded(rows.select("index", "chunk", "first_iteration",
+                               F.posexplode("loss_history").alias("step", "loss")))
+
+
 @query
 def loss_deltas(spark, d):
     return rounded(H.loss_deltas(T.history(spark, d)))
@@ -808,6 +895,32 @@ def batch_signals(spark, d):
     return rounded(TM.signal_frame(TM.batch_activation_std(values), TM.batch_grad_norm(values)))
 
 
+@query
+def batch_signals_three(spark, d):
+    """Activation, gradient and entropy of every batch in one pass."""
+    lines = T.load(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("run"), F.month("l_shipdate").alias("epoch"),
+        (F.col("l_suppkey") % 10).cast("int").alias("batch_idx"), F.col("l_linenumber").alias("layer"),
+        F.col("l_quantity").alias("activation"), F.col("l_discount").alias("gradient"),
+        F.when(F.col("l_linenumber") < 4, F.col("l_tax")).alias("entropy"))
+    return rounded(TM.batch_signals(lines))
+
+
+@query
+def signals_asof(spark, d):
+    """Every event with the step of its run's schedule that was in force when it happened; a step
+    holds from six o'clock of its day for twenty hours."""
+    steps = S.linear(paced_runs(spark, d), EPOCHS)
+    day = 86_400
+    start = F.unix_timestamp(F.lit("2024-01-01 06:00:00")) + (F.col("epoch") - 1) * day
+    steps = steps.select("run", "epoch", "n_active", F.timestamp_seconds(start).alias("at"),
+                         F.timestamp_seconds(start + 20 * 3600).alias("until"))
+    events = T.load(spark, d, "events").select("event_id", F.col("event_type").alias("run"),
+                                               F.col("ts").alias("at"))
+    return asof_join(events, steps, "at", ["run"], ["epoch", "n_active"], "until", rows=1 << 10).select(
+        "event_id", "run", "epoch", "n_active")
+
+
 def run_settings(spark, d):
     return T.event_runs(spark, d).select("run", F.lit(T.EVENT_BATCHES).alias("max_batches"),
                                          F.lit(EPOCHS).alias("num_epochs"))
@@ -957,6 +1070,39 @@ def stream_pacing(spark, d):
     return spark.read.parquet(f"{out}/orders").select("run", "epoch", "n_active")
 
 
+def streamed_order(spark, d, value, **options):
+    """Reports land in waves of ten epochs (a day each), every fifth batch one wave late: what is
+    older than the watermark, two days behind the end of the wave before, is dropped."""
+    day = 86_400
+    reports_ = stage(T.batch_signals(spark, d).where(F.col("epoch") <= EPOCHS).select(
+        F.timestamp_seconds(F.col("epoch") * day + F.col("batch_idx")).alias("ts"), "run",
+        F.col("epoch").cast("int").alias("epoch"), "batch_idx", value,
+        F.expr("(epoch - 1) div 10 + int(batch_idx % 5 = 3)").alias("wave")), "reports")
+    land, out, mark = (staging_path(spark, n) for n in ("landing", "orders", "marks"))
+    runs = stage(small_runs(spark, d), "runs")
+    fields = reports_.drop("wave").schema
+    for wave in range(4):  # a row without a batch tells the time
+        clock = spark.range(1).select(
+            F.timestamp_seconds(F.lit((10 * wave + 11 + 10 * (wave == 3)) * day)).alias("ts"),
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields[1:]])
+        reports_.where(F.col("wave") == wave).drop("wave").unionByName(clock).write.mode(
+            "append").parquet(land)
+        ends = F.timestamp_seconds((F.col("epoch") + 1) * day)
+        SO.order_stream(spark.readStream.schema(fields).parquet(land), runs, value, ends, out, mark,
+                        delay="2 days", digits=9, partitions=8, **options).awaitTermination()
+    return spark.read.parquet(f"{out}/orders").select("run", "epoch", "slot", "batch_idx")
+
+
+@query
+def stream_order_gradient(spark, d):
+    return streamed_order(spark, d, "mean_grad_norm")
+
+
+@query
+def stream_order_uncertainty(spark, d):
+    return streamed_order(spark, d, "mean_entropy", smooth_window=3, cold_start_epochs=2)
+
+
 @query
 def stream_scoring(spark, d):
     corpus = T.rgb_images(spark, d)
@@ -977,3 +1123,26 @@ def stream_distributions(spark, d):
     stream = spark.readStream.schema(scores.schema).parquet(land)
     SD.distribution_stream(stream, METRICS, out, mark).awaitTermination()
     return rounded(SD.latest_distributions(spark, out), 5)
+
+
+@query
+def stream_quantiles(spark, d):
+    """Sketched quantiles after three waves, held against the exact ranks of all values: is the
+    rank of each within the stated error?"""
+    land, out, mark = (staging_path(spark, n) for n in ("scores", "sketches", "marks"))
+    scores = stage(T.scores_orders(spark, d), "scores")
+    for wave in range(3):
+        scores.where(F.col("index") % 3 == wave).write.mode("append").parquet(land)
+        stream = spark.readStream.schema(scores.schema).parquet(land)
+        SQ.quantile_stream(stream, METRICS, out, mark).awaitTermination()
+    found = stage(SQ.sketch_quantiles(SQ.latest_sketches(spark, out)), "quantiles")
+    values = D.melt(scores, METRICS).where("value is not null").select(
+        "metric", SD.scopes().alias("scope"), "value")
+    v, ranks = F.col("value"), []
+    for name in D.QUANTILES:
+        ranks += [F.count(F.when(v < F.col(name), 1)).alias(f"{name}_below"),
+                  F.count(F.when(v <= F.col(name), 1)).alias(f"{name}_upto")]
+    ranked = values.join(found, ["metric", "scope"]).groupBy("metric", "scope", "count").agg(*ranks)
+    return ranked.select("metric", "scope", "count", *[
+        SQ.within(F.col(f"{n}_below"), F.col(f"{n}_upto"), F.col("count"), q).alias(f"{n}_within")
+        for n, q in D.QUANTILES.items()])

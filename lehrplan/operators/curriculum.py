@@ -30,6 +30,8 @@ def holistic(scores: DataFrame, scheme: str, metrics, batch_size: int,
 def batch_wise(scores: DataFrame, scheme: str, metrics, batch_size: int, seed: int = 1,
                index: str = "index", **options) -> DataFrame:
     """Shuffle all samples, cut into chunks, rank each chunk on its own."""
+    if batch_size < 1:
+        raise ValueError(f"batch_size must be at least 1, got {batch_size}")
     carried = [metrics] if isinstance(metrics, str) else list(metrics)
     if "all-columns" in RANKS.get(scheme).tags:
         carried = [c for c in scores.columns if c != index]

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lehrplan.functions.columns import metric_columns, named, present
-from lehrplan.operators.ordering import positions
 from lehrplan.sources.staging import stage
 
 QUANTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
@@ -30,65 +29,87 @@ def moments() -> list[Column]:
             F.stddev_samp("value").alias("std")]
 
 
+def with_ordered_bits(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Add a double as a long in the same order: its 64 bits, those of a negative number's
+    magnitude negated. Both zeros are 0; NaN has no place.
+
+    The exponent from a logarithm may be off by one and is put right; powers of two and the
+    division by one are exact, so the long holds every bit of the number.
+    """
+    one = 1 << 52
+    return (rows.withColumn("_size", F.abs(named(value)))
+            .withColumn("_e", F.expr("cast(floor(log2(least(greatest(_size, pow(2.0D, -1022)), "
+                                     "1.7976931348623157E308D))) as int)"))
+            .withColumn("_e", F.expr("if(pow(2.0D, _e) > _size, _e - 1, "
+                                     "if(pow(2.0D, _e + 1) <= _size, _e + 1, _e))"))
+            .withColumn(out, F.signum(named(value)).cast("long") * F.expr(f"""
+                case when _size = double('infinity') then {2047 * one}L
+                     when _size < pow(2.0D, -1022)
+                     then cast(_size * pow(2.0D, 537) * pow(2.0D, 537) as long)
+                     else (_e + 1022) * {one}L + cast(_size / pow(2.0D, _e) * {one} as long) end"""))
+            .drop("_size", "_e"))
+
+
 def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, float],
-                    total: int | None = None, tie: str = "index",
-                    extra: Sequence[Column] = (), sample_rows: int = 2_000_000,
-                    spread: float = 4.0) -> DataFrame:
-    """Linearly interpolated quantiles per group, without collecting a group anywhere.
-
-    Up to ``sample_rows`` values in all, the built-in aggregate holds a group in one task. Beyond
-    that a sample brackets each quantile to ``spread`` standard errors, one pass counts exactly
-    what lies below, at and between the ends, and only the values strictly between are sorted,
-    range-partitioned with ties split. A bracket the counts prove wrong is widened to the whole
-    group, so the result is always exact.
-
-    ``total`` only chooses the way and the sampling rate. ``extra`` aggregates of the group ride
-    on the counting pass. Missing values are ignored; a group without any has NULL quantiles.
+                    extra: Sequence[Column] = (), bits: int = 16) -> DataFrame:
+    """Linearly interpolated quantiles per group, by counting alone.
+
+    Doubles are compared by their ordered 64 bits, ``bits`` at a time from the highest. A pass
+    counts the values of every leading pattern still wanted, for all groups and quantiles
+    together; the pattern that holds a wanted position is known from the counts, and only values
+    with it go into the next pass. After ``64 / bits`` passes the values themselves are known.
+    Counts are combined before they are shuffled, so a group may hold any share of the rows, and
+    nothing is sorted, sampled or collected.
+
+    Missing values are ignored; a group without any has NULL quantiles. ``extra`` holds aggregates
+    of the group, added as columns.
     """
     by = list(by)
     keys = [named(b) for b in by]
-    total = values.count() if total is None else total
-    if total <= sample_rows:
-        found = values.groupBy(*keys).agg(
-            F.percentile("value", F.array(*[F.lit(q) for q in quantiles.values()])).alias("_q"),
-            *extra)
-        return found.select("*", *[F.get("_q", F.lit(i)).alias(n)
-                                   for i, n in enumerate(quantiles)]).drop("_q")
-    brackets = stage(sample_brackets(values, by, quantiles, sample_rows / total, spread),
-                     "brackets")
-    cuts = stage(bracket_counts(values, brackets, by, quantiles, extra), "cuts")
-
-    near = [F.col(f"_sorts{i}") & (F.col("value") > F.col(f"_low{i}"))
-            & (F.col("value") < F.col(f"_high{i}")) for i in range(len(quantiles))]
-    rows = values.join(*per_group(cuts.select(*keys, *[
-        f"_{c}{i}" for c in ("sorts", "low", "high", "before", "floor", "ceil")
-        for i in range(len(quantiles))]), by)).where(reduce(lambda p, q: p | q, near))
-    pick = lambda c: F.coalesce(*[F.when(F.col("_q") == i, F.col(f"_{c}{i}"))
-                                  for i in range(len(quantiles))])
-    rows = rows.withColumn("_q", F.explode(F.array_compact(F.array(*[
-        F.when(hit, F.lit(i)) for i, hit in enumerate(near)]))))
-    rows = rows.select(*keys, named(tie), "value", "_q",
-                       (pick("floor") - pick("before")).alias("_floor"),
-                       (pick("ceil") - pick("before")).alias("_ceil"))
-    placed = positions(rows, [F.col("value").asc(), named(tie).asc()],
-                       keep=["value", "_floor", "_ceil"], by=[*by, "_q"], label="near-quantiles")
-    found = placed.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("_q") == i) & (F.col("position") == F.col(f"_{end}")),
-                     F.col("value"))).alias(f"_at_{end}{i}")
-        for i in range(len(quantiles)) for end in ("floor", "ceil")])
-
-    solved = cuts.join(*per_group(found, by))
-
-    def edge(end: str, i: int) -> Column:
-        place, before = F.col(f"_{end}{i}"), F.col(f"_before{i}")
-        return (F.when(place < before, F.col(f"_low{i}"))
-                .when(place < before + F.col(f"_between{i}"), F.col(f"_at_{end}{i}"))
-                .otherwise(F.col(f"_high{i}")))
-
-    extras = [c for c in cuts.columns if c not in by and not c.startswith("_")]
-    return solved.select(*keys, *extras, *[F.when(F.col("_n") > 0, interpolated(
-        edge("floor", i), edge("ceil", i), F.col(f"_share{i}"), F.col(f"_rest{i}"))).alias(n)
-        for i, n in enumerate(quantiles)])
+    sizes = stage(values.groupBy(*keys).agg(F.count("value").alias("_n"), *extra), "sizes")
+    places = {n: (F.greatest(F.col("_n"), F.lit(1)) - 1) * q for n, q in quantiles.items()}
+    wanted = F.array_distinct(F.array(*[f(p) for p in places.values() for f in (F.floor, F.ceil)]))
+    targets = sizes.where("_n > 0").select(*keys, F.lit(0).cast("long").alias("_pattern"),
+                                           F.lit(0).cast("long").alias("_base"), wanted.alias("_wanted"))
+
+    rows = with_ordered_bits(values.where("value is not null").select(*keys, "value"), "value", "_key")
+    shift, old = 64 - bits, ["_pattern", "_base", "_wanted"]
+    found = _patterns(rows.join(*per_group(targets, by)), by, shift)
+    while shift > 0:  # the rows of the patterns found, and no others, go on
+        known, match, _ = per_group(found.select(*keys, *old), by)
+        inside = match & (F.shiftright("_key", shift) == F.col("_pattern"))
+        rows = stage(rows.join(known, inside).select(*keys, "value", "_key", *old), "patterns") \
+            if shift == 64 - bits else rows.drop(*old).join(known, inside).select(*keys, "value", "_key", *old)
+        shift = max(0, shift - bits)
+        found = _patterns(rows, by, shift)
+
+    ends = found.select(*keys, F.explode("_wanted").alias("_place"), "_value").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_place", "_value"))).alias("_at"))  # two a quantile
+    solved = sizes.join(*per_group(ends, by))
+    at = lambda place: F.try_element_at("_at", place)
+    extras = [c for c in sizes.columns if c not in by and c != "_n"]
+    return solved.select(*keys, *extras, *[interpolated(
+        at(F.floor(p)), at(F.ceil(p)), p - F.floor(p), F.ceil(p) - p).alias(n)
+        for n, p in places.items()])
+
+
+def _patterns(rows: DataFrame, by: list[str], shift: int) -> DataFrame:
+    """The leading patterns of ``_key`` that hold wanted positions: ``by``, ``_pattern``, the rows
+    of the group before it (``_base``), the positions in it (``_wanted``) and its largest value.
+
+    ``rows`` carry what is known of the shorter pattern they were chosen by, in the same columns.
+    """
+    old = [*[named(b) for b in by], F.col("_pattern").alias("_old"), "_base", "_wanted"]
+    counts = rows.groupBy(*old, F.shiftright("_key", shift).alias("_pattern")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("value").alias("_value"))
+    # at most 2 ** bits patterns in an older one
+    order = (Window.partitionBy(*[named(b) for b in by], "_old").orderBy("_pattern")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    base = F.col("_base") + F.coalesce(F.sum("_n").over(order), F.lit(0))
+    held = F.filter("_wanted", lambda p: (p >= F.col("_base")) & (p < F.col("_base") + F.col("_n")))
+    return stage(counts.withColumn("_base", base).withColumn("_wanted", held).where(
+        F.size("_wanted") > 0).select(*[named(b) for b in by], "_pattern", "_base", "_wanted", "_value"),
+        "found")
 
 
 def per_group(table: DataFrame, by: list[str]) -> tuple[DataFrame, Column, str]:
@@ -100,64 +121,6 @@ def per_group(table: DataFrame, by: list[str]) -> tuple[DataFrame, Column, str]:
     return other, match, "left"
 
 
-def sample_brackets(values: DataFrame, by: list[str], quantiles: dict[str, float],
-                    fraction: float, spread: float) -> DataFrame:
-    """Per group an interval for each quantile, from a sample of bounded size; open-ended where
-    the sample has too few values."""
-    drawn = (values.where("value is not null").sample(fraction, seed=1)
-             .groupBy(*[named(b) for b in by])
-             .agg(F.sort_array(F.collect_list("value")).alias("_v")))
-    size = F.size("_v")
-    ends = []
-    for i, q in enumerate(quantiles.values()):
-        reach = F.sqrt(size * (q * (1 - q))) * spread + 1
-        low, high = F.floor(size * q - reach), F.ceil(size * q + reach)
-        ends += [F.when(low >= 0, F.get("_v", low.cast("int"))).otherwise(
-                     F.lit(float("-inf"))).alias(f"_low{i}"),
-                 F.when(high < size, F.get("_v", high.cast("int"))).otherwise(
-                     F.lit(float("inf"))).alias(f"_high{i}")]
-    return drawn.select(*[named(b) for b in by], *ends)
-
-
-def bracket_counts(values: DataFrame, brackets: DataFrame, by: list[str],
-                   quantiles: dict[str, float], extra: Sequence[Column] = ()) -> DataFrame:
-    """Per group and quantile: ends, rows before the open interval, rows in it, and the two
-    positions wanted. Brackets that miss their positions become the whole line."""
-    rows = values.join(*per_group(brackets, by))
-    v, ends = F.col("value"), {"_neg": float("-inf"), "_pos": float("inf")}
-    stats = [F.count("value").alias("_n"),
-             *[F.count(F.when(v == e, 1)).alias(n) for n, e in ends.items()], *extra]
-    for i in range(len(quantiles)):
-        low = F.coalesce(F.col(f"_low{i}"), F.lit(float("-inf")))
-        high = F.coalesce(F.col(f"_high{i}"), F.lit(float("inf")))
-        stats += [F.max(low).alias(f"_l{i}"), F.max(high).alias(f"_h{i}"),
-                  F.count(F.when(v < low, 1)).alias(f"_below{i}"),
-                  F.count(F.when(v == low, 1)).alias(f"_at_low{i}"),
-                  F.count(F.when((v > low) & (v < high), 1)).alias(f"_inside{i}"),
-                  F.count(F.when(v == high, 1)).alias(f"_at_high{i}")]
-    counted = rows.groupBy(*[named(b) for b in by]).agg(*stats)
-    cuts = [*[named(b) for b in by], "_n",
-            *[c for c in counted.columns if c not in by and not c.startswith("_")]]
-    for i, q in enumerate(quantiles.values()):
-        place = (F.greatest(F.col("_n"), F.lit(1)) - 1) * q
-        floor, ceil = F.floor(place), F.ceil(place)
-        below = F.col(f"_below{i}")
-        last = below + F.col(f"_at_low{i}") + F.col(f"_inside{i}") + F.when(
-            F.col(f"_l{i}") == F.col(f"_h{i}"), F.lit(0)).otherwise(F.col(f"_at_high{i}"))
-        good = (below <= floor) & (ceil < last)
-        choose = lambda yes, no: F.when(good, yes).otherwise(no)
-        before = choose(below + F.col(f"_at_low{i}"), F.col("_neg"))
-        between = choose(F.col(f"_inside{i}"), F.col("_n") - F.col("_neg") - F.col("_pos"))
-        inside = lambda p: (p >= before) & (p < before + between)
-        cuts += [choose(F.col(f"_l{i}"), F.lit(float("-inf"))).alias(f"_low{i}"),
-                 choose(F.col(f"_h{i}"), F.lit(float("inf"))).alias(f"_high{i}"),
-                 before.alias(f"_before{i}"), between.alias(f"_between{i}"),
-                 floor.alias(f"_floor{i}"), ceil.alias(f"_ceil{i}"),
-                 (place - floor).alias(f"_share{i}"), (ceil - place).alias(f"_rest{i}"),
-                 (inside(floor) | inside(ceil)).alias(f"_sorts{i}")]
-    return counted.select(*cuts)
-
-
 def interpolated(low: Column, high: Column, share: Column, rest: Column) -> Column:
     """Point between two neighbours, with the arithmetic of the built-in aggregate."""
     return F.when(low == high, low).otherwise(low * rest + high * share)
@@ -174,8 +137,7 @@ def distributions(scores: DataFrame, metrics: Sequence[str] | None = None,
     scoped = (values.withColumn("level", F.explode(levels))
               .withColumn("class", F.when(F.col("level") == 1, F.col("class"))))
     by = ["metric", "level", "class"]
-    rows = scores.count() * 2 * len(metrics or metric_columns(scores, (index, label)))
-    table = exact_quantiles(scoped, by, QUANTILES, rows, extra=moments(), **quantile_options)
+    table = exact_quantiles(scoped, by, QUANTILES, extra=moments(), **quantile_options)
     scope = F.when(F.col("level") == 0, F.lit(GLOBAL)).otherwise(F.col("class"))
     return table.select("metric", scope.alias("scope"), "count", "mean", "maximum",
                          F.col("p50").alias("median"), "minimum", "std", "p25", "p50", "p75")

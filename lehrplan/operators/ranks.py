@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lehrplan.functions.columns import (Groups, correlation, correlation_parts, named,
                                         numeric_columns, present, ratio, with_statistics)
 from lehrplan.operators.ordering import positions
+from lehrplan.operators.voting import BLOCK, sequential_weights
 from lehrplan.registry import METRICS, RANKS
 
 FLAT = 1e-10  # a column whose range is below this counts as constant
@@ -54,9 +55,12 @@ def rank(scores: DataFrame, scheme: str, metrics: str | Sequence[str], *,
     base = scores.select(*[named(g) for g in group], named(index), *[named(e) for e in extra],
                          *[present(named(c)).alias(c) for c in columns])
     if "per-batch" in entry.tags:
-        if not (partition_by and bounded):
-            raise ValueError(f"{scheme} votes row by row and is defined per batch: give "
-                             "bounded groups, or use 'correlation-sum'")
+        if not partition_by:  # the whole table is one batch
+            return sequential_vote(base, metrics, index, row_order or index,
+                                   [m for m in metrics if m in inverted], digits)
+        if not bounded:
+            raise ValueError(f"{scheme} votes row by row: give bounded groups, rank the whole table, "
+                             "or use 'correlation-sum'")
         return entry.build(base, metrics, partition_by, index, row_order or index,
                            [m for m in metrics if m in inverted])
 
@@ -291,3 +295,15 @@ def pairwise_correlation(scores, metrics, partition_by, index, row_order, invert
         named(partition_by), named(row_order), named(index))
     return placed.mapInPandas(
         vote, f"`{partition_by}` {kinds[partition_by]}, `{index}` {kinds[index]}, position long")
+
+
+def sequential_vote(scores: DataFrame, metrics: Sequence[str], index: str = "index",
+                    row_order: str = "index", inverted: Sequence[str] = (),
+                    digits: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``index, position`` by the sequential vote of all rows, blocks of them in parallel. All pairs
+    vote: for tables too large for quadratic work there is `correlation_sum`."""
+    unit = unit_rows(scores, metrics, None, inverted)
+    weights = sequential_weights(unit, [f"_x{i}" for i in range(len(metrics))], index, row_order, block)
+    key = F.col("weight") if digits is None else F.round("weight", digits)
+    return positions(weights.withColumn("_key", key), [F.col("_key").asc(), named(index).asc()],
+                     keep=[index], label="rank-vote")

@@ -132,6 +132,12 @@ def signal_order(runs: DataFrame, total_epochs: int, signals: DataFrame, value:
     Natural order during the cold start and while no batch has reported (all means are 0).
     """
     means = running_means(runs, signals, value, total_epochs)
+    return order_by_means(means, smooth_window, cold_start_epochs, digits)
+
+
+def order_by_means(means: DataFrame, smooth_window: int = 5, cold_start_epochs: int = 1,
+                   digits: int | None = None) -> DataFrame:
+    """`signal_order` from the running means of all batches (``run, epoch, batch_idx, mean``)."""
     smooth = smooth_centered(means, "mean", "_smooth", smooth_window // 2)
     key = F.round("_smooth", digits) if digits is not None else F.col("_smooth")
     smooth = smooth.withColumn("_key", F.when(F.col("epoch") <= cold_start_epochs, F.lit(0.0))

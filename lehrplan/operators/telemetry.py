@@ -60,3 +60,25 @@ def epoch_metrics(logits: DataFrame) -> DataFrame:
 def signal_frame(*parts: DataFrame) -> DataFrame:
     """Batch signals side by side, one row per (run, epoch, batch)."""
     return reduce(lambda a, b: a.join(b, BATCH, "full_outer"), parts)
+
+
+def batch_signals(values: DataFrame) -> DataFrame:
+    """All three batch signals from one scan of logged numbers: ``run, epoch, batch_idx, mean_std,
+    mean_grad_norm, mean_entropy``.
+
+    ``values`` holds ``layer`` and any of ``activation`` and ``gradient`` per element, and
+    ``entropy`` per sample (its rows need no layer); numbers that a row lacks are missing. A signal
+    of which a batch logged nothing is missing, the gradient norm 0.0. Sums are combined before both
+    shuffles, first by layer, then by batch.
+    """
+    logged = set(values.columns)
+    number = {n: F.col(n).cast("double") if n in logged else F.lit(None).cast("double")
+              for n in ("activation", "gradient", "entropy")}
+    layers = values.select(*BATCH, "layer", *[c.alias(n) for n, c in number.items()]).groupBy(
+        *BATCH, "layer").agg(
+        F.stddev_samp("activation").alias("_std"),
+        F.sqrt(F.sum(F.col("gradient") * F.col("gradient"))).alias("_norm"),
+        F.sum("entropy").alias("_entropy"), F.count("entropy").cast("double").alias("_samples"))
+    return layers.groupBy(*BATCH).agg(
+        F.avg("_std").alias("mean_std"), F.coalesce(F.avg("_norm"), F.lit(0.0)).alias("mean_grad_norm"),
+        ratio(F.sum("_entropy"), F.sum("_samples")).alias("mean_entropy"))

@@ -70,6 +70,36 @@ def unit_vectors(partition: str = "") -> str:
             f"u AS (SELECT *, {unit} FROM n)")
 
 
+def votes(dimensions: int = 5) -> str:
+    """Weights after all pairs of a chunk, one pair of every chunk a step: ``done`` from ``drawn``
+    (u with the row number ``rn`` in its chunk)."""
+    unit = ", ".join(f"x{i}" for i in range(dimensions))
+    dot = " + ".join(f"x[i][{k}] * x[j][{k}]" for k in range(1, dimensions + 1))
+    turn = """CASE WHEN wi >= 0 AND wj < 0 THEN {a} WHEN wi < 0 AND wj >= 0 THEN {b}
+        WHEN p >= 0 THEN CASE WHEN wi >= 0 THEN p ELSE -p END WHEN wi < wj THEN {b} ELSE {a} END"""
+    return f"""chunk AS MATERIALIZED (SELECT batch_idx, count(*) AS n, list([{unit}] ORDER BY rn) AS x,
+      list(index ORDER BY rn) AS ids FROM drawn GROUP BY batch_idx),
+    vote(batch_idx, i, j, w) AS (
+      SELECT batch_idx, 1, 2, list_transform(ids, lambda k: 0.0::DOUBLE) FROM chunk WHERE n > 1
+      UNION ALL
+      SELECT batch_idx, CASE WHEN j < n THEN i ELSE i + 1 END, CASE WHEN j < n THEN j + 1 ELSE i + 2 END,
+        list_transform(w, lambda v, k: CASE WHEN k = i THEN v + {turn.format(a="-p", b="p")}
+          WHEN k = j THEN v + {turn.format(a="p", b="-p")} ELSE v END)
+      FROM (SELECT batch_idx, n, i, j, w, w[i] AS wi, w[j] AS wj, coalesce({dot}, 0) AS p
+            FROM vote JOIN chunk USING (batch_idx) WHERE i < n)),
+    done AS (
+      SELECT batch_idx, unnest(ids) AS index, unnest(w) AS weight
+      FROM vote JOIN chunk USING (batch_idx) WHERE i = n
+      UNION ALL SELECT batch_idx, ids[1], 0.0::DOUBLE FROM chunk WHERE n = 1)"""
+
+
+SUPPLIERS = """base AS (SELECT s_suppkey AS index, s_acctbal AS total_price, line_count, sum_qty,
+    avg_discount, avg_tax, 0 AS batch_idx FROM supplier LEFT JOIN (
+    SELECT l_suppkey, count(*)::DOUBLE AS line_count, sum(l_quantity) AS sum_qty,
+      CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100.0::DOUBLE) AS avg_discount,
+      CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100.0::DOUBLE) AS avg_tax
+    FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey)"""
+
 PX = """px AS (SELECT vec_id AS index, label, unnest(embedding) AS v,
   generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)"""
 IMG = PX + """, img AS (SELECT index, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x,
@@ -150,6 +180,12 @@ EDGES = SHIFT + """, nb AS (SELECT a.index, a.y, a.x, any_value(a.gx) AS gx, any
   edge AS (SELECT index, y, x FROM weak WHERE m > 200
     UNION SELECT k.index, k.y, k.x FROM edge e JOIN weak k ON k.index = e.index
     AND abs(k.y - e.y) <= 1 AND abs(k.x - e.x) <= 1)"""
+
+
+def edges(low: int, high: int) -> str:
+    return EDGES.replace("m > 100", f"m > {low}").replace("m > 200", f"m > {high}")
+
+
 DENSITY = """dens AS (SELECT v.vec_id AS index, count(e.index) / 64.0::DOUBLE AS edge_density,
   any_value(v.label) AS label FROM embeddings v LEFT JOIN edge e ON e.index = v.vec_id
   GROUP BY v.vec_id)"""
@@ -178,6 +214,9 @@ HIST = """hist AS (SELECT user_id AS index, value AS loss, CAST(row_number() OVE
   PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS iteration FROM events),
   cut AS (SELECT *, abs(loss - lag(loss) OVER (PARTITION BY index ORDER BY iteration)) AS delta
   FROM hist WHERE iteration <= 1000)"""
+ONE = """one AS (SELECT CAST(0 AS BIGINT) AS index, value AS loss, row_number() OVER (ORDER BY ts, event_id) - 1
+    AS iteration FROM events),
+  cut AS (SELECT *, abs(loss - lag(loss) OVER (ORDER BY iteration)) AS delta FROM one)"""
 LAYERS = """cut AS (SELECT * FROM (SELECT user_id AS index, event_type AS layer, value AS delta,
   CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INTEGER)
   AS iteration FROM events) WHERE iteration <= 1000)"""
@@ -275,7 +314,10 @@ READY = f"""{SIG}, {EPO}, {LOSS_SIGNAL}, {VAL_SIGNAL}, {plateau('ps', 'mean_std'
      + coalesce(grd.signal, 0)) / 4 AS readiness
     FROM epo LEFT JOIN ls USING (run, epoch) LEFT JOIN vs USING (run, epoch)
     LEFT JOIN act USING (run, epoch) LEFT JOIN grd USING (run, epoch))"""
-ADAPTIVE = f"""WITH RECURSIVE {READY}, {runs(8)},
+
+
+def adaptive(runs_table: str) -> str:
+    return f"""WITH RECURSIVE {READY}, {runs_table},
   pace AS (SELECT run, 0 AS epoch, greatest(1, CAST(trunc(total_batches * 0.3::DOUBLE) AS BIGINT))
       AS active FROM runs
     UNION ALL
@@ -285,17 +327,19 @@ ADAPTIVE = f"""WITH RECURSIVE {READY}, {runs(8)},
         CASE WHEN 30 - r.epoch > 0 THEN greatest(1, CAST(ceil((n.total_batches - p.active)
           / CAST(30 - r.epoch AS DOUBLE)) AS BIGINT)) ELSE n.total_batches - p.active END AS low
       FROM pace p JOIN ready r ON r.run = p.run AND r.epoch = p.epoch + 1
-      JOIN runs n ON n.run = p.run))
-SELECT run, CAST(epoch AS INTEGER) AS epoch, CAST(active AS INTEGER) AS n_active FROM pace
-WHERE epoch > 0"""
+      JOIN runs n ON n.run = p.run))"""
+
+
+ADAPTIVE = f"""{adaptive(runs(8))} SELECT run, CAST(epoch AS INTEGER) AS epoch,
+    CAST(active AS INTEGER) AS n_active FROM pace WHERE epoch > 0"""
 
 
-def means(value: str) -> str:
-    return f"""{SIG}, {runs(200)}, grid AS (SELECT run, CAST(e AS INTEGER) AS epoch,
+def means(value: str, where: str = "true") -> str:
+    return f"""{SIG}, met AS (SELECT * FROM sig WHERE {where}), {runs(200)}, grid AS (SELECT run, CAST(e AS INTEGER) AS epoch,
       CAST(b AS INTEGER) AS batch_idx FROM runs, range(1, 31) r(e), range(100000) k(b)
       WHERE b < total_batches),
     means AS (SELECT run, epoch, batch_idx, coalesce(avg({value}) OVER (PARTITION BY run, batch_idx
-      ORDER BY epoch), 0) AS mean FROM grid LEFT JOIN sig USING (run, epoch, batch_idx))"""
+      ORDER BY epoch), 0) AS mean FROM grid LEFT JOIN met USING (run, epoch, batch_idx))"""
 
 
 def smoothed(half: int) -> str:
@@ -303,13 +347,19 @@ def smoothed(half: int) -> str:
       BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS smooth FROM means)"""
 
 
-def signal_order(value: str, half: int, cold: int) -> str:
-    return f"""WITH {means(value)}, {smoothed(half)}
+def signal_order(value: str, half: int, cold: int, where: str = "true") -> str:
+    return f"""WITH {means(value, where)}, {smoothed(half)}
   SELECT run, epoch, CAST(row_number() OVER (PARTITION BY run, epoch ORDER BY
     CASE WHEN epoch <= {cold} THEN 0 ELSE round(smooth, 9) END DESC, batch_idx) - 1 AS INTEGER)
     AS slot, batch_idx FROM sm"""
 
 
+def streamed_order(value: str, half: int, cold: int) -> str:
+    """Without the reports that come too late, for the epochs that have others."""
+    order = signal_order(value, half, cold, "NOT (batch_idx % 5 = 3 AND (epoch - 1) % 10 < 8)")
+    return f"{order} WHERE (run, epoch) IN (SELECT (run, epoch) FROM met)"
+
+
 LOGITS = """lg AS (SELECT vec_id AS index, label, vec_id // 32 AS batch_idx,
     unnest(embedding)::DOUBLE AS z, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
   nrm AS (SELECT index, max(z) AS top, ln(sum(exp(z))) AS lse FROM lg GROUP BY index),
@@ -378,6 +428,7 @@ ORACLE: dict[str, str] = {
       SELECT CAST(pos // 128 AS INTEGER) AS batch_idx, count(*) AS samples, min(p) AS first,
         max(p) AS last FROM r GROUP BY 1""",
     "rank_cached": rank("sum_qty NULLS LAST"),
+    "rank_cached_after_crash": rank("sum_qty NULLS LAST"),
     # statistics
     "metric_distributions": distributions("so", SO, METRICS),
     "metric_distributions_part": distributions(
@@ -438,6 +489,13 @@ ORACLE: dict[str, str] = {
         FROM n, range(1, 7) r(e))
       SELECT CAST(e AS INTEGER) AS epoch, pos AS position, index FROM act JOIN pb
       ON pos // 64 < active""",
+    "curriculum_sequence_adaptive": f"""{adaptive("""runs AS (SELECT 'click' AS run,
+          CAST(ceil(count(*) / 64.0::DOUBLE) AS INTEGER) AS total_batches FROM part)""")},
+      {PART64.format(key='p_retailprice')},
+      shown AS (SELECT 1 AS e, total_batches AS active FROM runs UNION ALL
+        SELECT epoch + 1, active FROM pace WHERE epoch BETWEEN 1 AND 29)
+      SELECT CAST(e AS INTEGER) AS epoch, pos AS position, index FROM shown JOIN pb
+      ON pos // 64 < active""",
     "curriculum_sequence_logged": """WITH o AS (SELECT CAST(day(ts) AS INTEGER) AS epoch, event_id AS
         slot, CASE WHEN day(ts) % 7 = 0 THEN -1 ELSE user_id - 20 END AS b FROM events),
       pb AS (SELECT p_partkey AS index, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part),
@@ -463,6 +521,8 @@ ORACLE: dict[str, str] = {
     # score tables
     "scores_init": "SELECT o_orderkey AS index, NULL::VARCHAR AS class, NULL::DOUBLE AS "
                    "edge_density, NULL::DOUBLE AS color_variance FROM orders",
+    "score_resume_after_crash": f"""WITH {SO} SELECT index, class, CASE WHEN index % 3 = 0 THEN
+        total_price * 2 ELSE total_price END AS total_price, line_count FROM so""",
     "scores_load": f"WITH {SO} SELECT * FROM so",
     "score_select": f"WITH {SO} SELECT index, class, total_price, avg_tax FROM so",
     "score_get": "SELECT o_orderkey AS index, o_totalprice AS score FROM orders WHERE o_orderkey "
@@ -546,6 +606,11 @@ ORACLE: dict[str, str] = {
                          "FROM mag",
     "m_edge_density": f"WITH RECURSIVE {EDGES}, {DENSITY} SELECT index, round(edge_density, 8) AS "
                       "edge_density FROM dens",
+    "m_edge_density_thresholds": f"""SELECT index, edge_density, object_count FROM (
+      WITH RECURSIVE {edges(40, 90)}, {DENSITY} SELECT index, round(edge_density, 8) AS edge_density FROM dens)
+      JOIN (WITH RECURSIVE {edges(150, 300)}, {OBJECTS} SELECT index, object_count FROM cnt) USING (index)""",
+    "m_wavelet_levels_given": f"WITH {HAAR} SELECT index, CAST(level - 1 AS INTEGER) AS level, "
+                              "round(energy, 8) AS energy FROM lev WHERE level > 0",
     "m_object_count": f"WITH RECURSIVE {EDGES}, {OBJECTS} SELECT index, object_count FROM cnt",
     "score_dataset": f"""WITH RECURSIVE {EDGES}, {DENSITY}, {OBJECTS}, vr AS (SELECT index,
         var_samp(CAST(CAST(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(v AS DOUBLE) * 2
@@ -585,13 +650,28 @@ ORACLE: dict[str, str] = {
                    "AS delta FROM cut",
     "stable_runs": f"""WITH {HIST}, rd AS (SELECT * REPLACE (round(delta, 6) AS delta) FROM cut),
         {islands('index', 40, 'rd')} SELECT index, iteration, stable_run FROM st""",
+    "h_long_series": f"""WITH {ONE}, rd AS (SELECT * REPLACE (round(delta, 6) AS delta) FROM cut),
+        {islands('index', 98, 'rd')} SELECT iteration, stable_run FROM st""",
+    "h_history_chunks": f"""WITH {ONE}, {islands('index', 98)}, z AS (SELECT index, loss, iteration,
+        min(iteration) FILTER (stable_run >= 50) OVER () AS stop FROM st)
+      SELECT index, iteration // 16 AS chunk, (iteration // 16) * 16 AS first_iteration,
+        CAST(iteration % 16 AS INTEGER) AS step, round(loss, 6) AS loss FROM z
+      WHERE stop IS NULL OR iteration <= stop""",
     # schedules
+    "signals_asof": f"""WITH {runs(8)}, {LINEAR_03}, steps AS (SELECT run, epoch, n_active,
+        TIMESTAMP '2024-01-01 06:00:00' + INTERVAL 1 DAY * (epoch - 1) AS at FROM lin)
+      SELECT e.event_id, e.event_type AS run,
+        CASE WHEN e.ts < s.at + INTERVAL 20 HOUR THEN s.epoch END AS epoch,
+        CASE WHEN e.ts < s.at + INTERVAL 20 HOUR THEN s.n_active END AS n_active
+      FROM events e ASOF LEFT JOIN steps s ON e.event_type = s.run AND e.ts >= s.at""",
     "schedule_linear": f"WITH {runs(8)}, {LINEAR_03} SELECT * FROM lin",
     "schedule_linear_order": f"""WITH {runs(200)}, {LINEAR.format(full=20, f0='0.2', rest='0.8')}
       SELECT run, epoch, CAST(s AS INTEGER) AS slot, CAST(s AS INTEGER) AS batch_idx
       FROM lin, range(100000) r(s) WHERE s < n_active""",
     "schedule_adaptive": ADAPTIVE,
     "stream_pacing": ADAPTIVE,
+    "stream_order_gradient": streamed_order("mean_grad_norm", 2, 1),
+    "stream_order_uncertainty": streamed_order("mean_entropy", 1, 2),
     "schedule_gradient": signal_order("mean_grad_norm", 2, 1),
     "schedule_uncertainty": signal_order("mean_entropy", 1, 2),
     "signal_loss_plateau": f"WITH {EPO}, {LOSS_SIGNAL} SELECT run, epoch, round(signal, 8) AS signal "
@@ -636,6 +716,13 @@ ORACLE: dict[str, str] = {
                        "mean_grad_norm FROM per GROUP BY ALL",
     "batch_signals": f"WITH {LAYER_VALUES} SELECT run, epoch, batch_idx, round(avg(s), 6) AS "
                      "mean_std, round(avg(n), 6) AS mean_grad_norm FROM per GROUP BY ALL",
+    "batch_signals_three": """WITH lv AS (SELECT l_returnflag AS run, CAST(month(l_shipdate) AS INTEGER)
+        AS epoch, CAST(l_suppkey % 10 AS INTEGER) AS batch_idx, * FROM lineitem),
+      per AS (SELECT run, epoch, batch_idx, l_linenumber, stddev_samp(l_quantity) AS s,
+        sqrt(sum(l_discount * l_discount)) AS n, sum(l_tax) FILTER (l_linenumber < 4) AS e,
+        count(*) FILTER (l_linenumber < 4) AS k FROM lv GROUP BY ALL)
+      SELECT run, epoch, batch_idx, round(avg(s), 6) AS mean_std, round(avg(n), 6) AS mean_grad_norm,
+        round(sum(e) / nullif(sum(k), 0), 6) AS mean_entropy FROM per GROUP BY ALL""",
     "run_best_epoch": f"WITH {EPO}, {BEST} SELECT run, best_epoch, best_accuracy AS "
                       "best_accuracy, best_loss AS best_loss FROM best",
     "run_final": f"WITH {EPO}, {FINAL} SELECT run, " + ", ".join(
@@ -685,6 +772,15 @@ ORACLE: dict[str, str] = {
         events), (VALUES ('resnet-18'), ('resnet-34'), ('resnet-50'), ('resnet-101')) m(model),
         (VALUES ('ascending'), ('descending')) r(rank)
       WHERE NOT (model = 'resnet-18' AND rank = 'ascending')""",
+    "rank_pairwise_small": f"""WITH RECURSIVE {SO}, base AS (SELECT *, CAST((row_number() OVER (ORDER BY
+        md5('1:' || index), index) - 1) // 12 AS INTEGER) AS batch_idx FROM so),
+      {unit_vectors('PARTITION BY batch_idx')}, drawn AS (SELECT *, row_number() OVER (PARTITION BY
+        batch_idx ORDER BY md5('1:' || index), index) AS rn FROM u), {votes()}
+      SELECT batch_idx, CAST(row_number() OVER (PARTITION BY batch_idx ORDER BY weight, index) - 1
+        AS INTEGER) AS pos_in_batch, index FROM done""",
+    "rank_pairwise_suppliers": f"""WITH RECURSIVE {SUPPLIERS}, {unit_vectors()},
+      drawn AS (SELECT *, row_number() OVER (ORDER BY index) AS rn FROM u), {votes()}
+      SELECT index, row_number() OVER (ORDER BY round(weight, 9), index) - 1 AS position FROM done""",
     "pair_correlation_sums": f"""WITH {SO}, base AS (SELECT *, CAST((row_number() OVER (ORDER BY
         md5('1:' || index), index) - 1) // 128 AS INTEGER) AS batch_idx FROM so),
       {unit_vectors('PARTITION BY batch_idx')}
@@ -712,6 +808,9 @@ ORACLE["score_all_native"] = ORACLE["score_all_kernels"] = ORACLE["stream_scorin
 ORACLE["rank_cached_weighted"] = ORACLE["rank_weighted"]
 ORACLE["rank_cached_inverted"] = ORACLE["rank_normalized_mean"]
 ORACLE["metric_distributions_brackets"] = ORACLE["metric_distributions"]
+ORACLE["stream_quantiles"] = (
+    "SELECT metric, scope, count, true AS p25_within, true AS p50_within, true AS p75_within "
+    f"FROM ({ORACLE['metric_distributions']}) WHERE count > 0")
 ORACLE["distributions_csv"] = ORACLE["metric_distributions"]
 ORACLE["scores_csv"] = f"WITH {SO} SELECT index, class, " + ", ".join(
     f"CAST({m} AS DOUBLE) AS {m}" for m in METRICS) + " FROM so"

@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import lehrplan.operators.history  # noqa: F401  (registers its metrics)
@@ -13,7 +12,7 @@ from lehrplan.functions.columns import named
 from lehrplan.operators.image_kernels import image_metric_ids, score_images
 from lehrplan.registry import METRICS
 from lehrplan.sources.reports import sample_report
-from lehrplan.sources.scores import (load_errors, load_scores, save_errors, save_scores, upsert,
+from lehrplan.sources.scores import (last_version, load_scores, partition, save_changes, save_scores,
                                      with_metrics)
 from lehrplan.sources.staging import stage
 
@@ -76,40 +75,35 @@ def score_dataset(spark: SparkSession, images: DataFrame, path: str, dataset: st
                   layer_history: DataFrame | None = None) -> DataFrame:
     """Resume or start the stored score table of a corpus and return it.
 
-    A sample's stored scores are not computed again; nothing is written when none is missing.
-    What failed is stored with its error text (`load_errors`), its score stays missing and is
-    tried again by the next call.
+    A sample's stored scores are not computed again; nothing is written when none is missing, and
+    else only what is new. What failed is stored with its error text (`load_errors`), its score
+    stays missing and is tried again by the next call.
     """
     histories = {name: table for name, table in (("history", history),
                                                  ("layer_history", layer_history))
                  if table is not None}
     metrics = requested_metrics(metrics, ["images", *histories])
-    try:
-        scores = load_scores(spark, path, dataset, seed)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not last_version(spark, partition(path, dataset, seed)):
         # nothing scored yet: one map over the images
         found = stage(score_wanted(images, metrics, options, histories), "scored")
-        table, tried = with_metrics(found.drop("errors"), metrics), None
-    else:
-        # ids first: while few samples are left, the images are filtered without being moved
-        ids = stage(missing_metrics(images, scores, metrics), "pending")
-        if ids.isEmpty():
-            return with_metrics(scores, metrics)
-        found = stage(score_wanted(images, metrics, options, histories, ids), "scored")
-        table = upsert(scores, found.drop("errors"))
-        tried = ids.select("index", F.explode("wanted").alias("metric"))
-    save_scores(table, path, dataset, seed)
-    errors = found.select("index", F.explode("errors").alias("metric", "error"))
-    if tried is not None:
-        earlier = load_errors(spark, path, dataset, seed).join(tried, ["index", "metric"],
-                                                               "left_anti")
-        errors = earlier.unionByName(errors)
-    save_errors(errors, path, dataset, seed)
+        save_scores(with_metrics(found.drop("errors"), metrics), path, dataset, seed, failures(found))
+        return load_scores(spark, path, dataset, seed)
+    scores = load_scores(spark, path, dataset, seed)
+    # ids first: while few samples are left, the images are filtered without being moved
+    ids = stage(missing_metrics(images, scores, metrics), "pending")
+    if ids.isEmpty():
+        return with_metrics(scores, metrics)
+    found = stage(score_wanted(images, metrics, options, histories, ids), "scored")
+    tried = ids.select("index", F.explode("wanted").alias("metric")).join(
+        failures(found), ["index", "metric"], "left")
+    save_changes(found.drop("errors"), path, dataset, seed, tried.select("index", "metric", "error"))
     return load_scores(spark, path, dataset, seed)
 
 
+def failures(scored: DataFrame) -> DataFrame:
+    return scored.select("index", F.explode("errors").alias("metric", "error"))
+
+
 def score_sample(images: DataFrame, index: int, metrics: Sequence[str] = ("all",),
                  options: dict | None = None) -> DataFrame:
     """``index, report``: JSON of one sample's metrics; a failed metric holds its error text."""

@@ -29,6 +29,18 @@ def scores_orders(spark: SparkSession, folder: str) -> DataFrame:
             .drop("l_orderkey"))
 
 
+def scores_supplier(spark: SparkSession, folder: str) -> DataFrame:
+    """One sample per supplier, with the metrics of orders over the lines it supplied."""
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    lines = load(spark, folder, "lineitem").groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).cast("double").alias("line_count"), F.sum("l_quantity").alias("sum_qty"),
+        (cents("l_discount") / (F.count(F.lit(1)) * 100.0)).alias("avg_discount"),
+        (cents("l_tax") / (F.count(F.lit(1)) * 100.0)).alias("avg_tax"))
+    suppliers = load(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("index"), F.col("s_acctbal").alias("total_price"))
+    return suppliers.join(lines, suppliers["index"] == lines["l_suppkey"], "left").drop("l_suppkey")
+
+
 def scores_part(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "part").select(
         F.col("p_partkey").alias("index"), F.col("p_brand").alias("class"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lehrplan.functions.columns import named
 from lehrplan.operators.runs import append_rows
+from lehrplan.sources.commits import read_known
 
 
 def write_distributions(table: DataFrame, path: str) -> None:
@@ -23,16 +23,19 @@ def read_distributions(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def append_runs(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Append run records that are not in the table yet (the first call creates it)."""
-    try:
-        known = spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        known = rows.limit(0)
+    """Append run records that are not in the table yet (the first call creates it). Two writers
+    at once may both append a run; `load_runs` reads it once."""
+    known = read_known(spark, path, rows.schema)
     append_rows(rows, known).write.mode("append").parquet(path)
 
 
+def load_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The recorded runs, one row per hash: of several the least by its other columns."""
+    table = spark.read.parquet(path)
+    rest = F.struct(*[named(c) for c in table.columns])
+    return table.groupBy("hash").agg(F.min(rest).alias("_row")).select("_row.*")
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     documents.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
 

@@ -1,14 +1,20 @@
-"""The score table: ``index, class`` and one nullable double per metric."""
+"""The score table: ``index, class`` and one nullable double per metric.
+
+A stored partition is a whole table and tables of changes, named by the record of its last version;
+a reader merges them.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lehrplan.functions.columns import metric_columns, named, present
 from lehrplan.registry import METRICS
+from lehrplan.sources.commits import last_record, publish_next, write_new
 
 META = ("index", "class")
 
@@ -52,46 +58,125 @@ def partition(path: str, dataset: str, seed: int) -> str:
     return f"{path}/dataset={dataset}/seed={seed}"
 
 
-def last_version(spark: SparkSession, folder: str) -> int:
-    """The last version below a folder that was written to its end; 0 if there is none."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=0)
+# A version of a partition: the folders of its whole tables and of the changes since, oldest first.
+VERSION = ("version long, id string, scores string, changes array<string>, errors string, "
+           "error_changes array<string>")
+ERRORS = "index long, metric string, error string"
+MOST_CHANGES = 8  # tables of changes before a save writes the whole table anew
 
 
-def save_version(table: DataFrame, folder: str) -> None:
-    """Write the next version; ``table`` may read the last one, which stays until it is expired."""
-    number = last_version(table.sparkSession, folder) + 1
-    table.write.mode("overwrite").parquet(f"{folder}/version={number}")
+def last_version(spark: SparkSession, folder: str) -> int:
+    """Number of the last version of a partition; 0 if there is none."""
+    record = last_record(spark, folder, VERSION)
+    return record["version"] if record else 0
+
+
+def save_scores(scores: DataFrame, path: str, dataset: str, seed: int,
+                errors: DataFrame | None = None) -> str:
+    """Replace one (dataset, seed) partition; other partitions are untouched.
+
+    Scores and errors (``index, metric, error``) become visible together. ``scores`` may read the
+    version before, which stays until it is expired.
+    """
+    target, spark = partition(path, dataset, seed), scores.sparkSession
+    publish_next(spark, target, VERSION, last_record(spark, target, VERSION),
+                 scores=write_new(scores, target, "scores"), changes=[],
+                 errors=None if errors is None else write_new(errors, target, "errors"), error_changes=[])
+    return target
 
 
-def save_scores(scores: DataFrame, path: str, dataset: str, seed: int) -> str:
-    """Replace one (dataset, seed) partition; other partitions are untouched."""
-    target = partition(path, dataset, seed)
-    save_version(scores, target)
+def save_changes(changed: DataFrame, path: str, dataset: str, seed: int,
+                 errors: DataFrame | None = None) -> str:
+    """Add scores and errors of some samples to a stored partition, as tables of their own.
+
+    New scores count over old ones; a missing new score erases none, and metrics ``changed`` lacks
+    stay. ``errors`` has a row for everything tried: a missing ``error`` clears an older one. Many
+    tables of changes are merged into a whole one.
+    """
+    target, spark = partition(path, dataset, seed), changed.sparkSession
+    record = last_record(spark, target, VERSION)
+    if record is None:
+        found = None if errors is None else errors.where("error is not null")
+        return save_scores(changed, path, dataset, seed, found)
+    new = dict(record, changes=[*record["changes"], write_new(changed, target, "changes")])
+    if errors is not None:
+        new["error_changes"] = [*record["error_changes"], write_new(errors, target, "error-changes")]
+    if len(new["changes"]) >= MOST_CHANGES:
+        return save_scores(_scores(spark, target, new), path, dataset, seed, _errors(spark, target, new))
+    publish_next(spark, target, VERSION, record, **{k: v for k, v in new.items()
+                                                    if k not in ("version", "id")})
     return target
 
 
-def load_scores(spark: SparkSession, path: str, dataset: str, seed: int) -> DataFrame:
-    """One partition of the table, with its own metric columns; no other folder is listed."""
+def compact(spark: SparkSession, path: str, dataset: str, seed: int) -> str:
+    """Write a partition and its changes as whole tables."""
     target = partition(path, dataset, seed)
-    return spark.read.parquet(f"{target}/version={last_version(spark, target)}")
+    record = last_record(spark, target, VERSION)
+    return save_scores(_scores(spark, target, record), path, dataset, seed, _errors(spark, target, record))
+
+
+def _scores(spark: SparkSession, target: str, record: dict) -> DataFrame:
+    scores = spark.read.parquet(f"{target}/{record['scores']}")
+    if not record["changes"]:
+        return scores
+    parts = [spark.read.parquet(f"{target}/{name}").withColumn("_turn", F.lit(i))
+             for i, name in enumerate(record["changes"])]
+    changes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rest = [c for c in changes.columns if c not in ("index", "_turn")]
+    # the newest value of each column; the changes are few, so the whole table need not move
+    newest = changes.groupBy("index").agg(*[F.max_by(named(c), F.when(named(c).isNotNull(), F.col("_turn")))
+                                            .alias(c) for c in rest])
+    return upsert_few(scores, newest)
+
+
+def upsert_few(scores: DataFrame, new: DataFrame) -> DataFrame:
+    """`upsert` for few new rows: the old table is filtered and looked up, and joined in place
+    where the planner can broadcast the new one."""
+    metrics = list(dict.fromkeys([*metric_columns(scores, META), *metric_columns(new, META)]))
+    fresh = with_metrics(new, metrics)
+    fresh = fresh.select(*[named(c).alias(f"_new_{c}") for c in fresh.columns])
+    old = with_metrics(scores, metrics)
+    match = F.col("index") == F.col("_new_index")
+    kept = old.join(fresh, match, "left").select(
+        "index", *[F.coalesce(named(f"_new_{c}"), named(c)).alias(c) for c in ("class", *metrics)])
+    added = fresh.join(old.select("index"), match, "left_anti")
+    return kept.unionByName(added.toDF(*["index", "class", *metrics]))
 
 
-ERRORS = "index long, metric string, error string"
+def _errors(spark: SparkSession, target: str, record: dict) -> DataFrame:
+    names = [n for n in (record["errors"], *record["error_changes"]) if n]
+    if not names:
+        return spark.createDataFrame([], ERRORS)
+    rows = reduce(DataFrame.unionByName, [
+        spark.read.schema(ERRORS).parquet(f"{target}/{name}").withColumn("_turn", F.lit(i))
+        for i, name in enumerate(names)])
+    last = rows.groupBy("index", "metric").agg(F.max_by(F.struct("error"), "_turn").alias("_last"))
+    return last.select("index", "metric", F.col("_last.error").alias("error")).where("error is not null")
 
 
-def save_errors(errors: DataFrame, path: str, dataset: str, seed: int) -> None:
-    """Store ``index, metric, error`` of what failed, beside the scores."""
-    save_version(errors, partition(f"{path.rstrip('/')}-errors", dataset, seed))
+def load_scores(spark: SparkSession, path: str, dataset: str, seed: int) -> DataFrame:
+    """One partition of the table, with its own metric columns; no other folder is listed."""
+    target = partition(path, dataset, seed)
+    record = last_record(spark, target, VERSION)
+    if record is None:
+        raise FileNotFoundError(f"no scores saved in {target}")
+    return _scores(spark, target, record)
 
 
 def load_errors(spark: SparkSession, path: str, dataset: str, seed: int) -> DataFrame:
     """``index, metric, error`` of what failed so far (empty before the first run)."""
-    target = partition(f"{path.rstrip('/')}-errors", dataset, seed)
-    number = last_version(spark, target)
-    return spark.read.schema(ERRORS).parquet(f"{target}/version={number}") if number \
-        else spark.createDataFrame([], ERRORS)
+    target = partition(path, dataset, seed)
+    record = last_record(spark, target, VERSION)
+    return _errors(spark, target, record) if record else spark.createDataFrame([], ERRORS)
+
+
+def scores_version(spark: SparkSession, path: str, dataset: str, seed: int) -> str:
+    """Names of the tables a stored partition consists of: never used again for others, so equal
+    names mean equal scores."""
+    record = last_record(spark, partition(path, dataset, seed), VERSION)
+    if record is None:
+        raise FileNotFoundError(f"no scores saved in {partition(path, dataset, seed)}")
+    return ",".join([record["scores"], *record["changes"]])
 
 
 def read_scores_csv(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataFrame:

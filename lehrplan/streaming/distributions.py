@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lehrplan.operators.distributions import GLOBAL, melt, moments
 
 
+def scopes() -> Column:
+    """A value counts for the whole table and for its class."""
+    return F.explode(F.when(F.col("class").isNull(), F.array(F.lit(GLOBAL))).otherwise(
+        F.array(F.lit(GLOBAL), F.col("class"))))
+
+
 def running_distributions(scores: DataFrame, metrics: Sequence[str], label: str = "class"
                           ) -> DataFrame:
     """Count, mean, extremes and deviation per metric and scope. Exact quantiles need all values
-    and exist only in the batch form."""
-    scope = F.explode(F.when(F.col("class").isNull(), F.array(F.lit(GLOBAL))).otherwise(
-        F.array(F.lit(GLOBAL), F.col("class"))))
-    return (melt(scores, metrics, label=label).select("metric", scope.alias("scope"), "value")
+    and exist only in the batch form; `quantiles` has bounded ones."""
+    return (melt(scores, metrics, label=label).select("metric", scopes().alias("scope"), "value")
             .groupBy("metric", "scope").agg(*moments()))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from lehrplan.operators.schedules import pace
 from lehrplan.operators.signals import BATCH_SIGNALS as SIGNALS, TINY, readiness_of
+from lehrplan.streaming.sessions import held
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TELEMETRY = ("run string, epoch int, batch_idx int, mean_std double, mean_grad_norm double, "
@@ -156,18 +157,7 @@ def pacing_stream(telemetry: DataFrame, runs: DataFrame, total_epochs: int, path
         (counts.join(part.where("closes").select("run", "epoch"), ["run", "epoch"], "left_semi")
          .write.mode("overwrite").parquet(f"{path}/orders/part={batch_id}"))
 
-    # a query keeps the settings it was started with; this kind of state needs RocksDB
-    conf = telemetry.sparkSession.conf
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
-    if partitions:
-        settings["spark.sql.shuffle.partitions"] = str(partitions)
-    before = {k: conf.get(k) for k in settings}
-    try:
-        for key, value in settings.items():
-            conf.set(key, value)
+    with held(telemetry.sparkSession, ROCKSDB, partitions):  # this kind of state needs RocksDB
         return (steps.writeStream.outputMode("append").foreachBatch(close_epochs)
                 .option("checkpointLocation", checkpoint)
                 .trigger(**trigger or {"availableNow": True}).start())
-    finally:
-        for key, value in before.items():
-            conf.set(key, value)

@@ -1,8 +1,11 @@
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lehrplan.operators.asof import asof_join
 from lehrplan.operators.ordering import expand_range, positions, shuffled
 from lehrplan.sources import staging
 
@@ -93,3 +96,33 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         staging.shared_folder(Session())
     assert staging.staging_path(spark, "x").startswith(staging.shared_folder(spark))
+
+
+@pytest.mark.parametrize("rows", [3, 50, 1 << 18])
+def test_asof_join(spark, rows):
+    """Against pandas, over ranges of a few rows; a hot key, gaps, equal times, clashing names."""
+    draw = np.random.default_rng(rows)
+    key = lambda n: np.where(draw.random(n) < 0.4, "hot", draw.choice(["a", "b", "c"], n))
+    left = pd.DataFrame({"id": range(300), "k": key(300), "at": draw.integers(0, 200, 300), "value": 1.0})
+    right = pd.DataFrame({"k": key(120), "at": draw.integers(20, 220, 120), "value": draw.random(120).round(6)})
+    right["ends"] = right["at"] + draw.integers(0, 30, 120)
+    nulls = spark.createDataFrame([(1000, None, 5, 1.0), (1001, "hot", None, 1.0)],
+                                  "id long, k string, at long, value double")
+    left_df = spark.createDataFrame(left).unionByName(nulls).withColumnRenamed("value", "_held")
+    got = asof_join(left_df, spark.createDataFrame(right), "at", ["k"], ["value", "ends"], rows=rows).toPandas()
+    top = right.sort_values(["value", "ends"]).groupby(["k", "at"], as_index=False).last()
+    want = pd.merge_asof(left.sort_values("at"), top.sort_values("at"), on="at", by="k", suffixes=("", "_r"))
+    want = want.set_index("id")
+    assert len(got) == 302 and set(got.columns) == {"id", "k", "at", "_held", "value", "ends"}
+    for r in got.itertuples():
+        expect = np.nan if r.id >= 1000 else want.loc[r.id, "value_r"]
+        assert (np.isnan(expect) and np.isnan(r.value)) or r.value == expect
+    held = asof_join(left_df, spark.createDataFrame(right), "at", ["k"], ["value"], "ends", rows=rows).toPandas()
+    for r in held.itertuples():
+        if r.id < 1000:
+            row = want.loc[r.id]
+            expect = row["value_r"] if row["at"] < row["ends"] else np.nan
+            assert (np.isnan(expect) and np.isnan(r.value)) or r.value == expect
+    assert asof_join(left_df, spark.createDataFrame(right).limit(0), "at", ["k"], ["value"]).where(
+        "value is null").count() == 302
+    assert asof_join(left_df.limit(0), spark.createDataFrame(right), "at", ["k"], ["value"]).count() == 0

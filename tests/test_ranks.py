@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from lehrplan.operators import curriculum as C
 from lehrplan.operators.normalize import standardize
-from lehrplan.operators.ranks import rank, rank_key, sequential_votes, unit_rows_of
+from lehrplan.operators.ranks import rank, rank_key, sequential_votes, unit_rows, unit_rows_of
+from lehrplan.operators.voting import pair_votes, sequential_weights, vote_between
 from lehrplan.registry import METRICS, RANKS
 import lehrplan.operators.image_kernels  # noqa: F401  registers the image metrics
 from tests.conftest import ranking, table
@@ -122,7 +123,7 @@ def test_errors(scores):
     with pytest.raises(KeyError):
         rank(scores, "no-such-scheme", "edge-density")
     with pytest.raises(ValueError):
-        rank(scores, "pairwise-correlation", FOUR)
+        rank(scores, "pairwise-correlation", FOUR, partition_by="class")
     with pytest.raises(ValueError):
         C.curriculum(scores, "ascending", "edge-density", scope="sideways")
 
@@ -257,3 +258,45 @@ def test_registered_tags():
     assert set(RANKS.ids(["composite"])) == {"lexicographic", "normalized-mean", "weighted",
                                              "correlation-sum", "pairwise-correlation"}
     assert RANKS.ids(["monotonic"]) == ["ascending", "descending"]
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 500])
+def test_vote_in_blocks(spark, block):
+    """Blocks in step give the vote of one task, over one row a block and over blocks larger than
+    the table; rows that miss a metric correlate with nothing."""
+    draw = np.random.default_rng(block)
+    n = 60 if block == 1 else 130
+    values = np.column_stack([draw.normal(0, 1, n), draw.gamma(2, 3, n), draw.random(n), draw.beta(1, 3, n)])
+    values[draw.integers(0, n, 5), 1] = np.nan
+    order = draw.permutation(n)
+    names = ["a", "b", "c", "d"]
+    rows = [(int(i), None, *[None if np.isnan(v) else float(v) for v in values[i]], float(order[i]))
+            for i in range(n)]
+    df = table(spark, rows, ["index", "class", *names, "drawn"])
+    want = sequential_votes(unit_rows_of(values[np.argsort(order)][None], [1]))[0]
+    weights = sequential_weights(unit_rows(df, names, None, ["b"]), [f"_x{i}" for i in range(4)],
+                                 "index", "drawn", block)
+    got = {r["index"]: r["weight"] for r in weights.collect()}
+    np.testing.assert_allclose([got[i] for i in np.argsort(order)], want, atol=1e-9)
+    ranked = rank(df, "pairwise-correlation", names, inverted=["b"], row_order="drawn", digits=9)
+    assert sorted(ranking(ranked)) == list(range(n))
+
+
+def test_vote_between_blocks_is_the_vote_of_pairs():
+    """Pairs along anti-diagonals against pairs one after the other."""
+    draw = np.random.default_rng(3)
+    for rows, cols in ((1, 1), (1, 5), (4, 1), (5, 8), (9, 6)):
+        p = draw.normal(0, 1, (rows, cols))
+        a, b = draw.normal(0, 1, rows), draw.normal(0, 1, cols)
+        own, other = a.copy(), b.copy()
+        for i in range(rows):
+            for j in range(cols):
+                own[i:i + 1], other[j:j + 1] = pair_votes(own[i:i + 1], other[j:j + 1], p[i:i + 1, j])
+        vote_between(a, b, p)
+        np.testing.assert_array_equal(a, own)
+        np.testing.assert_array_equal(b, other)
+
+
+def test_batch_size_is_checked(scores):
+    with pytest.raises(ValueError, match="batch_size"):
+        C.batch_wise(scores, "pairwise-correlation", FOUR, 0)

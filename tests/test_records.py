@@ -185,3 +185,48 @@ def test_compare_and_grid(spark, epochs, configs):
     done = spark.createDataFrame([("x", "m1", "up")], "dataset string, model string, rank string")
     grid = R.experiment_grid(datasets, {"model": ["m1", "m2"], "rank": ["up", "down"]}, done)
     assert grid.count() == 7
+
+
+@pytest.mark.parametrize("piece", [1, 4, 50, 1 << 16])
+def test_series_in_pieces(spark, piece):
+    """Pieces of a series give what one window over all of it gives: long runs over many pieces, gaps
+    in the iterations, missing losses, several samples."""
+    draw = np.random.default_rng(piece)
+    rows = []
+    for index in (0, 1, None):
+        for i in range(400):
+            if draw.random() < 0.9 and not (index == 1 and 100 <= i < 260):
+                loss = None if draw.random() < 0.02 else float((draw.random() < 0.05) * draw.normal(0, 9))
+                rows.append((index, i, loss))
+    history = spark.createDataFrame(rows, "index long, iteration int, loss double")
+    key = lambda r: (r["index"] is None, r["index"], r["iteration"])
+    want = H.loss_deltas(history, max_iterations=400)
+    got = H.loss_deltas(history, piece=piece)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    whole = H.stable_runs(want, "delta", ["index"], 2.0, longest=400)
+    cut = H.stable_runs(want, "delta", ["index"], 2.0, piece=piece)
+    assert cut.columns == whole.columns
+    assert {key(r): r["stable_run"] for r in cut.collect()} == {key(r): r["stable_run"] for r in whole.collect()}
+    chunks = H.history_chunks(history, 2.0, 30, piece=piece).collect()
+    lists = {r["index"]: r for r in H.histories(history, 2.0, 30, max_iterations=400).collect()}
+    joined = {}
+    for r in sorted(chunks, key=lambda r: r["chunk"]):
+        assert len(r["loss_history"]) <= piece
+        joined.setdefault(r["index"], ([], []))
+        joined[r["index"]][0].extend(r["loss_history"])
+        joined[r["index"]][1].extend(r["loss_delta_history"])
+    assert joined == {i: (r["loss_history"], r["loss_delta_history"]) for i, r in lists.items()}
+
+
+def test_long_series_is_spread(spark):
+    """A window over rows is bounded by a piece: only the table of pieces is grouped by sample."""
+    series = spark.range(1_000_000).select(
+        F.lit(0).cast("long").alias("index"), F.col("id").alias("iteration"),
+        F.when(F.col("id") % 300_000 == 7, 9.0).otherwise(0.0).alias("delta"))
+    runs = H.stable_runs(series, "delta", ["index"], 1.0, piece=1 << 14)
+    assert runs.agg(F.max("stable_run")).first()[0] == 299_999
+    sizes = runs.groupBy(F.floor(F.col("iteration") / (1 << 14))).count().agg(F.max("count")).first()[0]
+    assert sizes == 1 << 14
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    per_sample = [line for line in plan.splitlines() if "Window [" in line and "_piece" not in line]
+    assert not per_sample, per_sample

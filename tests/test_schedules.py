@@ -213,3 +213,29 @@ def test_paced_samples(scores, spark):
     classes = even.join(scores, "index").groupBy("batch_idx").agg(F.count_distinct("class")
                                                                   .alias("n")).collect()
     assert all(r["n"] == 4 for r in classes)
+
+
+def test_telemetry_of_the_right_run(spark, scores):
+    """The run is named, or the only one; a missing run or epoch is an error, not a gap."""
+    epochs = spark.createDataFrame([(r, e, 2.0 / e, 0.1 * e) for r in ("r1", "r2") for e in range(1, 7)],
+                                   "run string, epoch int, loss double, val_acc double")
+    signals = spark.createDataFrame([(r, e, b, 1.0 / e, 0.5, 0.2 * b) for r in ("r1", "r2") for e in range(1, 7)
+                                     for b in range(4)], "run string, epoch int, batch_idx int, mean_std double, "
+                                                         "mean_grad_norm double, mean_entropy double")
+    def plan(schedule, **more):
+        return training.Settings("d", epochs=6, batch_size=6, metric="edge-density", schedule=schedule, **more)
+
+    only = [t.where("run = 'r1'") for t in (epochs, signals)]
+    for schedule in ("adaptive", "gradient", "uncertainty"):
+        named = training.paced_samples(scores, plan(schedule, run="r1"), epochs, signals)
+        alone = training.paced_samples(scores, plan(schedule), *only)
+        assert {r["epoch"] for r in named.collect()} == set(range(1, 7))
+        assert named.exceptAll(alone).count() == 0 and alone.exceptAll(named).count() == 0
+        with pytest.raises(ValueError, match="several"):
+            training.paced_samples(scores, plan(schedule), epochs, signals)
+        with pytest.raises(ValueError, match="no run 'r9'"):
+            training.paced_samples(scores, plan(schedule, run="r9"), epochs, signals)
+        with pytest.raises(ValueError, match="needs telemetry"):
+            training.paced_samples(scores, plan(schedule))
+    with pytest.raises(ValueError, match="epochs \\[4\\]"):
+        training.paced_samples(scores, plan("adaptive"), only[0].where("epoch <> 3"), only[1])

@@ -1,10 +1,14 @@
+from datetime import datetime, timezone
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lehrplan.operators import distributions as D, image_kernels as K, schedules as S
 from lehrplan.sources.staging import staging_path
-from lehrplan.streaming import distributions as SD, pacing as SP, scoring as SS
+from lehrplan.streaming import (distributions as SD, orders as SO, pacing as SP, quantiles as SQ,
+                                scoring as SS)
 from tests.test_images import IMAGE, frame
 
 EPOCHS = 12
@@ -103,3 +107,78 @@ def test_running_distributions(spark, scores):
     want = D.distributions(scores, ["edge-density"]).toPandas().sort_values("scope")
     for c in ("count", "mean", "maximum", "minimum", "std"):
         np.testing.assert_allclose(got[c], want[c])
+
+
+DAY = 86_400
+CLOCKED = "ts timestamp, run string, epoch int, batch_idx int, gain double"
+
+
+def clocked(rows):
+    """Reports at a second of their epoch's day; a row of None tells the time alone."""
+    return [(datetime.fromtimestamp(s, timezone.utc), *rest) for s, *rest in rows]
+
+
+def run_orders(spark, runs, waves, delay, **options):
+    land, out, mark = (staging_path(spark, n) for n in ("land", "out", "marks"))
+    ends = F.timestamp_seconds((F.col("epoch") + 1) * DAY)
+    for wave in waves:
+        spark.createDataFrame(clocked(wave), CLOCKED).coalesce(1).write.mode("append").parquet(land)
+        SO.order_stream(spark.readStream.schema(CLOCKED).parquet(land), runs, "gain", ends, out, mark,
+                        delay=delay, digits=9, **options).awaitTermination()
+    return sorted(map(tuple, spark.read.parquet(f"{out}/orders").drop("part").collect()))
+
+
+def test_order_stream_equals_batch(spark, runs):
+    """Three starts, reports out of order, some a wave late: those the watermark still lets in count,
+    the others are dropped; an epoch closes without a summary, also where blocks were silent."""
+    draw = np.random.default_rng(8)
+    reports_ = [(e * DAY + b, run, e, b, float(draw.random())) for e in range(1, EPOCHS + 1) for run in "ab"
+                for b in range(0, 12) if draw.random() > 0.3 and not (b > 7 and e in (3, 4, 9))]
+    early = [r for r in reports_ if r[2] <= 5 and r[3] != 2]
+    late = [r for r in reports_ if r[2] in (4, 5) and r[3] == 2]       # within two days: counts
+    lost = [r for r in reports_ if r[2] <= 3 and r[3] == 2]            # older than the watermark
+    rest = [r for r in reports_ if r[2] > 5]
+    time = lambda day: [(day * DAY, None, None, None, None)]
+    draw.shuffle(rest)
+    half = [r for r in rest if r[2] <= 9]
+    got = run_orders(spark, runs, [early + time(6), late + lost + half + time(10),
+                                   [r for r in rest if r[2] > 9] + time(40)], "2 days", block=5)
+    kept = spark.createDataFrame([r[1:] for r in early + late + rest],
+                                 "run string, epoch int, batch_idx int, gain double")
+    want = S.signal_order(runs, EPOCHS, kept, "gain", digits=9)
+    shown = {(r["run"], r["epoch"]) for r in kept.select("run", "epoch").distinct().collect()}
+    assert got == sorted(tuple(r) for r in want.select("run", "epoch", "slot", "batch_idx").collect()
+                         if (r["run"], r["epoch"]) in shown)
+
+
+def test_open_epochs_wait(spark, runs):
+    rows = [(DAY * e + 5, "a", e, b, 1.0 + b) for e in (1, 2) for b in range(3)]
+    got = run_orders(spark, runs, [rows], "0 seconds")
+    assert {r[1] for r in got} == {1}  # the second epoch has not ended
+
+
+def test_quantile_sketches(spark):
+    """Sketches of waves and merged ones stay within the stated rank error; ties count as one range."""
+    draw = np.random.default_rng(4)
+    frame = pd.DataFrame({"index": range(30_000), "class": draw.choice(["x", "y", None], 30_000),
+                          "m": np.where(draw.random(30_000) < 0.3, 5.0, draw.lognormal(1, 2, 30_000))})
+    frame.loc[::11, "m"] = np.nan
+    table = spark.createDataFrame(frame).withColumn("m", F.nanvl("m", F.lit(None).cast("double")))
+    land, out, mark = (staging_path(spark, n) for n in ("land", "out", "marks"))
+    for part in ("index % 2 = 0", "index % 2 = 1"):
+        table.where(part).write.mode("append").parquet(land)
+        SQ.quantile_stream(spark.readStream.schema(table.schema).parquet(land), ["m"], out,
+                           mark).awaitTermination()
+    streamed = SQ.latest_sketches(spark, out)
+    merged = SQ.merged_sketches(*[SQ.quantile_sketches(table.where(f"index % 3 = {i}"), ["m"]) for i in range(3)])
+    want = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    for sketches in (streamed, merged):
+        rows = {r["scope"]: r for r in SQ.sketch_quantiles(sketches, want).collect()}
+        assert set(rows) == {"global", "x", "y"}
+        for scope, r in rows.items():
+            values = frame["m"] if scope == "global" else frame.loc[frame["class"] == scope, "m"]
+            values = values.dropna().to_numpy()
+            assert r["count"] == len(values)
+            for name, q in want.items():
+                assert (values < r[name]).sum() <= (q + SQ.RANK_ERROR) * len(values)
+                assert (values <= r[name]).sum() >= (q - SQ.RANK_ERROR) * len(values)
