@@ -8,6 +8,7 @@ from lehrplan.llm import contamination, language, near, packing, pii
 from lehrplan.llm.queries import TOKENIZER, held_out, small_batches, table
 from lehrplan.sources.staging import stage
 
+ROW = "_pipeline_row"
 ORACLE_SQL = None  # learned models and hashing families; tests compare with brute force
 
 
@@ -24,25 +25,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                           else F.col(f"`{c}`") for c in docs.columns])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own each, written down so that it stays the same:
+    ids may be missing or stand for several rows."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class stays, once; rows without id stay."""
+    """One document of each class stays: that with the least doc_id, one without id last."""
     small_batches(spark)
-    classes = near.duplicate_classes(docs)
-    gone = stage(classes.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    again = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-                  .select("doc_id"), "again")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
-        several.select(docs.columns))
+    rows = numbered(docs)
+    classes = near.duplicate_classes(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    member = classes.select(F.col("doc_id").alias(ROW), "class_id").join(
+        rows.select(ROW, F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id")), ROW)
+    first = member.groupBy("class_id").agg(F.min(F.struct("_none", "_id", ROW)).alias("_first"))
+    stay = stage(first.select(F.col(f"_first.{ROW}").alias(ROW)), "stay")
+    return rows.join(stay, ROW, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, with an id or without."""
     small_batches(spark)
-    rows = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = stage(rows.where(F.size("hits") > 0).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    found = contamination.contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"),
+                                       table(spark, sf_dir, "benchmark"))
+    gone = stage(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(ROW)), "gone")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
