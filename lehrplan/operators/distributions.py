@@ -61,11 +61,12 @@ def exact_quantiles(values: DataFrame, by: Sequence[str], quantiles: dict[str, f
     Counts are combined before they are shuffled, so a group may hold any share of the rows, and
     nothing is sorted, sampled or collected.
 
-    Missing values are ignored; a group without any has NULL quantiles. ``extra`` holds aggregates
+    Missing values and NaN are ignored; a group without others has NULL quantiles. ``extra`` holds aggregates
     of the group, added as columns.
     """
     by = list(by)
     keys = [named(b) for b in by]
+    values = values.withColumn("value", present(F.col("value").cast("double")))
     sizes = stage(values.groupBy(*keys).agg(F.count("value").alias("_n"), *extra), "sizes")
     places = {n: (F.greatest(F.col("_n"), F.lit(1)) - 1) * q for n, q in quantiles.items()}
     wanted = F.array_distinct(F.array(*[f(p) for p in places.values() for f in (F.floor, F.ceil)]))

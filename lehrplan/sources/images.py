@@ -5,29 +5,43 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lehrplan.operators.image_kernels import feed, write_stacks
+from lehrplan.operators.image_kernels import feed, stacks, write_stacks
 from lehrplan.operators.ordering import positions
 from lehrplan.registry import DATASETS
 from lehrplan.sources.staging import stage
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def planes(data: pd.Series, c: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """Interleaved BGR(A) bytes to RGB planes in [0, 1]; NULL for a file that is no image."""
-    out = []
-    for raw, channels, height, width in zip(data, c, h, w):
-        if raw is None or channels <= 0:
-            out.append(None)
-            continue
-        pixels = np.frombuffer(raw, dtype=np.uint8).reshape(height, width, channels)
-        if channels >= 3:
-            pixels = pixels[:, :, [2, 1, 0, *range(3, channels)]]
-        out.append((pixels.transpose(2, 0, 1).astype(np.float32) / 255).ravel())
-    return pd.Series(out)
+def _planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Interleaved BGR(A) bytes to RGB planes in [0, 1], images of one shape together."""
+    for batch in batches:
+        shapes = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in "hwc"], axis=1)
+        shapes = np.nan_to_num(shapes.astype(float), nan=-1).astype(int)
+        raw = batch.column("bytes")
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+        values = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        whole = np.array([len(r) for r in rows]) == np.maximum(shapes, 0).prod(axis=1)
+        shapes[~whole | (shapes <= 0).any(axis=1)] = -1
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for members, data in stacks(shapes, rows):
+                if data.shape[3] >= 3:
+                    data = data[..., [2, 1, 0, *range(3, data.shape[3])]]
+                yield members, data.transpose(0, 3, 1, 2).astype(np.float32) / 255
+
+        keep = [n for n in batch.schema.names if n != "bytes"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep],
+                                          write_stacks(batch.num_rows, parts())], [*keep, "data"])
+
+
+def with_planes(images: DataFrame) -> DataFrame:
+    """``data`` instead of ``bytes``, which are decoded pixels; NULL for a file that is no image."""
+    fields = [f for f in images.schema.fields if f.name != "bytes"]
+    return images.mapInArrow(_planes, T.StructType(
+        [*fields, T.StructField("data", T.ArrayType(T.FloatType()))]))
 
 
 def plain_path(path: Column) -> Column:
@@ -47,8 +61,7 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """``origin, c, h, w, data`` of image files."""
-    return decoded(spark, path).select(
-        "origin", "c", "h", "w", planes("bytes", "c", "h", "w").alias("data"))
+    return with_planes(decoded(spark, path))
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -66,9 +79,8 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
                        label="corpus")
     ids = stage(places, "corpus-index")
     images = decoded(spark, tree)
-    return images.join(ids, images["origin"] == ids["path"]).select(
-        F.col("position").alias("index"), "class", "split", "c", "h", "w",
-        planes("bytes", "c", "h", "w").alias("data"))
+    return with_planes(images.join(ids, images["origin"] == ids["path"]).select(
+        F.col("position").alias("index"), "class", "split", "c", "h", "w", "bytes"))
 
 
 # Image size and classes of the corpora; crop, padding, mirroring and channel statistics that
