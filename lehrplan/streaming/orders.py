@@ -22,8 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from lehrplan.operators.ordering import expand_range
 from lehrplan.operators.schedules import order_by_means
 from lehrplan.sources.staging import stage
-from lehrplan.streaming.pacing import ROCKSDB, read_parts
-from lehrplan.streaming.sessions import held
+from lehrplan.streaming.pacing import read_parts
+from lehrplan.streaming.sessions import ROCKSDB, held
 
 BLOCK = 1024
 CHANGES = T.StructType([T.StructField("run", T.StringType()), T.StructField("epoch", T.IntegerType()),

@@ -20,9 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from lehrplan.operators.schedules import pace
 from lehrplan.operators.signals import BATCH_SIGNALS as SIGNALS, TINY, readiness_of
-from lehrplan.streaming.sessions import held
+from lehrplan.streaming.sessions import ROCKSDB, held
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TELEMETRY = ("run string, epoch int, batch_idx int, mean_std double, mean_grad_norm double, "
              "loss double, val_acc double")
 STEPS = T.StructType([

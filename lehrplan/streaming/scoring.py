@@ -1,9 +1,10 @@
 """Incremental scoring: new images are scored as they arrive.
 
-Each micro-batch appends one part to the score log. The part is named after the micro-batch, so
-a replayed micro-batch replaces its own part instead of adding rows twice. A sample whose metrics
-fail is logged with its errors and not tried again; a log holds one row per index and one set of
-metrics.
+Indices met before are the state of the stream, looked up one by one in a store on the executors,
+so a micro-batch reads nothing of the log and costs the same however long that is. Each micro-batch
+appends one part to the score log. The part is named after the micro-batch, so a replayed
+micro-batch replaces its own part instead of adding rows twice. A sample whose metrics fail is
+logged with its errors and not tried again; a log holds one row per index and one set of metrics.
 """
 
 from __future__ import annotations
@@ -11,19 +12,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lehrplan.operators.image_kernels import score_images
 from lehrplan.plans.scoring import requested_metrics
 from lehrplan.sources.scores import schema
-from lehrplan.sources.staging import stage
+from lehrplan.streaming.sessions import ROCKSDB, held
 
 
 def read_log(spark: SparkSession, path: str, metrics: Sequence[str],
-             before: int | None = None, errors: bool = False) -> DataFrame:
-    """Scores logged so far (empty before the first part), or before a given part; ``errors``
-    adds the map from failed metrics to their error texts."""
+             errors: bool = False) -> DataFrame:
+    """Scores logged so far (empty before the first part); ``errors`` adds the map from failed
+    metrics to their error texts."""
     fields = schema(metrics)
     if errors:
         fields = fields.add("errors", T.MapType(T.StringType(), T.StringType()))
@@ -34,20 +35,21 @@ def read_log(spark: SparkSession, path: str, metrics: Sequence[str],
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         log = spark.createDataFrame([], fields)
-    return (log if before is None else log.where(F.col("part") < before)).drop("part")
+    return log.drop("part")
 
 
 def score_stream(images: DataFrame, path: str, checkpoint: str,
                  metrics: Sequence[str] = ("all",), options: dict | None = None,
-                 trigger: dict | None = None) -> StreamingQuery:
-    """Score every sample of the stream once; samples already in the log are skipped.
+                 trigger: dict | None = None, partitions: int | None = None) -> StreamingQuery:
+    """Score every sample of the stream once.
 
-    ``trigger`` holds the arguments of ``DataStreamWriter.trigger``; by default the stream ends
-    when all that is there has been read.
+    The first image of an index counts, and one of them where a micro-batch brings several; later
+    ones are skipped. What has been met is known to the checkpoint, which belongs to its log.
+    ``trigger`` holds the arguments of ``DataStreamWriter.trigger``; by default the stream ends when
+    all that is there has been read. ``partitions`` sets the number of state partitions, which stays
+    for the life of the checkpoint.
 
-    Raises if the log lacks a requested metric: score another set into a log of its own. Of
-    several images of one index in a micro-batch, the one with most scores counts, ties to the
-    least class and scores.
+    Raises if the log lacks a requested metric: score another set into a log of its own.
     """
     metrics = requested_metrics(metrics)
     spark = images.sparkSession
@@ -61,16 +63,9 @@ def score_stream(images: DataFrame, path: str, checkpoint: str,
         raise ValueError(f"the log lacks {', '.join(lacking)}")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_log(batch.sparkSession, path, metrics, before=batch_id).select("index")
-        # ids first: known images are neither scored nor moved while the list of new ids is small
-        ids = stage(batch.select("index").distinct().join(earlier, "index", "left_anti"), "new-ids")
-        scored = score_images(batch.join(ids, "index", "left_semi"), metrics, options)
-        missing = sum((F.col(f"`{m}`").isNull().cast("int") for m in metrics), F.lit(0))
-        rest = ["class", *metrics]
-        order = F.struct(missing, *[F.col(f"`{c}`") for c in rest])
-        row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in (*rest, "errors")]), order)
-        (scored.groupBy("index").agg(row.alias("row")).select("index", "row.*")
-         .write.mode("overwrite").parquet(f"{path}/part={batch_id}"))
+        score_images(batch, metrics, options).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
 
-    return (images.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(**trigger or {"availableNow": True}).start())
+    with held(spark, ROCKSDB, partitions):
+        return (images.dropDuplicates(["index"]).writeStream.foreachBatch(step)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**trigger or {"availableNow": True}).start())

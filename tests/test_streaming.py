@@ -80,6 +80,23 @@ def test_scoring_each_sample_once(spark):
     assert got.count() == 7 and got.exceptAll(want).count() == 0
 
 
+def test_scoring_reads_nothing_of_the_log(spark):
+    """A log that is gone, or full of other rows, changes nothing: the state knows what was met; and a
+    micro-batch with an index twice logs it once."""
+    arrays = [np.random.default_rng(i).random((1, 6, 6)) for i in range(6)]
+    images = frame(spark, arrays)
+    land, out, mark = (staging_path(spark, n) for n in ("land", "out", "marks"))
+    stream = lambda: spark.readStream.schema(IMAGE).parquet(land)
+    twice = images.where("index < 4").unionByName(images.where("index = 2"))
+    twice.coalesce(1).write.mode("append").parquet(land)
+    SS.score_stream(stream(), out, mark, ["color-variance"], partitions=4).awaitTermination()
+    assert sorted(r["index"] for r in SS.read_log(spark, out, ["color-variance"]).collect()) == [0, 1, 2, 3]
+    other = staging_path(spark, "moved")
+    images.write.mode("append").parquet(land)
+    SS.score_stream(stream(), other, mark, ["color-variance"]).awaitTermination()
+    assert sorted(r["index"] for r in SS.read_log(spark, other, ["color-variance"]).collect()) == [4, 5]
+
+
 def test_failed_samples_are_logged_once(spark):
     images = frame(spark, [np.random.default_rng(i).random((1, 6, 6)) for i in range(3)])
     broken = images.withColumn("data", F.when(F.col("index") == 1, F.slice("data", 1, 5))
