@@ -7,10 +7,13 @@
 from __future__ import annotations
 
 import os
+import struct
 import sys
 import warnings
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -500,6 +503,41 @@ def corpus_facts(spark, d):
     return SI.corpus_facts(T.images(spark, d))
 
 
+def write_pngs(images: DataFrame, root: str) -> None:
+    """8-bit RGB files ``root/<split>/<class>/<index>.png``, each task its own; a retry writes the
+    same files again."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def write(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                pixels = (np.asarray(r.data, np.float32) * np.float32(255)).astype(np.uint8)
+                rows = pixels.reshape(3, r.h, r.w).transpose(1, 2, 0).reshape(r.h, -1)
+                body = b"".join(b"\0" + row.tobytes() for row in rows)
+                folder = f"{root}/{r.split}/{r[2]}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{r.index:012d}.png", "wb") as out:
+                    out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(
+                        ">IIBBBBB", r.w, r.h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b""))
+            yield frame[["h"]]
+
+    rows = images.select("index", "class", "split", "h", "w", "data")
+    rows.mapInPandas(write, "h int").count()
+
+
+@query
+def corpus_read(spark, d):
+    """Images written as a folder tree in the shared folder, read back with their order and classes."""
+    root = staging_path(spark, "corpus").removeprefix("file:")
+    write_pngs(T.rgb_images(spark, d), root)
+    images = SI.load_corpus(spark, "cifar-10", f"file:{root}")
+    value = F.round(F.col("v") * 255).cast("long")
+    return images.select("split", "index", "class", F.posexplode("data").alias("p", "v")).groupBy(
+        "split", "index", "class").agg(F.sum(value).alias("total"),
+                                       F.sum(value * (F.col("p") + 1)).alias("weighted"))
+
+
 def part_boards(spark, d):
     """One 8x8 board per part: tile count from its size, colours from its key."""
     shade = lambda k: F.array(*[((F.col("p_partkey") * m + k) % 256).cast("int")

@@ -606,6 +606,14 @@ ORACLE: dict[str, str] = {
                          "FROM mag",
     "m_edge_density": f"WITH RECURSIVE {EDGES}, {DENSITY} SELECT index, round(edge_density, 8) AS "
                       "edge_density FROM dens",
+    "corpus_read": f"""WITH {RGB}, named AS (SELECT vec_id, CAST(label AS VARCHAR) AS class,
+        CASE WHEN label % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM embeddings),
+      places AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY class, vec_id) - 1 AS place
+        FROM named)
+      SELECT split, place AS index, class, CAST(sum(b) AS BIGINT) AS total,
+        CAST(sum(b * (ch * 64 + y * 8 + x + 1)) AS BIGINT) AS weighted
+      FROM (SELECT *, CAST(trunc(v * 255.0::FLOAT) AS BIGINT) AS b FROM rgb) p JOIN places ON p.index = vec_id
+      GROUP BY ALL""",
     "m_edge_density_thresholds": f"""SELECT index, edge_density, object_count FROM (
       WITH RECURSIVE {edges(40, 90)}, {DENSITY} SELECT index, round(edge_density, 8) AS edge_density FROM dens)
       JOIN (WITH RECURSIVE {edges(150, 300)}, {OBJECTS} SELECT index, object_count FROM cnt) USING (index)""",
