@@ -828,3 +828,4 @@ ORACLE["score_histories"] = f"""WITH {PX}, vr AS (SELECT index, any_value(label)
     c.value AS convergence_time, s.value AS saturation_time FROM vr
   LEFT JOIN ({ORACLE["h_convergence_time"]}) c USING (index)
   LEFT JOIN ({ORACLE["h_saturation_time"]}) s USING (index)"""
+ORACLE["rank_pairwise_chunked"] = ORACLE["rank_pairwise_small"].replace("// 12 AS INTEGER", "// 128 AS INTEGER")
