@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lehrplan.llm import arrays as A
 from lehrplan.sources.staging import stage
@@ -156,16 +156,23 @@ def phrase_candidates(lists: DataFrame, look: Probes) -> DataFrame:
                  F.array_contains("places", p[1]))).select("doc_id", "item", "shift")
 
 
-def proximity(lists: DataFrame, slop: int, least: int = 2) -> DataFrame:
-    """``doc_id, item, near, places``: at least ``least`` looked-up places of an item stand near
-    each other as they do in the item: their shifts share a bin of 2 * ``slop`` words. Bins
-    overlap by half, so shifts at most ``slop`` apart always share one.
+def proximity(lists: DataFrame, look: Probes, slop: int) -> DataFrame:
+    """``doc_id, item`` where both rarest places of some window stand as far apart as in the item, up
+    to ``slop`` words more or less: their shifts differ by no more.
+
+    The postings of a pair are laid out by shift, and each looks back to the last one of the other
+    place, so nothing is multiplied; a group holds the postings of two words in one document.
     """
-    wide = 2 * slop
-    bins = F.array(F.floor(F.col("shift") / wide) * 2,
-                   F.floor((F.col("shift") + slop) / wide) * 2 - 1)
-    return (lists.withColumn("near", F.explode(bins)).groupBy("doc_id", "item", "near")
-            .agg(F.count_distinct("place").alias("places")).where(F.col("places") >= least))
+    rows = [(k, n, int(place), side) for k, pairs in look.pairs.items() for n, pair in enumerate(pairs)
+            for side, place in enumerate(pair)]
+    pairs = lists.sparkSession.createDataFrame(rows, "item int, pair int, place int, side int")
+    order = (Window.partitionBy("doc_id", "item", "pair").orderBy("shift", "side")
+             .rowsBetween(Window.unboundedPreceding, 0))
+    last = [F.last(F.when(F.col("side") == side, F.col("shift")), ignorenulls=True).over(order)
+            for side in (0, 1)]
+    apart = F.col("shift") - F.when(F.col("side") == 0, last[1]).otherwise(last[0])
+    return lists.join(pairs, ["item", "place"]).select("doc_id", "item", apart.alias("apart")).where(
+        F.col("apart") <= slop).select("doc_id", "item").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch], items: Items, window: int) -> Iterator[pa.RecordBatch]:
@@ -203,9 +210,12 @@ def _compare(batches: Iterator[pa.RecordBatch], items: Items, window: int) -> It
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                 limit: int = ITEM_WORDS) -> DataFrame:
+                 limit: int = ITEM_WORDS, slop: int | None = None) -> DataFrame:
     """``doc_id, n_words, hits, items`` for every document of ``docs`` (doc_id, text).
 
+    With ``slop`` also ``near``: the ids of items of which the two rarest words of some window stand in
+    the document as far apart as in the item, up to ``slop`` words more or less.
+
     ``hits`` are the positions of words inside an occurrence of a window of an item of
     ``benchmark`` (item_id, text), ``items`` the sorted ids of those items. Null texts and
     texts without words have none. An item of fewer words than a window is one window; one
@@ -215,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = texts.where("doc_id is not null and text is not null")
-    parts = []
+    parts, close = [], []
     lengths = None
     for items in item_rounds(benchmark, limit):
         counted = stage(count_words(texts, items), "counts")
@@ -227,7 +237,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         words = np.unique(np.concatenate([items.words[items.bounds[k] + np.unique(p)]
                                           for k, p in look.pairs.items()]))
         index = stage(postings(named, words), "postings")
-        wanted = stage(phrase_candidates(shifted(index, items, look), look)
+        lists = shifted(index, items, look)
+        if slop is not None:
+            ids = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), "item int, item_id long")
+            close.append(stage(proximity(lists, look, slop).join(ids, "item").groupBy(
+                F.col("doc_id").alias("_near_id")).agg(F.collect_set("item_id").alias("near")), "near"))
+        wanted = stage(phrase_candidates(lists, look)
                        .groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift"))
                                               .alias("wanted")), "wanted")
         parts.append(stage(named.join(wanted, "doc_id").select("doc_id", "text", "wanted")
@@ -237,15 +252,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         nothing = Items(np.zeros(1, np.uint64), np.array([0]), [])
         lengths = stage(count_words(texts, nothing), "counts").where("word is null")
     empty = [F.array().cast("array<int>"), F.array().cast("array<long>")]
+    none = [empty[1].alias("near")] if slop is not None else []
     if not parts:
         return lengths.where("n is not null").select(
-            "doc_id", F.col("n").alias("n_words"), empty[0].alias("hits"), empty[1].alias("items"))
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
+            "doc_id", F.col("n").alias("n_words"), empty[0].alias("hits"), empty[1].alias("items"), *none)
+    every = reduce(DataFrame.unionByName, parts)
     merged = every.groupBy(F.col("doc_id").alias("_id")).agg(
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return lengths.join(merged, F.col("doc_id") == F.col("_id"), "left").select(
+    found = lengths.join(merged, F.col("doc_id") == F.col("_id"), "left")
+    if slop is not None:
+        by_doc = reduce(DataFrame.unionByName, close).groupBy("_near_id").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+        found = found.join(by_doc, F.col("doc_id") == F.col("_near_id"), "left")
+        none = [F.coalesce("near", empty[1]).alias("near")]
+    return found.select(
         "doc_id", F.col("n").alias("n_words"), F.coalesce("hits", empty[0]).alias("hits"),
-        F.coalesce("items", empty[1]).alias("items"))
+        F.coalesce("items", empty[1]).alias("items"), *none)

@@ -183,10 +183,36 @@ hits AS (
     SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS spot FROM found) GROUP BY doc_id),
 owners AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id),
+spots AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+known AS MATERIALIZED (SELECT word, count(*) AS n FROM spots GROUP BY word),
+item_rows AS (SELECT row_number() OVER () AS r, item_id, w FROM i WHERE len(w) > 0),
+item_spots AS (
+  SELECT r, item_id, len(w) AS size, unnest(w) AS word, unnest(range(len(w))) AS place FROM item_rows),
+ranked AS (
+  SELECT x.r, x.item_id, s, place, x.word, coalesce(n, 0) AS n,
+         row_number() OVER (PARTITION BY x.r, s ORDER BY coalesce(n, 0), place) AS rk,
+         min(coalesce(n, 0)) OVER (PARTITION BY x.r, s) AS least, least(10, size) AS wide
+  FROM item_spots x
+  JOIN (SELECT r, unnest(range(len(w) - least(10, len(w)) + 1)) AS s FROM item_rows) y
+    ON x.r = y.r AND place BETWEEN s AND s + least(10, size) - 1
+  LEFT JOIN known USING (word)),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT a.item_id, a.word AS wa, a.place AS pa, b.word AS wb, b.place AS pb
+  FROM ranked a JOIN ranked b ON a.r = b.r AND a.s = b.s AND a.rk = 1 AND b.rk = least(2, b.wide)
+  WHERE a.least > 0),
+firsts AS MATERIALIZED (
+  SELECT item_id, pa, pb, doc_id, p - pa AS shift FROM pairs JOIN spots ON word = wa),
+seconds AS MATERIALIZED (
+  SELECT item_id, pa, pb, doc_id, p - pb AS shift FROM pairs JOIN spots ON word = wb),
+close AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near
+  FROM firsts f JOIN seconds s USING (item_id, pa, pb, doc_id)
+  WHERE abs(f.shift - s.shift) <= 3 GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id) LEFT JOIN close USING (doc_id)
 """,
 }

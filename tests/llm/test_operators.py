@@ -491,3 +491,24 @@ def test_suffixes_tell_short_fingerprints_apart(spark):
         got = suffixes.remove_repeats(spark.createDataFrame(twice, "doc_id long, text string"),
                                       batches=batches).collect()
         assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 100 * (i >= 1000) for i, _ in twice}
+
+
+def test_proximity(spark):
+    """Words of a window a little nearer or farther than in the item: found within the slop only."""
+    filler = lambda n: " ".join(f"f{k}" for k in range(n))
+    words = [f"w{k}" for k in range(10)]
+    item = " ".join(words)
+    docs = [(0, item), (1, f"{filler(5)} {item}"), (2, None), (3, "nothing of it")]
+    for gap in range(1, 7):  # the rarest two, w3 and w7, four words apart in the item
+        docs.append((10 + gap, " ".join([filler(4), "w3", *["x"] * (gap - 1), "w7", filler(3)])))
+    docs += [(30 + k, " ".join(w for w in words if w not in ("w3", "w7"))) for k in range(9)]
+    docs.append((None, item))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (6, "of"), (7, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["near"]) for r in contamination.contaminated(df, bench, slop=2).collect()}
+    assert got[0] == got[1] == ([5], [5]) and got[2] == ([], [])
+    assert got[3] == ([6], [6])
+    assert {g for g in range(1, 7) if got[10 + g][1]} == {2, 3, 4, 5, 6}
+    assert all(got[10 + g][0] == [] for g in range(1, 7)) and all(got[30 + k] == ([], []) for k in range(9))
+    plain = contamination.contaminated(df, bench)
+    assert plain.columns == ["doc_id", "n_words", "hits", "items"]
