@@ -26,30 +26,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number of their own each, written down so that it stays the same:
-    ids may be missing or stand for several rows."""
-    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """The documents with a number: their id, or one of their own behind all ids for rows without,
+    which are written down so that it stays the same."""
+    nameless = stage(docs.where("doc_id is null").withColumn(
+        ROW, F.lit(1 << 62) + F.monotonically_increasing_id()), "nameless")
+    return docs.where("doc_id is not null").withColumn(
+        ROW, F.col("doc_id").cast("long")).unionByName(nameless)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that with the least doc_id, one without id last."""
+    """The document with the least doc_id of each class stays, once; one without id if no other."""
     small_batches(spark)
     rows = numbered(docs)
     classes = near.duplicate_classes(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    member = classes.select(F.col("doc_id").alias(ROW), "class_id").join(
-        rows.select(ROW, F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id")), ROW)
-    first = member.groupBy("class_id").agg(F.min(F.struct("_none", "_id", ROW)).alias("_first"))
-    stay = stage(first.select(F.col(f"_first.{ROW}").alias(ROW)), "stay")
-    return rows.join(stay, ROW, "left_semi").select(docs.columns)
+    gone = stage(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(ROW)).distinct(), "gone")
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+                  .select(F.col("doc_id").cast("long").alias(ROW)), "again")
+    kept = rows.join(gone, ROW, "left_anti")
+    several = kept.join(again, ROW, "left_semi").dropDuplicates([ROW])
+    return kept.join(again, ROW, "left_anti").select(docs.columns).unionByName(several.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go, with an id or without."""
+    """Documents that hold a window of a benchmark item go, with an id or without; rows that share an
+    id are one document."""
     small_batches(spark)
     rows = numbered(docs)
     found = contamination.contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"),
                                        table(spark, sf_dir, "benchmark"))
-    gone = stage(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(ROW)), "gone")
+    gone = stage(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(ROW)).distinct(), "gone")
     return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
