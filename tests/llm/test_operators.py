@@ -439,22 +439,23 @@ def test_pipeline_stages(spark, odd, rows, empty):
 
 
 def test_pipeline_rows_without_id(spark):
-    """What a stage removes goes whether it has an id or not; rows that share an id are judged one by
-    one; of a group the row with the least id stays."""
+    """What a stage removes goes whether it has an id or not; rows without id are documents of their
+    own; of a group the row with the least id stays, one without id only if no other does."""
     kept = dict(corpus_pipeline.STAGES)
     item = next(r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
                 if len((r["text"] or "").split()) > 12)
-    other = " ".join(f"word{i}" for i in range(60))
-    docs = spark.createDataFrame([(None, item), (None, f"so {item} it is"), (7, item), (7, "free of it"),
+    other, alone = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "lone"))
+    docs = spark.createDataFrame([(None, item), (None, f"so {item} it is"), (7, item), (8, "free of it"),
                                   (None, "free too"), (3, other), (None, other), (2, other), (None, None),
-                                  (5, None)], "doc_id long, text string")
+                                  (5, None), (None, alone), (None, alone)], "doc_id long, text string")
     clean = sorted((str(r["doc_id"]), r["text"]) for r in kept["decontamination"](spark, docs, SMALL).collect()
-                   if r["text"] not in (None, other))
-    assert clean == [("7", "free of it"), ("None", "free too")]
+                   if r["text"] not in (None, other, alone))
+    assert clean == [("8", "free of it"), ("None", "free too")]
     single = [(r["doc_id"], r["text"]) for r in kept["near-duplicates"](spark, docs, SMALL).collect()]
     assert [i for i, t in single if t == other] == [2] and [i for i, t in single if t == item] == [7]
+    assert [i for i, t in single if t == alone] == [None]
     assert Counter(i for i, t in single if t is None) == {None: 1, 5: 1}
-    assert (7, "free of it") in single and (None, "free too") in single
+    assert (8, "free of it") in single and (None, "free too") in single
 
 
 def test_pipeline(spark):
