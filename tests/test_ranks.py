@@ -6,7 +6,8 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from lehrplan.operators import curriculum as C
 from lehrplan.operators.normalize import standardize
 from lehrplan.operators.ranks import rank, rank_key, sequential_votes, unit_rows, unit_rows_of
-from lehrplan.operators.voting import pair_votes, sequential_weights, vote_between
+from lehrplan.operators.voting import (LARGEST, block_rows, pair_votes, products,
+                                       sequential_weights, vote_between, vote_within)
 from lehrplan.registry import METRICS, RANKS
 import lehrplan.operators.image_kernels  # noqa: F401  registers the image metrics
 from tests.conftest import ranking, table
@@ -300,3 +301,25 @@ def test_vote_between_blocks_is_the_vote_of_pairs():
 def test_batch_size_is_checked(scores):
     with pytest.raises(ValueError, match="batch_size"):
         C.batch_wise(scores, "pairwise-correlation", FOUR, 0)
+
+
+def test_blocks_grow_with_the_table():
+    """Steps do not grow with the table, and a task's rows stay bounded."""
+    assert [block_rows(n, 64) for n in (1000, 60_000, 10**7)] == [64, 2500, LARGEST]
+
+
+def test_products_are_those_of_pairs():
+    """Votes along anti-diagonals against pairs one after the other; gaps correlate with nothing."""
+    x = np.random.default_rng(8).normal(0, 1, (40, 3))
+    x[[4, 30]] = np.nan
+    want = np.zeros(40)
+    for i in range(40):
+        for j in range(i + 1, 40):
+            p = np.nan_to_num(np.array([x[i, 0] * x[j, 0] + x[i, 1] * x[j, 1] + x[i, 2] * x[j, 2]]))
+            want[i:i + 1], want[j:j + 1] = pair_votes(want[i:i + 1], want[j:j + 1], p)
+    for cut in (1, 17, 39):
+        a, b = np.zeros(cut), np.zeros(40 - cut)
+        vote_within(a, products(x[:cut], x[:cut]))
+        vote_between(a, b, products(x[:cut], x[cut:]))
+        vote_within(b, products(x[cut:], x[cut:]))
+        np.testing.assert_array_equal(np.concatenate([a, b]), want)
