@@ -65,7 +65,7 @@ def rank(scores: DataFrame, scheme: str, metrics: str | Sequence[str], *,
                            [m for m in metrics if m in inverted])
 
     keyed, order = entry.build(base, columns if "all-columns" in entry.tags else metrics,
-                               Groups(partition_by, bounded) if partition_by else None,
+                               Groups(partition_by, bounded, row_order or index) if partition_by else None,
                                [m for m in metrics if m in inverted])
     if digits is not None and "composite-key" in entry.tags:
         keyed = keyed.withColumn("_key", F.round("_key", digits))

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from lehrplan.operators import curriculum as C
 from lehrplan.operators.normalize import standardize
@@ -323,3 +324,13 @@ def test_products_are_those_of_pairs():
         vote_between(a, b, products(x[:cut], x[cut:]))
         vote_within(b, products(x[cut:], x[cut:]))
         np.testing.assert_array_equal(np.concatenate([a, b]), want)
+
+
+def test_sums_of_a_batch_follow_its_row_order(spark):
+    """The mean is added in the order rows were drawn, whatever order they arrive in: 0 here, so the
+    last two are equally far from it; in the order of arrival it is 0.2."""
+    rows = [(0, None, 1e16, 0.0), (1, None, -1e16, 2.0), (2, None, 1.0, 1.0), (4, None, 0.25, 3.0),
+            (3, None, -0.25, 4.0)]
+    df = table(spark, rows, ["index", "class", "v", "drawn"]).coalesce(1).withColumn("b", F.lit(0))
+    ranked = rank(df, "distance-from-mean", "v", partition_by="b", bounded=True, row_order="drawn")
+    assert ranking(ranked)[:2] == [3, 4]
