@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lehrplan.functions.columns import (Groups, correlation, correlation_parts, named,
                                         numeric_columns, present, ratio, with_statistics)
 from lehrplan.operators.ordering import positions
-from lehrplan.operators.voting import BLOCK, sequential_weights
+from lehrplan.operators.voting import BLOCK, pair_votes, sequential_weights
 from lehrplan.registry import METRICS, RANKS
 
 FLAT = 1e-10  # a column whose range is below this counts as constant
@@ -224,8 +224,10 @@ def unit_rows_of(values: np.ndarray, inverted: Sequence[int]) -> np.ndarray:
     scaled = (values - low) / np.where(high - low < FLAT, 1.0, high - low)
     for k in inverted:
         scaled[..., k] = 1.0 - scaled[..., k]
-    centred = scaled - scaled.mean(axis=-1, keepdims=True)
-    norm = np.sqrt((centred ** 2).sum(axis=-1, keepdims=True))
+    # metric by metric, as `unit_rows` adds: other orders differ in the last bits, which decide votes
+    add = lambda x: reduce(np.add, [x[..., k, None] for k in range(x.shape[-1])])
+    centred = scaled - add(scaled) / scaled.shape[-1]
+    norm = np.sqrt(add(centred * centred))
     return centred / np.where(norm < FLAT, 1.0, norm)
 
 
@@ -237,19 +239,14 @@ def sequential_votes(x: np.ndarray) -> np.ndarray:
     Opposite signs meet in the middle, agreement strengthens the shared sign, disagreement drives
     the pair apart. Missing and padding rows correlate with nothing (0 changes no weight).
     """
-    batches, size, _ = x.shape
+    batches, size, metrics = x.shape
+    x = np.ascontiguousarray(x.transpose(2, 1, 0))
     weights = np.zeros((size, batches))
     for i in range(size - 1):
-        similar = np.nan_to_num(np.einsum("bk,bjk->jb", x[:, i], x), nan=0.0)
+        similar = np.nan_to_num(reduce(np.add, [x[k, i] * x[k, i + 1:] for k in range(metrics)]), nan=0.0)
         own = weights[i]
         for j in range(i + 1, size):
-            p, other = similar[j], weights[j]
-            up, low = own >= 0, p < 0
-            opposite = up != (other >= 0)
-            reverse = np.where(opposite, up, np.where(low, own >= other, ~up))
-            step = np.where(reverse, -p, p)
-            weights[j] = other + np.where(opposite | low, -step, step)
-            own = own + step
+            own, weights[j] = pair_votes(own, weights[j], similar[j - i - 1])
         weights[i] = own
     return weights.T
 

@@ -334,3 +334,24 @@ def test_sums_of_a_batch_follow_its_row_order(spark):
     df = table(spark, rows, ["index", "class", "v", "drawn"]).coalesce(1).withColumn("b", F.lit(0))
     ranked = rank(df, "distance-from-mean", "v", partition_by="b", bounded=True, row_order="drawn")
     assert ranking(ranked)[:2] == [3, 4]
+
+
+def test_votes_of_a_batch_add_metric_by_metric():
+    """Scaling and correlations in the order of the metrics, as SQL adds them, to the last bit."""
+    values = np.random.default_rng(12).gamma(2, 3, (20, 12, 5))
+    got = sequential_votes(unit_rows_of(values, []))
+    for batch, weights in zip(values.tolist(), got):
+        low, high = [min(c) for c in zip(*batch)], [max(c) for c in zip(*batch)]
+        want, unit = [0.0] * len(batch), []
+        for row in batch:
+            s = [(v - a) / (b - a) for v, a, b in zip(row, low, high)]
+            mean = (s[0] + s[1] + s[2] + s[3] + s[4]) / 5
+            c = [v - mean for v in s]
+            norm = (c[0] * c[0] + c[1] * c[1] + c[2] * c[2] + c[3] * c[3] + c[4] * c[4]) ** 0.5
+            unit.append([v / norm for v in c])
+        for i, x in enumerate(unit):
+            for j, y in enumerate(unit[i + 1:], i + 1):
+                p = x[0] * y[0] + x[1] * y[1] + x[2] * y[2] + x[3] * y[3] + x[4] * y[4]
+                one, other = pair_votes(np.array([want[i]]), np.array([want[j]]), np.array([p]))
+                want[i], want[j] = float(one[0]), float(other[0])
+        assert weights.tolist() == want
