@@ -230,3 +230,18 @@ def test_long_series_is_spread(spark):
     plan = runs._jdf.queryExecution().optimizedPlan().toString()
     per_sample = [line for line in plan.splitlines() if "Window [" in line and "_piece" not in line]
     assert not per_sample, per_sample
+
+
+def test_weight_delta_query_over_long_series(spark, tmp_path):
+    """Layers with more iterations than its SQL looks at."""
+    import __spark_entry__ as entry
+    from tests.compare import check, connect
+
+    draw = np.random.default_rng(21)
+    rows = [(i, [float(v) for v in draw.normal(0, 1, 3)], 6) for i in range(4 * 1003)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(
+        str(tmp_path / "written"))
+    part, = (tmp_path / "written").glob("*.parquet")
+    (tmp_path / "embeddings.parquet").write_bytes(part.read_bytes())
+    assert check(spark, connect(str(tmp_path)), str(tmp_path), "h_weight_delta", entry.queries(),
+                 entry.oracle_sql()) is None
