@@ -20,6 +20,7 @@ from lehrplan.functions.images import LUMA, level_energy, level_entropy, seeded_
 from lehrplan.registry import METRICS
 
 STACK_VALUES = 1 << 22  # values processed together, so temporaries stay small
+FEED_VALUES = 1 << 20   # values read or made together when images are prepared
 
 
 def daubechies(order: int) -> np.ndarray:
@@ -263,6 +264,17 @@ def stacks(shapes: np.ndarray, rows: list) -> Iterator[tuple[np.ndarray, np.ndar
             yield part, np.stack([rows[i] for i in part]).reshape(len(part), *shape)
 
 
+def pieces(batch: pa.RecordBatch, made: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch that read or make a bounded number of values (or one image);
+    ``made`` counts the values that each row becomes."""
+    held = batch.column("data").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    cost = np.maximum(held, made).astype(np.int64)
+    number = (np.cumsum(cost) - cost) // FEED_VALUES
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), batch.num_rows]
+    for start, stop in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(start, stop - start)
+
+
 def run_kernels(data: np.ndarray, kernels: dict[str, Callable], options: dict
                 ) -> tuple[dict[str, np.ndarray], list[dict]]:
     """Scores per metric and, per image, the text of what failed."""
@@ -337,8 +349,13 @@ def feed(images: DataFrame, size: int | None = None, padding: int = 0, flip: boo
             data = (data.astype(float) - np.reshape(mean, shape)) / np.reshape(std, shape)
         return data.astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            channels = batch.column("c").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield from pieces(batch, channels * (size or 0) ** 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):  # a crop may be much larger than its image
             shapes, rows = image_arrays(batch)
             draws = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
             data = write_stacks(len(rows), ((m, change(d, m, draws))

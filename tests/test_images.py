@@ -382,3 +382,23 @@ def test_score_sample(spark):
 def test_metrics_of_other_kinds_are_reported(caplog):
     assert scoring.requested_metrics(["convergence-time", "edge-density"]) == ["edge-density"]
     assert "convergence-time" in caplog.text
+
+
+def test_prepared_images_are_made_in_bounded_pieces(spark, monkeypatch):
+    """A crop much larger than its image counts by what it becomes; pieces change no value."""
+    import pyarrow as pa
+
+    lists = pa.array([[1.0] * 12, None, [2.0] * 12] * 700, type=pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2100)), lists], names=["index", "data"])
+    made = np.full(2100, 3 * 32 * 32)
+    parts = list(K.pieces(batch, made))
+    assert len(parts) > 1 and max(p.num_rows for p in parts) * 3 * 32 * 32 <= K.FEED_VALUES + 3 * 32 * 32
+    assert pa.Table.from_batches(parts).column("index").to_pylist() == list(range(2100))
+    assert list(K.pieces(batch.slice(0, 0), made[:0])) == [batch.slice(0, 0)]
+
+    rows = [(i, 3, 2, 2, None if i == 4 else [float(i + k) for k in range(12)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "index long, c int, h int, w int, data array<float>").coalesce(1)
+    run = lambda: {r["index"]: r["data"] for r in K.feed(df, 8, 4, True, seed=3).collect()}
+    want = run()
+    monkeypatch.setattr(K, "FEED_VALUES", 500)
+    assert run() == want and want[4] is None and len(want[0]) == 3 * 8 * 8
