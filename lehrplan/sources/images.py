@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,21 +65,29 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return with_planes(decoded(spark, path))
 
 
+TASK_FILES = 4096  # files of a task, as a task for every few would cost more than their pixels
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Folder tree ``root/<split>/<class>/<file>``; indices follow path order within a split.
 
     Only the paths are sorted. The pixels meet their index in one join, as bytes: without moving
     while the list of paths is small, hashed by path beyond.
     """
-    tree = f"{root}/*/*/*"
-    paths = spark.read.format("binaryFile").load(tree).select(
+    root, tasks = root.rstrip("/"), 4 * spark.sparkContext.defaultParallelism
+    several = bool(set(root) & set("*?[{"))
+    tree = f"{root}/*/*/*" if several else f"{root}/*/*"  # folders: a file as a path takes a task
+    paths = spark.read.format("binaryFile").load(tree).coalesce(tasks).select(
         plain_path(F.col("path")).alias("path"))  # contents are not read
+    if not several:  # a file beside the class folders is no image of the corpus
+        below = re.escape(re.sub("^([a-z0-9]+:)?[./]*/", "", root)) + "/[^/]+/[^/]+/[^/]"
+        paths = paths.where(F.col("path").rlike(below))
     part = lambda back: F.element_at(F.split("path", "/"), -back)
     places = positions(paths.withColumns({"split": part(3), "class": part(2)}),
                        [F.col("path").asc()], by=["split"], keep=["path", "class"],
                        label="corpus")
     ids = stage(places, "corpus-index")
-    images = decoded(spark, tree)
+    images = decoded(spark, tree).coalesce(max(tasks, ids.count() // TASK_FILES))
     return with_planes(images.join(ids, images["origin"] == ids["path"]).select(
         F.col("position").alias("index"), "class", "split", "c", "h", "w", "bytes"))
 

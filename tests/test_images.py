@@ -402,3 +402,17 @@ def test_prepared_images_are_made_in_bounded_pieces(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(K, "FEED_VALUES", 500)
     assert run() == want and want[4] is None and len(want[0]) == 3 * 8 * 8
+
+
+def test_corpus_lists_folders(spark, tmp_path, monkeypatch):
+    """Files are no paths of their own for the reader; a file beside the class folders is left out."""
+    for i, place in enumerate(["train/cat", "train/dog", "test/cat", "train"]):
+        (tmp_path / place).mkdir(parents=True, exist_ok=True)
+        (tmp_path / place / f"{i}.png").write_bytes(b"no image")
+    seen, reader = [], type(spark.read)
+    load = reader.load
+    monkeypatch.setattr(reader, "load", lambda self, path=None, *a, **k: (seen.append(path), load(self, path, *a, **k))[1])
+    rows = SI.read_corpus(spark, str(tmp_path)).collect()
+    assert sorted((r["split"], r["class"], r["index"]) for r in rows) == [
+        ("test", "cat", 0), ("train", "cat", 0), ("train", "dog", 1)]
+    assert seen == [f"{tmp_path}/*/*"] * 2
